@@ -123,8 +123,8 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
     ignored, and a country is written ``country_code:``.
 
     Each request looks accounts up by its most selective criterion with an equi-join, and the others
-    filter what was found. A phone part is looked up by its first four characters among all
-    four-character pieces of the phone numbers, so none is missed. Low-cardinality look-up values are
+    filter what was found. A phone part is looked up by its last four characters, which are rarer than a
+    country prefix, among all four-character pieces of the phone numbers, so none is missed. Low-cardinality look-up values are
     salted, since one group or country may hold a third of all accounts.
     """
     parsed = parse_search(requests)
@@ -141,7 +141,7 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         )
         .when(
             F.col("phone_part").isNotNull(),
-            F.array(F.struct(F.lit("phone").alias("kind"), F.substring("phone_part", 1, _PHONE_PIECE).alias("value"))),
+            F.array(F.struct(F.lit("phone").alias("kind"), F.right("phone_part", F.lit(_PHONE_PIECE)).alias("value"))),
         )
         .when(F.col("group_key").isNotNull(), F.array(F.struct(F.lit("group").alias("kind"), F.col("group_key").alias("value"))))
         .when(F.col("country_key").isNotNull(), F.array(F.struct(F.lit("country").alias("kind"), F.col("country_key").alias("value"))))

@@ -51,7 +51,7 @@ VIEWS: dict[str, str] = {
                split_part(c_name, '#', 1) AS first_name,
                split_part(c_name, '#', 2) AS last_name,
                CASE WHEN c_custkey % 10 = 0 THEN NULL
-                    ELSE lower(split_part(c_name, '#', 1)) || '.' || split_part(c_name, '#', 2) || '@bank.example'
+                    ELSE lower(split_part(c_name, '#', 1)) || '.' || split_part(c_name, '#', 2) || '@bank.test'
                END AS email,
                '+359' || right(c_name, 7) AS phone,
                CASE c_nationkey % 3 WHEN 0 THEN 'BGR' WHEN 1 THEN 'USA' ELSE 'OTH' END AS country_code,
@@ -182,17 +182,17 @@ VIEWS: dict[str, str] = {
                CASE s_suppkey % 8
                     WHEN 0 THEN right(s_name, 9)
                     WHEN 1 THEN 'CUSTOMER ' || right(s_name, 9)
-                    WHEN 2 THEN 'Customer.' || right(s_name, 9) || '@BANK.example'
+                    WHEN 2 THEN 'Customer.' || right(s_name, 9) || '@BANK.test'
                     WHEN 3 THEN 'phone:+359' || right(s_name, 7)
                     WHEN 4 THEN 'phone:' || right(s_name, 7)
                     WHEN 5 THEN '  ' || right(s_name, 9) || '   group:FTC  country_code:BGR '
                     WHEN 6 THEN 'group:EMP ' || right(s_name, 9) || ' O-Neill group:FTP'
-                    ELSE 'phone:+359 customer.' || right(s_name, 9) || '@bank.example country_code:USA'
+                    ELSE 'phone:+359 customer.' || right(s_name, 9) || '@bank.test country_code:USA'
                END AS search_str
         FROM @supplier@""",
     "signups": """
         SELECT s_suppkey AS request_id, 'Customer' AS first_name, right(s_name, 9) AS last_name,
-               'new.' || right(s_name, 9) || '@bank.example' AS email, '+1' || right(s_name, 7) AS phone,
+               'new.' || right(s_name, 9) || '@bank.test' AS email, '+1' || right(s_name, 7) AS phone,
                CASE s_nationkey % 3 WHEN 0 THEN 'BGR' WHEN 1 THEN 'USA' ELSE 'OTH' END AS country,
                CASE WHEN s_suppkey % 2 = 0 THEN 'Lane ' || right(s_name, 3) END AS address
         FROM @supplier@""",
@@ -213,7 +213,7 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS request_id,
                CASE WHEN c_custkey % 13 = 0 THEN -1 - c_custkey ELSE CAST(floor(c_custkey / 2) AS BIGINT) END AS account_id,
                CASE c_nationkey % 4 WHEN 0 THEN '+44' || right(c_name, 7) WHEN 1 THEN '+440000' || c_name END AS phone,
-               CASE WHEN c_nationkey % 3 = 0 THEN 'changed' || right(c_name, 9) || '@bank.example' END AS email,
+               CASE WHEN c_nationkey % 3 = 0 THEN 'changed' || right(c_name, 9) || '@bank.test' END AS email,
                CASE c_nationkey % 5 WHEN 0 THEN 'BGR' WHEN 1 THEN 'FRA' WHEN 2 THEN 'USA' END AS country_code,
                CASE WHEN c_nationkey % 2 = 0 THEN 'New road ' || right(c_name, 2) END AS address
         FROM @customer@""",
