@@ -97,10 +97,18 @@ def assignments(db: Tables) -> DataFrame:
         .join(staff, "update_user", "left_semi")
         .groupBy("product_uid", "update_user").agg(F.max("update_dt").alias("update_dt"))
     )
+    return newest_changers(last_change)
+
+
+def newest_changers(last_change: DataFrame) -> DataFrame:
+    """(product_uid, updater_id) with the newest stamp of ``last_change(product_uid, update_user, update_dt)``.
+
+    Spark keeps only the best rank per key in each task before the shuffle.
+    """
     newest = Window.partitionBy("product_uid").orderBy(F.desc("update_dt"))
     return (
         last_change.withColumn("rnk", F.rank().over(newest)).filter(F.col("rnk") == 1)
-        .select("product_uid", F.col("update_user").alias("updater_id"))
+        .select("product_uid", F.col("update_user").alias("updater_id")).distinct()
     )
 
 
@@ -111,6 +119,11 @@ def assigned_instances(db: Tables, updater: int | None = None) -> DataFrame:
         mine = owners.filter(F.col("updater_id") == updater)
         rows = db.product_instances.join(mine, "product_uid", "left_semi")
         return _with_names(_cards(rows, db), db).select(*CARD_COLUMNS)
+    return cards_of_owners(db, owners)
+
+
+def cards_of_owners(db: Tables, owners: DataFrame) -> DataFrame:
+    """Cards of the instances in ``owners(product_uid, updater_id)``."""
     rows = db.product_instances.join(owners, "product_uid")
     return _with_names(_cards(rows, db), db).select("updater_id", *CARD_COLUMNS)
 

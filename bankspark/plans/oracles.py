@@ -513,6 +513,15 @@ free AS (SELECT i.initial, i.initial || a.c || b.c AS code, row_number() OVER (P
   FROM (SELECT DISTINCT initial FROM losers) i CROSS JOIN chars a CROSS JOIN chars b
   WHERE i.initial || a.c || b.c NOT IN (SELECT category_id FROM product_categories) AND i.initial || a.c || b.c NOT IN (SELECT code FROM winners))""")
 
+# --- streams: the same rows as their batch twins ------------------------------------------------
+
+ORACLES["stream_status"] = ORACLES["apply_status_fold"]
+ORACLES["stream_assigned"] = ORACLES["assigned_instances"]
+ORACLES["stream_notices"] = ORACLES["status_notifications"]
+oracle("stream_current_status", """
+SELECT product_uid, is_code AS status_code, update_dt FROM product_status_updates
+QUALIFY row_number() OVER (PARTITION BY product_uid ORDER BY update_dt DESC, prime_uid DESC) = 1""")
+
 # --- contracts ---------------------------------------------------------------------------------
 
 _FACTS = """

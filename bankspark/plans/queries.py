@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bankspark.functions import columns as C
 from bankspark.operators import accounts, attributes, catalog, changes, contracts, instances, lifecycle, notices
 from bankspark.operators.ordering import append_with_ids
+from bankspark.session import shared_dir
 from bankspark.sources.tables import MappedTables
+from bankspark.streaming import feeds
 
 AS_OF = dt.date(2024, 1, 15)
 AS_OF_TIME = dt.datetime(2024, 1, 15, 10, 0, 0)
@@ -535,3 +538,44 @@ def sign_contracts(db):
 @query
 def sign_rejects(db):
     return contracts.sign_contracts(db, db.view("sign_requests"), AS_OF_TIME).rejects
+
+
+# --- streams, run until the input is used up ---------------------------------------------------
+
+
+def _streamed(db, view):
+    """A view over the event files read as a stream, and a new output folder."""
+    # A pattern, because a stream reads folders or patterns and the table may be one file.
+    events = feeds.read_events(db.spark, f"{db.directory}/event[s].parquet")
+    out = f"{shared_dir(db.spark)}/streams/{uuid.uuid4().hex}"
+    return db.over(events=events).view(view), out
+
+
+@query
+def stream_status(db):
+    requests, out = _streamed(db, "status_requests")
+    requests = feeds.deduplicated(requests, "request_id", "request_dt")
+    feeds.start_status_stream(db, requests, out).awaitTermination()
+    return feeds.status_stream_audit(db.spark, out)
+
+
+@query
+def stream_assigned(db):
+    updates, out = _streamed(db, "product_status_updates")
+    feeds.start_owner_stream(db, updates, out).awaitTermination()
+    owners = feeds.owners_from_stream(db.spark, out)
+    return instances.cards_of_owners(db, owners)
+
+
+@query
+def stream_current_status(db):
+    updates, out = _streamed(db, "product_status_updates")
+    feeds.start_current_status(updates, out).awaitTermination()
+    return feeds.current_status(db.spark, out)
+
+
+@query
+def stream_notices(db):
+    updates, out = _streamed(db, "product_status_updates")
+    feeds.start_notice_stream(db, updates.withColumnRenamed("prime_uid", "change_id"), out).awaitTermination()
+    return db.spark.read.parquet(f"{out}/messages")
