@@ -58,11 +58,10 @@ def positions_within(
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(position, F.row_number().over(window).cast("bigint"))
     numbered = global_positions(df, keys + order, "_global")
-    first = numbered.groupBy(*keys).agg(F.min("_global").alias("_first"))
-    same_group = [numbered[k].eqNullSafe(first[k]) for k in keys]
-    joined = numbered.join(first, same_group)
-    return joined.select(
-        *[numbered[c] for c in df.columns], (F.col("_global") - F.col("_first") + 1).alias(position)
+    first = numbered.groupBy(*[F.col(k).alias("_of_" + k) for k in keys]).agg(F.min("_global").alias("_first"))
+    same_group = [F.col(k).eqNullSafe(F.col("_of_" + k)) for k in keys]
+    return numbered.join(first, same_group).select(
+        *df.columns, (F.col("_global") - F.col("_first") + 1).alias(position)
     )
 
 
