@@ -154,9 +154,6 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         .withColumn("salt", salts)
     )
 
-    people = db.accounts.join(
-        db.account_groups.select(F.col("group_code").alias("account_group"), "group_name"), "account_group"
-    )
     starts = F.sequence(F.lit(1), F.greatest(F.length("phone") - _PHONE_PIECE + 1, F.lit(1)))
     pieces = F.transform(
         starts, lambda i: F.struct(F.lit("phone").alias("kind"), F.substr(F.col("phone"), i, F.lit(_PHONE_PIECE)).alias("value"))
@@ -172,12 +169,16 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         ),
         F.coalesce(F.array_distinct(pieces), F.array()),
     )
-    index = people.select(
-        "account_id", "first_name", "last_name", "email", "phone", "country_code", "verification", "account_group",
-        "group_name",
+    # Keys only: an account has some twenty entries, so its data joins after the look-up.
+    index = db.accounts.select(
+        "account_id",
         F.pmod(F.xxhash64("account_id"), F.lit(_SALTS)).cast("int").alias("salt"),
         F.explode(entries).alias("_entry"),
-    ).withColumn("kind", F.col("_entry.kind")).withColumn("value", F.col("_entry.value")).drop("_entry")
+    ).select("account_id", "salt", "_entry.kind", "_entry.value")
+    people = db.accounts.select(
+        "account_id", "first_name", "last_name", "email", "phone", "country_code", "verification", "account_group"
+    )
+    groups = db.account_groups.select(F.col("group_code").alias("account_group"), "group_name")
 
     first_in, last_in = F.array_contains("names", F.lower("first_name")), F.array_contains("names", F.lower("last_name"))
     names_ok = F.when(F.size("names") == 0, True).when(F.size("names") == 1, first_in | last_in).otherwise(first_in & last_in)
@@ -199,8 +200,8 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
     # An account found by its first and by its last name is kept once.
     found_twice = (F.col("kind") == "last") & F.coalesce(F.lower("first_name") == F.col("value"), F.lit(False))
     return (
-        wanted.join(index, ["kind", "value", "salt"])
-        .filter(matches & ~found_twice)
+        wanted.join(index, ["kind", "value", "salt"]).join(people, "account_id")
+        .filter(matches & ~found_twice).join(groups, "account_group")
         .select(
             "request_id", "account_id", "first_name", "last_name", "email", "phone",
             F.col("verification").alias("verification_code"),

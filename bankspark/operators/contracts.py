@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bankspark.functions import columns as C
 from bankspark.operators.attributes import attribute_values
-from bankspark.operators.ordering import append_with_ids, paged
+from bankspark.operators.ordering import append_with_ids, has_large_group, paged
 from bankspark.sources import clauses, dims
 from bankspark.sources.tables import Tables
 
@@ -137,9 +137,9 @@ def contract_documents(lines: DataFrame, page_size: int = 1000) -> DataFrame:
     A contract is one part unless its table has more than ``page_size`` rows; then the table goes on
     in further table elements, and the document in further parts.
     """
-    rows, keys = paged(
-        lines.filter(F.col("kind") == "table"), ["product_uid", "clause_no"], ["row_no"], page_size
-    )
+    table_rows = lines.filter(F.col("kind") == "table")
+    large = has_large_group(table_rows, ["product_uid"], page_size)
+    rows, keys = paged(table_rows, ["product_uid", "clause_no"], ["row_no"], page_size, large)
     row = F.struct("row_no", F.array("label", "value").alias("row"))
     tables = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows")).select(
         "product_uid", "clause_no", "page_no", F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"),
@@ -150,7 +150,8 @@ def contract_documents(lines: DataFrame, page_size: int = 1000) -> DataFrame:
         F.lit(None).cast("array<array<string>>").alias("data"),
     )
     elements = texts.unionByName(tables).withColumnRenamed("page_no", "table_page")
-    elements, keys = paged(elements, ["product_uid"], ["clause_no", "table_page"], page_size)
+    # Without long tables a contract has no more elements than clauses.
+    elements, keys = paged(elements, ["product_uid"], ["clause_no", "table_page"], page_size, None if large else False)
     element = F.struct("clause_no", "table_page", F.struct("kind", "text", "data").alias("element"))
     return elements.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias("e")).select(
         "product_uid", F.col("page_no").alias("part_no"), F.transform("e", lambda e: e["element"]).alias("contents")

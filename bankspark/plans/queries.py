@@ -554,7 +554,7 @@ def _streamed(db, view):
 @query
 def stream_status(db):
     requests, out = _streamed(db, "status_requests")
-    requests = feeds.deduplicated(requests, "request_id", "request_dt")
+    requests = feeds.deduplicated(requests, "request_id")
     feeds.start_status_stream(db, requests, out).awaitTermination()
     return feeds.status_stream_audit(db.spark, out)
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from bankspark.sources import schemas
+
 # k, name, visible, populatable, type, default, exercise, available_before
 ATTRIBUTE_TEMPLATES = [
     (1, "Option Price (BGN)", "Y", "N", "float", None, None, None),
@@ -274,7 +276,7 @@ VIEWS: dict[str, str] = {
         FROM @product_instances@""",
 }
 
-RAW_TABLES = ("customer", "supplier", "part", "orders", "events")
+RAW_TABLES = tuple(schemas.RAW)
 
 _REFERENCE = re.compile(r"@(\w+)@")
 

@@ -178,7 +178,8 @@ class MappedTables(_Dimensions):
         self._frames: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self._frame("raw." + name, lambda: self.spark.read.parquet(f"{self.directory}/{name}.parquet"))
+        path = f"{self.directory}/{name}.parquet"
+        return self._frame("raw." + name, lambda: self.spark.read.schema(schemas.RAW[name]).parquet(path))
 
     def view(self, name: str) -> DataFrame:
         if name not in mapping.VIEWS:

@@ -16,20 +16,21 @@ from bankspark.sources.tables import Tables, latest_version, write_snapshot
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Event files as a stream."""
-    reader = spark.readStream.schema(schemas.EVENTS)
+    reader = spark.readStream.schema(schemas.RAW["events"])
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
-def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "1 day") -> DataFrame:
-    """The stream without repeated keys; ``delay`` is how long after its first time a key may come again.
+def deduplicated(stream: DataFrame, key: str, delay: str = "7 days") -> DataFrame:
+    """The stream without repeated keys; a key is remembered for ``delay`` after it first arrived.
 
-    Late rows with a new key pass, so nothing is lost to the watermark here.
+    The watermark runs on arrival, not on event time: it only bounds the memory of keys, and a row
+    with an old event time is never dropped for being late. No result column depends on the clock.
     """
     return (
-        stream.withColumn("_event_time", F.col(time).cast("timestamp"))
-        .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark([key]).drop("_event_time")
+        stream.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", delay)
+        .dropDuplicatesWithinWatermark([key]).drop("_arrival")
     )
 
 
@@ -122,7 +123,7 @@ def start_current_status(updates: DataFrame, out: str, available_now: bool = Tru
     log. Repeated log keys are dropped.
     """
     newest = F.max(F.struct("update_dt", "prime_uid", "is_code", "update_user")).alias("newest")
-    current = deduplicated(updates, "prime_uid", "update_dt").groupBy("product_uid").agg(newest)
+    current = deduplicated(updates, "prime_uid").groupBy("product_uid").agg(newest)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         write_snapshot(batch, f"{out}/current", batch_id)
@@ -137,7 +138,7 @@ def current_status(spark: SparkSession, out: str) -> DataFrame:
 
 def start_update_log(updates: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
     """The log itself: every change once, late ones too."""
-    writer = deduplicated(updates, "prime_uid", "update_dt").writeStream.format("parquet").option("path", f"{out}/log")
+    writer = deduplicated(updates, "prime_uid").writeStream.format("parquet").option("path", f"{out}/log")
     return _start(writer, f"{out}/checkpoint", available_now)
 
 
