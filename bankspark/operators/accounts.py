@@ -81,7 +81,8 @@ WORD_PATTERNS = {
     "country_code": r"^country_code:[A-Z]{1,3}$",
     "phone": r"^phone:[+0-9]{4,15}$",
 }
-_PHONE_PIECE = 4  # shortest phone part a search accepts
+_PHONE_PIECES = (7, 4)  # lengths of indexed phone pieces; 4 is the shortest part a search accepts
+_PAIR_WORDS = 8  # up to this many names, first and last name are looked up together
 _SALTS = 32
 
 
@@ -123,29 +124,37 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
     ignored, and a country is written ``country_code:``.
 
     Each request looks accounts up by its most selective criterion with an equi-join, and the others
-    filter what was found. A phone part is looked up by its last four characters, which are rarer than a
-    country prefix, among all four-character pieces of the phone numbers, so none is missed. Low-cardinality look-up values are
-    salted, since one group or country may hold a third of all accounts.
+    filter what was found. Several names are looked up as pairs of first and last name. A phone part
+    is looked up by its last characters, which are rarer than a country prefix, among all pieces of
+    that length of the phone numbers, so none is missed. Look-up values are salted, since one name,
+    group or country may hold a third of all accounts.
     """
     parsed = parse_search(requests)
-    several = F.size("names") > 1
+    names = F.array_distinct("names")
+
+    def entry(kind, value):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    def pair(first, last):
+        return F.concat(first, F.lit(" "), last)
+
+    pairs = F.flatten(F.transform(names, lambda a: F.transform(names, lambda b: entry("full", pair(a, b)))))
+    long_piece, short_piece = _PHONE_PIECES
+    phone_entry = F.when(
+        F.length("phone_part") >= long_piece, entry(f"phone{long_piece}", F.right("phone_part", F.lit(long_piece)))
+    ).otherwise(entry(f"phone{short_piece}", F.right("phone_part", F.lit(short_piece))))
     lookup = (
-        F.when(F.col("email_key").isNotNull(), F.array(F.struct(F.lit("email").alias("kind"), F.col("email_key").alias("value"))))
-        .when(several, F.transform(F.array_distinct("names"), lambda n: F.struct(F.lit("first").alias("kind"), n.alias("value"))))
+        F.when(F.col("email_key").isNotNull(), F.array(entry("email", F.col("email_key"))))
+        .when((F.size("names") > 1) & (F.size(names) <= _PAIR_WORDS), pairs)
+        .when(F.size("names") > 1, F.transform(names, lambda n: entry("last", n)))
+        .when(F.col("phone_part").isNotNull(), F.array(phone_entry))
         .when(
             F.size("names") == 1,
-            F.array(
-                F.struct(F.lit("first").alias("kind"), F.col("names")[0].alias("value")),
-                F.struct(F.lit("last").alias("kind"), F.col("names")[0].alias("value")),
-            ),
-        )
-        .when(
-            F.col("phone_part").isNotNull(),
-            F.array(F.struct(F.lit("phone").alias("kind"), F.right("phone_part", F.lit(_PHONE_PIECE)).alias("value"))),
+            F.array(entry("first", F.col("names")[0]), entry("last", F.col("names")[0])),
         )
-        .when(F.col("group_key").isNotNull(), F.array(F.struct(F.lit("group").alias("kind"), F.col("group_key").alias("value"))))
-        .when(F.col("country_key").isNotNull(), F.array(F.struct(F.lit("country").alias("kind"), F.col("country_key").alias("value"))))
-        .otherwise(F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value"))))
+        .when(F.col("group_key").isNotNull(), F.array(entry("group", F.col("group_key"))))
+        .when(F.col("country_key").isNotNull(), F.array(entry("country", F.col("country_key"))))
+        .otherwise(F.array(entry("all", F.lit(""))))
     )
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
     wanted = (
@@ -154,20 +163,22 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         .withColumn("salt", salts)
     )
 
-    starts = F.sequence(F.lit(1), F.greatest(F.length("phone") - _PHONE_PIECE + 1, F.lit(1)))
-    pieces = F.transform(
-        starts, lambda i: F.struct(F.lit("phone").alias("kind"), F.substr(F.col("phone"), i, F.lit(_PHONE_PIECE)).alias("value"))
-    )
+    def phone_pieces(size):
+        starts = F.sequence(F.lit(1), F.length("phone") - size + 1)
+        pieces = F.transform(starts, lambda i: entry(f"phone{size}", F.substr(F.col("phone"), i, F.lit(size))))
+        return F.when(F.length("phone") >= size, F.array_distinct(pieces)).otherwise(F.array())
+
     entries = F.concat(
         F.array(
-            F.struct(F.lit("email").alias("kind"), F.lower("email").alias("value")),
-            F.struct(F.lit("first").alias("kind"), F.lower("first_name").alias("value")),
-            F.struct(F.lit("last").alias("kind"), F.lower("last_name").alias("value")),
-            F.struct(F.lit("group").alias("kind"), F.upper("account_group").alias("value")),
-            F.struct(F.lit("country").alias("kind"), F.upper("country_code").alias("value")),
-            F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")),
+            entry("email", F.lower("email")),
+            entry("first", F.lower("first_name")),
+            entry("last", F.lower("last_name")),
+            entry("full", pair(F.lower("first_name"), F.lower("last_name"))),
+            entry("group", F.upper("account_group")),
+            entry("country", F.upper("country_code")),
+            entry("all", F.lit("")),
         ),
-        F.coalesce(F.array_distinct(pieces), F.array()),
+        *[phone_pieces(size) for size in _PHONE_PIECES],
     )
     # Keys only: an account has some twenty entries, so its data joins after the look-up.
     index = db.accounts.select(
@@ -198,7 +209,9 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         ~nothing_parsed | (F.col("account_id") != dims.AUTOMATION_ACCOUNT),
     )
     # An account found by its first and by its last name is kept once.
-    found_twice = (F.col("kind") == "last") & F.coalesce(F.lower("first_name") == F.col("value"), F.lit(False))
+    found_twice = (F.col("kind") == "last") & (F.size("names") == 1) & F.coalesce(
+        F.lower("first_name") == F.col("value"), F.lit(False)
+    )
     return (
         wanted.join(index, ["kind", "value", "salt"]).join(people, "account_id")
         .filter(matches & ~found_twice).join(groups, "account_group")

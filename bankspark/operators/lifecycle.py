@@ -77,6 +77,7 @@ def _next_map() -> Column:
 class StatusChanges:
     decisions: DataFrame  # every request with its outcome
     instances: DataFrame  # all instances after the changes
+    changed: DataFrame  # the instances that took a change
     applications: DataFrame  # all applications after the changes
     audit: DataFrame  # one row per accepted change
     rejects: DataFrame  # request_id, product_uid, reason
@@ -270,12 +271,11 @@ def apply_status_changes(
         "latest_note": F.coalesce(F.col("_note.note"), F.col("latest_note")),
         "latest_note_public_yn": F.coalesce(F.col("_note.public_yn"), F.col("latest_note_public_yn")),
     }
-    instances = db.product_instances.join(last, "product_uid", "left").select(
-        *[new_values[c].alias(c) if c in new_values else F.col(c) for c in db.product_instances.columns]
-    )
+    columns = [new_values[c].alias(c) if c in new_values else F.col(c) for c in db.product_instances.columns]
     return StatusChanges(
         decisions=decisions,
-        instances=instances,
+        instances=db.product_instances.join(last, "product_uid", "left").select(*columns),
+        changed=db.product_instances.join(last, "product_uid").select(*columns),
         applications=_stamp_applications(db, ok) if accepted is None else db.applications,
         audit=ok.select(
             "product_uid", "request_id", F.col("was").alias("was_status"), F.col("new_status").alias("is_code"),

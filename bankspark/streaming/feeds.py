@@ -49,29 +49,52 @@ def _read_versions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def start_status_stream(
-    db: Tables, requests: DataFrame, out: str, available_now: bool = True
+    db: Tables, requests: DataFrame, out: str, available_now: bool = True, snapshot_every: int = 20
 ) -> StreamingQuery:
     """Decide a stream of status requests against the current state of the instances.
 
-    Each batch is decided by the batch operator, in time order inside the batch, on the snapshot the
-    batch before left. A request that arrives late is decided when it arrives, as a clerk would.
-    Writes ``requests``, ``audit``, ``rejects`` and the ``instances`` snapshot under ``out``.
+    Each batch is decided by the batch operator, in time order inside the batch, on the state the
+    batches before left. A request that arrives late is decided when it arrives, as a clerk would.
+    Writes ``requests``, ``audit``, ``rejects`` and the ``changed`` instances of every batch under
+    ``out``, and the whole ``instances`` only every ``snapshot_every`` batches, so the usual batch
+    writes no more than it changes.
     """
     spark = db.spark
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         # Staged first: the operator then runs in the main session, with adaptive execution.
         staged = spark.read.parquet(write_snapshot(batch, f"{out}/requests", batch_id))
-        before = latest_version(spark, f"{out}/instances", before=batch_id)
-        current = db.product_instances if before is None else spark.read.parquet(f"{out}/instances/version={before}")
+        current = _instances_before(db, out, batch_id)
         changes = lifecycle.apply_status_changes(db.replace(product_instances=current), staged, materialize=True)
         write_snapshot(changes.audit, f"{out}/audit", batch_id)
         write_snapshot(changes.rejects, f"{out}/rejects", batch_id)
-        write_snapshot(changes.instances, f"{out}/instances", batch_id)
+        write_snapshot(changes.changed, f"{out}/changed", batch_id)
+        if (batch_id + 1) % snapshot_every == 0:
+            write_snapshot(_instances_before(db, out, batch_id + 1), f"{out}/instances", batch_id)
 
     return _start(requests.writeStream.foreachBatch(decide), f"{out}/checkpoint", available_now)
 
 
+def _instances_before(db: Tables, out: str, batch_id: int) -> DataFrame:
+    """Instances as the batches before ``batch_id`` left them: last snapshot and what changed since."""
+    spark = db.spark
+    snapshot = latest_version(spark, f"{out}/instances", before=batch_id)
+    base = db.product_instances if snapshot is None else spark.read.parquet(f"{out}/instances/version={snapshot}")
+    if latest_version(spark, f"{out}/changed", before=batch_id) is None:
+        return base
+    # Folders are partitions by version, so only those since the snapshot are read.
+    since = spark.read.parquet(f"{out}/changed").filter(
+        (F.col("version") > (-1 if snapshot is None else snapshot)) & (F.col("version") < batch_id)
+    )
+    columns = [c for c in base.columns if c != "product_uid"]
+    newest = since.groupBy("product_uid").agg(F.max_by(F.struct(*columns), "version").alias("_new"))
+    taken = F.col("_new").isNotNull()
+    return base.join(newest, "product_uid", "left").select(*[
+        F.when(taken, F.col("_new." + c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+        for c in base.columns
+    ])
+
+
 def status_stream_audit(spark: SparkSession, out: str) -> DataFrame:
     return _read_versions(spark, f"{out}/audit")
 
@@ -80,8 +103,10 @@ def status_stream_rejects(spark: SparkSession, out: str) -> DataFrame:
     return _read_versions(spark, f"{out}/rejects")
 
 
-def status_stream_instances(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/instances/version={latest_version(spark, out + '/instances')}")
+def status_stream_instances(db: Tables, out: str) -> DataFrame:
+    """All instances as the stream has left them."""
+    last = latest_version(db.spark, f"{out}/changed")
+    return db.product_instances if last is None else _instances_before(db, out, last + 1)
 
 
 # --- owners ------------------------------------------------------------------------------------
@@ -110,7 +135,10 @@ def start_owner_stream(db: Tables, updates: DataFrame, out: str, available_now:
 
 def owners_from_stream(spark: SparkSession, out: str) -> DataFrame:
     """Staff members who changed each instance last, from what the stream has kept."""
-    return instances.newest_changers(_read_versions(spark, f"{out}/last_change"))
+    kept = _read_versions(spark, f"{out}/last_change")
+    return instances.newest_changers(
+        kept.groupBy("product_uid", "update_user").agg(F.max("update_dt").alias("update_dt"))
+    )
 
 
 # --- current status ----------------------------------------------------------------------------

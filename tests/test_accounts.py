@@ -58,7 +58,7 @@ def test_search(spark, frame):
         "lee", "LEE ann", "lee lee", "ann bob", "zed", "ann.lee@bank.test", "lee@BANK.test ann", "group:FTC", "group:ftc",
         "country_code:USA", "country:USA", "phone:1112", "phone:+359", "phone:111", "", "   ", "O'Neil", "Ünal", "group:FTC group:RTC",
         "  lee   group:FTC ", "phone:+359 country_code:BGR", "b_o.b@my-bank.test", "ann@bank.example", "country_code:USA group:RTC phone:2333",
-        "lee\tann", "automated",
+        "lee\tann", "automated", "ann phone:1112", "phone:9111222", "phone:+359111222", "a b c d e f g h i lee ann", "lee lee lee",
     ]
     requests = frame("request_id BIGINT, search_str STRING", list(enumerate(texts)))
     rows = accounts.search_accounts(bank(spark, frame), requests).collect()

@@ -39,3 +39,27 @@ def test_assignment_keeps_best_rank_before_shuffle(mapped):
 def test_growing_tables_are_not_hinted_for_broadcast(mapped):
     text = instances.product_cards(mapped)._jdf.queryExecution().logical().toString()
     assert "broadcast" not in text.lower()
+
+
+def test_bucketed_facts_join_without_shuffle(spark, mapped, tmp_path):
+    import datetime as dt
+
+    from bankspark.operators import lifecycle
+    from bankspark.sources.tables import Tables, load_bucketed, store_bucketed
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}/bucketed'")
+    try:
+        store_bucketed(mapped, "bucketed", 4)
+        facts = load_bucketed(spark, "bucketed")
+        db = Tables(spark, product_custom_column_def=mapped.product_custom_column_def, **facts)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        instances_join = facts["product_instances"].join(facts["product_custom_column_values"], "product_uid")
+        assert "Exchange" not in plan_of(instances_join)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        day = dt.date(2024, 1, 15)
+        got = sorted(map(tuple, lifecycle.nightly(db, day).audit.select("product_uid", "step").collect()))
+        want = sorted(map(tuple, lifecycle.nightly(mapped, day).audit.select("product_uid", "step").collect()))
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE IF EXISTS bucketed CASCADE")

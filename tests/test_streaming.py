@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from bankspark.operators import instances, lifecycle
 from bankspark.sources.tables import MappedTables
 from bankspark.streaming import feeds
@@ -26,7 +28,8 @@ def rows(df, *columns):
     return sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
 
 
-def test_status_stream_equals_batch(spark, mapped, tmp_path):
+@pytest.mark.parametrize("snapshot_every", [2, 20])
+def test_status_stream_equals_batch(spark, mapped, tmp_path, snapshot_every):
     pieces = in_time_order(mapped, 3)
     again = pieces[0].limit(50)
     path = write_files(spark, [pieces[0], pieces[1].unionByName(again), pieces[2]], f"{tmp_path}/in")
@@ -34,13 +37,13 @@ def test_status_stream_equals_batch(spark, mapped, tmp_path):
     requests = db.over(events=feeds.read_events(spark, path, files_per_batch=1)).view("status_requests")
     requests = feeds.deduplicated(requests, "request_id")
     out = f"{tmp_path}/out"
-    feeds.start_status_stream(db, requests, out).awaitTermination()
+    feeds.start_status_stream(db, requests, out, snapshot_every=snapshot_every).awaitTermination()
     batch = lifecycle.apply_status_changes(db, db.view("status_requests"))
     columns = ["product_uid", "request_id", "was_status", "is_code", "update_note"]
     assert rows(feeds.status_stream_audit(spark, out), *columns) == rows(batch.audit, *columns)
     assert rows(feeds.status_stream_rejects(spark, out), "request_id", "reason") == rows(batch.rejects, "request_id", "reason")
     state = ["product_uid", "status_code", "latest_note", "latest_update_user_id"]
-    assert rows(feeds.status_stream_instances(spark, out), *state) == rows(batch.instances, *state)
+    assert rows(feeds.status_stream_instances(db, out), *state) == rows(batch.instances, *state)
 
 
 def test_owner_stream_in_any_order(spark, mapped, tmp_path):
