@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from bankspark.functions import columns as C
 from bankspark.sources.tables import Tables
@@ -65,6 +65,39 @@ def drafts(db: Tables, owner: int | None = None) -> DataFrame:
     return _with_category(db.products.filter(condition), db, "inner").select(*PRODUCT_COLUMNS)
 
 
+def drafts_preview(db: Tables, n: int = 3) -> DataFrame:
+    """First ``n`` drafts of each owner, by product id; only ``n`` rows per owner and task are shuffled."""
+    first = Window.partitionBy("draft_owner").orderBy("product_id")
+    return (
+        drafts(db).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= n)
+        .select("draft_owner", "product_id", "name", "category_name", F.col("rn").cast("bigint").alias("rn"))
+    )
+
+
+def drop_downs(db: Tables) -> dict[str, DataFrame]:
+    """Choices for forms: roles, verifications, groups with the default first, statuses in order."""
+    return {
+        "user_role": db.user_roles.select("role", "description"),
+        "verifications": db.verifications.select("verification_status", "description"),
+        "account_groups": db.account_groups.orderBy(F.desc("default_yn")),
+        "statuses": db.product_statuses.orderBy("order_no").drop("order_no"),
+    }
+
+
+def terms_display(db: Tables) -> DataFrame:
+    """Standard terms as shown on the product page; a missing one is not shown."""
+    return db.products.select(
+        "product_id",
+        F.concat(F.col("term").cast("string"), F.lit(" month(s)")).alias("term"),
+        "percentage_label",
+        F.when(F.col("percentage").isNotNull(), F.format_string("%.2f%%", 100 * F.col("percentage"))).alias("percentage"),
+        "mon_amt_label",
+        F.when(
+            F.col("monetary_amount").isNotNull(), F.concat("currency", F.format_string("%.2f", F.col("monetary_amount")))
+        ).alias("monetary_amount"),
+    )
+
+
 def catalog_display(products: DataFrame) -> DataFrame:
     """Availability dates as shown in the catalogue manager."""
     return products.select(

@@ -128,9 +128,12 @@ def renumber_columns(columns: DataFrame, key: str = "product_id", input_pos: str
     return numbered.withColumn("order_no", F.col("_pos") - 1).drop("_place", "_pos")
 
 
-def next_order_no(defs: DataFrame) -> DataFrame:
-    """Order number the next attribute of each product gets."""
-    return defs.groupBy("product_id").agg((F.max("order_no") + 1).alias("order_no"))
+def next_order_no(db: Tables) -> DataFrame:
+    """Order number the next attribute of each draft gets; 0 if it has none yet."""
+    last = db.draft_product_custom_column_def.groupBy("product_id").agg(F.max("order_no").alias("last"))
+    return db.products.filter(F.col("draft_yn") == "Y").join(last, "product_id", "left").select(
+        "product_id", (F.coalesce("last", F.lit(-1)) + 1).cast("bigint").alias("order_no")
+    )
 
 
 @dataclass

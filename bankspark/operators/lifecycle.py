@@ -228,7 +228,7 @@ def decide_requests(
         groups = requests.groupBy("product_uid").agg(_request_array())
         decided = _fold(groups.join(start, "product_uid", "left"), accepted)
     else:
-        long = counts.select("product_uid")
+        long = checkpointed(counts.select("product_uid"))  # few, and read three times
         groups = requests.join(long, "product_uid", "left_anti").groupBy("product_uid").agg(_request_array())
         decided = _fold(groups.join(start, "product_uid", "left"), accepted).unionByName(
             _fold_in_pieces(requests.join(long, "product_uid", "left_semi"), start, accepted, limit, largest)
@@ -338,6 +338,7 @@ def audit_rows(old: DataFrame, new: DataFrame, as_of: dt.datetime, null_safe_not
 # --- sweeps ------------------------------------------------------------------------------------
 
 OVERDUE_DAYS = 7
+STEPS = ("due", "overdue", "exercise", "back_to_normal")
 
 
 def _move(rows: DataFrame, target: str) -> DataFrame:
@@ -443,5 +444,7 @@ def nightly(db: Tables, as_of: dt.date, catch_up: bool = False) -> Nightly:
 
 
 def sweep_summary(night: Nightly) -> DataFrame:
-    """Number of rows each step moved."""
-    return night.audit.groupBy("step").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Number of rows each step moved, with 0 for a step that moved none."""
+    moved = night.audit.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    steps = night.audit.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{s}')" for s in STEPS) + " AS t(step)")
+    return steps.join(moved, "step", "left").select("step", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"))

@@ -64,6 +64,14 @@ SELECT product_id, coalesce(strftime(available_from, '%Y-%m-%d'), 'Unspecified')
        coalesce(strftime(available_till, '%Y-%m-%d'), 'Unspecified') AS available_till
 FROM products WHERE draft_yn = 'N'""")
 oracle("drafts_by_owner", f"SELECT {_PRODUCT} WHERE p.draft_yn = 'Y'")
+oracle("drafts_preview", """
+SELECT * FROM (SELECT p.draft_owner, p.product_id, p.name, pc.category_name,
+  row_number() OVER (PARTITION BY p.draft_owner ORDER BY p.product_id) AS rn
+  FROM products p JOIN product_categories pc ON pc.category_id = p.category_id WHERE p.draft_yn = 'Y') WHERE rn <= 3""")
+oracle("product_terms", """
+SELECT product_id, CAST(term AS VARCHAR) || ' month(s)' AS term, percentage_label, printf('%.2f', round(100 * percentage, 2)) || '%' AS percentage,
+       mon_amt_label, currency || printf('%.2f', round(monetary_amount, 2)) AS monetary_amount
+FROM products""")
 
 _DETAIL = """
 SELECT p.product_id, p.category_id, pc.category_name, p.name, p.description, p.currency, p.term, p.percentage,
@@ -160,6 +168,17 @@ SELECT request_id, account_id,
 FROM role_requests
 WHERE account_id NOT IN (SELECT account_id FROM accounts) OR new_role NOT IN (SELECT role FROM user_roles)""")
 
+oracle("group_changes", """
+SELECT account_id, arg_max(new_group, request_id) AS account_group FROM group_requests
+WHERE new_group IN (SELECT group_code FROM account_groups) AND account_id IN (SELECT account_id FROM accounts) GROUP BY account_id""")
+_MAY_VERIFY = "(user_role IN ('A', 'C', 'E') OR (new_code = 'C' AND user_id = account_id))"
+oracle("verification_changes", f"""
+SELECT account_id, arg_max(new_code, request_id) AS verification FROM verification_requests
+WHERE {_MAY_VERIFY} AND new_code IN (SELECT verification_status FROM verifications) GROUP BY account_id""")
+oracle("verification_rejects", f"""
+SELECT request_id, account_id, CASE WHEN NOT {_MAY_VERIFY} THEN 'not_allowed' ELSE 'unknown_verification' END AS reason
+FROM verification_requests WHERE NOT {_MAY_VERIFY} OR new_code NOT IN (SELECT verification_status FROM verifications)""")
+
 # --- instances ---------------------------------------------------------------------------------
 
 _CARD = """
@@ -452,7 +471,9 @@ FROM draft_column_inputs i WHERE i.product_id IN (SELECT product_id FROM valid)"
 valid AS (SELECT r.product_id FROM draft_column_requests r JOIN products p ON p.product_id = r.product_id
   WHERE r.user_role IN ('A', 'C') OR (r.user_role = 'E' AND p.draft_owner = r.user_id))""")
 oracle("renumber_columns", f"SELECT i.product_id, {_RENUMBER} AS order_no, i.column_name FROM draft_column_inputs i")
-oracle("next_order_no", "SELECT product_id, max(order_no) + 1 AS order_no FROM draft_product_custom_column_def GROUP BY product_id")
+oracle("next_order_no", """
+SELECT p.product_id, coalesce((SELECT max(order_no) + 1 FROM draft_product_custom_column_def d WHERE d.product_id = p.product_id), 0) AS order_no
+FROM products p WHERE p.draft_yn = 'Y'""")
 oracle("delete_unused_subcategories", """
 SELECT * FROM product_subcategories s WHERE s.subcategory_id NOT IN (SELECT subcategory_id FROM subcategory_requests)
    OR EXISTS (SELECT 1 FROM products p WHERE p.subcategory_id = s.subcategory_id)""")
@@ -460,6 +481,37 @@ oracle("delete_drafts", """
 SELECT d.* FROM draft_product_custom_column_def d JOIN publish_requests r ON r.product_id = d.product_id WHERE r.user_role = 'U'""")
 
 
+oracle("delete_draft_products", """
+SELECT p.product_id, p.name, p.draft_yn FROM products p JOIN publish_requests r ON r.product_id = p.product_id
+WHERE p.draft_yn <> 'Y' OR r.user_role = 'U'""")
+_NEW_DRAFTS = """
+new_drafts AS (SELECT r.*, (SELECT max(product_id) FROM products) + row_number() OVER (ORDER BY request_id) AS product_id
+  FROM new_draft_requests r WHERE user_role IN ('A', 'C', 'E'))"""
+oracle("new_drafts", """
+SELECT request_id, category_id, subcategory_id, name, description, terms_and_conditions, currency, term, percentage, monetary_amount,
+       percentage_label, mon_amt_label, CASE WHEN user_role IN ('A', 'C') THEN available_from END AS available_from,
+       CASE WHEN user_role IN ('A', 'C') THEN available_till END AS available_till, picture_name, 'Y' AS draft_yn, user_id AS draft_owner, product_id
+FROM new_drafts""", _NEW_DRAFTS)
+oracle("new_draft_columns", f"""
+SELECT n.product_id, {_RENUMBER} AS order_no, i.column_name, CASE WHEN i.customer_visible_yn = 'Y' THEN 'Y' ELSE 'N' END AS customer_visible_yn,
+       CASE WHEN i.customer_populatable_yn = 'Y' THEN 'Y' ELSE 'N' END AS customer_populatable_yn, i.column_type,
+       nullif(i.default_value, '') AS default_value, i.exercise_date_yn, i.available_before
+FROM draft_column_inputs i JOIN new_drafts n ON n.request_id = i.product_id""", _NEW_DRAFTS)
+oracle("set_availability", """
+SELECT product_id, available_from, available_till FROM availability_requests WHERE product_id IN (SELECT product_id FROM products)
+QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY request_id DESC) = 1""")
+oracle("patch_drafts", """
+SELECT x.product_id, arg_max(x.name, x.request_id) AS name FROM product_patches x JOIN products p ON p.product_id = x.product_id AND p.draft_yn = 'Y'
+WHERE x.name IS NOT NULL GROUP BY x.product_id""")
+_PREFERENCE = """
+judged AS (SELECT r.*, CASE WHEN pi.product_uid IS NULL THEN 'unknown_instance' WHEN r.user_role NOT IN ('A', 'C', 'E') AND r.user_id <> pi.account_id THEN 'not_allowed'
+    WHEN r.preference NOT IN ('Y', 'N', 'P') THEN 'unknown_preference' END AS reason
+  FROM preference_requests r LEFT JOIN product_instances pi ON pi.product_uid = r.product_uid)"""
+oracle("notification_preferences", """
+SELECT product_uid, arg_max(preference, request_id) AS notifications_yn FROM judged WHERE reason IS NULL GROUP BY product_uid""", _PREFERENCE)
+oracle("notification_preference_rejects", "SELECT request_id, product_uid, reason FROM judged WHERE reason IS NOT NULL", _PREFERENCE)
+
+
 def _last_given(table: str, key: str, column: str) -> str:
     return f"""(SELECT x.{column} FROM {table} x WHERE x.{key} = t.{key} AND x.{column} IS NOT NULL ORDER BY x.request_id DESC LIMIT 1)"""
 
@@ -602,3 +654,6 @@ oracle("sign_contracts", "SELECT product_uid, 'SGN' AS was_status, 'AWT' AS is_c
 oracle("sign_rejects", """
 SELECT request_id, product_uid, reason FROM checked WHERE reason IS NOT NULL
 UNION ALL SELECT request_id, product_uid, 'status_not_for_signing' FROM signed WHERE n > 1""", _SIGN)
+oracle("contract_notices", f"""
+SELECT pi.product_uid, ac.email, ac.first_name, ac.last_name, pi.contract_id, p.name AS product_name, 'contract' AS template
+{_MESSAGE_FROM} JOIN signed s ON s.product_uid = pi.product_uid AND s.n = 1""", _SIGN)

@@ -54,6 +54,16 @@ def drafts_by_owner(db):
     return catalog.drafts(db)
 
 
+@query
+def drafts_preview(db):
+    return catalog.drafts_preview(db)
+
+
+@query
+def product_terms(db):
+    return catalog.terms_display(db)
+
+
 @query
 def product_detail(db):
     return catalog.product_detail(db, viewer_role="C")
@@ -144,6 +154,22 @@ def role_rejects(db):
     return accounts.change_roles(db, db.view("role_requests")).rejects
 
 
+@query
+def group_changes(db):
+    return accounts.change_groups(db, db.view("group_requests")).changed.select("account_id", "account_group")
+
+
+@query
+def verification_changes(db):
+    done = accounts.change_verification(db, db.view("verification_requests"))
+    return done.changed.select("account_id", "verification")
+
+
+@query
+def verification_rejects(db):
+    return accounts.change_verification(db, db.view("verification_requests")).rejects
+
+
 # --- instances ---------------------------------------------------------------------------------
 
 
@@ -363,6 +389,12 @@ def notify_due(db):
     return notices.due_notices(db, AS_OF)
 
 
+@query
+def contract_notices(db):
+    signed = contracts.sign_contracts(db, db.view("sign_requests"), AS_OF_TIME).audit
+    return notices.contract_notices(db, signed)
+
+
 @query
 def notify_overdue(db):
     return notices.overdue_notices(db)
@@ -446,7 +478,7 @@ def renumber_columns(db):
 
 @query
 def next_order_no(db):
-    return changes.next_order_no(db.draft_product_custom_column_def)
+    return changes.next_order_no(db)
 
 
 @query
@@ -460,6 +492,48 @@ def delete_drafts(db):
     return changes.delete_drafts(db, asked).columns
 
 
+@query
+def delete_draft_products(db):
+    asked = db.view("publish_requests").filter(F.col("user_role") != "U").select("request_id", "product_id")
+    return changes.delete_drafts(db, asked).products.select("product_id", "name", "draft_yn")
+
+
+@query
+def new_drafts(db):
+    inputs = db.view("draft_column_inputs").withColumnRenamed("product_id", "request_id")
+    return changes.create_drafts(db, db.view("new_draft_requests"), inputs).products
+
+
+@query
+def new_draft_columns(db):
+    inputs = db.view("draft_column_inputs").withColumnRenamed("product_id", "request_id")
+    return changes.create_drafts(db, db.view("new_draft_requests"), inputs).columns
+
+
+@query
+def set_availability(db):
+    return changes.set_availability(db, db.view("availability_requests")).changed.select(
+        "product_id", "available_from", "available_till"
+    )
+
+
+@query
+def patch_drafts(db):
+    patches = db.view("product_patches").select("request_id", "product_id", "name")
+    return changes.patch_drafts(db, patches).changed.select("product_id", "name")
+
+
+@query
+def notification_preferences(db):
+    done = changes.set_notification_pref(db, db.view("preference_requests"))
+    return done.changed.select("product_uid", "notifications_yn")
+
+
+@query
+def notification_preference_rejects(db):
+    return changes.set_notification_pref(db, db.view("preference_requests")).rejects
+
+
 @query
 def patch_products(db):
     return changes.patch_products(db, db.view("product_patches")).changed.select(

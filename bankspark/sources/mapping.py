@@ -86,7 +86,7 @@ VIEWS: dict[str, str] = {
                     ELSE CAST(DATE '2024-01-05' + CAST(p_partkey % 40 AS INT) AS {ts}) END AS available_till,
                CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS picture_name,
                CASE WHEN p_partkey % 10 = 0 THEN 'Y' ELSE 'N' END AS draft_yn,
-               CASE WHEN p_partkey % 10 = 0 THEN p_partkey % (SELECT count(*) FROM @customer@) END AS draft_owner
+               CASE WHEN p_partkey % 10 = 0 THEN p_partkey % 150 END AS draft_owner
         FROM @part@""",
     "applications": """
         SELECT o_orderkey AS application_id,
@@ -251,7 +251,7 @@ VIEWS: dict[str, str] = {
                CASE p_size % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'E' ELSE 'U' END AS user_role
         FROM @part@""",
     "draft_column_requests": """
-        SELECT p_partkey AS product_id, p_partkey % (SELECT count(*) FROM @customer@) + p_size % 2 AS user_id,
+        SELECT p_partkey AS product_id, p_partkey % 150 + p_size % 2 AS user_id,
                CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'E' ELSE 'U' END AS user_role
         FROM @part@""",
     "draft_column_inputs": """
@@ -267,6 +267,34 @@ VIEWS: dict[str, str] = {
     "sign_requests": """
         SELECT o_orderkey AS request_id, 300000 + CAST(floor(o_orderkey / 2) AS BIGINT) * 2 AS product_uid, o_custkey AS account_id
         FROM @orders@""",
+    "group_requests": """
+        SELECT c_custkey AS request_id, CAST(floor(c_custkey / 3) AS BIGINT) AS account_id,
+               CASE c_nationkey % 4 WHEN 0 THEN 'FTC' WHEN 1 THEN 'RTC' WHEN 2 THEN 'LTP' ELSE 'NEW' END AS new_group
+        FROM @customer@""",
+    "verification_requests": """
+        SELECT c_custkey AS request_id, CAST(floor(c_custkey / 2) AS BIGINT) AS account_id,
+               CASE c_nationkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'Q' ELSE 'C' END AS new_code,
+               CAST(floor(c_custkey / 2) AS BIGINT) + c_nationkey % 2 AS user_id,
+               CASE c_nationkey % 3 WHEN 0 THEN 'E' ELSE 'U' END AS user_role
+        FROM @customer@""",
+    "preference_requests": """
+        SELECT o_orderkey AS request_id,
+               CASE WHEN o_orderkey % 23 = 0 THEN -1 - o_orderkey ELSE 300000 + CAST(floor(o_orderkey / 2) AS BIGINT) * 2 END AS product_uid,
+               o_custkey AS user_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'A' ELSE 'U' END AS user_role,
+               CASE o_orderstatus WHEN 'F' THEN 'Y' WHEN 'O' THEN 'N' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE 'P' END END AS preference
+        FROM @orders@""",
+    "availability_requests": """
+        SELECT p_partkey AS request_id,
+               CASE WHEN p_partkey % 29 = 0 THEN -1 - p_partkey ELSE CAST(floor(p_partkey / 2) AS BIGINT) END AS product_id,
+               CASE WHEN p_size % 4 <> 0 THEN CAST(DATE '2024-02-01' + p_size AS {ts}) END AS available_from,
+               CASE WHEN p_size % 3 <> 0 THEN CAST(DATE '2024-09-01' + p_size AS {ts}) END AS available_till
+        FROM @part@""",
+    "new_draft_requests": """
+        SELECT p_partkey AS request_id, CAST(p_size AS BIGINT) AS user_id,
+               CASE p_size % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'E' ELSE 'U' END AS user_role,
+               category_id, subcategory_id, name, description, terms_and_conditions, currency, term, percentage, monetary_amount,
+               percentage_label, mon_amt_label, available_from, available_till, picture_name
+        FROM @products@ JOIN @part@ ON p_partkey = product_id""",
     "instances_after": """
         SELECT product_uid,
                CASE WHEN account_id % 5 = 0 THEN 'CNL' ELSE status_code END AS status_code,

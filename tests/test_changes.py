@@ -227,6 +227,9 @@ def test_catalogue_edges(spark, frame):
     assert ids(catalog.drafts(db, owner=4)) == [] and ids(catalog.drafts(db, owner=3)) == [6]
     assert rows(catalog.categories(db), "category_id") == [("DER",), ("LON",)]
     assert rows(catalog.categories(db, "N"), "category_id") == [("DER",), ("LON",), ("PEQ",)]
+    lists = catalog.drop_downs(db)
+    assert lists["account_groups"].first().group_code == "FTC" and lists["statuses"].first().code == "APL"
+    assert [lists[k].count() for k in ("user_role", "verifications", "account_groups", "statuses")] == [4, 4, 5, 17]
     shown = {r.product_id: (r.available_from, r.available_till) for r in catalog.catalog_display(db.products).collect()}
     assert shown[1] == ("Unspecified", "Unspecified") and shown[4] == ("2024-01-15", "2024-01-15")
     db = db.replace(product_custom_column_def=table(frame, "product_custom_column_def", []), draft_product_custom_column_def=table(frame, "draft_product_custom_column_def", []))

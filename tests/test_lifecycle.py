@@ -145,6 +145,10 @@ def test_night(spark, frame):
         (1, "due"), (2, "overdue"), (3, "exercise"), (4, "back_to_normal"), (5, "back_to_normal"),
         (6, "back_to_normal"), (6, "exercise"), (7, "due"),
     ]
+    summary = {r.step: r.n_rows for r in lifecycle.sweep_summary(night).collect()}
+    assert summary == {"due": 2, "overdue": 1, "exercise": 2, "back_to_normal": 3}
+    quiet = lifecycle.sweep_summary(lifecycle.nightly(db, dt.date(2030, 1, 1)))
+    assert {r.step: r.n_rows for r in quiet.collect()} == dict.fromkeys(lifecycle.STEPS, 0)
     notes = {r.product_uid: (r.latest_note, r.latest_update_user_id) for r in night.instances.collect()}
     assert notes[1] == (None, 1) and notes[6] == (None, 1) and notes[8] == ("old", None)
     assert {r.product_uid for r in lifecycle.sweep_due(db, today, catch_up=True).collect()} == {1, 7, 8}
