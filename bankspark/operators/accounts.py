@@ -235,16 +235,21 @@ class AccountChanges:
 
 
 def _last_code(requests: DataFrame, known_codes: DataFrame, code_column: str, known_accounts: DataFrame, reason: str):
-    """Last valid code asked for each account, and the requests refused."""
-    codes = known_codes.select(F.col(known_codes.columns[0]).alias(code_column), F.lit(True).alias("_known_code"))
-    ids = known_accounts.select("account_id", F.lit(True).alias("_known_account"))
-    checked = requests.join(codes, code_column, "left").join(ids, "account_id", "left")
-    why = F.when(F.col("_known_account").isNull(), "unknown_account").when(F.col("_known_code").isNull(), reason)
-    checked = checked.withColumn("reason", why)
+    """Last valid code asked for each account, and the requests refused.
+
+    Requests are reduced to one per account before they meet the accounts.
+    """
+    codes = known_codes.select(F.col(known_codes.columns[0]).alias(code_column))
     valid = (
-        checked.filter(F.col("reason").isNull())
+        requests.join(codes, code_column, "left_semi")
         .groupBy("account_id").agg(F.max_by(code_column, "request_id").alias(code_column))
     )
+    ids = known_accounts.select("account_id", F.lit(True).alias("_known_account"))
+    why = F.when(F.col("_known_account").isNull(), "unknown_account").when(F.col("_known_code").isNull(), reason)
+    checked = (
+        requests.join(codes.withColumn("_known_code", F.lit(True)), code_column, "left")
+        .join(ids, "account_id", "left").withColumn("reason", why)
+    )
     return valid, checked.filter(F.col("reason").isNotNull()).select("request_id", "account_id", "reason")
 
 

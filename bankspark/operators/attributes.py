@@ -75,29 +75,26 @@ def update_attributes(db: Tables, requests: DataFrame, is_client: bool = True) -
     visible attributes only. The last request for a value wins.
     """
     defs = db.product_custom_column_def.select("pcc_id", "column_type", "customer_visible_yn")
-    keys = db.product_custom_column_values.select("pcc_uid", "pcc_id").join(defs, "pcc_id")
-    checked = requests.join(keys.drop("pcc_id"), "pcc_uid", "left").withColumn(
-        "reason",
-        F.when(F.col("column_type").isNull(), "unknown_attribute")
-        .when(F.lit(is_client) & ~F.col("customer_visible_yn").eqNullSafe("Y"), "not_allowed"),
-    )
-    asked = F.struct("column_type", *VALUE_COLUMNS)
-    last = (
-        checked.filter(F.col("reason").isNull())
-        .groupBy("pcc_uid").agg(F.max_by(asked, "request_id").alias("_asked"))
+    allowed = F.lit(not is_client) | F.col("customer_visible_yn").eqNullSafe("Y")
+    # Reduced before the join: a value with very many requests is one row there.
+    last = requests.groupBy("pcc_uid").agg(F.max_by(F.struct(*VALUE_COLUMNS), "request_id").alias("_asked"))
+    typed = db.product_custom_column_values.join(defs, "pcc_id", "left")
+    known = typed.filter(F.col("column_type").isNotNull()).select("pcc_uid", F.lit(True).alias("_known"), "customer_visible_yn")
+    checked = requests.join(known, "pcc_uid", "left").withColumn(
+        "reason", F.when(F.col("_known").isNull(), "unknown_attribute").when(~allowed, "not_allowed")
     )
     types = {
         "int_value": ["integer"], "float_value": ["float"], "varchar_value": ["char", "varchar"],
         "text_value": ["text"], "date_value": ["date"], "datetime_value": ["datetime"],
     }
-    joined = db.product_custom_column_values.join(last, "pcc_uid", "left")
+    joined = typed.join(last, "pcc_uid", "left")
+    changed = F.col("_asked").isNotNull() & F.col("column_type").isNotNull() & allowed
     after = ["pcc_uid", "pcc_id", "product_uid"] + [
-        F.when(F.coalesce(F.col("_asked.column_type").isin(types[c]), F.lit(False)), F.col("_asked." + c))
-        .otherwise(F.col(c)).alias(c)
+        F.when(changed & F.col("column_type").isin(types[c]), F.col("_asked." + c)).otherwise(F.col(c)).alias(c)
         for c in VALUE_COLUMNS
     ]
     return AttributeChanges(
         joined.select(*after),
-        joined.filter(F.col("_asked").isNotNull()).select(*after),
+        joined.filter(changed).select(*after),
         checked.filter(F.col("reason").isNotNull()).select("request_id", "pcc_uid", "reason"),
     )

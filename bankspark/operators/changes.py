@@ -232,7 +232,8 @@ def publish_drafts(db: Tables, requests: DataFrame) -> Published:
         F.when(F.col("draft_yn").isNull(), "unknown_product").when(F.col("draft_yn") != "Y", "not_a_draft")
         .when(~C.is_senior(F.col("user_role")), "not_allowed"),
     )
-    valid = checked.filter(F.col("reason").isNull()).select("product_id").distinct()
+    senior = requests.filter(C.is_senior(F.col("user_role"))).select("product_id").distinct()
+    valid = drafts.filter(F.col("draft_yn") == "Y").select("product_id").join(senior, "product_id", "left_semi")
     marked = db.products.join(valid.withColumn("_published", F.lit(True)), "product_id", "left")
     published = F.col("_published").isNotNull()
     products = marked.withColumns({
@@ -314,15 +315,15 @@ def apply_patch(
         if given_types[c] != types[c]:
             text = F.col(c) if null_token is None else F.nullif(F.col(c).cast("string"), F.lit(null_token))
             unreadable = unreadable | (text.isNotNull() & text.try_cast(types[c]).isNull())
+    problem = F.when(~any_given, "nothing_to_update").when(unreadable, "unreadable_value")
+    # Reduced before the join: a row with very many patches is one row there.
+    last = patches.filter(problem.isNull()).groupBy(key).agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("request_id"))).alias("_p_" + c) for c in columns
+    ], F.lit(True).alias("_patched"))
     known = target.select(key, F.lit(True).alias("_known"))
     checked = patches.join(known, key, "left").withColumn(
-        "reason",
-        F.when(F.col("_known").isNull(), f"unknown_{key}").when(~any_given, "nothing_to_update")
-        .when(unreadable, "unreadable_value"),
+        "reason", F.coalesce(F.when(F.col("_known").isNull(), f"unknown_{key}"), problem)
     )
-    last = checked.filter(F.col("reason").isNull()).groupBy(key).agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("request_id"))).alias("_p_" + c) for c in columns
-    ], F.lit(True).alias("_patched"))
 
     def value(c: str) -> Column:
         patch = F.col("_p_" + c)
@@ -394,20 +395,25 @@ def patch_subcategories(db: Tables, patches: DataFrame) -> Patched:
 def patch_drafts(db: Tables, patches: DataFrame) -> Patched:
     """Patches of drafts; other products are refused."""
     drafts = db.products.filter(F.col("draft_yn") == "Y").select("product_id")
-    accepted = patches.join(drafts, "product_id", "left_semi")
-    done = apply_patch(db.products, _with_missing(accepted, PRODUCT_PATCH), "product_id", PRODUCT_PATCH, None)
+    is_draft = F.coalesce(F.col("draft_yn") == "Y", F.lit(False))
+    done = apply_patch(
+        db.products.filter(is_draft), _with_missing(patches, PRODUCT_PATCH), "product_id", PRODUCT_PATCH, None
+    )
     known = db.products.select("product_id", F.lit(True).alias("_known"))
     refused = patches.join(drafts, "product_id", "left_anti").join(known, "product_id", "left").select(
         "request_id", "product_id",
         F.when(F.col("_known").isNull(), "unknown_product").otherwise("not_a_draft").alias("reason"),
     )
-    return Patched(done.rows, done.changed, done.rejects.unionByName(refused))
+    bad_values = done.rejects.filter(F.col("reason") != "unknown_product_id")
+    return Patched(
+        done.rows.unionByName(db.products.filter(~is_draft)), done.changed, bad_values.unionByName(refused)
+    )
 
 
 def set_availability(db: Tables, requests: DataFrame) -> Patched:
     """Overwrite both availability dates from ``requests(request_id, product_id, available_from, available_till)``."""
     known = db.products.select("product_id")
-    last = requests.join(known, "product_id", "left_semi").groupBy("product_id").agg(
+    last = requests.groupBy("product_id").agg(
         F.max_by(F.struct("available_from", "available_till"), "request_id").alias("_dates")
     )
     joined = db.products.join(last, "product_id", "left")
@@ -426,14 +432,19 @@ def set_availability(db: Tables, requests: DataFrame) -> Patched:
 def set_notification_pref(db: Tables, requests: DataFrame) -> Patched:
     """Notification preference from ``requests(request_id, product_uid, user_id, user_role, preference)``."""
     owners = db.product_instances.select("product_uid", "account_id", F.lit(True).alias("_known"))
+    valid = F.coalesce(F.col("preference").isin("Y", "N", "P"), F.lit(False))
     may = C.is_staff(F.col("user_role")) | F.coalesce(F.col("account_id") == F.col("user_id"), F.lit(False))
     checked = requests.join(owners, "product_uid", "left").withColumn(
         "reason",
         F.when(F.col("_known").isNull(), "unknown_instance").when(~may, "not_allowed")
-        .when(~F.coalesce(F.col("preference").isin("Y", "N", "P"), F.lit(False)), "unknown_preference"),
+        .when(~valid, "unknown_preference"),
+    )
+    # Last request of each user first, so that a hot instance brings at most one row per user to the join.
+    by_user = requests.filter(valid).groupBy("product_uid", "user_id", "user_role").agg(
+        F.max(F.struct("request_id", "preference")).alias("last")
     )
-    accepted = checked.filter(F.col("reason").isNull()).select(
-        "request_id", "product_uid", F.col("preference").alias("notifications_yn")
+    accepted = by_user.join(owners, "product_uid").filter(may).select(
+        "last.request_id", "product_uid", F.col("last.preference").alias("notifications_yn")
     )
     done = apply_patch(db.product_instances, accepted, "product_uid", ["notifications_yn"], None)
     refused = checked.filter(F.col("reason").isNotNull()).select("request_id", "product_uid", "reason")
@@ -452,8 +463,7 @@ def patch_accounts(db: Tables, patches: DataFrame) -> Patched:
     country_bad = F.coalesce(~F.col("country_code").isin(*dims.COUNTRY_CODES), F.lit(False))
     problem = F.when(phone_bad, "phone_too_long").when(email_bad, "email_too_long").when(country_bad, "unknown_country")
     known = db.accounts.select("account_id")
-    rows = patches.join(known, "account_id", "left_semi").withColumn("reason", problem)
-    usable = rows.select(
+    usable = patches.select(
         "request_id", "account_id",
         F.when(~phone_bad, F.col("phone")).alias("phone"),
         F.when(~(phone_bad | email_bad), F.col("email")).alias("email"),
@@ -462,7 +472,8 @@ def patch_accounts(db: Tables, patches: DataFrame) -> Patched:
     ).withColumn("verification", F.when(F.col("email").isNotNull(), "R"))
     columns = ["phone", "email", "country_code", "address", "verification"]
     done = apply_patch(db.accounts, usable, "account_id", columns, None)
-    refused = rows.filter(F.col("reason").isNotNull()).select("request_id", "account_id", "reason").unionByName(
+    bad = patches.withColumn("reason", problem).filter(F.col("reason").isNotNull()).join(known, "account_id", "left_semi")
+    refused = bad.select("request_id", "account_id", "reason").unionByName(
         patches.join(known, "account_id", "left_anti").select("request_id", "account_id", F.lit("unknown_account_id").alias("reason"))
     )
     return Patched(done.rows, done.changed, refused)

@@ -81,23 +81,31 @@ def applications_queue(db: Tables) -> DataFrame:
 # --- assignment --------------------------------------------------------------------------------
 
 
+def last_changes(updates: DataFrame) -> DataFrame:
+    """Last stamp of each updater on each instance; partial maxima combine before the shuffle."""
+    return (
+        updates.select("product_uid", "update_user", "update_dt")
+        .groupBy("product_uid", "update_user").agg(F.max("update_dt").alias("update_dt"))
+    )
+
+
+def by_staff(db: Tables, last: DataFrame) -> DataFrame:
+    """Last changes made by staff, without the two system accounts."""
+    staff = db.accounts.filter(
+        F.col("user_role").isin(*dims.STAFF_ROLES) & ~F.col("account_id").isin(*dims.SYSTEM_ACCOUNTS)
+    )
+    return last.join(staff.select(F.col("account_id").alias("update_user")), "update_user")
+
+
 def assignments(db: Tables) -> DataFrame:
     """(product_uid, updater_id): the staff member who last changed each instance.
 
     Only staff changes count, and not those of the two system accounts. When the last stamp is
-    shared, every staff member with that stamp is an owner. Updates are first reduced to one row per
-    instance and staff member, with partial sums before the shuffle, so a hot instance brings at most
-    as many rows as there are staff into the ranking.
+    shared, every staff member with that stamp is an owner. Updates are reduced to one row per
+    instance and updater before the join with staff, so neither a hot instance nor a hot updater
+    sends all its changes to one task.
     """
-    staff = db.accounts.filter(
-        F.col("user_role").isin(*dims.STAFF_ROLES) & ~F.col("account_id").isin(*dims.SYSTEM_ACCOUNTS)
-    ).select(F.col("account_id").alias("update_user"))
-    last_change = (
-        db.product_status_updates.select("product_uid", "update_user", "update_dt")
-        .join(staff, "update_user", "left_semi")
-        .groupBy("product_uid", "update_user").agg(F.max("update_dt").alias("update_dt"))
-    )
-    return newest_changers(last_change)
+    return newest_changers(by_staff(db, last_changes(db.product_status_updates)))
 
 
 def newest_changers(last_change: DataFrame) -> DataFrame:
@@ -224,22 +232,24 @@ def _status_log(db: Tables) -> DataFrame:
 def status_timeline(db: Tables, viewer_role: str = "E") -> DataFrame:
     """Status history of every instance with the names of those who made the changes.
 
-    Clients read only public notes. ``is_current`` marks the last change; it comes from an aggregate
-    joined back, not from a window, so a hot instance is split like any skewed join.
+    Clients read only public notes. ``is_current`` marks the last change. It is found by an aggregate
+    and joined back on instance, time and log key together, so a hot instance spreads over all tasks.
     """
     log = _status_log(db)
-    stamp = F.struct("update_dt", "prime_uid")
-    last = log.groupBy("product_uid").agg(F.max(stamp).alias("last_stamp"))
+    last = (
+        log.groupBy("product_uid").agg(F.max(F.struct("update_dt", "prime_uid")).alias("last"))
+        .select("product_uid", "last.update_dt", "last.prime_uid", F.lit("Y").alias("is_current"))
+    )
     people = db.accounts.select(F.col("account_id").alias("update_user"), "first_name", "last_name")
     readable = (F.col("update_note_public_yn") == "Y") | F.lit(viewer_role in dims.STAFF_ROLES)
     return (
-        log.join(people, "update_user", "left").join(last, "product_uid")
+        log.join(people, "update_user", "left").join(last, ["product_uid", "update_dt", "prime_uid"], "left")
         .select(
             "product_uid", "prime_uid", "is_code", "status_name", "status_description", "update_dt", "update_user",
             "first_name", "last_name",
             F.when(readable & (F.col("update_note") != ""), F.col("update_note")).alias("note"),
             F.when(readable, F.col("update_note_public_yn")).alias("public_yn"),
-            F.when(F.col("last_stamp") == stamp, "Y").otherwise("N").alias("is_current"),
+            F.coalesce("is_current", F.lit("N")).alias("is_current"),
         )
     )
 

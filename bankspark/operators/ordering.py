@@ -23,20 +23,27 @@ def has_large_group(df: DataFrame, keys: list[str], limit: int) -> bool:
     return not counts.filter(F.col("n") > limit).isEmpty()
 
 
-def global_positions(df: DataFrame, order: list[str], position: str = "position") -> DataFrame:
-    """Number all rows 1, 2, 3 … by ``order``, which must be unique.
+def _range_split(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows split and sorted by ``order``, with the number of their partition and their place in it.
 
-    Rows are range-partitioned and sorted inside partitions; a row's number is its place in its
-    partition plus the sizes of the partitions before. The partitioned rows are checkpointed, so
-    sizes and places come from the same split even if executors are lost in between.
+    Checkpointed, so that all that is computed from it sees the same split even if executors are
+    lost in between.
     """
-    split = (
+    return checkpointed(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_INDEX)))
     )
-    split = checkpointed(split)
+
+
+def global_positions(df: DataFrame, order: list[str], position: str = "position") -> DataFrame:
+    """Number all rows 1, 2, 3 … by ``order``, which must be unique.
+
+    Rows are range-partitioned and sorted inside partitions; a row's number is its place in its
+    partition plus the sizes of the partitions before.
+    """
+    split = _range_split(df, order)
     # One row per partition, so this window and the broadcast below are bounded by the partition count.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -57,11 +64,19 @@ def positions_within(
     if not has_large_group(df, keys, limit):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(position, F.row_number().over(window).cast("bigint"))
-    numbered = global_positions(df, keys + order, "_global")
-    first = numbered.groupBy(*[F.col(k).alias("_of_" + k) for k in keys]).agg(F.min("_global").alias("_first"))
-    same_group = [F.col(k).eqNullSafe(F.col("_of_" + k)) for k in keys]
-    return numbered.join(first, same_group).select(
-        *df.columns, (F.col("_global") - F.col("_first") + 1).alias(position)
+    # Number the rows of a group inside each partition, then add the sizes of its parts before.
+    split = _range_split(df, keys + order)
+    inside = Window.partitionBy("_part", *keys).orderBy("_place")
+    numbered = split.withColumn("_inside", F.row_number().over(inside))
+    parts = split.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        F.col("_part").alias("_of_part"), *[F.col(k).alias("_of_" + k) for k in keys],
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+    )
+    same_part = [F.col("_part") == F.col("_of_part")] + [F.col(k).eqNullSafe(F.col("_of_" + k)) for k in keys]
+    return numbered.join(offsets, same_part).select(
+        *df.columns, (F.col("_offset") + F.col("_inside")).alias(position)
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bankspark.functions import columns as C
 from bankspark.operators import accounts, attributes, catalog, changes, contracts, instances, lifecycle, notices
 from bankspark.operators.ordering import append_with_ids
-from bankspark.session import shared_dir
+from bankspark.session import shared_dir, tune
 from bankspark.sources.tables import MappedTables
 from bankspark.streaming import feeds
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 def query(build: Callable[[MappedTables], DataFrame]) -> Query:
     """Register a query under the name of its function."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
         return build(MappedTables(spark, sf_dir))
 
     QUERIES[build.__name__] = run
@@ -636,8 +637,8 @@ def stream_status(db):
 @query
 def stream_assigned(db):
     updates, out = _streamed(db, "product_status_updates")
-    feeds.start_owner_stream(db, updates, out).awaitTermination()
-    owners = feeds.owners_from_stream(db.spark, out)
+    feeds.start_owner_stream(updates, out).awaitTermination()
+    owners = feeds.owners_from_stream(db, out)
     return instances.cards_of_owners(db, owners)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bankspark.operators import instances, lifecycle, notices
-from bankspark.sources import dims, schemas
+from bankspark.sources import schemas
 from bankspark.sources.tables import Tables, latest_version, write_snapshot
 
 
@@ -112,33 +112,23 @@ def status_stream_instances(db: Tables, out: str) -> DataFrame:
 # --- owners ------------------------------------------------------------------------------------
 
 
-def start_owner_stream(db: Tables, updates: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the last change of each staff member to each instance.
+def start_owner_stream(updates: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the last change of each updater to each instance.
 
-    The state is one row per instance and staff member, and an older stamp never replaces a newer
-    one. A hot instance is spread over the staff that changed it.
+    The state is one row per instance and updater, and an older stamp never replaces a newer one. A
+    hot instance is spread over its updaters and a hot updater over the instances.
     """
-    staff = db.accounts.filter(
-        F.col("user_role").isin(*dims.STAFF_ROLES) & ~F.col("account_id").isin(*dims.SYSTEM_ACCOUNTS)
-    ).select(F.col("account_id").alias("update_user"), "user_role")
-    last_change = (
-        updates.select("product_uid", "update_user", "update_dt").join(staff.select("update_user"), "update_user")
-        .groupBy("product_uid", "update_user").agg(F.max("update_dt").alias("update_dt"))
-    )
-
     def keep(batch: DataFrame, batch_id: int) -> None:
         write_snapshot(batch, f"{out}/last_change", batch_id)
 
-    writer = last_change.writeStream.outputMode("update").foreachBatch(keep)
+    writer = instances.last_changes(updates).writeStream.outputMode("update").foreachBatch(keep)
     return _start(writer, f"{out}/checkpoint", available_now)
 
 
-def owners_from_stream(spark: SparkSession, out: str) -> DataFrame:
-    """Staff members who changed each instance last, from what the stream has kept."""
-    kept = _read_versions(spark, f"{out}/last_change")
-    return instances.newest_changers(
-        kept.groupBy("product_uid", "update_user").agg(F.max("update_dt").alias("update_dt"))
-    )
+def owners_from_stream(db: Tables, out: str) -> DataFrame:
+    """Staff members who changed each instance last; who is staff counts at the time of reading."""
+    kept = instances.last_changes(_read_versions(db.spark, f"{out}/last_change"))
+    return instances.newest_changers(instances.by_staff(db, kept))
 
 
 # --- current status ----------------------------------------------------------------------------

@@ -50,8 +50,8 @@ def test_owner_stream_in_any_order(spark, mapped, tmp_path):
     pieces = in_time_order(mapped, 3)
     path = write_files(spark, [pieces[2], pieces[0], pieces[1].unionByName(pieces[2])], f"{tmp_path}/in")
     updates = MappedTables(spark, DATA).over(events=feeds.read_events(spark, path, 1)).view("product_status_updates")
-    feeds.start_owner_stream(mapped, updates, f"{tmp_path}/out").awaitTermination()
-    got = feeds.owners_from_stream(spark, f"{tmp_path}/out")
+    feeds.start_owner_stream(updates, f"{tmp_path}/out").awaitTermination()
+    got = feeds.owners_from_stream(mapped, f"{tmp_path}/out")
     assert rows(got, "product_uid", "updater_id") == rows(instances.assignments(mapped), "product_uid", "updater_id")
 
 
