@@ -49,6 +49,32 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _clause_sql(item) -> str:
+    """One clause as SQL over the terms of a contract. A DER table always holds the strike date."""
+    if item is clauses.TABLE:
+        return "named_struct('kind', IF(has_rows OR category_id = 'DER', 'table', 'none'), 'text', CAST(NULL AS STRING))"
+    if item is clauses.SALE_DETAILS:
+        heading = _quoted(clauses.SALE_DETAILS_TEXT)
+        return f"named_struct('kind', IF(has_rows, 'text', 'none'), 'text', IF(has_rows, {heading}, NULL))"
+    parts = []
+    for text, field, _, _ in Formatter().parse(item):
+        parts += [_quoted(text)] * bool(text) + [f"v_{field}"] * bool(field)
+    return f"named_struct('kind', 'text', 'text', concat({', '.join(parts)}))"
+
+
+def _clauses_sql() -> str:
+    """The clauses of a contract as an array, chosen by category."""
+    def array(items) -> str:
+        return "array(" + ", ".join(_clause_sql(item) for item in items) + ")"
+
+    branches = " ".join(f"WHEN '{category}' THEN {array(items)}" for category, items in clauses.BY_CATEGORY.items())
+    return f"CASE category_id {branches} ELSE {array(clauses.OTHER)} END"
+
+
 def _now_text(as_of: dt.date) -> Column:
     return C.long_date(F.lit(as_of).cast("date"))
 
@@ -60,25 +86,16 @@ def _has_terms() -> Column:
 
 
 @dataclass
-class ContractLines:
-    lines: DataFrame  # product_uid, clause_no, row_no, kind, text, label, value
-    rejects: DataFrame  # product_uid, reason
-
+class _Parts:
+    terms: DataFrame  # product_uid, clauses: array of (kind, text)
+    table_rows: DataFrame  # product_uid, clause_no, row_no, label, value
+    rejects: DataFrame
 
-def contract_lines(
-    db: Tables, as_of: dt.date, instances: DataFrame | None = None, bank_name: str = dims.BANK_NAME
-) -> ContractLines:
-    """Contracts as rows: a paragraph each, and one row for each row of the attribute table.
 
-    Clauses are column expressions chosen by category, so paragraphs need no join with a template
-    table. Kind ``none`` is a clause left out. Table rows stay rows, ordered by ``row_no``, so no
-    contract is ever gathered in one task. Instances without the terms a contract states are
-    rejected. A missing date reads ``None``.
-    """
+def _parts(db: Tables, as_of: dt.date, instances: DataFrame | None, bank_name: str) -> _Parts:
     visible = attribute_values(db, visible_only=True).select("product_uid", "pcc_uid", "column_name", "value")
     with_rows = visible.select("product_uid").distinct().withColumn("_has_rows", F.lit(True))
     facts = contract_facts(db, instances).join(with_rows, "product_uid", "left")
-    usable = facts.filter(_has_terms())
     values = {
         "now": _now_text(as_of), "bank": F.lit(bank_name), "first_name": F.col("first_name"),
         "last_name": F.col("last_name"), "address": F.col("address"), "currency": F.col("currency"),
@@ -86,29 +103,11 @@ def contract_lines(
         "begin": F.col("begin_date"), "end": F.col("end_date"), "product_uid": F.col("product_uid"),
         "product_name": F.col("product_name"), "product_description": F.col("product_description"),
     }
-    has_rows = F.col("_has_rows").isNotNull()
-
-    def clause(item) -> Column:
-        if item is clauses.TABLE:
-            # DER tables always hold the strike date.
-            kind = F.when(has_rows | (F.col("category_id") == "DER"), "table").otherwise("none")
-            return F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text"))
-        if item is clauses.SALE_DETAILS:
-            return F.struct(
-                F.when(has_rows, "text").otherwise("none").alias("kind"),
-                F.when(has_rows, clauses.SALE_DETAILS_TEXT).alias("text"),
-            )
-        return F.struct(F.lit("text").alias("kind"), _fill(item, values).alias("text"))
-
-    chosen = F.array(*[clause(item) for item in clauses.OTHER])
-    for category, items in clauses.BY_CATEGORY.items():
-        chosen = F.when(F.col("category_id") == category, F.array(*[clause(i) for i in items])).otherwise(chosen)
-    exploded = usable.select("product_uid", F.posexplode(chosen).alias("clause_no", "c"))
-    none = F.lit(None).cast("string")
-    text_lines = exploded.filter(F.col("c.kind") != "table").select(
-        "product_uid", F.col("clause_no").cast("bigint").alias("clause_no"), F.lit(0).cast("bigint").alias("row_no"),
-        F.col("c.kind").alias("kind"), F.col("c.text").alias("text"), none.alias("label"), none.alias("value"),
-    )
+    usable = facts.filter(_has_terms())
+    terms = usable.select(
+        "product_uid", "category_id", F.col("_has_rows").isNotNull().alias("has_rows"),
+        *[F.coalesce(value.cast("string"), F.lit("None")).alias("v_" + name) for name, value in values.items()],
+    ).select("product_uid", F.expr(_clauses_sql()).alias("clauses"))
     table_at = F.create_map(*[
         F.lit(x) for category, items in clauses.BY_CATEGORY.items() if clauses.TABLE in items
         for x in (category, items.index(clauses.TABLE))
@@ -116,30 +115,81 @@ def contract_lines(
     tables = usable.select(
         "product_uid", F.try_element_at(table_at, F.col("category_id")).cast("bigint").alias("clause_no"), "category_id", "end_date"
     ).filter(F.col("clause_no").isNotNull())
-    table_rows = tables.join(visible, "product_uid").select(
-        "product_uid", "clause_no", F.col("pcc_uid").alias("row_no"), F.lit("table").alias("kind"), none.alias("text"),
-        F.col("column_name").alias("label"), "value",
+    rows = tables.join(visible, "product_uid").select(
+        "product_uid", "clause_no", F.col("pcc_uid").alias("row_no"), F.col("column_name").alias("label"), "value"
     )
-    strike_rows = tables.filter(F.col("category_id") == "DER").select(
-        "product_uid", "clause_no", F.lit(_LAST_ROW).alias("row_no"), F.lit("table").alias("kind"), none.alias("text"),
-        F.lit(clauses.STRIKE_DATE_LABEL).alias("label"), F.col("end_date").alias("value"),
+    strike = tables.filter(F.col("category_id") == "DER").select(
+        "product_uid", "clause_no", F.lit(_LAST_ROW).alias("row_no"), F.lit(clauses.STRIKE_DATE_LABEL).alias("label"),
+        F.col("end_date").alias("value"),
     )
     rejects = facts.filter(~_has_terms()).select("product_uid", F.lit("missing_terms").alias("reason"))
-    return ContractLines(text_lines.unionByName(table_rows).unionByName(strike_rows), rejects)
+    return _Parts(terms, rows.unionByName(strike), rejects)
+
+
+@dataclass
+class ContractLines:
+    lines: DataFrame  # product_uid, clause_no, row_no, kind, text, label, value
+    rejects: DataFrame  # product_uid, reason
+
+
+def contract_lines(
+    db: Tables, as_of: dt.date, instances: DataFrame | None = None, bank_name: str = dims.BANK_NAME
+) -> ContractLines:
+    """Contracts as rows: a paragraph each, and one row for each row of the attribute table.
+
+    Clauses are column expressions chosen by category, so paragraphs need no join with a template
+    table. Kind ``none`` is a clause left out. Table rows stay rows, ordered by ``row_no``, so no
+    contract is ever gathered in one task. Instances without the terms a contract states are
+    rejected. A missing date reads ``None``.
+    """
+    parts = _parts(db, as_of, instances, bank_name)
+    return ContractLines(_lines(parts), parts.rejects)
+
+
+def _lines(parts: _Parts) -> DataFrame:
+    none = F.lit(None).cast("string")
+    exploded = parts.terms.select("product_uid", F.posexplode("clauses").alias("clause_no", "c"))
+    text_lines = exploded.filter(F.col("c.kind") != "table").select(
+        "product_uid", F.col("clause_no").cast("bigint").alias("clause_no"), F.lit(0).cast("bigint").alias("row_no"),
+        F.col("c.kind").alias("kind"), F.col("c.text").alias("text"), none.alias("label"), none.alias("value"),
+    )
+    table_lines = parts.table_rows.select(
+        "product_uid", "clause_no", "row_no", F.lit("table").alias("kind"), none.alias("text"), "label", "value"
+    )
+    return text_lines.unionByName(table_lines)
 
 
 # --- documents ---------------------------------------------------------------------------------
 
 
-def contract_documents(lines: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Lines gathered to documents: (product_uid, part_no, contents array of elements).
+def contract_documents(
+    db: Tables, as_of: dt.date, instances: DataFrame | None = None, bank_name: str = dims.BANK_NAME, page_size: int = 1000
+) -> DataFrame:
+    """Contracts as documents: (product_uid, part_no, contents array of elements).
 
-    A contract is one part unless its table has more than ``page_size`` rows; then the table goes on
-    in further table elements, and the document in further parts.
+    Paragraphs never leave the row of their contract; only table rows are gathered. A contract is
+    one part unless a table has more than ``page_size`` rows: then documents are put together from
+    lines, and long tables go on in further table elements and further parts.
     """
+    parts = _parts(db, as_of, instances, bank_name)
+    if has_large_group(parts.table_rows, ["product_uid"], page_size):
+        return documents_from_lines(_lines(parts), page_size)
+    row = F.struct("row_no", F.array("label", "value").alias("row"))
+    tables = parts.table_rows.groupBy("product_uid").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    data = F.transform("rows", lambda r: r["row"])
+    contents = F.transform(
+        "clauses",
+        lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text"), F.when(e["kind"] == "table", data).alias("data")),
+    )
+    return parts.terms.join(tables, "product_uid", "left").select(
+        "product_uid", F.lit(0).cast("bigint").alias("part_no"), contents.alias("contents")
+    )
+
+
+def documents_from_lines(lines: DataFrame, page_size: int) -> DataFrame:
+    """Documents put together from lines, in parts of at most ``page_size`` elements."""
     table_rows = lines.filter(F.col("kind") == "table")
-    large = has_large_group(table_rows, ["product_uid"], page_size)
-    rows, keys = paged(table_rows, ["product_uid", "clause_no"], ["row_no"], page_size, large)
+    rows, keys = paged(table_rows, ["product_uid", "clause_no"], ["row_no"], page_size)
     row = F.struct("row_no", F.array("label", "value").alias("row"))
     tables = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows")).select(
         "product_uid", "clause_no", "page_no", F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"),
@@ -150,8 +200,7 @@ def contract_documents(lines: DataFrame, page_size: int = 1000) -> DataFrame:
         F.lit(None).cast("array<array<string>>").alias("data"),
     )
     elements = texts.unionByName(tables).withColumnRenamed("page_no", "table_page")
-    # Without long tables a contract has no more elements than clauses.
-    elements, keys = paged(elements, ["product_uid"], ["clause_no", "table_page"], page_size, None if large else False)
+    elements, keys = paged(elements, ["product_uid"], ["clause_no", "table_page"], page_size)
     element = F.struct("clause_no", "table_page", F.struct("kind", "text", "data").alias("element"))
     return elements.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias("e")).select(
         "product_uid", F.col("page_no").alias("part_no"), F.transform("e", lambda e: e["element"]).alias("contents")
@@ -192,7 +241,7 @@ def render_contracts(
     db: Tables, as_of: dt.date, instances: DataFrame | None = None, bank_name: str = dims.BANK_NAME
 ) -> DataFrame:
     """Unsigned contracts as JSON, ``(product_uid, part_no, unsigned_contract)``."""
-    documents = contract_documents(contract_lines(db, as_of, instances, bank_name).lines)
+    documents = contract_documents(db, as_of, instances, bank_name)
     return documents.select("product_uid", "part_no", contract_to_json(F.col("contents")).alias("unsigned_contract"))
 
 

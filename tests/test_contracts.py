@@ -55,8 +55,7 @@ def test_documents(spark, frame):
 
 def test_long_tables_go_on_in_further_parts(spark, frame):
     db = bank(spark, frame, n_attributes=250)
-    lines = contracts.contract_lines(db, DAY).lines
-    parts = contracts.contract_documents(lines, page_size=10).filter("product_uid = 2").orderBy("part_no").collect()
+    parts = contracts.contract_documents(db, DAY, page_size=10).filter("product_uid = 2").orderBy("part_no").collect()
     elements = [e for p in parts for e in p.contents]
     assert len(parts) > 1 and max(len(p.contents) for p in parts) <= 10
     table_rows = [row for e in elements if e.kind == "table" for row in e.data]
@@ -66,7 +65,9 @@ def test_long_tables_go_on_in_further_parts(spark, frame):
 
 def test_json_roundtrip(spark, frame):
     db = bank(spark, frame)
-    docs = contracts.contract_documents(contracts.contract_lines(db, DAY).lines)
+    docs = contracts.contract_documents(db, DAY)
+    from_lines = contracts.documents_from_lines(contracts.contract_lines(db, DAY).lines, 100)
+    assert docs.exceptAll(from_lines).isEmpty() and from_lines.exceptAll(docs).isEmpty()
     back = docs.withColumn("again", contracts.contract_from_json(contracts.contract_to_json(F.col("contents"))))
     assert back.filter("NOT (contents <=> again)").isEmpty()
     spaced = frame("j STRING", [('["a", {"type": "table", "data": [["x", null]]}, null]',)])
