@@ -87,7 +87,7 @@ def _has_terms() -> Column:
 
 @dataclass
 class _Parts:
-    terms: DataFrame  # product_uid, clauses: array of (kind, text)
+    terms: DataFrame  # product_uid and what the clauses are filled with
     table_rows: DataFrame  # product_uid, clause_no, row_no, label, value
     rejects: DataFrame
 
@@ -107,7 +107,7 @@ def _parts(db: Tables, as_of: dt.date, instances: DataFrame | None, bank_name: s
     terms = usable.select(
         "product_uid", "category_id", F.col("_has_rows").isNotNull().alias("has_rows"),
         *[F.coalesce(value.cast("string"), F.lit("None")).alias("v_" + name) for name, value in values.items()],
-    ).select("product_uid", F.expr(_clauses_sql()).alias("clauses"))
+    )
     table_at = F.create_map(*[
         F.lit(x) for category, items in clauses.BY_CATEGORY.items() if clauses.TABLE in items
         for x in (category, items.index(clauses.TABLE))
@@ -148,7 +148,8 @@ def contract_lines(
 
 def _lines(parts: _Parts) -> DataFrame:
     none = F.lit(None).cast("string")
-    exploded = parts.terms.select("product_uid", F.posexplode("clauses").alias("clause_no", "c"))
+    # Exploded where it is built: as a column of its own the optimizer would copy it into filters.
+    exploded = parts.terms.select("product_uid", F.posexplode(F.expr(_clauses_sql())).alias("clause_no", "c"))
     text_lines = exploded.filter(F.col("c.kind") != "table").select(
         "product_uid", F.col("clause_no").cast("bigint").alias("clause_no"), F.lit(0).cast("bigint").alias("row_no"),
         F.col("c.kind").alias("kind"), F.col("c.text").alias("text"), none.alias("label"), none.alias("value"),
@@ -178,7 +179,7 @@ def contract_documents(
     tables = parts.table_rows.groupBy("product_uid").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     data = F.transform("rows", lambda r: r["row"])
     contents = F.transform(
-        "clauses",
+        F.expr(_clauses_sql()),
         lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text"), F.when(e["kind"] == "table", data).alias("data")),
     )
     return parts.terms.join(tables, "product_uid", "left").select(
