@@ -64,6 +64,16 @@ def standard_label(flag: Column) -> Column:
     return F.when(flag == "Y", "Standard").otherwise("Custom")
 
 
+def moment(as_of) -> Column:
+    """A date or datetime as a timestamp without zone; through text, so no time zone shifts it."""
+    return F.lit(str(as_of)).cast("timestamp_ntz")
+
+
+def day(as_of) -> Column:
+    """The day of a date or datetime."""
+    return moment(as_of).cast("date")
+
+
 def long_date(day: Column) -> Column:
     """Date as 'May 05, 2024'."""
     return F.date_format(day, "MMMM dd, yyyy")

@@ -304,6 +304,6 @@ def create_accounts(db: Tables, signups: DataFrame, as_of) -> DataFrame:
     rows = signups.select(
         "request_id", "first_name", "last_name", "email", "phone", F.col("country").alias("country_code"), "address",
         F.lit("U").alias("user_role"), F.lit("N").alias("verification"), F.lit("FTC").alias("account_group"),
-        F.lit(as_of).cast("timestamp_ntz").alias("created_dt"),
+        C.moment(as_of).alias("created_dt"),
     )
     return append_with_ids(db.accounts, rows, "account_id", ["request_id"], base=dims.ACCOUNT_ID_BASE)

@@ -44,7 +44,7 @@ def catalog(
     midnight ends at 00:00. Including drafts needs a senior viewer, which the caller checks.
     """
     p = db.products
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = C.moment(as_of)
     conditions = []
     if only_active == "Y":
         conditions += [F.col("available_from") <= now, C.nvl(F.col("available_till"), now) >= now]

@@ -90,7 +90,7 @@ def create_sales(db: Tables, requests: DataFrame, as_of: dt.datetime) -> Sales:
     none = lambda typ: F.lit(None).cast(typ)
     applications = rows.select(
         "request_id", "application_id", "account_id", "product_id",
-        F.lit(as_of).cast("timestamp_ntz").alias("application_dt"), "standard_yn", "amount_requested",
+        C.moment(as_of).alias("application_dt"), "standard_yn", "amount_requested",
         "special_notes", "collateral", none("string").alias("approved_yn"), none("bigint").alias("approved_by"),
         none("timestamp_ntz").alias("approval_dt"),
     )

@@ -76,7 +76,7 @@ def _clauses_sql() -> str:
 
 
 def _now_text(as_of: dt.date) -> Column:
-    return C.long_date(F.lit(as_of).cast("date"))
+    return C.long_date(C.day(as_of))
 
 
 def _has_terms() -> Column:
@@ -330,7 +330,7 @@ def sign_contracts(db: Tables, requests: DataFrame, as_of: dt.datetime) -> Signe
         )
     audit = first.select(
         "product_uid", F.lit("SGN").alias("was_status"), F.lit("AWT").alias("is_code"),
-        F.lit(as_of).cast("timestamp_ntz").alias("update_dt"), F.col("_sign.account_id").alias("update_user"),
+        C.moment(as_of).alias("update_dt"), F.col("_sign.account_id").alias("update_user"),
         F.lit(None).cast("string").alias("update_note"), F.lit(None).cast("string").alias("update_note_public_yn"),
     )
     rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "product_uid", "reason").unionByName(

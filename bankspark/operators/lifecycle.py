@@ -329,7 +329,7 @@ def audit_rows(old: DataFrame, new: DataFrame, as_of: dt.datetime, null_safe_not
     )
     differs = ~F.col("old_note").eqNullSafe(F.col("new_note")) if null_safe_notes else F.col("old_note") != F.col("new_note")
     return was.join(now, "product_uid").filter(F.col("was_status") != F.col("is_code")).select(
-        "product_uid", "was_status", "is_code", F.lit(as_of).cast("timestamp_ntz").alias("update_dt"), "update_user",
+        "product_uid", "was_status", "is_code", C.moment(as_of).alias("update_dt"), "update_user",
         F.when(differs, F.col("new_note")).alias("update_note"),
         F.when(differs, F.col("new_public_yn")).alias("update_note_public_yn"),
     )
@@ -346,7 +346,7 @@ def _move(rows: DataFrame, target: str) -> DataFrame:
 
 
 def _day(as_of: dt.date) -> Column:
-    return F.lit(as_of).cast("date")
+    return C.day(as_of)
 
 
 def _on_day(column: Column, day: Column, catch_up: bool) -> Column:
@@ -436,7 +436,7 @@ def nightly(db: Tables, as_of: dt.date, catch_up: bool = False) -> Nightly:
     )
     audit = rows.select("product_uid", F.inline(taken)).select(
         "product_uid", "step", "was_status", "is_code",
-        F.lit(as_of).cast("timestamp_ntz").alias("update_dt"),
+        C.moment(as_of).alias("update_dt"),
         F.lit(dims.AUTOMATION_ACCOUNT).cast("bigint").alias("update_user"),
         F.lit(None).cast("string").alias("update_note"), F.lit(None).cast("string").alias("update_note_public_yn"),
     )

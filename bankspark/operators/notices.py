@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from bankspark.functions import columns as C
 from bankspark.sources import dims
 from bankspark.sources.tables import Tables
 
@@ -45,7 +46,7 @@ def status_notifications(db: Tables, changes: DataFrame, by_client: bool = False
 
 def due_notices(db: Tables, as_of: dt.date) -> DataFrame:
     """Messages for products falling due on ``as_of`` or on an exercise date."""
-    today = F.lit(as_of).cast("date")
+    today = C.day(as_of)
     hit = ((F.col("product_end_date") == today) & (F.col("status_code") == "DUE")) | (F.col("status_code") == "EXC")
     template = F.when(F.col("category_id") == "DER", "exercise").otherwise("due")
     rows = db.product_instances.filter(hit).select(*_KEYS)
