@@ -20,32 +20,35 @@ from bankspark.llm.words import ascii_words, distinct, shingle_hashes, slices, t
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 2
 # Documents of a region that are compared whole, and the width of the sliding view over larger regions.
 REGION = 64
-# Of 64 sketch bytes, how many must agree. A pair of similarity 0.75 has 48 on average with a standard
-# deviation of 3.5, so this loses about one such pair in ten million; it only saves comparing full sets.
-SKETCH, SKETCH_AGREE = 64, 30
+# Of so many sketch bytes, how many must agree: 5.2 standard deviations below what a pair of similarity 0.75
+# has on average, so this loses about one such pair in ten million; it only saves comparing full sets.
+NARROW, WIDE = 64, 512
+SKETCH_AGREE = {NARROW: 30, WIDE: 333}
 # Orders that give the links of the first round.
 FIRST_TREES = 4
 
 _numbers = np.random.default_rng(10)
-_FACTORS = (_numbers.integers(0, 1 << 32, TREES * DEPTH, np.uint64) | np.uint64(1)).astype(np.uint32)
-_MASKS = _numbers.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
+_FACTORS = (_numbers.integers(0, 1 << 32, TREES * DEPTH + WIDE, np.uint64) | np.uint64(1)).astype(np.uint32)
+_MASKS = _numbers.integers(0, 1 << 32, TREES * DEPTH + WIDE, np.uint64).astype(np.uint32)
 
 SETS = "doc_id bigint, n_shingles bigint, node bigint, node2 bigint, signature binary"
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], functions: range = range(TREES * DEPTH)) -> np.ndarray:
     """For each set, 16 bits of the smallest value under each of the hash functions."""
+    if not sets:
+        return np.zeros((0, len(functions)), np.uint16)
     flat = np.concatenate(sets)
     flat = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    out = np.zeros((len(sets), TREES * DEPTH), np.uint16)
+    out = np.zeros((len(sets), len(functions)), np.uint16)
     full = np.flatnonzero(sizes)
     if len(full) == 0:
         return out
     starts = (np.cumsum(sizes) - sizes)[full]
-    for k in range(TREES * DEPTH):
+    for place, k in enumerate(functions):
         least = np.minimum.reduceat((flat ^ _MASKS[k]) * _FACTORS[k], starts)
-        out[full, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        out[full, place] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
@@ -83,22 +86,29 @@ def _summaries(batches):
 
 
 def _full_sets(batches):
-    """Shingle sets of the texts whose set is the one that is asked for."""
-    for batch in slices(batches):
+    """Shingle sets and wide sketches of the texts whose set is the one that is asked for."""
+    more = range(TREES * DEPTH, TREES * DEPTH + WIDE)
+    for batch in slices(batches, limit=2 << 20):
         sets = shingle_sets(batch.column("text"))
         wanted = batch.column("node").to_pylist()
         keep = [i for i, s in enumerate(sets) if len(s) and _node(s)[0] == wanted[i]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([wanted[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-            ["node", "shingles"],
+            [
+                pa.array([wanted[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()),
+                pa.array([row.astype(np.uint8).tobytes() for row in signatures([sets[i] for i in keep], more)], pa.binary()),
+            ],
+            ["node", "shingles", "wide"],
         )
 
 
+def _agreeing(sketch: np.ndarray) -> np.ndarray:
+    return (sketch[:, None, :] == sketch[None, :, :]).sum(2)
+
+
 def _plausible(sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which pairs of a region may be similar: by the sketches, and by 75 % of the larger size."""
-    agree = (sketch[:, None, :] == sketch[None, :, :]).sum(2)
     small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-    return (agree >= SKETCH_AGREE) & (100 * small >= 75 * large)
+    return (_agreeing(sketch) >= SKETCH_AGREE[sketch.shape[1]]) & (100 * small >= 75 * large)
 
 
 def _ranges(group: np.ndarray):
@@ -128,6 +138,18 @@ def _first_round(tree, node, size, sketch, label):
 
 
 def _second_round(tree, node, size, sketch, label):
+    """Each node's partner with the most alike sketch among those that no confirmed links connect to it so far."""
+    if (label == label[0]).all():
+        return None
+    may = _plausible(sketch, size) & (label[:, None] != label[None, :])
+    x = np.flatnonzero(may.any(1))
+    if not len(x):
+        return None
+    y = np.where(may[x], _agreeing(sketch)[x], -1).argmax(1)
+    return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1)
+
+
+def _last_round(tree, node, size, sketch, label):
     """All plausible pairs that no confirmed links connect so far."""
     if (label == label[0]).all():
         return None
@@ -136,14 +158,14 @@ def _second_round(tree, node, size, sketch, label):
     return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1) if len(x) else None
 
 
-def _scan(pairs):
+def _scan(pairs, width):
     def scan(batches):
         carry = None
         for batch in batches:
-            raw = lambda name, width: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, width)
+            raw = lambda name, n: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, n)
             prefix = raw("prefix", 2 * DEPTH)
             columns = [batch.column(n).to_numpy() for n in ("tree", "node", "size", "label")]
-            rows = [columns[0], prefix, columns[1], columns[2], raw("sketch", SKETCH), columns[3]]
+            rows = [columns[0], prefix, columns[1], columns[2], raw("sketch", width), columns[3]]
             carry, out = step(rows if carry is None else [np.concatenate(x) for x in zip(carry, rows)], False)
             yield from out
         if carry is not None:
@@ -170,19 +192,19 @@ def _scan(pairs):
     return scan
 
 
-def _candidates(nodes: DataFrame, pairs) -> DataFrame:
-    """Distinct pairs that one pass over the sorted orders gives, of ``(node, size, signature, label)``."""
+def _candidates(nodes: DataFrame, pairs, width: int) -> DataFrame:
+    """Distinct pairs that one pass over the sorted orders gives, of ``(node, size, signature, sketch, label)``."""
     trees = nodes.select(
-        F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "size", "label", "signature"
+        F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "size", "label", "signature", "sketch"
     )
-    # Big-endian numbers, so bytes sort as numbers. The sketch takes the low bytes of some values of every order.
-    sketch = F.concat(*[F.substring("signature", 2 * (k * (TREES * DEPTH // SKETCH)) + 2, 1) for k in range(SKETCH)])
+    # Big-endian numbers, so bytes sort as numbers.
     rows = trees.select(
         "tree", F.expr(f"substring(signature, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("prefix"),
-        "node", "size", "label", sketch.alias("sketch"), F.xxhash64("node", "tree").alias("tie"),
+        "node", "size", "label", "sketch", F.xxhash64("node", "tree").alias("tie"),
     )
     order = ["tree", "prefix", "tie"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(pairs), "a bigint, b bigint").distinct()
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(_scan(pairs, width), "a bigint, b bigint").distinct()
 
 
 def _confirm(batches):
@@ -202,6 +224,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").join(of_b, "b").join(of_a, "a").mapInArrow(_confirm, "a bigint, b bigint")
 
 
+def _joined(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """``nodes`` with the labels that the confirmed links give, on top of the labels they have."""
+    label = nodes.select("node", "label")
+    between = (
+        links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
+        .select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    )
+    roots = components(between, folder).select(F.col("node").alias("label"), "root")
+    joined = nodes.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    return stored(joined.select(nodes.columns), folder, "joined")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Documents with the group of near copies they belong to.
 
@@ -210,8 +244,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id). A null, empty or blank text has no shingle and is linked with nothing. Rows without a
     doc_id link others, name no component and are never kept; repeated rows are copies and give a row each.
 
-    Equal sets are one node from the start. A first round of candidates links most copies; the second round
-    compares, in all orders, the plausible pairs that are not connected yet. Two texts of similarity 0.75
+    Equal sets are one node from the start. Rounds of few candidates per node link most copies; the last
+    round compares, in all orders, every plausible pair that is not connected yet. Two texts of similarity 0.75
     share no region in any order with a probability of 2 in a million. Nodes are 64-bit hashes of the set.
     """
     spark = docs.sparkSession
@@ -221,34 +255,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stored(
         rows.filter("node is not null").groupBy("node", "node2")
         .agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
-        .drop("node2").withColumn("label", F.col("node")),
+        .drop("node2").withColumn("label", F.col("node"))
+        .withColumn("sketch", F.concat(*[F.substring("signature", 2 * k * (TREES * DEPTH // NARROW) + 2, 1) for k in range(NARROW)])),
         folder, "nodes",
     )
-    pairs = stored(_candidates(nodes, _first_round), folder, "first")
+    pairs = stored(_candidates(nodes, _first_round, NARROW), folder, "first")
     close = pairs.filter("a = b").select(F.col("a").alias("node"))
     close = stored(nodes.join(close, "node"), folder, "close")
     wanted = close.select("node", F.col("first_id").alias("wanted_id"))
     named = docs.select(F.col("doc_id").cast("bigint"), "text")
     sets = stored(
         named.join(wanted, named.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text")
-        .mapInArrow(_full_sets, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")),
+        .mapInArrow(_full_sets, "node bigint, shingles binary, wide binary")
+        .groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("wide").alias("wide")),
         folder, "sets",
     )
-    first = components(confirmed(pairs, sets), f"{folder}/one")
-    labelled = close.drop("label").join(first, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    more = stored(confirmed(stored(_candidates(labelled, _second_round), folder, "second"), sets), folder, "more")
-    label = labelled.select("node", "label")
-    linked = (
-        more.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        .select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    )
-    second = components(linked, f"{folder}/two").select(F.col("node").alias("label"), "root")
-    grouped = labelled.select("node", "first_id", "label").join(second, "label", "left").select(
-        "node", "first_id", F.coalesce("root", "label").alias("root"))
-    grouped = stored(grouped, folder, "grouped")
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = grouped.select("node", "root").join(smallest, "root").select("node", "component_id")
+    grouped = close.drop("sketch").join(sets.select("node", F.col("wide").alias("sketch")), "node")
+    links = confirmed(pairs, sets)
+    for number, pairs_of in enumerate((_second_round, _second_round, _last_round, None)):
+        grouped = _joined(grouped, links, f"{folder}/{number}")
+        if pairs_of is not None:
+            pairs = stored(_candidates(grouped, pairs_of, WIDE), folder, f"pairs-{number}")
+            links = stored(confirmed(pairs, sets), folder, f"links-{number}")
+    smallest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_node = grouped.select("node", "label").join(smallest, "label").select("node", "component_id")
     everything = nodes.select("node", "first_id").join(of_node, "node", "left").select(
         "node", F.coalesce("component_id", "first_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "node").join(everything, "node", "left").select(
