@@ -26,6 +26,9 @@ NARROW, WIDE = 64, 512
 SKETCH_AGREE = {NARROW: 30, WIDE: 333}
 # Orders that give the links of the first round.
 FIRST_TREES = 4
+# Up to so many nodes (16 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_NO_ID = -(1 << 63)
 
 _numbers = np.random.default_rng(10)
 _FACTORS = (_numbers.integers(0, 1 << 32, TREES * DEPTH + WIDE, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -262,17 +265,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(_candidates(nodes, _first_round, NARROW), folder, "first")
     close = pairs.filter("a = b").select(F.col("a").alias("node"))
     close = stored(nodes.join(close, "node"), folder, "close")
-    wanted = close.select("node", F.col("first_id").alias("wanted_id"))
-    named = docs.select(F.col("doc_id").cast("bigint"), "text")
+    # A null id is as good as any here: what counts is that the text gives the node's set.
+    named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), "text")
+    wanted = close.select("node", F.coalesce("first_id", F.lit(_NO_ID)).alias("id"))
+    if close.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     sets = stored(
-        named.join(wanted, named.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text")
-        .mapInArrow(_full_sets, "node bigint, shingles binary, wide binary")
+        named.join(wanted, "id").select("node", "text").mapInArrow(_full_sets, "node bigint, shingles binary, wide binary")
         .groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("wide").alias("wide")),
         folder, "sets",
     )
     grouped = close.drop("sketch").join(sets.select("node", F.col("wide").alias("sketch")), "node")
     links = confirmed(pairs, sets)
-    for number, pairs_of in enumerate((_second_round, _second_round, _last_round, None)):
+    for number, pairs_of in enumerate((_second_round, _last_round, None)):
         grouped = _joined(grouped, links, f"{folder}/{number}")
         if pairs_of is not None:
             pairs = stored(_candidates(grouped, pairs_of, WIDE), folder, f"pairs-{number}")
