@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bankspark.llm.near_duplicates import near_duplicates
+from bankspark.llm.toxicity import toxicity
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bankspark.llm.near_duplicates import near_duplicates
+def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
-    return near_duplicates(_documents(spark, sf_dir))
+
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pu_toxicity": op2_pu_toxicity,
     "op10_lsh_forest": op10_lsh_forest,
 }
 
