@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bankspark.llm.decontamination import contaminated
+from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
+from bankspark.llm.store import new_folder
+from bankspark.llm.token_files import read_tokens, token_rows, write_tokens
 from bankspark.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +24,30 @@ def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), folder)
+    return token_rows(read_tokens(spark, folder))
+
+
+def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda total, draw: total + draw["n_words"])
+    return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_pu_toxicity": op2_pu_toxicity,
+    "op3_simhash_decontamination": op3_simhash_decontamination,
+    "op6_seekable_tokens": op6_seekable_tokens,
+    "op9_splitting_tree_mix": op9_splitting_tree_mix,
     "op10_lsh_forest": op10_lsh_forest,
 }
 
