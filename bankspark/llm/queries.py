@@ -11,7 +11,9 @@ from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
 from bankspark.llm.store import new_folder
 from bankspark.llm.token_files import read_tokens, token_rows, write_tokens
+from bankspark.llm.topk import top_k, whole_vectors
 from bankspark.llm.toxicity import toxicity
+from bankspark.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +30,24 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op6_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), folder)
     return token_rows(read_tokens(spark, folder))
 
 
+def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda total, draw: total + draw["n_words"])
     return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
@@ -46,9 +60,41 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_pu_toxicity": op2_pu_toxicity,
     "op3_simhash_decontamination": op3_simhash_decontamination,
+    "op5_nra_topk": op5_nra_topk,
     "op6_seekable_tokens": op6_seekable_tokens,
+    "op7_zip_warc": op7_zip_warc,
     "op9_splitting_tree_mix": op9_splitting_tree_mix,
     "op10_lsh_forest": op10_lsh_forest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_nra_topk": """
+        WITH vectors AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+    "op7_zip_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), named AS (
+            SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY payload) AS first_page
+            FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first_page THEN first_page END AS refers_to
+        FROM named
+    """,
+}
