@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bankspark.llm.decontamination import contaminated
 from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
+from bankspark.llm.secrets import BASE, find_secrets, written
 from bankspark.llm.store import new_folder
 from bankspark.llm.token_files import read_tokens, token_rows, write_tokens
 from bankspark.llm.topk import top_k, whole_vectors
@@ -30,6 +31,14 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE]
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+    return find_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
 def op5_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whole_vectors(_table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
@@ -60,6 +69,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_pu_toxicity": op2_pu_toxicity,
     "op3_simhash_decontamination": op3_simhash_decontamination,
+    "op4_secret_automaton": op4_secret_automaton,
     "op5_nra_topk": op5_nra_topk,
     "op6_seekable_tokens": op6_seekable_tokens,
     "op7_zip_warc": op7_zip_warc,
