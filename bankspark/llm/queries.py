@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bankspark.llm.cross_entropy import cross_entropy_difference
 from bankspark.llm.decontamination import contaminated
 from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
 from bankspark.llm.secrets import BASE, find_secrets, written
 from bankspark.llm.store import new_folder
+from bankspark.llm.token_counts import token_counts, write_flat
 from bankspark.llm.token_files import read_tokens, token_rows, write_tokens
 from bankspark.llm.topk import top_k, whole_vectors
 from bankspark.llm.toxicity import toxicity
@@ -23,6 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of good quality, by the labels, are the target."""
+    documents = _table(spark, sf_dir, "documents")
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    return cross_entropy_difference(documents, documents.join(good, "doc_id", "left_semi"))
+
+
 def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,6 +66,12 @@ def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "flat")
+    write_flat(_table(spark, sf_dir, "documents"), folder)
+    return token_counts(spark, folder, new_folder(spark, "scan")).select("doc_id", "n_tokens")
+
+
 def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda total, draw: total + draw["n_words"])
     return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
@@ -67,12 +82,14 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_pu_toxicity": op2_pu_toxicity,
     "op3_simhash_decontamination": op3_simhash_decontamination,
     "op4_secret_automaton": op4_secret_automaton,
     "op5_nra_topk": op5_nra_topk,
     "op6_seekable_tokens": op6_seekable_tokens,
     "op7_zip_warc": op7_zip_warc,
+    "op8_separator_scan": op8_separator_scan,
     "op9_splitting_tree_mix": op9_splitting_tree_mix,
     "op10_lsh_forest": op10_lsh_forest,
 }
