@@ -33,7 +33,7 @@ WORDS_AT_ONCE = 2_000_000
 _WORD = re.compile(r"\w+")
 _LANES = np.array([sum((value >> bit & 1) << (8 * bit) for bit in range(8)) for value in range(256)], np.uint64)
 _ONES = np.uint64(0x0101010101010101)
-_GATHER = np.uint64(0x0102040810204080)
+_TOPS = np.uint64(0x8080808080808080)
 
 MATCHES = "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words bigint"
 
@@ -63,13 +63,20 @@ def prefix_sums(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each run of ``size`` words: bits set in more than half of them."""
+    """SimHash of each run of ``size`` words: bits set in more than half of them.
+
+    A counter's top bit tells whether it is above half, once the rest to 128 is added; bit k of every byte of
+    the result is from the k-th number of counters.
+    """
     count = sums.shape[1] - size
-    out = np.zeros(count, np.uint64)
+    out, over = np.zeros(count, np.uint64), np.empty(count, np.uint64)
     above = _ONES * np.uint64(127 - size // 2)
     for k in range(8):
-        over = (sums[k, size:] - sums[k, :count] + above) >> np.uint64(7) & _ONES
-        out |= (over * _GATHER >> np.uint64(56)) << np.uint64(8 * k)
+        np.subtract(sums[k, size:], sums[k, :count], out=over)
+        over += above
+        over &= _TOPS
+        over >>= np.uint64(7 - k)
+        out |= over
     return out
 
 
@@ -78,6 +85,7 @@ class Item:
     item_id: int
     hashes: np.ndarray
     shingles: Counter
+    distinct: np.ndarray
 
 
 def _shingles(hashes: np.ndarray) -> Counter:
@@ -107,7 +115,7 @@ class Index:
         near = np.array([0] + [1 << b for b in range(BLOCK_BITS)], np.int64)
         self.marked, self.starts, self.members = [], [], []
         for block in range(BLOCKS):
-            value = (self.prints >> np.uint64(BLOCK_BITS * block) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+            value = self.prints.view(np.uint16)[block::BLOCKS].astype(np.int64)
             keys = (value[:, None] ^ near[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
             self.members.append(np.repeat(np.arange(len(value)), len(near))[order])
@@ -120,8 +128,8 @@ class Index:
         """Positions of ``prints`` and the windows within the radius of them; all such pairs."""
         positions, members = [], []
         for block in range(BLOCKS):
-            value = (prints >> np.uint64(BLOCK_BITS * block) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint16)
-            at = np.flatnonzero(self.marked[block][value])
+            value = prints.view(np.uint16)[block::BLOCKS]
+            at = np.flatnonzero(self.marked[block].take(value))
             if not len(at):
                 continue
             low, high = self.starts[block][value[at]], self.starts[block][value[at].astype(np.int64) + 1]
@@ -141,6 +149,12 @@ class Index:
 def _best(hashes: np.ndarray, item: Item, starts: set[int]) -> tuple[float, int, int]:
     """The most similar window of the item's size among those that begin at one of ``starts``."""
     size, best = len(item.hashes), (0.0, 0, 0)
+    low, high = max(0, min(starts)), min(len(hashes), max(starts) + size)
+    if high - low < SHINGLE:
+        return best
+    # A similar window shares this part of the item's shingles at least; most candidates share none.
+    if np.isin(shingle_hashes(hashes[low:high]), item.distinct).sum() < SIMILARITY * sum(item.shingles.values()):
+        return best
     for start in sorted(starts):
         low, high = max(0, start), min(len(hashes), start + size)
         if high - low >= SHINGLE:
@@ -166,7 +180,7 @@ class Search:
         known = []
         for item_id, text in items:
             own = word_hashes([words_of(text)])
-            known.append(Item(item_id, own, _shingles(own)))
+            known.append(Item(item_id, own, _shingles(own), np.unique(shingle_hashes(own))))
         size_of = window_sizes([len(i.hashes) for i in known])
         self.indexes = [
             Index(size, [i for i in known if size_of[len(i.hashes)] == size]) for size in sorted(set(size_of.values()))
@@ -202,7 +216,7 @@ class Search:
 def _matches_of(items):
     def search(batches):
         look = Search(items)
-        for batch in slices(batches, limit=1 << 19):
+        for batch in slices(batches, limit=1 << 18):
             ids = batch.column("doc_id").to_pylist()
             out = [(ids[d], *match) for d, *match in look(batch.column("text"))]
             columns = list(zip(*out)) if out else [[]] * 5
@@ -216,7 +230,7 @@ def _matches_of(items):
 def _clean_of(items):
     def search(batches):
         look = Search(items)
-        for batch in slices(batches, limit=1 << 19):
+        for batch in slices(batches, limit=1 << 18):
             clean = np.ones(batch.num_rows, bool)
             clean[[d for d, *_ in look(batch.column("text"))]] = False
             yield batch.filter(pa.array(clean))
