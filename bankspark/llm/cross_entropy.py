@@ -50,14 +50,19 @@ def _numbers(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def _pair_counts(number: dict[bytes, int]):
+def _pairs(x: np.ndarray, width: int) -> np.ndarray:
+    """Each word with the one before it, as one number."""
+    return x[:-1] * width + x[1:]
+
+
+def _pair_counts(number: dict[bytes, int], width: int):
     """Counts of word pairs, each pair as one number; combined over what a task reads."""
     def count(batches):
-        held = np.zeros((VOCABULARY + 1) ** 2, np.int64)
+        held = np.zeros(width**2, np.int64)
         for batch in slices(batches):
-            for text in texts(batch.column("text")):
-                x = _numbers(ascii_words(text), number)
-                np.add.at(held, x[:-1] * (VOCABULARY + 1) + x[1:], 1) if len(x) < 64 else _add(held, x)
+            found = [_pairs(_numbers(ascii_words(text), number), width) for text in texts(batch.column("text"))]
+            pairs, n = np.unique(np.concatenate(found), return_counts=True)
+            held[pairs] += n
         pairs = np.flatnonzero(held)
         for k in range(0, len(pairs), 1 << 16):
             some = pairs[k : k + (1 << 16)]
@@ -66,29 +71,24 @@ def _pair_counts(number: dict[bytes, int]):
     return count
 
 
-def _add(held: np.ndarray, x: np.ndarray) -> None:
-    pairs, n = np.unique(x[:-1] * (VOCABULARY + 1) + x[1:], return_counts=True)
-    held[pairs] += n
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
+def losses(counts: np.ndarray, width: int) -> np.ndarray:
     """Loss of each word after each word, from pair counts; smoothed by the words' own frequencies."""
-    counts = counts.reshape(VOCABULARY + 1, VOCABULARY + 1).astype(np.float64)
+    counts = counts.reshape(width, width).astype(np.float64)
     words = counts.sum(0) + EVEN
     words /= words.sum()
     return -np.log((counts + FROM_WORD * words) / (counts.sum(1, keepdims=True) + FROM_WORD)).astype(np.float32)
 
 
-def _score(number: dict[bytes, int], tables):
+def _score(number: dict[bytes, int], width: int, tables):
     def score(batches):
         target, background = (t.ravel() for t in tables.value)
         for batch in slices(batches):
             out = []
             for text in texts(batch.column("text")):
                 x = _numbers(ascii_words(text), number)
-                pairs, n = x[:-1] * (VOCABULARY + 1) + x[1:], len(x) - 1
+                pairs, n = _pairs(x, width), len(x) - 1
                 out.append((n, float(target[pairs].mean(dtype=float)), float(background[pairs].mean(dtype=float))) if n else (0, None, None))
-            n, of_target, of_background = zip(*out)
+            n, of_target, of_background = zip(*out) if out else ([], [], [])
             difference = [None if a is None else a - b for a, b in zip(of_target, of_background)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(c, pa.float64()) for c in (of_target, of_background, difference)]],
@@ -98,15 +98,15 @@ def _score(number: dict[bytes, int], tables):
     return score
 
 
-def _table(rows: DataFrame) -> np.ndarray:
-    """Summed pair counts as a table: at most (VOCABULARY + 1) squared rows, read part by part."""
-    out = np.zeros((VOCABULARY + 1) ** 2, np.int64)
-    pdf = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out[pdf.column("pair").to_numpy()] = pdf.column("n").to_numpy()
+def _table(rows: DataFrame, width: int) -> np.ndarray:
+    """Summed pair counts as a table; there are at most ``width`` squared rows."""
+    out = np.zeros(width**2, np.int64)
+    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``.
 
     ``docs`` and ``target`` need ``doc_id`` and ``text``; other columns are left out. Vocabulary and background
@@ -119,10 +119,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     folder = new_folder(spark, "cross-entropy")
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     words = named.select("text").mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    common = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    common = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     number = {bytes(r.word): k + 1 for k, r in enumerate(common)}
-    pairs = "pair bigint, n bigint"
-    background = stored(named.select("text").mapInArrow(_pair_counts(number), pairs), folder, "background")
-    in_target = stored(target.select("text").mapInArrow(_pair_counts(number), pairs), folder, "target")
-    tables = spark.sparkContext.broadcast((losses(_table(in_target)), losses(_table(background))))
-    return named.mapInArrow(_score(number, tables), SCORES)
+    width, pairs = vocabulary + 1, "pair bigint, n bigint"
+    background = stored(named.select("text").mapInArrow(_pair_counts(number, width), pairs), folder, "background")
+    in_target = stored(target.select("text").mapInArrow(_pair_counts(number, width), pairs), folder, "target")
+    tables = spark.sparkContext.broadcast(tuple(losses(_table(t, width), width) for t in (in_target, background)))
+    return named.mapInArrow(_score(number, width, tables), SCORES)

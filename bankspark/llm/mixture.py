@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from bankspark.llm.store import new_folder, stored
+from bankspark.llm.store import new_folder, stored, unused
 from bankspark.llm.words import mixed
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -150,7 +150,7 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            F.xxhash64("doc_id", "source", "text").alias("_row"),
+            F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text").alias("_row"),
         ),
         folder, "sized",
     )
@@ -190,19 +190,19 @@ def shards(docs: DataFrame, number: int = SHARDS, seed: int = SEED) -> DataFrame
     return blocks.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "start")
 
 
-def _cut(schema_names: list[str]):
-    """Keeps the words from ``_from`` to ``_to`` of a text that the mix takes in part."""
+def _cut(names: list[str], part: str):
+    """Keeps the words that the mix takes of a text, from and to as ``part`` says."""
     word = re.compile(WORD)
 
     def cut(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for k, (low, high, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_from", "_to", "_size")))):
-                if high - low < size:
-                    spans = [m.span() for m in word.finditer(texts[k])][low:high]
+            for k, taken in enumerate(batch.column(part).to_pylist()):
+                if taken["to"] - taken["from"] < taken["size"]:
+                    spans = [m.span() for m in word.finditer(texts[k])][taken["from"] : taken["to"]]
                     texts[k] = texts[k][spans[0][0] : spans[-1][1]]
-            columns = [pa.array(texts, batch.column("text").type) if c == "text" else batch.column(c) for c in schema_names]
-            yield pa.RecordBatch.from_arrays(columns, schema_names)
+            columns = [pa.array(texts, batch.column("text").type) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return cut
 
@@ -213,12 +213,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     All columns stay as they are, but for ``text`` (and ``n_chars``, if there is one) of cut documents; at most
     one document of a source is cut. Documents without words have nothing to take and go.
     """
+    row, part = unused(docs, "_row"), unused(docs, "_part")
     # Blocks of a copy that a document lies in are next to each other, so their ends give the part taken.
-    copies = mixture(docs).select("_row", "size", F.inline("draws")).groupBy("_row", "copy").agg(
-        F.min("start").alias("_from"), F.max(F.col("start") + F.col("n_words")).alias("_to"), F.max("size").alias("_size"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text"))
-    joined = keyed.join(copies, "_row").select(*docs.columns, "_from", "_to", "_size")
-    out = joined.mapInArrow(_cut(docs.columns), docs.schema)
+    taken = F.struct(
+        F.min("start").alias("from"), F.max(F.col("start") + F.col("n_words")).alias("to"), F.max("size").alias("size"))
+    copies = mixture(docs).select("_row", "size", F.inline("draws")).groupBy("_row", "copy").agg(taken.alias(part))
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text"))
+    joined = keyed.join(copies.select(F.col("_row").alias(row), part), row).select(*docs.columns, part)
+    out = joined.mapInArrow(_cut(docs.columns, part), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

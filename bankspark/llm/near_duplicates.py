@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from bankspark.llm.components import components
-from bankspark.llm.store import new_folder, stored
+from bankspark.llm.store import new_folder, stored, unused
 from bankspark.llm.words import ascii_words, distinct, shingle_hashes, slices, texts, word_hashes
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 2
@@ -301,6 +301,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay, since no result can name them; of rows equal in doc_id and text one stays.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = unused(docs, "_kept_id")
+    ids = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.join(ids, F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id is null"))

@@ -44,6 +44,14 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder in the shared store, for tasks that write or read their own file format."""
     return fs.FileSystem.from_uri(uri)

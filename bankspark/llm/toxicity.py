@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from bankspark.llm.store import new_folder, stored
+from bankspark.llm.store import new_folder, stored, unused
 from bankspark.llm.words import slices
 
 # The classifier learns from at most so many texts.
@@ -221,4 +221,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that score below the threshold; all columns stay."""
-    return with_score(docs, train(docs, labels), "_score").filter(F.col("_score") < THRESHOLD).drop("_score")
+    score = unused(docs, "_score")
+    return with_score(docs, train(docs, labels), score).filter(F.col(score) < THRESHOLD).drop(score)

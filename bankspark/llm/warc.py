@@ -163,14 +163,14 @@ class ArchiveWriter:
         return file.name, file.size, len(self.index)
 
 
-def _write(folder: str):
+def _write(folder: str, archive_bytes: int):
     def write(batches):
         out, archive = [], ArchiveWriter()
         for batch in slices(batches, "payload"):
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to", "revisit")]
             for payload, page_id, url, digest, refers_to, revisit in zip(texts(batch.column("payload")), *columns):
                 archive.add(page_id, url, record(page_id, url, payload, digest, refers_to, revisit))
-                if archive.data.tell() >= ARCHIVE_BYTES:
+                if archive.data.tell() >= archive_bytes:
                     out.append(archive.write(folder))
                     archive = ArchiveWriter()
         if archive.index:
@@ -183,7 +183,7 @@ def _write(folder: str):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str) -> None:
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record per row of ``pages`` (``page_id``, ``url``, ``html``) to archives below ``folder``.
 
     Of rows with equal payloads of at least LEAST_REVISIT bytes the one with the largest page_id is a response, as
@@ -206,11 +206,11 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     rows = decided.select(
         "page_id", "url", "payload", "digest", F.when(revisit, F.col("first_page")).alias("refers_to"), revisit.alias("revisit"))
-    rows.mapInArrow(_write(folder), "file string, size bigint, records bigint").write.mode("overwrite").parquet(f"{folder}/archives")
+    rows.mapInArrow(_write(folder, archive_bytes), "file string, size bigint, records bigint").write.mode("overwrite").parquet(f"{folder}/archives")
 
 
-def _ranges(folder: str):
-    """Byte ranges of about RANGE_BYTES that hold whole records, from the index in each archive."""
+def _ranges(folder: str, range_bytes: int):
+    """Byte ranges of about ``range_bytes`` that hold whole records, from the index in each archive."""
     def ranges(batches):
         for batch in batches:
             for name, size in zip(batch.column("file").to_pylist(), batch.column("size").to_pylist()):
@@ -223,7 +223,7 @@ def _ranges(folder: str):
                 places = [json.loads(line) for line in lines if line]
                 for k, place in enumerate(places):
                     lengths.append(place["length"])
-                    if sum(lengths) >= RANGE_BYTES or k + 1 == len(places):
+                    if sum(lengths) >= range_bytes or k + 1 == len(places):
                         out.append((name, start + place["offset"] + place["length"] - sum(lengths), lengths))
                         lengths = []
                 names, offsets, sizes = zip(*out) if out else ([], [], [])
@@ -252,10 +252,10 @@ def _records(folder: str, with_payload: bool):
     return records
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of the archives that ``write_archives`` lists; ``payload`` is null for revisits."""
     archives = spark.read.schema("file string, size bigint, records bigint").parquet(f"{folder}/archives")
-    places = archives.repartition("file").mapInArrow(_ranges(folder), "file string, offset bigint, lengths array<bigint>")
+    places = archives.repartition("file").mapInArrow(_ranges(folder, range_bytes), "file string, offset bigint, lengths array<bigint>")
     # Ranges are of like size; dealt out evenly, they don't depend on how large an archive is.
     places = stored(places, folder, "ranges")
     return places.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(_records(folder, with_payload), RECORDS)
