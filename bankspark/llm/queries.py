@@ -42,10 +42,13 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     return find_secrets(_table(spark, sf_dir, "documents")).select(
-        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+        "doc_id", *map(count, BASE), F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
 
 
 def op5_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
