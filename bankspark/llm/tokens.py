@@ -7,6 +7,7 @@ other. Words that normalising could change beyond lower case go through the libr
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -15,7 +16,9 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 DEFAULT_FILE, END_ID = "word_bpe_49k.json", 2
-REMEMBERED = 300_000
+# Words and pieces that a task remembers, some 200 bytes each.
+REMEMBERED = 600_000
+_MARKS = frozenset(".,;:!?")
 
 
 def default_path() -> str:
@@ -53,18 +56,24 @@ class WordEncoder:
     def word(self, word: str) -> bytes:
         if not word.isascii() and ("İ" in word or "Σ" in word or not unicodedata.is_normalized("NFC", word)):
             return self.whole(word)
+        # Most words are letters alone, or letters and one mark: each a piece by itself.
+        if word.isalpha():
+            return self.parts.get(lower := word.lower()) or self.part(lower)
+        if word[-1] in _MARKS and word[:-1].isalpha():
+            lower, mark = word[:-1].lower(), word[-1]
+            return (self.parts.get(lower) or self.part(lower)) + (self.parts.get(mark) or self.part(mark))
         if "<" in word and any(s in word for s in self.special):
             return self.whole(word)
-        return b"".join([self.part(p) for p in self.pieces.findall(word.lower())])
+        return b"".join([self.parts.get(p) or self.part(p) for p in self.pieces.findall(word.lower())])
 
     def part(self, piece: str) -> bytes:
-        found = self.parts.get(piece)
-        if found is None:
-            if len(self.parts) > REMEMBERED:
-                self.parts.clear()
-            mapped = self.bytes_of.pre_tokenize_str(piece)
-            ids = [t.id for m, _ in mapped for t in self.tokenizer.model.tokenize(m)]
-            found = self.parts[piece] = np.array(ids, "<u4").tobytes()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        # Letters of ASCII stand for their own bytes.
+        plain = piece.isascii() and piece.isalpha()
+        mapped = [piece] if plain else [m for m, _ in self.bytes_of.pre_tokenize_str(piece)]
+        ids = [t.id for m in mapped for t in self.tokenizer.model.tokenize(m)]
+        found = self.parts[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def whole(self, text: str) -> bytes:
