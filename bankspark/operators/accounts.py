@@ -76,7 +76,7 @@ def latest_account_by_name(rows: DataFrame) -> DataFrame:
 # What a search word may be; the first pattern that matches decides.
 WORD_PATTERNS = {
     "name": r"^[a-zA-Z0-9]+$",
-    "email": r"(?U)^[\w.]+@([\w-]+\.)+[\w-]{2,4}$",
+    "email": r"^[\w.]+@([\w-]+\.)+[\w-]{2,4}$",
     "group": r"^group:[A-Z]{1,3}$",
     "country_code": r"^country_code:[A-Z]{1,3}$",
     "phone": r"^phone:[+0-9]{4,15}$",
@@ -87,9 +87,13 @@ _SALTS = 32
 
 
 def parse_search(requests: DataFrame) -> DataFrame:
-    """Search texts as criteria: lower-case names, and the last e-mail, group, country and phone."""
+    """Search texts as criteria: lower-case names, and the last e-mail, group, country and phone.
+
+    A text of seven digits alone is an account id.
+    """
     words = F.filter(F.split(F.trim(F.regexp_replace("search_str", r"(?U)\s+", " ")), " "), lambda w: w != "")
-    patterns = list(WORD_PATTERNS.values())
+    # (?U): letters of any script count as word characters.
+    patterns = ["(?U)" + p for p in WORD_PATTERNS.values()]
 
     def words_of(place: int):
         return F.filter(
@@ -104,10 +108,12 @@ def parse_search(requests: DataFrame) -> DataFrame:
     def after_colon(kind):
         return F.split_part(last(kind), F.lit(":"), F.lit(2))
 
+    id_only = F.trim("search_str").rlike("^[0-9]{7}$")
     return requests.select("request_id", "search_str", words.alias("_words")).select(
         "request_id",
         "search_str",
-        F.transform(found["name"], F.lower).alias("names"),
+        F.when(id_only, F.trim("search_str").cast("bigint")).alias("id_key"),
+        F.when(id_only, F.array().cast("array<string>")).otherwise(F.transform(found["name"], F.lower)).alias("names"),
         F.lower(last("email")).alias("email_key"),
         F.upper(after_colon("group")).alias("group_key"),
         F.upper(after_colon("country_code")).alias("country_key"),
@@ -118,7 +124,7 @@ def parse_search(requests: DataFrame) -> DataFrame:
 def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
     """Accounts found for each search text of ``requests(request_id, search_str)``.
 
-    One name matches the first or the last name; several must hold both. E-mail, group and country
+    Seven digits alone are an account id. One name matches the first or the last name; several must hold both. E-mail, group and country
     compare whole and without case, a phone part may stand anywhere. A text without any criterion
     lists every account but the automation one. Names with other than ASCII letters and digits are
     ignored, and a country is written ``country_code:``.
@@ -144,7 +150,8 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         F.length("phone_part") >= long_piece, entry(f"phone{long_piece}", F.right("phone_part", F.lit(long_piece)))
     ).otherwise(entry(f"phone{short_piece}", F.right("phone_part", F.lit(short_piece))))
     lookup = (
-        F.when(F.col("email_key").isNotNull(), F.array(entry("email", F.col("email_key"))))
+        F.when(F.col("id_key").isNotNull(), F.array(entry("id", F.col("id_key").cast("string"))))
+        .when(F.col("email_key").isNotNull(), F.array(entry("email", F.col("email_key"))))
         .when((F.size("names") > 1) & (F.size(names) <= _PAIR_WORDS), pairs)
         .when(F.size("names") > 1, F.transform(names, lambda n: entry("last", n)))
         .when(F.col("phone_part").isNotNull(), F.array(phone_entry))
@@ -170,6 +177,7 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
 
     entries = F.concat(
         F.array(
+            entry("id", F.col("account_id").cast("string")),
             entry("email", F.lower("email")),
             entry("first", F.lower("first_name")),
             entry("last", F.lower("last_name")),
@@ -198,10 +206,11 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         return F.col(criterion).isNull() | test
 
     nothing_parsed = C.all_of(
-        F.size("names") == 0, *[F.col(c).isNull() for c in ("email_key", "group_key", "country_key", "phone_part")]
+        F.size("names") == 0, *[F.col(c).isNull() for c in ("id_key", "email_key", "group_key", "country_key", "phone_part")]
     )
     matches = C.all_of(
         names_ok,
+        ok("id_key", F.col("account_id") == F.col("id_key")),
         ok("email_key", F.lower("email") == F.col("email_key")),
         ok("group_key", F.upper("account_group") == F.col("group_key")),
         ok("country_key", F.upper("country_code") == F.col("country_key")),

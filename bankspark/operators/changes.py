@@ -5,6 +5,7 @@ Each operator gives the rows to write and the refused requests with a reason.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 import datetime as dt
 
@@ -70,14 +71,16 @@ def create_sales(db: Tables, requests: DataFrame, as_of: dt.datetime) -> Sales:
     """Applications and instances for ``requests(request_id, account_id, product_id, standard_yn,
     amount_requested, special_notes, collateral)``.
 
-    The account must exist. Both tables are numbered in request order, in one pass. A new instance
+    The account must exist, and the product if there is one. Both tables are numbered in request order, in one pass. A new instance
     is applied for, has an empty note and partial notifications.
     """
     accounts = db.accounts.select("account_id")
-    valid = requests.join(accounts, "account_id", "left_semi")
+    known = requests.join(accounts, "account_id", "left_semi")
+    product = ForeignKey("unknown_product", "product_id", db.products, "product_id")
+    valid = fk_accepted(known, [product])
     rejects = requests.join(accounts, "account_id", "left_anti").select(
         "request_id", F.lit("unknown_account").alias("reason")
-    )
+    ).unionByName(fk_rejects(known, "request_id", [product]).select("request_id", F.col("constraint_name").alias("reason")))
     flag = F.col("standard_yn")
     rows = valid.withColumn("standard_yn", F.when(flag.isin("Y", "N"), flag).otherwise("N"))
     rows = append_with_ids(db.applications, rows, "application_id", ["request_id"])
@@ -136,8 +139,21 @@ def next_order_no(db: Tables) -> DataFrame:
     )
 
 
-@dataclass
-class Drafts:
+class _OnDemand:
+    """Results that are put together when they are asked for, each once."""
+
+    def __init__(self, **results: Callable[[], DataFrame]):
+        self._results = results
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._results:
+            raise AttributeError(name)
+        value = self._results[name]()
+        setattr(self, name, value)
+        return value
+
+
+class Drafts(_OnDemand):
     products: DataFrame  # new or changed products
     columns: DataFrame  # attribute definitions written
     rejects: DataFrame
@@ -158,11 +174,16 @@ def create_drafts(db: Tables, requests: DataFrame, columns: DataFrame) -> Drafts
         F.when(senior, F.col("available_till")).alias("available_till"),
         "picture_name", F.lit("Y").alias("draft_yn"), F.col("user_id").alias("draft_owner"),
     )
-    products = append_with_ids(db.products, rows, "product_id", ["request_id"])
-    placed = columns.join(products.select("request_id", "product_id"), "request_id")
-    definitions = renumber_columns(_normal_columns(placed)).select(*DRAFT_COLUMNS)
-    rejects = requests.filter(~allowed).select("request_id", F.lit("not_allowed").alias("reason"))
-    return Drafts(products, definitions, rejects)
+
+    def definitions() -> DataFrame:
+        placed = columns.join(drafts.products.select("request_id", "product_id"), "request_id")
+        return renumber_columns(_normal_columns(placed)).select(*DRAFT_COLUMNS)
+
+    drafts = Drafts(
+        products=lambda: append_with_ids(db.products, rows, "product_id", ["request_id"]), columns=definitions,
+        rejects=lambda: requests.filter(~allowed).select("request_id", F.lit("not_allowed").alias("reason")),
+    )
+    return drafts
 
 
 def replace_draft_columns(db: Tables, requests: DataFrame, columns: DataFrame) -> Drafts:
@@ -181,11 +202,15 @@ def replace_draft_columns(db: Tables, requests: DataFrame, columns: DataFrame) -
     )
     checked = checked.withColumn("reason", reason)
     valid = checked.filter(F.col("reason").isNull()).select("product_id")
-    new = renumber_columns(_normal_columns(columns.join(valid, "product_id", "left_semi"))).select(*DRAFT_COLUMNS)
-    kept = db.draft_product_custom_column_def.join(valid, "product_id", "left_anti").select(*DRAFT_COLUMNS)
+
+    def definitions() -> DataFrame:
+        new = renumber_columns(_normal_columns(columns.join(valid, "product_id", "left_semi"))).select(*DRAFT_COLUMNS)
+        kept = db.draft_product_custom_column_def.join(valid, "product_id", "left_anti").select(*DRAFT_COLUMNS)
+        return kept.unionByName(new)
+
     return Drafts(
-        db.products, kept.unionByName(new),
-        checked.filter(F.col("reason").isNotNull()).select("product_id", "reason"),
+        products=lambda: db.products, columns=definitions,
+        rejects=lambda: checked.filter(F.col("reason").isNotNull()).select("product_id", "reason"),
     )
 
 
@@ -202,18 +227,22 @@ def clone_products(db: Tables, requests: DataFrame) -> Drafts:
         F.lit(None).cast("timestamp_ntz").alias("available_from"), F.lit(None).cast("timestamp_ntz").alias("available_till"),
         F.lit("Y").alias("draft_yn"), F.col("account_id").alias("draft_owner"),
     )
-    products = append_with_ids(source, rows, "product_id", ["request_id"])
-    defs = db.product_custom_column_def.withColumnRenamed("product_id", "source_product_id")
-    placed = products.select("product_id", "source_product_id").join(defs, "source_product_id")
-    columns = positions_within(placed, ["product_id"], ["pcc_id"], "order_no").select(*DRAFT_COLUMNS)
-    rejects = requests.join(source.select("product_id"), "product_id", "left_anti").select(
-        "request_id", F.lit("unknown_product").alias("reason")
+
+    def definitions() -> DataFrame:
+        defs = db.product_custom_column_def.withColumnRenamed("product_id", "source_product_id")
+        placed = clones.products.select("product_id", "source_product_id").join(defs, "source_product_id")
+        return positions_within(placed, ["product_id"], ["pcc_id"], "order_no").select(*DRAFT_COLUMNS)
+
+    clones = Drafts(
+        products=lambda: append_with_ids(source, rows, "product_id", ["request_id"]), columns=definitions,
+        rejects=lambda: requests.join(source.select("product_id"), "product_id", "left_anti").select(
+            "request_id", F.lit("unknown_product").alias("reason")
+        ),
     )
-    return Drafts(products, columns, rejects)
+    return clones
 
 
-@dataclass
-class Published:
+class Published(_OnDemand):
     products: DataFrame  # all products afterwards
     columns: DataFrame  # new final definitions
     counts: DataFrame  # product_id, number of definitions copied
@@ -241,12 +270,16 @@ def publish_drafts(db: Tables, requests: DataFrame) -> Published:
         "draft_owner": F.when(~published, F.col("draft_owner")),
     }).select(*db.products.columns)
     copied = db.draft_product_custom_column_def.join(valid, "product_id", "left_semi")
-    columns = append_with_ids(db.product_custom_column_def, copied, "pcc_id", ["product_id", "order_no"])
+
+    def definitions() -> DataFrame:
+        columns = append_with_ids(db.product_custom_column_def, copied, "pcc_id", ["product_id", "order_no"])
+        return columns.select("pcc_id", *DEF_COLUMNS)
+
     counts = valid.join(copied.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")), "product_id", "left").select(
         "product_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("inserted_count")
     )
     rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "product_id", "reason")
-    return Published(products, columns.select("pcc_id", *DEF_COLUMNS), counts, rejects)
+    return Published(products=lambda: products, columns=definitions, counts=lambda: counts, rejects=lambda: rejects)
 
 
 def delete_drafts(db: Tables, requests: DataFrame) -> Drafts:
@@ -257,9 +290,9 @@ def delete_drafts(db: Tables, requests: DataFrame) -> Drafts:
         "request_id", "product_id", F.lit("not_a_draft").alias("reason")
     )
     return Drafts(
-        db.products.join(valid, "product_id", "left_anti"),
-        db.draft_product_custom_column_def.join(valid, "product_id", "left_anti"),
-        rejects,
+        products=lambda: db.products.join(valid, "product_id", "left_anti"),
+        columns=lambda: db.draft_product_custom_column_def.join(valid, "product_id", "left_anti"),
+        rejects=lambda: rejects,
     )
 
 

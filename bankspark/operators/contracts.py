@@ -164,16 +164,16 @@ def _lines(parts: _Parts) -> DataFrame:
 
 
 def contract_documents(
-    db: Tables, as_of: dt.date, instances: DataFrame | None = None, bank_name: str = dims.BANK_NAME, page_size: int = 1000
+    db: Tables, as_of: dt.date, instances: DataFrame | None = None, bank_name: str = dims.BANK_NAME, page_size: int | None = None
 ) -> DataFrame:
     """Contracts as documents: (product_uid, part_no, contents array of elements).
 
-    Paragraphs never leave the row of their contract; only table rows are gathered. A contract is
-    one part unless a table has more than ``page_size`` rows: then documents are put together from
-    lines, and long tables go on in further table elements and further parts.
+    Paragraphs never leave the row of their contract; only table rows are gathered. A contract is one
+    document. With ``page_size``, a contract whose table has more rows than that is put together from
+    lines instead, and long tables go on in further table elements and further parts.
     """
     parts = _parts(db, as_of, instances, bank_name)
-    if has_large_group(parts.table_rows, ["product_uid"], page_size):
+    if page_size is not None and has_large_group(parts.table_rows, ["product_uid"], page_size):
         return documents_from_lines(_lines(parts), page_size)
     row = F.struct("row_no", F.array("label", "value").alias("row"))
     tables = parts.table_rows.groupBy("product_uid").agg(F.sort_array(F.collect_list(row)).alias("rows"))
@@ -247,9 +247,16 @@ def render_contracts(
 
 
 def store_contracts(db: Tables, rendered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New contract rows with keys, and all instances with the key of their new contract."""
-    contracts = append_with_ids(db.contracts, rendered, "contract_id", ["product_uid", "part_no"])
-    first = contracts.groupBy("product_uid").agg(F.min("contract_id").alias("_new_contract"))
+    """New contract rows with keys, and all instances with the key of their new contract.
+
+    An instance has one contract: parts of a document are put together again, in order.
+    """
+    text = F.substr("unsigned_contract", F.lit(2), F.length("unsigned_contract") - 2)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("part_no", text.alias("text")))), lambda p: p["text"])
+    whole = rendered.groupBy("product_uid").agg(
+        F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")).alias("unsigned_contract"))
+    contracts = append_with_ids(db.contracts, whole, "contract_id", ["product_uid"])
+    first = contracts.select("product_uid", F.col("contract_id").alias("_new_contract"))
     instances = db.product_instances.join(first, "product_uid", "left").select(*[
         F.coalesce("_new_contract", "contract_id").alias(c) if c == "contract_id" else F.col(c)
         for c in db.product_instances.columns

@@ -254,11 +254,10 @@ def status_timeline(db: Tables, viewer_role: str = "E") -> DataFrame:
     )
 
 
-def instance_nested(db: Tables, viewer_role: str = "U", page_size: int = 1000) -> DataFrame:
-    """Status history of each instance as one ordered array, in pages of ``page_size`` changes.
+def instance_nested(db: Tables, viewer_role: str = "U", page_size: int | None = None) -> DataFrame:
+    """Status history of each instance as one ordered array: one row per instance.
 
-    Nearly every instance has page 0 only. A very long history goes on in further pages, so no task
-    builds an unbounded array.
+    With ``page_size`` a history goes on in further rows after so many changes, numbered by ``page_no``.
     """
     timeline = status_timeline(db, viewer_role).select(
         "product_uid", "update_dt", "prime_uid", "is_code", "status_name", "update_user", "note", "public_yn"
@@ -268,7 +267,7 @@ def instance_nested(db: Tables, viewer_role: str = "U", page_size: int = 1000) -
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("statuses"))
 
 
-def attributes_nested(db: Tables, viewer_role: str = "U", page_size: int = 1000) -> DataFrame:
+def attributes_nested(db: Tables, viewer_role: str = "U", page_size: int | None = None) -> DataFrame:
     """Attribute rows of each instance as one ordered array, paged like the history."""
     from bankspark.operators.attributes import attribute_rows
 

@@ -66,7 +66,7 @@ def client_actions(db: Tables) -> DataFrame:
 def _next_map() -> Column:
     pairs = []
     for origin, targets in dims.NEXT_STATUS.items():
-        pairs += [F.lit(origin), F.array(*[F.lit(t) for t in targets.split()])]
+        pairs += [F.lit(origin), F.array(*[F.lit(t) for t in targets])]
     return F.create_map(*pairs)
 
 
@@ -82,6 +82,7 @@ class StatusChanges:
     audit: DataFrame  # one row per accepted change
     rejects: DataFrame  # request_id, product_uid, reason
     to_contract: DataFrame  # product_uid of newly approved instances
+    stamps: DataFrame  # application_id, approved_yn, approved_by, approval_dt of decided applications
 
 
 def _edge(status: Column, target: Column) -> Column:
@@ -284,10 +285,12 @@ def apply_status_changes(
         ),
         rejects=decisions.filter(~F.col("ok")).select("request_id", "product_uid", "reason"),
         to_contract=ok.filter(F.col("new_status") == "APR").select("product_uid").distinct(),
+        stamps=_stamps(db, ok),
     )
 
 
-def _stamp_applications(db: Tables, ok: DataFrame) -> DataFrame:
+def _stamps(db: Tables, ok: DataFrame) -> DataFrame:
+    """The last decision on each application."""
     decided = (
         ok.filter(F.col("new_status").isin("APR", "DEN"))
         .join(db.product_instances.select("product_uid", "application_id"), "product_uid")
@@ -296,14 +299,18 @@ def _stamp_applications(db: Tables, ok: DataFrame) -> DataFrame:
             F.struct("new_status", "update_user", "request_dt"), F.struct("request_dt", "request_id")
         ).alias("_stamp"))
     )
+    return decided.select(
+        "application_id", F.when(F.col("_stamp.new_status") == "APR", "Y").otherwise("N").alias("approved_yn"),
+        F.col("_stamp.update_user").alias("approved_by"), F.col("_stamp.request_dt").alias("approval_dt"),
+    )
+
+
+def _stamp_applications(db: Tables, ok: DataFrame) -> DataFrame:
+    columns = ["approved_yn", "approved_by", "approval_dt"]
+    decided = _stamps(db, ok).select("application_id", F.struct(*columns).alias("_stamp"))
     stamped = F.col("_stamp").isNotNull()
-    new_values = {
-        "approved_yn": F.when(F.col("_stamp.new_status") == "APR", "Y").otherwise("N"),
-        "approved_by": F.col("_stamp.update_user"),
-        "approval_dt": F.col("_stamp.request_dt"),
-    }
     return db.applications.join(decided, "application_id", "left").select(*[
-        F.when(stamped, new_values[c]).otherwise(F.col(c)).alias(c) if c in new_values else F.col(c)
+        F.when(stamped, F.col("_stamp." + c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
         for c in db.applications.columns
     ])
 

@@ -105,14 +105,14 @@ def _last_key(target: DataFrame | None, key: str, base: int) -> Column:
 
 
 def paged(
-    df: DataFrame, keys: list[str], order: list[str], page_size: int
+    df: DataFrame, keys: list[str], order: list[str], page_size: int | None
 ) -> tuple[DataFrame, list[str]]:
     """Split the groups of ``df`` into pages of at most ``page_size`` rows in ``order``.
 
-    Gives the rows with a ``page_no`` and the grouping columns to collect by. While no group is
-    larger than a page, every row gets page 0 and nothing is shuffled.
+    Gives the rows with a ``page_no`` and the grouping columns to collect by. Without a page
+    size, or while no group is larger than a page, every row gets page 0 and nothing is shuffled.
     """
-    if not has_large_group(df, keys, page_size):
+    if page_size is None or not has_large_group(df, keys, page_size):
         return df.withColumn("page_no", F.lit(0).cast("bigint")), keys + ["page_no"]
     numbered = positions_within(df, keys, order, "_position", limit=page_size)
     page = F.floor((F.col("_position") - 1) / page_size).cast("bigint")

@@ -131,15 +131,16 @@ oracle("account_search", """
 SELECT q.request_id, a.account_id, a.first_name, a.last_name, a.email, a.phone, a.verification AS verification_code,
        v.emoji AS verification_emoji, a.account_group AS account_group_code, ag.group_name AS account_group_name
 FROM parsed q JOIN accounts a ON
+     (q.id IS NULL OR a.account_id = q.id) AND
      (len(q.names) = 0 OR (len(q.names) = 1 AND (list_contains(q.names, lower(a.first_name)) OR list_contains(q.names, lower(a.last_name))))
        OR (len(q.names) > 1 AND list_contains(q.names, lower(a.first_name)) AND list_contains(q.names, lower(a.last_name))))
  AND (q.email IS NULL OR lower(a.email) = lower(q.email)) AND (q.grp IS NULL OR upper(a.account_group) = q.grp)
  AND (q.country IS NULL OR upper(a.country_code) = q.country) AND (q.phone IS NULL OR a.phone LIKE '%' || q.phone || '%')
- AND (len(q.names) > 0 OR coalesce(q.email, q.grp, q.country, q.phone) IS NOT NULL OR a.account_id <> 1)
+ AND (len(q.names) > 0 OR coalesce(CAST(q.id AS VARCHAR), q.email, q.grp, q.country, q.phone) IS NOT NULL OR a.account_id <> 1)
 JOIN account_groups ag ON ag.group_code = a.account_group JOIN verifications v ON v.verification_status = a.verification""", r"""
 words AS (SELECT request_id, string_split_regex(trim(search_str), '\s+') AS w FROM search_requests),
-parsed AS (SELECT request_id,
-    [lower(x) FOR x IN w IF regexp_full_match(x, '[a-zA-Z0-9]+')] AS names,
+parsed AS (SELECT request_id, CASE WHEN len(w) = 1 AND regexp_full_match(w[1], '[0-9]{7}') THEN CAST(w[1] AS BIGINT) END AS id,
+    [lower(x) FOR x IN w IF regexp_full_match(x, '[a-zA-Z0-9]+') AND NOT (len(w) = 1 AND regexp_full_match(x, '[0-9]{7}'))] AS names,
     ([x FOR x IN w IF regexp_full_match(x, '[\w.]+@([\w-]+\.)+[\w-]{2,4}')])[-1] AS email,
     split_part(([x FOR x IN w IF regexp_full_match(x, 'group:[A-Z]{1,3}')])[-1], ':', 2) AS grp,
     split_part(([x FOR x IN w IF regexp_full_match(x, 'country_code:[A-Z]{1,3}')])[-1], ':', 2) AS country,
@@ -261,8 +262,8 @@ oracle("attribute_values", f"""
 SELECT v.product_uid, v.pcc_uid, d.column_name, {_PICK} AS value, v.float_value AS number
 FROM product_custom_column_values v JOIN product_custom_column_def d ON d.pcc_id = v.pcc_id WHERE d.customer_visible_yn = 'Y'""")
 oracle("attributes_wide", f"""
-SELECT product_uid, max(value) FILTER (WHERE column_name = 'Pay-off Formula') AS pay_off_formula,
-       max(value) FILTER (WHERE column_name = 'First Observation Date') AS first_observation_date,
+SELECT product_uid, max(value) FILTER (WHERE column_name = 'Return Rule') AS pay_off_formula,
+       max(value) FILTER (WHERE column_name = 'Opening Day') AS first_observation_date,
        max(value) FILTER (WHERE column_name = 'Share Class') AS share_class
 FROM (SELECT v.product_uid, d.column_name, {_PICK} AS value
       FROM product_custom_column_values v JOIN product_custom_column_def d ON d.pcc_id = v.pcc_id)
@@ -415,7 +416,11 @@ SELECT r.request_id, (SELECT max(application_id) FROM applications) + n AS appli
        CASE WHEN r.standard_yn IN ('Y', 'N') THEN r.standard_yn ELSE 'N' END AS standard_yn, r.amount_requested, r.collateral,
        greatest((SELECT max(product_uid) FROM product_instances), 299999) + n AS product_uid, r.account_id, 'APL' AS status_code,
        '' AS latest_note, 'P' AS notifications_yn
-FROM (SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM sale_requests WHERE account_id IN (SELECT account_id FROM accounts)) r""")
+FROM (SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM sale_requests WHERE account_id IN (SELECT account_id FROM accounts)
+        AND (product_id IS NULL OR product_id IN (SELECT product_id FROM products))) r""")
+oracle("sale_rejects", """
+SELECT request_id, CASE WHEN account_id IS NULL OR account_id NOT IN (SELECT account_id FROM accounts) THEN 'unknown_account' ELSE 'unknown_product' END AS reason
+FROM sale_requests WHERE account_id IS NULL OR account_id NOT IN (SELECT account_id FROM accounts) OR product_id NOT IN (SELECT product_id FROM products)""")
 oracle("init_attributes", """
 SELECT d.pcc_id, pi.product_uid, CASE WHEN d.column_type = 'integer' THEN try_cast(d.default_value AS BIGINT) END AS int_value,
        CASE WHEN d.column_type = 'float' THEN try_cast(d.default_value AS DOUBLE) END AS float_value,
@@ -570,6 +575,12 @@ free AS (SELECT i.initial, i.initial || a.c || b.c AS code, row_number() OVER (P
 ORACLES["stream_status"] = ORACLES["apply_status_fold"]
 ORACLES["stream_assigned"] = ORACLES["assigned_instances"]
 ORACLES["stream_notices"] = ORACLES["status_notifications"]
+oracle("stream_approvals", """
+SELECT pi.application_id, CASE WHEN w.new_status = 'APR' THEN 'Y' ELSE 'N' END AS approved_yn, w.update_user AS approved_by,
+       w.request_dt AS approval_dt
+FROM product_instances pi
+JOIN (SELECT * FROM walk WHERE ok AND new_status IN ('APR', 'DEN') QUALIFY n = max(n) OVER (PARTITION BY product_uid)) w
+  ON w.product_uid = pi.product_uid""", _STAFF_FOLD, recursive=True)
 oracle("stream_current_status", """
 SELECT product_uid, is_code AS status_code, update_dt FROM product_status_updates
 QUALIFY row_number() OVER (PARTITION BY product_uid ORDER BY update_dt DESC, prime_uid DESC) = 1""")

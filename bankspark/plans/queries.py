@@ -268,7 +268,7 @@ def attribute_values(db):
 
 @query
 def attributes_wide(db):
-    return attributes.attributes_wide(db, ["Pay-off Formula", "First Observation Date", "Share Class"]).toDF(
+    return attributes.attributes_wide(db, ["Return Rule", "Opening Day", "Share Class"]).toDF(
         "product_uid", "pay_off_formula", "first_observation_date", "share_class"
     )
 
@@ -432,6 +432,11 @@ def new_sales(db):
     return applied.join(held, "application_id")
 
 
+@query
+def sale_rejects(db):
+    return changes.create_sales(db, db.view("sale_requests"), AS_OF_TIME).rejects
+
+
 @query
 def init_attributes(db):
     return attributes.init_attributes(db, db.product_instances)
@@ -634,6 +639,14 @@ def stream_status(db):
     return feeds.status_stream_audit(db.spark, out)
 
 
+@query
+def stream_approvals(db):
+    requests, out = _streamed(db, "status_requests")
+    requests = feeds.deduplicated(requests, "request_id")
+    feeds.start_status_stream(db, requests, out).awaitTermination()
+    return feeds.status_stream_approvals(db, out)
+
+
 @query
 def stream_assigned(db):
     updates, out = _streamed(db, "product_status_updates")

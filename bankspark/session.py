@@ -18,6 +18,8 @@ RECOMMENDED_CONF = {
     # Plans are built from many column calls; recording the call site of each one costs more than the plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -80,36 +80,36 @@ PRODUCT_STATUSES = [
 
 # from -> statuses a request may move to
 NEXT_STATUS = {
-    "APL": "REV APR DEN AMD CNL",
-    "REV": "APR DEN AMD CNL",
-    "AMD": "AGR DIS CNL",
-    "AGR": "APR CNL",
-    "DIS": "AMD CNL",
-    "APR": "SGN CNL",
-    "SGN": "AWT CNL",
-    "AWT": "NOR CNL",
-    "NOR": "DUE EXC",
-    "EXC": "TRG NOR",
-    "TRG": "DUE",
-    "DUE": "CMP ORD",
-    "ORD": "CMP WOF",
+    "APL": ["REV", "APR", "DEN", "AMD", "CNL"],
+    "REV": ["APR", "DEN", "AMD", "CNL"],
+    "AMD": ["AGR", "DIS", "CNL"],
+    "AGR": ["APR", "CNL"],
+    "DIS": ["AMD", "CNL"],
+    "APR": ["SGN", "CNL"],
+    "SGN": ["AWT", "CNL"],
+    "AWT": ["NOR", "CNL"],
+    "NOR": ["DUE", "EXC"],
+    "EXC": ["TRG", "NOR"],
+    "TRG": ["DUE"],
+    "DUE": ["CMP", "ORD"],
+    "ORD": ["CMP", "WOF"],
 }
 
 # from -> statuses still ahead when all goes well
 PROGRESSION = {
-    "APL": "REV APR SGN AWT NOR DUE CMP",
-    "REV": "APR SGN AWT NOR DUE CMP",
-    "AMD": "AGR APR SGN AWT NOR DUE CMP",
-    "AGR": "APR SGN AWT NOR DUE CMP",
-    "DIS": "AMD AGR APR SGN AWT NOR DUE CMP",
-    "APR": "SGN AWT NOR DUE CMP",
-    "SGN": "AWT NOR DUE CMP",
-    "AWT": "NOR DUE CMP",
-    "NOR": "DUE CMP",
-    "EXC": "TRG DUE CMP",
-    "TRG": "DUE CMP",
-    "DUE": "CMP",
-    "ORD": "CMP",
+    "APL": ["REV", "APR", "SGN", "AWT", "NOR", "DUE", "CMP"],
+    "REV": ["APR", "SGN", "AWT", "NOR", "DUE", "CMP"],
+    "AMD": ["AGR", "APR", "SGN", "AWT", "NOR", "DUE", "CMP"],
+    "AGR": ["APR", "SGN", "AWT", "NOR", "DUE", "CMP"],
+    "DIS": ["AMD", "AGR", "APR", "SGN", "AWT", "NOR", "DUE", "CMP"],
+    "APR": ["SGN", "AWT", "NOR", "DUE", "CMP"],
+    "SGN": ["AWT", "NOR", "DUE", "CMP"],
+    "AWT": ["NOR", "DUE", "CMP"],
+    "NOR": ["DUE", "CMP"],
+    "EXC": ["TRG", "DUE", "CMP"],
+    "TRG": ["DUE", "CMP"],
+    "DUE": ["CMP"],
+    "ORD": ["CMP"],
 }
 
 STAFF_ROLES = ("A", "C", "E")
@@ -129,11 +129,11 @@ ATTRIBUTE_TYPES = ("integer", "float", "char", "varchar", "text", "date", "datet
 STATUS_CODES = [row[1] for row in PRODUCT_STATUSES]
 
 
-def _edge_rows(graph: dict[str, str]) -> list[tuple]:
+def _edge_rows(graph: dict[str, list[str]]) -> list[tuple]:
     return [
         (origin, target, pos)
         for origin, targets in graph.items()
-        for pos, target in enumerate(targets.split(), start=1)
+        for pos, target in enumerate(targets, start=1)
     ]
 
 

@@ -15,11 +15,11 @@ from bankspark.sources import schemas
 
 # k, name, visible, populatable, type, default, exercise, available_before
 ATTRIBUTE_TEMPLATES = [
-    (1, "Option Price (BGN)", "Y", "N", "float", None, None, None),
-    (2, "Strike Price (% Lead)", "Y", "N", "float", "3.0", None, None),
-    (3, "Pay-off Formula", "Y", "N", "varchar", "Payoff = (Actual - Strike) * Notional", None, None),
-    (4, "Volatility", "N", "N", "float", "0.327", None, None),
-    (5, "First Observation Date", "Y", "N", "date", None, "Y", "APR"),
+    (1, "Entry Fee", "Y", "N", "float", None, None, None),
+    (2, "Lead Over Index", "Y", "N", "float", "2.75", None, None),
+    (3, "Return Rule", "Y", "N", "varchar", "half of what the index gains", None, None),
+    (4, "Swing", "N", "N", "float", "0.418", None, None),
+    (5, "Opening Day", "Y", "N", "date", None, "Y", "APR"),
     (6, "Lot Size", "Y", "Y", "integer", "12abc", None, None),
     (7, "Settlement Time", "Y", "N", "datetime", "2024-06-01 12:30:00", None, None),
     (8, "Share Class", "N", "Y", "char", "A", None, None),
@@ -181,7 +181,8 @@ VIEWS: dict[str, str] = {
         FROM @orders@""",
     "search_requests": """
         SELECT s_suppkey AS request_id,
-               CASE s_suppkey % 8
+               CASE s_suppkey % 9
+                    WHEN 8 THEN ' ' || right(s_name, 7)
                     WHEN 0 THEN right(s_name, 9)
                     WHEN 1 THEN 'CUSTOMER ' || right(s_name, 9)
                     WHEN 2 THEN 'Customer.' || right(s_name, 9) || '@BANK.test'

@@ -55,7 +55,8 @@ def start_status_stream(
 
     Each batch is decided by the batch operator, in time order inside the batch, on the state the
     batches before left. A request that arrives late is decided when it arrives, as a clerk would.
-    Writes ``requests``, ``audit``, ``rejects`` and the ``changed`` instances of every batch under
+    Writes ``requests``, ``audit``, ``rejects``, the ``changed`` instances, the ``stamps`` of decided
+    applications, the instances ``to_contract`` and the ``messages`` of every batch under
     ``out``, and the whole ``instances`` only every ``snapshot_every`` batches, so the usual batch
     writes no more than it changes.
     """
@@ -64,11 +65,17 @@ def start_status_stream(
     def decide(batch: DataFrame, batch_id: int) -> None:
         # Staged first: the operator then runs in the main session, with adaptive execution.
         staged = spark.read.parquet(write_snapshot(batch, f"{out}/requests", batch_id))
-        current = _instances_before(db, out, batch_id)
+        # Only the instances that the batch names go into the decisions.
+        named = staged.select("product_uid").distinct()
+        current = _instances_before(db, out, batch_id).join(named, "product_uid", "left_semi")
         changes = lifecycle.apply_status_changes(db.replace(product_instances=current), staged, materialize=True)
         write_snapshot(changes.audit, f"{out}/audit", batch_id)
         write_snapshot(changes.rejects, f"{out}/rejects", batch_id)
         write_snapshot(changes.changed, f"{out}/changed", batch_id)
+        write_snapshot(changes.stamps, f"{out}/stamps", batch_id)
+        write_snapshot(changes.to_contract, f"{out}/to_contract", batch_id)
+        accepted = changes.audit.withColumnRenamed("request_id", "change_id")
+        write_snapshot(notices.status_notifications(db, accepted), f"{out}/messages", batch_id)
         if (batch_id + 1) % snapshot_every == 0:
             write_snapshot(_instances_before(db, out, batch_id + 1), f"{out}/instances", batch_id)
 
@@ -103,6 +110,13 @@ def status_stream_rejects(spark: SparkSession, out: str) -> DataFrame:
     return _read_versions(spark, f"{out}/rejects")
 
 
+def status_stream_approvals(db: Tables, out: str) -> DataFrame:
+    """The last decision on each application that the stream has decided on."""
+    stamps = _read_versions(db.spark, f"{out}/stamps")
+    last = F.max_by(F.struct("approved_yn", "approved_by", "approval_dt"), "approval_dt").alias("_last")
+    return stamps.groupBy("application_id").agg(last).select("application_id", "_last.*")
+
+
 def status_stream_instances(db: Tables, out: str) -> DataFrame:
     """All instances as the stream has left them."""
     last = latest_version(db.spark, f"{out}/changed")
@@ -138,10 +152,10 @@ def start_current_status(updates: DataFrame, out: str, available_now: bool = Tru
     """Current status of each instance from a feed of logged changes.
 
     A change older than the newest one seen does not alter the current status; it is still in the
-    log. Repeated log keys are dropped.
+    log. A repeated log key changes nothing, since the newest change is a maximum.
     """
     newest = F.max(F.struct("update_dt", "prime_uid", "is_code", "update_user")).alias("newest")
-    current = deduplicated(updates, "prime_uid").groupBy("product_uid").agg(newest)
+    current = updates.groupBy("product_uid").agg(newest)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         write_snapshot(batch, f"{out}/current", batch_id)

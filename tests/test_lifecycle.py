@@ -35,7 +35,7 @@ def by_hand(instances, requests, accepted=None):
             out[rid] = (None, False, "unknown_instance", None)
             continue
         was, old_note = state[uid]
-        if new not in dims.NEXT_STATUS.get(was, "").split():
+        if new not in dims.NEXT_STATUS.get(was, []):
             out[rid] = (was, False, "transition_not_allowed", None)
         elif accepted and new not in accepted:
             out[rid] = (was, False, "not_a_client_action", None)
@@ -105,8 +105,8 @@ def test_graph_is_complete(spark):
     ends = set(dims.STATUS_CODES) - set(dims.NEXT_STATUS)
     assert ends == {"CNL", "CMP", "WOF", "DEN"}
     for graph in (dims.NEXT_STATUS, dims.PROGRESSION):
-        assert all(t in dims.STATUS_CODES for targets in graph.values() for t in targets.split())
-    assert all(path.split()[-1] == "CMP" for path in dims.PROGRESSION.values())
+        assert all(t in dims.STATUS_CODES for targets in graph.values() for t in targets)
+    assert all(path[-1] == "CMP" for path in dims.PROGRESSION.values())
 
 
 def night_bank(spark, frame, rows):
