@@ -662,6 +662,13 @@ checked AS (SELECT r.*, CASE WHEN pi.product_uid IS NULL THEN 'unknown_instance'
   FROM sign_requests r LEFT JOIN product_instances pi ON pi.product_uid = r.product_uid LEFT JOIN accounts ac ON ac.account_id = r.account_id),
 signed AS (SELECT *, row_number() OVER (PARTITION BY product_uid ORDER BY request_id) AS n FROM checked WHERE reason IS NULL)"""
 oracle("sign_contracts", "SELECT product_uid, 'SGN' AS was_status, 'AWT' AS is_code, account_id AS update_user FROM signed WHERE n = 1", _SIGN)
+oracle("effective_contracts", """
+SELECT f.product_uid, count(*) AS n_elements,
+       max(CASE WHEN s.product_uid IS NULL THEN 'Borrower''s Signature: ___________________'
+                ELSE 'Borrower''s Signature: ' || a.first_name || ' ' || a.last_name || ' [digitally signed]' END) AS signature_line,
+       max(CASE WHEN s.product_uid IS NULL THEN 'Date: _______________' ELSE 'Date: January 15, 2024' END) AS date_line
+FROM filled f LEFT JOIN (SELECT * FROM signed WHERE n = 1) s ON s.product_uid = f.product_uid
+LEFT JOIN accounts a ON a.account_id = s.account_id GROUP BY f.product_uid""", _LINES + "," + _SIGN)
 oracle("sign_rejects", """
 SELECT request_id, product_uid, reason FROM checked WHERE reason IS NOT NULL
 UNION ALL SELECT request_id, product_uid, 'status_not_for_signing' FROM signed WHERE n > 1""", _SIGN)

@@ -12,6 +12,7 @@ from bankspark.functions import columns as C
 from bankspark.operators import accounts, attributes, catalog, changes, contracts, instances, lifecycle, notices
 from bankspark.operators.ordering import append_with_ids
 from bankspark.session import shared_dir, tune
+from bankspark.sources import schemas
 from bankspark.sources.tables import MappedTables
 from bankspark.streaming import feeds
 
@@ -615,6 +616,24 @@ def sign_contracts(db):
     )
 
 
+@query
+def effective_contracts(db):
+    """Contracts stored, signed and read back: the text that counts of each, by its length and last lines."""
+    none = db.spark.createDataFrame([], schemas.TABLES["contracts"])
+    # No contract is stored before, so the instances hold none.
+    open_ones = db.product_instances.withColumn("contract_id", F.lit(None).cast("bigint"))
+    before = db.replace(contracts=none, product_instances=open_ones)
+    new, held = contracts.store_contracts(before, contracts.render_contracts(db, AS_OF))
+    stored = db.replace(contracts=new, product_instances=held)
+    signed = contracts.sign_contracts(stored, db.view("sign_requests"), AS_OF_TIME).contracts
+    text = contracts.effective_contract(signed)
+    back = contracts.contract_from_json(F.col("contract"))
+    return held.select("product_uid", "contract_id").join(text, "contract_id").select(
+        "product_uid", F.size(back).cast("bigint").alias("n_elements"),
+        F.element_at(back, -2)["text"].alias("signature_line"), F.element_at(back, -1)["text"].alias("date_line"),
+    )
+
+
 @query
 def sign_rejects(db):
     return contracts.sign_contracts(db, db.view("sign_requests"), AS_OF_TIME).rejects

@@ -227,7 +227,10 @@ class MappedTables(_Dimensions):
         other._frames.update(self._frames)
         other._dims.update(self._dims)
         for name, df in tables.items():
-            (other._dims if name in dims.DIMENSION_NAMES else other._frames)[name] = df
+            if name in schemas.TABLES and name not in mapping.VIEWS and name not in dims.DIMENSION_NAMES:
+                setattr(other, name, df)  # a table that the test data cannot give
+            else:
+                (other._dims if name in dims.DIMENSION_NAMES else other._frames)[name] = df
         return other
 
     @cached_property

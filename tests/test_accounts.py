@@ -108,3 +108,13 @@ def test_latest_account_by_name(frame):
     rows = frame("account_id BIGINT, first_name STRING, last_name STRING", [(1, "a", "b"), (7, "a", "b"), (3, "a", "c")])
     got = {(r.first_name, r.last_name): r.account_id for r in accounts.latest_account_by_name(rows).collect()}
     assert got == {("a", "b"): 7, ("a", "c"): 3}
+
+
+def test_seven_digits_are_an_account_id(spark, frame):
+    db = Tables(spark, accounts=table(frame, "accounts", [
+        {"account_id": 2000005, "first_name": "Ann", "last_name": "Lee", "account_group": "FTC", "verification": "Y"},
+        {"account_id": 7, "first_name": "2000005", "last_name": "Lee", "account_group": "FTC", "verification": "Y"},
+    ]))
+    asked = frame("request_id BIGINT, search_str STRING", [(1, " 2000005 "), (2, "0000007"), (3, "2000005 Lee"), (4, "200000")])
+    got = {(r.request_id, r.account_id) for r in accounts.search_accounts(db, asked).collect()}
+    assert got == {(1, 2000005), (2, 7), (3, 7)}

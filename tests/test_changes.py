@@ -235,3 +235,23 @@ def test_catalogue_edges(spark, frame):
     db = db.replace(product_custom_column_def=table(frame, "product_custom_column_def", []), draft_product_custom_column_def=table(frame, "draft_product_custom_column_def", []))
     assert ids(catalog.product_detail(db)) == [1, 2, 3, 4, 5]
     assert ids(catalog.product_detail(db, "U", 3)) == [1, 2, 3, 4, 5, 6]
+
+
+def test_sale_of_an_unknown_product_is_refused(spark, frame):
+    db = Tables(
+        spark, accounts=table(frame, "accounts", [{"account_id": 1}]), products=table(frame, "products", [{"product_id": 5}]),
+        applications=table(frame, "applications", []), product_instances=table(frame, "product_instances", []),
+    )
+    asked = frame(
+        "request_id BIGINT, account_id BIGINT, product_id BIGINT, standard_yn STRING, amount_requested DOUBLE, special_notes STRING, collateral STRING",
+        [(1, 1, 5, "Y", 1.0, None, None), (2, 1, 6, "Y", 1.0, None, None), (3, 2, 5, "Y", 1.0, None, None)],
+    )
+    sales = changes.create_sales(db, asked, dt.datetime(2024, 1, 1))
+    assert [r.request_id for r in sales.applications.collect()] == [1]
+    assert {(r.request_id, r.reason) for r in sales.rejects.collect()} == {(2, "unknown_product"), (3, "unknown_account")}
+
+
+def test_results_are_put_together_on_demand():
+    made = []
+    drafts = changes.Drafts(products=lambda: made.append("products") or 1, columns=lambda: made.append("columns") or 2, rejects=lambda: 3)
+    assert drafts.products == 1 and drafts.products == 1 and made == ["products"]

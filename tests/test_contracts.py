@@ -98,3 +98,24 @@ def test_signing(spark, frame):
     text = {r.contract_id: json.loads(r.contract) for r in contracts.effective_contract(done.contracts).collect()}
     assert text[11][-2:] == ["Borrower's Signature: Ann Lee [digitally signed]", "Date: March 07, 2024"] and len(text[11]) == 13
     assert text[12][-1] == "Date: _______________"
+
+
+def test_parts_make_one_contract(spark, frame):
+    """A contract of many parts is stored under one id, signed at its end and read back whole."""
+    db = bank(spark, frame)
+    parts = contracts.contract_documents(db, DAY, page_size=1)
+    assert parts.groupBy("product_uid").count().agg(F.max("count")).first()[0] > 2
+    rendered = parts.select("product_uid", "part_no", contracts.contract_to_json(F.col("contents")).alias("unsigned_contract"))
+    stored, held = contracts.store_contracts(db.replace(contracts=table(frame, "contracts", [])), rendered)
+    ids = {r.product_uid: r.contract_id for r in held.collect()}
+    assert stored.count() == len({i for i in ids.values() if i is not None and i < 5})
+    asked = frame("request_id BIGINT, product_uid BIGINT, account_id BIGINT", [(1, 1, 8)])
+    done = contracts.sign_contracts(db.replace(contracts=stored, product_instances=held), asked, dt.datetime(2024, 3, 7, 9))
+    text = {r.contract_id: json.loads(r.contract) for r in contracts.effective_contract(done.contracts).collect()}
+    elements = {r.product_uid: sum(len(p.contents) for p in parts.collect() if p.product_uid == r.product_uid) for r in parts.collect()}
+    assert len(text[ids[1]]) == elements[1]
+    assert text[ids[1]][-2:] == ["Borrower's Signature: Ann Lee [digitally signed]", "Date: March 07, 2024"]
+    for uid in elements:
+        assert len(text[ids[uid]]) == elements[uid]
+        if uid != 1:
+            assert text[ids[uid]][-1] == "Date: _______________"
