@@ -11,7 +11,7 @@ from bankspark.llm.decontamination import contaminated
 from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
 from bankspark.llm.secrets import BASE, find_secrets, written
-from bankspark.llm.store import new_folder
+from bankspark.llm.store import new_folder, reach_package
 from bankspark.llm.token_counts import token_counts, write_flat
 from bankspark.llm.token_files import read_tokens, token_rows, write_tokens
 from bankspark.llm.topk import top_k, whole_vectors
@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

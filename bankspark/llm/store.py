@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
+from pathlib import Path
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,18 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, as on one machine or a shared folder.
+
+    On a cluster without that, the package is given with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}
