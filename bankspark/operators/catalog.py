@@ -128,8 +128,8 @@ def product_detail(db: Tables, viewer_role: str = "U", viewer_id: int | None = N
         )
     )
     return p.join(attributes, ["product_id", "draft_yn"], "left").select(
-        "product_id", "category_id", "category_name", "name", "description", "currency", "term", "percentage",
-        "monetary_amount", "available_from", "available_till", "picture_name", "draft_yn", "draft_owner",
+        "product_id", "category_id", "category_name", "name", "description", "terms_and_conditions", "currency", "term",
+        "percentage", "percentage_label", "monetary_amount", "mon_amt_label", "available_from", "available_till", "picture_name", "draft_yn", "draft_owner",
         "attr_id", "column_name", "customer_visible_yn", "customer_populatable_yn", "column_type",
         "default_value", "exercise_date_yn", "available_before",
     )

@@ -74,7 +74,7 @@ SELECT product_id, CAST(term AS VARCHAR) || ' month(s)' AS term, percentage_labe
 FROM products""")
 
 _DETAIL = """
-SELECT p.product_id, p.category_id, pc.category_name, p.name, p.description, p.currency, p.term, p.percentage,
+SELECT p.product_id, p.category_id, pc.category_name, p.name, p.description, p.terms_and_conditions, p.percentage_label, p.mon_amt_label, p.currency, p.term, p.percentage,
        p.monetary_amount, p.available_from, p.available_till, coalesce(p.picture_name, p.category_id) AS picture_name,
        p.draft_yn, p.draft_owner, a.attr_id, a.column_name, a.customer_visible_yn, a.customer_populatable_yn,
        a.column_type, a.default_value, a.exercise_date_yn, a.available_before
@@ -569,6 +569,19 @@ chars AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '')
 free AS (SELECT i.initial, i.initial || a.c || b.c AS code, row_number() OVER (PARTITION BY i.initial ORDER BY a.c || b.c) AS n
   FROM (SELECT DISTINCT initial FROM losers) i CROSS JOIN chars a CROSS JOIN chars b
   WHERE i.initial || a.c || b.c NOT IN (SELECT category_id FROM product_categories) AND i.initial || a.c || b.c NOT IN (SELECT code FROM winners))""")
+_CODED = ORACLES["category_codes"].split("SELECT request_id, code AS category_id FROM winners")[0]
+ORACLES["create_categories"] = _CODED + """
+SELECT q.request_id, c.category_id, q.category_name, q.description, CASE WHEN q.catalog_yn = 'Y' THEN 'Y' ELSE 'N' END AS catalog_yn
+FROM category_requests q JOIN (
+  SELECT request_id, code AS category_id FROM winners
+  UNION ALL
+  SELECT l.request_id, f.code FROM losers l JOIN free f ON f.initial = l.initial AND f.n = l.n) c ON c.request_id = q.request_id
+WHERE c.category_id IS NOT NULL"""
+oracle("create_subcategories", """
+SELECT request_id, category_id, subcategory_name,
+       CASE WHEN catalog_yn = 'Y' THEN 'Y' ELSE 'N' END AS catalog_yn,
+       (SELECT max(subcategory_id) FROM product_subcategories) + row_number() OVER (ORDER BY request_id) AS subcategory_id
+FROM new_subcategory_requests WHERE category_id IN (SELECT category_id FROM product_categories)""")
 
 # --- streams: the same rows as their batch twins ------------------------------------------------
 

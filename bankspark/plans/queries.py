@@ -572,6 +572,17 @@ def category_codes(db):
     return changes.assign_category_codes(db, db.view("category_requests"))
 
 
+@query
+def create_categories(db):
+    return changes.create_categories(db, db.view("category_requests")).categories
+
+
+@query
+def create_subcategories(db):
+    new, _ = changes.create_subcategories(db, db.view("new_subcategory_requests"))
+    return new.select("request_id", "category_id", "subcategory_name", "catalog_yn", "subcategory_id")
+
+
 # --- contracts ---------------------------------------------------------------------------------
 
 

@@ -262,7 +262,14 @@ VIEWS: dict[str, str] = {
                column_type, default_value, exercise_date_yn, available_before
         FROM @draft_product_custom_column_def@""",
     "category_requests": """
-        SELECT p_partkey AS request_id, upper(p_name) AS category_id FROM @part@""",
+        SELECT p_partkey AS request_id, upper(p_name) AS category_id, p_name AS category_name, p_type AS description,
+               CASE p_size % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'yes' END AS catalog_yn
+        FROM @part@""",
+    "new_subcategory_requests": """
+        SELECT p_partkey AS request_id, CASE p_partkey % 5 WHEN 0 THEN 'XXX' WHEN 1 THEN 'LON' ELSE 'DER' END AS category_id,
+               p_name AS subcategory_name, p_type AS subcategory_description,
+               CASE p_size % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'yes' END AS catalog_yn
+        FROM @part@""",
     "subcategory_requests": """
         SELECT DISTINCT CAST(1 + p_size % 9 AS BIGINT) AS subcategory_id FROM @part@""",
     "sign_requests": """
