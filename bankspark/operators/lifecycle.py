@@ -17,9 +17,9 @@ from bankspark.session import checkpointed
 from bankspark.sources import dims
 from bankspark.sources.tables import Tables
 
-# Requests of one instance that one task folds at a time. Longer histories are folded in pieces,
-# with the same result.
-FOLD_LIMIT = 1000
+# Requests of one instance that are folded in one array. Longer histories are folded in pieces, with the same
+# result. The fold copies its output at each request, so pieces are small: the work then grows with the requests.
+FOLD_LIMIT = 100
 
 _OUT = (
     "array<struct<request_dt: timestamp_ntz, request_id: bigint, was: string, new_status: string, "
