@@ -94,8 +94,12 @@ def load_tables_jdbc(
     """The same tables from a relational database.
 
     ``split_on`` gives (key column, lowest, highest, number of reads) per table, so that a big
-    table arrives in parallel slices instead of through one connection.
+    table arrives in parallel slices. It is needed for every table that grows; one connection
+    reads only the code lists.
     """
+    missing = [name for name in schemas.TABLES if name not in dims.DIMENSION_NAMES and name not in (split_on or {})]
+    if missing:
+        raise ValueError("split_on is needed for " + ", ".join(missing))
     found = {}
     for name in schemas.TABLES:
         if split_on and name in split_on:

@@ -53,3 +53,12 @@ def test_menu(spark, tmp_path):
 
 def test_shared_dir_is_kept(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_growing_tables_are_not_read_through_one_connection(spark):
+    import pytest
+
+    from bankspark.sources.tables import load_tables_jdbc
+
+    with pytest.raises(ValueError, match="accounts.*product_instances"):
+        load_tables_jdbc(spark, "jdbc:none", {}, {"contracts": ("contract_id", 1, 10, 2)})
