@@ -17,7 +17,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 DEFAULT_FILE, END_ID = "word_bpe_49k.json", 2
 # Words and pieces that a task remembers, some 200 bytes each.
-REMEMBERED = 600_000
+WORDS_KEPT, PIECES_KEPT = 500_000, 300_000
 _MARKS = frozenset(".,;:!?")
 
 
@@ -47,7 +47,7 @@ class WordEncoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
+        if len(known) > WORDS_KEPT:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.word(w.decode("utf-8", "replace"))
@@ -67,7 +67,7 @@ class WordEncoder:
         return b"".join([self.parts.get(p) or self.part(p) for p in self.pieces.findall(word.lower())])
 
     def part(self, piece: str) -> bytes:
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > PIECES_KEPT:
             self.parts.clear()
         # Letters of ASCII stand for their own bytes.
         plain = piece.isascii() and piece.isalpha()

@@ -27,7 +27,7 @@ FEATURES, LEAST_TEXTS, LEAST_Z, STEPS, RATE = 2048, 4, 3, 600, 0.02
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 300_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -173,10 +173,11 @@ class Scorer:
     def __init__(self, model: Classifier):
         self.bias = model.bias
         self.by_feature = {int(f): float(w) for f, w in zip(model.features, model.weights) if w}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
-    def of_word(self, word: str) -> list[int]:
-        found = [f for f in word_features(word) if f in self.by_feature]
+    def of_word(self, word: str) -> tuple[int, ...]:
+        # Nearly all words have none; the empty tuple takes no room.
+        found = tuple(f for f in word_features(word) if f in self.by_feature)
         if len(self.words) >= _CACHED_WORDS:
             self.words.clear()
         self.words[word] = found
