@@ -18,6 +18,7 @@ from bankspark.session import build_session
 HEADLINES = [
     "product_cards", "assigned_instances", "status_timeline", "nightly_status", "init_attributes", "apply_status_fold",
     "account_search", "attribute_values", "contract_facts", "append_ids", "patch_instances", "status_notifications",
+    "contract_text", "contract_json_roundtrip", "instance_nested", "clone_products", "stream_status",
 ]
 
 
