@@ -24,6 +24,9 @@ VOCABULARY = 2047
 FROM_WORD, EVEN = 50.0, 1.0
 COUNTED_AT_ONCE = 300_000
 
+# Up to so many ids (8 bytes each) are broadcast to pick the target texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
 
@@ -106,6 +109,14 @@ def _table(rows: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is one of ``ids``."""
+    ids = ids.select("doc_id").filter("doc_id is not null").distinct()
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``.
 

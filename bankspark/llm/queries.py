@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bankspark.llm.cross_entropy import cross_entropy_difference
+from bankspark.llm.cross_entropy import cross_entropy_difference, texts_of
 from bankspark.llm.decontamination import contaminated
 from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
@@ -29,8 +29,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of good quality, by the labels, are the target."""
     documents = _table(spark, sf_dir, "documents")
-    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-    return cross_entropy_difference(documents, documents.join(good, "doc_id", "left_semi"))
+    good = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy_difference(documents, texts_of(documents, good))
 
 
 def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
