@@ -2,15 +2,16 @@
 
 Each of ``TREES`` sorted orders arranges the signatures by ``DEPTH`` hash values of its own. Documents that
 share the first ``LEAST_DEPTH`` values form a region of that order. Small regions are compared whole; in
-larger ones each document meets its neighbours in sorted order, which share the longest prefixes with it, so
-the depth follows the density of the region. Candidates are confirmed on their full shingle sets.
+larger ones each document first meets its neighbours in sorted order, which share the longest prefixes with
+it, so the depth follows the density of the region. What stays unconnected in a larger region is then compared
+whole too, in pairs of blocks over many tasks. Candidates are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from bankspark.llm.components import components
@@ -18,8 +19,12 @@ from bankspark.llm.store import new_folder, stored, unused
 from bankspark.llm.words import ascii_words, distinct, shingle_hashes, slices, texts, word_hashes
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 2
-# Documents of a region that are compared whole, and the width of the sliding view over larger regions.
+# Documents of a region that are compared whole at once, and the width of the sliding view over larger regions.
 REGION = 64
+# Larger regions are compared whole afterwards, in blocks of about so many nodes, a task per pair of blocks; the
+# links of the first orders are counted in before the next are compared, so a text that links many is met early.
+BLOCK, TILE = 2048, 256
+CROSSED_TREES = (range(0, 1), range(1, 4), range(4, TREES))
 # Of so many sketch bytes, how many must agree: 5.2 standard deviations below what a pair of similarity 0.75
 # has on average, so this loses about one such pair in ten million; it only saves comparing full sets.
 NARROW, WIDE = 64, 512
@@ -210,6 +215,97 @@ def _candidates(nodes: DataFrame, pairs, width: int) -> DataFrame:
     return ordered.mapInArrow(_scan(pairs, width), "a bigint, b bigint").distinct()
 
 
+def _heads(nodes: DataFrame, trees: range = range(TREES)) -> DataFrame:
+    """The start of each node's prefix in each of the orders, with the node's label."""
+    width = 2 * DEPTH
+    each = nodes.select(F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))).alias("tree"), "node", "label", "signature")
+    return each.select("tree", F.expr(f"substring(signature, tree * {width} + 1, {2 * LEAST_DEPTH})").alias("head"), "node", "label")
+
+
+def _crowded(nodes: DataFrame, folder: str) -> DataFrame:
+    """``(tree, head, region)`` of the regions of more than REGION nodes."""
+    counted = _heads(nodes).groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REGION)
+    return stored(counted.select("tree", "head", F.monotonically_increasing_id().alias("region")), folder, "crowded")
+
+
+def _alike(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Agreeing bytes of each row of one sketch with each row of another."""
+    one, other = np.ascontiguousarray(one.T), np.ascontiguousarray(other.T)
+    total = np.zeros((one.shape[1], other.shape[1]), np.uint16)
+    for k in range(0, len(one), 255):
+        part = np.zeros(total.shape, np.uint8)
+        for x, y in zip(one[k : k + 255], other[k : k + 255]):
+            part += (x[:, None] == y[None, :]).view(np.uint8)
+        total += part
+    return total
+
+
+def _crossed(batches):
+    """All plausible unconnected pairs of each two blocks (or one with itself), which lie next to each other."""
+    def compare(rows):
+        _, low, high, side, node, size, label, sketch = rows
+        same = low[0] == high[0]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+        for i in range(0, len(left), TILE):
+            for j in range(i if same else 0, len(right), TILE):
+                a, b = left[i : i + TILE], right[j : j + TILE]
+                small, large = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
+                may = (label[a][:, None] != label[b][None, :]) & (100 * small >= 75 * large)
+                if not may.any():
+                    continue
+                x, y = np.nonzero(may & (_alike(sketch[a], sketch[b]) >= SKETCH_AGREE[WIDE]))
+                if len(x):
+                    x, y = node[a[x]], node[b[y]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    carry = None
+    for batch in batches:
+        rows = [batch.column(n).to_numpy() for n in ("region", "low", "high", "side", "node", "size", "label")]
+        rows.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDE))
+        rows = rows if carry is None else [np.concatenate(x) for x in zip(carry, rows)]
+        if not len(rows[0]):
+            continue
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)) + 1
+        for i, j in zip([0, *new[:-1]], new):
+            yield from compare([x[i:j] for x in rows])
+        carry = [x[new[-1] if len(new) else 0 :] for x in rows]
+    if carry is not None:
+        yield from compare(carry)
+
+
+def _unconnected(nodes: DataFrame, crowded: DataFrame, trees: range, folder: str) -> DataFrame | None:
+    """All plausible pairs of the crowded regions of some orders that no confirmed links connect so far.
+
+    A label of at least BLOCK nodes in a region has blocks of its own, which need not be compared with each other;
+    the other nodes share blocks. Every two blocks of a region meet.
+    """
+    rows = stored(_heads(nodes, trees).join(crowded, ["tree", "head"]).select("region", "node", "label"), folder, "rows")
+    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("region").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("loose"))
+    several = stored(several.filter("labels > 1").select("region", F.ceil(F.col("loose") / BLOCK).alias("shared")), folder, "several")
+    if several.isEmpty():
+        return None
+    before = Window.partitionBy("region").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    own = sizes.filter(F.col("n") >= BLOCK).withColumn("own", F.ceil(F.col("n") / BLOCK)).select(
+        "region", "label", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
+    own = stored(own.join(several, "region").withColumn("start", F.col("start") + F.col("shared")).drop("shared"), folder, "own")
+    last = several.join(own.groupBy("region").agg(F.sum("own").alias("more")), "region", "left").select(
+        "region", "shared", (F.col("shared") + F.coalesce("more", F.lit(0)) - 1).alias("last"))
+    draw = F.xxhash64("node", F.lit(10))
+    placed = rows.join(last, "region").join(own, ["region", "label"], "left").withColumn(
+        "block", F.when(F.col("own").isNull(), F.pmod(draw, "shared")).otherwise(F.col("start") + F.pmod(draw, "own")))
+    meets = F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))
+    others = F.col("own").isNull() | (F.col("other") < F.col("start")) | (F.col("other") >= F.col("start") + F.col("own"))
+    met = placed.withColumn("other", meets).filter(others).select(
+        "region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
+    key = ["region", "low", "high"]
+    full = met.join(nodes.select("node", "size", "label", "sketch"), "node").select(*key, "side", "node", "size", "label", "sketch")
+    ordered = full.repartition(*key).sortWithinPartitions(*key)
+    return ordered.mapInArrow(_crossed, "a bigint, b bigint").distinct()
+
+
 def _confirm(batches):
     for batch in batches:
         keep = []
@@ -247,8 +343,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id). A null, empty or blank text has no shingle and is linked with nothing. Rows without a
     doc_id link others, name no component and are never kept; repeated rows are copies and give a row each.
 
-    Equal sets are one node from the start. Rounds of few candidates per node link most copies; the last
-    round compares, in all orders, every plausible pair that is not connected yet. Two texts of similarity 0.75
+    Equal sets are one node from the start. Rounds of few candidates per node link most copies; the next
+    compares, in all orders, every plausible pair of a view that is not connected yet. Regions larger than a view
+    are then compared whole, as far as their nodes are not connected. Two texts of similarity 0.75
     share no region in any order with a probability of 2 in a million. Nodes are 64-bit hashes of the set.
     """
     spark = docs.sparkSession
@@ -263,7 +360,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         folder, "nodes",
     )
     pairs = stored(_candidates(nodes, _first_round, NARROW), folder, "first")
+    crowded = _crowded(nodes, folder)
     close = pairs.filter("a = b").select(F.col("a").alias("node"))
+    # Who is unlike its neighbours in a crowded region may be like others of it.
+    close = close.union(_heads(nodes).join(crowded, ["tree", "head"]).select("node")).distinct()
     close = stored(nodes.join(close, "node"), folder, "close")
     # A null id is as good as any here: what counts is that the text gives the node's set.
     named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), "text")
@@ -282,6 +382,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if pairs_of is not None:
             pairs = stored(_candidates(grouped, pairs_of, WIDE), folder, f"pairs-{number}")
             links = stored(confirmed(pairs, sets), folder, f"links-{number}")
+    if not crowded.isEmpty():
+        for trees in CROSSED_TREES:
+            part = f"{folder}/crossed-{trees[0]}"
+            pairs = _unconnected(grouped, crowded, trees, part)
+            if pairs is not None:
+                pairs = stored(pairs, part, "pairs")
+                grouped = _joined(grouped, stored(confirmed(pairs, sets), part, "links"), part)
     smallest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_node = grouped.select("node", "label").join(smallest, "label").select("node", "component_id")
     everything = nodes.select("node", "first_id").join(of_node, "node", "left").select(

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from bankspark.llm import near_duplicates as N
 from bankspark.llm.components import components
 from bankspark.llm.near_duplicates import near_duplicates, without_copies
 
@@ -77,6 +78,26 @@ def test_dense_group_and_copies(documents):
     assert found(near_duplicates(documents(rows))) == brute_force(rows)
 
 
+def test_hub_of_many_copies(documents, monkeypatch):
+    """Each copy is like the base only, so the base is the one link between thousands; also over several blocks."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(9000, " ".join(base)), (9001, " ".join(base[:100]))]
+    for k in range(2200):
+        words = list(base)
+        for part in range(5):
+            words[40 * part + rng.randrange(5, 35)] = f"e{k}.{part}"
+        rows.append((k, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    assert all(100 * len(sets[0] & s) >= 75 * len(sets[0] | s) for s in sets[2:])
+    rng.shuffle(rows)
+    for block in (2048, 300):
+        monkeypatch.setattr(N, "BLOCK", block, raising=False)
+        got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows)).collect()}
+        assert got.pop(9001) == 9001
+        assert len(got) == 2201 and set(got.values()) == {0}
+
+
 def test_one_of_each_group_stays(documents, odd):
     rows = odd + [(30, "one two three")]
     kept = without_copies(documents(rows))
