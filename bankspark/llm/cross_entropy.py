@@ -1,9 +1,8 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
-Both models are bigram models over one vocabulary: the most frequent words of the corpus, every other word being
-one unknown word. The target model counts the target texts, the background model all texts. A document's score
-is its loss per token under the target model minus that under the background model: the lower, the more it is
-like the target.
+Both models are bigram models over one vocabulary, all words of the corpus. The target model counts the target
+texts, the background model all texts. A document's score is its loss per token under the target model minus
+that under the background model: the lower, the more it is like the target. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -15,19 +14,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bankspark.llm.store import new_folder, stored
-from bankspark.llm.words import ascii_words, slices, texts
+from bankspark.llm.words import ascii_words, mixed, slices, texts, word_hashes
 
-# Words of the vocabulary, the unknown word besides. The models are dense tables of this size squared: two of
-# 17 MB, however large the corpus is.
-VOCABULARY = 2047
 # Weight of the word's own frequency in the estimate after a given word, and of an even spread in that.
 FROM_WORD, EVEN = 50.0, 1.0
 COUNTED_AT_ONCE = 300_000
 
-# Up to so many ids (8 bytes each) are broadcast to pick the target texts; more are joined by a shuffle.
+# Pairs that are more than one in so many of all are scored where the text is read (32 bytes each); the rest by a join.
+FREQUENT = 500_000
+# Up to so many ids or words (8 to 24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+# Losses are added up as whole numbers of this part, exact in doubles, so that the order of adding changes nothing.
+UNIT = 1 << 32
 
 SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
+_PARTS = "key bigint, doc_id bigint, n_tokens bigint, a bigint, b bigint, times bigint, target double, background double"
 
 
 def _word_counts(batches):
@@ -46,67 +47,95 @@ def _word_counts(batches):
     yield rows()
 
 
-def _numbers(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
-    """Numbers of the words, with a 0 in front: the unknown word also stands for the start of a text."""
-    out = np.zeros(len(words) + 1, np.int64)
-    out[1:] = [number.get(w, 0) for w in words]
-    return out
+def _pairs(words: list[list[bytes]], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's text, and the word before it and itself: 0 stands for the start of a text and for unknown words."""
+    hashes = word_hashes(words)
+    if known is not None:
+        hashes = np.where(np.isin(hashes, known), hashes, np.uint64(0))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    before = np.concatenate((np.zeros(1, np.uint64), hashes))[: len(hashes)]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return np.repeat(np.arange(len(words)), sizes), before.view(np.int64), hashes.view(np.int64)
 
 
-def _pairs(x: np.ndarray, width: int) -> np.ndarray:
-    """Each word with the one before it, as one number."""
-    return x[:-1] * width + x[1:]
+def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+    return [c[first] for c in columns], np.diff(first, append=len(order))
 
 
-def _pair_counts(number: dict[bytes, int], width: int):
-    """Counts of word pairs, each pair as one number; combined over what a task reads."""
+def _pair_counts(known: np.ndarray | None):
     def count(batches):
-        held = np.zeros(width**2, np.int64)
         for batch in slices(batches):
-            found = [_pairs(_numbers(ascii_words(text), number), width) for text in texts(batch.column("text"))]
-            pairs, n = np.unique(np.concatenate(found), return_counts=True)
-            held[pairs] += n
-        pairs = np.flatnonzero(held)
-        for k in range(0, len(pairs), 1 << 16):
-            some = pairs[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["pair", "n"])
+            (a, b), n = _counted(*_pairs([ascii_words(t) for t in texts(batch.column("text"))], known)[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
     return count
 
 
-def losses(counts: np.ndarray, width: int) -> np.ndarray:
-    """Loss of each word after each word, from pair counts; smoothed by the words' own frequencies."""
-    counts = counts.reshape(width, width).astype(np.float64)
-    words = counts.sum(0) + EVEN
-    words /= words.sum()
-    return -np.log((counts + FROM_WORD * words) / (counts.sum(1, keepdims=True) + FROM_WORD)).astype(np.float32)
+def _mark(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
 
 
-def _score(number: dict[bytes, int], width: int, tables):
+def _partial(known: np.ndarray | None, frequent):
+    """Per text a row of what its frequent pairs add up to, and a row for each other pair of it."""
     def score(batches):
-        target, background = (t.ravel() for t in tables.value)
+        marks, of_a, of_b, of_target, of_background = frequent.value
         for batch in slices(batches):
-            out = []
-            for text in texts(batch.column("text")):
-                x = _numbers(ascii_words(text), number)
-                pairs, n = _pairs(x, width), len(x) - 1
-                out.append((n, float(target[pairs].mean(dtype=float)), float(background[pairs].mean(dtype=float))) if n else (0, None, None))
-            n, of_target, of_background = zip(*out) if out else ([], [], [])
-            difference = [None if a is None else a - b for a, b in zip(of_target, of_background)]
+            words = [ascii_words(t) for t in texts(batch.column("text"))]
+            (row, a, b), n = _counted(*_pairs(words, known))
+            mark = _mark(a, b)
+            at = np.minimum(np.searchsorted(marks, mark), max(0, len(marks) - 1))
+            here = (of_a[at] == a) & (of_b[at] == b) if len(marks) else np.zeros(len(a), bool)
+            sums = [np.zeros(len(words)) for _ in range(2)]
+            for total, of in zip(sums, (of_target, of_background)):
+                np.add.at(total, row[here], of[at[here]] * n[here])
+            key, rest = batch.column("key").to_numpy(), ~here
+            spread = mixed(key.view(np.uint64)).view(np.int64)
+            none, no_sum = (pa.nulls(int(rest.sum()), kind) for kind in (pa.int64(), pa.float64()))
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            names = [x.split()[0] for x in _PARTS.split(", ")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(c, pa.float64()) for c in (of_target, of_background, difference)]],
-                [x.split()[0] for x in SCORES.split(", ")],
-            )
+                [pa.array(key), batch.column("doc_id"), pa.array(size), pa.array(spread), pa.array(key),
+                 pa.nulls(len(key), pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[row[rest]]), none, none, pa.array(a[rest]), pa.array(b[rest]), pa.array(n[rest]), no_sum, no_sum], names)
 
     return score
 
 
-def _table(rows: DataFrame, width: int) -> np.ndarray:
-    """Summed pair counts as a table; there are at most ``width`` squared rows."""
-    out = np.zeros(width**2, np.int64)
-    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return out
+def _with_word(pairs: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """``pairs`` with the counts of one of their words; words of very many pairs are never in one task."""
+    if words.count() <= BROADCAST_ROWS:
+        return pairs.join(F.broadcast(words), key)
+    # Fewer than BROADCAST_ROWS words can be more than one in so many of all.
+    total = words.agg(F.sum("of_pairs")).first()[0]
+    often = F.col("of_pairs") > total / BROADCAST_ROWS
+    many = F.broadcast(words.filter(often))
+    rest = pairs.join(F.broadcast(words.filter(often).select(key)), key, "left_anti").join(words.filter(~often), key)
+    return pairs.join(many, key).unionByName(rest)
+
+
+def _losses(pairs: DataFrame, width: int | None, folder: str) -> DataFrame:
+    """Loss of each word after each word under both models, in UNITs; smoothed by the words' own frequencies."""
+    per = lambda key, names: pairs.groupBy(key).agg(
+        F.sum("n").alias(names[0]), F.sum("m").alias(names[1]), F.count(F.lit(1)).alias("of_pairs"))
+    after = stored(per("a", ["n_after", "m_after"]), folder, "after")
+    into = stored(per("b", ["n_into", "m_into"]), folder, "into")
+    if width is None:
+        width = into.filter("b <> 0").count() + 1
+    total = into.agg(F.sum("n_into"), F.sum("m_into")).first()
+    rows = _with_word(_with_word(pairs, after, "a").drop("of_pairs"), into, "b")
+
+    def loss(n, n_after, n_into, all_words):
+        share = (F.col(n_into) + EVEN) / ((all_words or 0) + EVEN * width)
+        return F.rint(-F.log((F.col(n) + FROM_WORD * share) / (F.col(n_after) + FROM_WORD)) * UNIT)
+
+    return stored(rows.select(
+        "a", "b", "n", loss("m", "m_after", "m_into", total[1]).alias("target_of"),
+        loss("n", "n_after", "n_into", total[0]).alias("background_of")), folder, "losses")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -117,23 +146,42 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``.
 
     ``docs`` and ``target`` need ``doc_id`` and ``text``; other columns are left out. Vocabulary and background
     model come from all of ``docs``, the target model from all of ``target``. Words are runs without white space,
-    A-Z in lower case. A null or empty text has no tokens and null losses and score. Words of equal counts enter
-    the vocabulary in order of their bytes. Repeated rows count as often as they occur; without target texts that
-    model is even.
+    A-Z in lower case. A null or empty text has no tokens and null losses and score. With ``vocabulary`` only so
+    many most frequent words are told apart, those of equal counts in order of their bytes. Repeated rows count
+    as often as they occur; without target texts that model is even.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "cross-entropy")
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    words = named.select("text").mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    common = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    number = {bytes(r.word): k + 1 for k, r in enumerate(common)}
-    width, pairs = vocabulary + 1, "pair bigint, n bigint"
-    background = stored(named.select("text").mapInArrow(_pair_counts(number, width), pairs), folder, "background")
-    in_target = stored(target.select("text").mapInArrow(_pair_counts(number, width), pairs), folder, "target")
-    tables = spark.sparkContext.broadcast(tuple(losses(_table(t, width), width) for t in (in_target, background)))
-    return named.mapInArrow(_score(number, width, tables), SCORES)
+    rows = stored(
+        docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), folder, "rows")
+    known = None
+    if vocabulary is not None:
+        words = rows.select("text").mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        common = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+        known = word_hashes([[bytes(r.word) for r in common]])
+    counts = "a bigint, b bigint, n bigint"
+    everything = rows.select("text").mapInArrow(_pair_counts(known), counts).withColumn("m", F.lit(0).cast("bigint"))
+    in_target = target.select("text").mapInArrow(_pair_counts(known), counts).select(
+        "a", "b", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("m"))
+    pairs = everything.unionByName(in_target).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    losses = _losses(stored(pairs, folder, "pairs"), None if vocabulary is None else vocabulary + 1, folder)
+    total = losses.agg(F.sum("n")).first()[0] or 0
+    often = losses.filter(F.col("n") > total / FREQUENT).select("a", "b", "target_of", "background_of").toArrow()
+    often = [often.column(c).to_numpy() for c in often.column_names]
+    marks = _mark(*often[:2])
+    order = np.argsort(marks, kind="stable")
+    frequent = spark.sparkContext.broadcast([x[order] for x in (marks, *often)])
+    parts = rows.mapInArrow(_partial(known, frequent), _PARTS)
+    # A text's own row (without ``times``) carries its sums along.
+    joined = parts.join(losses.drop("n"), ["a", "b"], "left")
+    adds = lambda own, of: F.sum(F.coalesce(F.col("times") * F.col(of), F.col(own))).alias(own)
+    sums = joined.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), adds("target", "target_of"), adds("background", "background_of"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / UNIT / F.col("n_tokens"))
+    out = sums.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -48,6 +48,24 @@ def test_against_counting(documents, odd):
             assert g.score == pytest.approx(w[2] - w[3], abs=1e-4)
 
 
+@pytest.mark.parametrize("frequent, broadcast", [(C.__dict__.get("FREQUENT", 0), C.BROADCAST_ROWS), (3, 2)])
+def test_rare_words_count(documents, monkeypatch, frequent, broadcast):
+    """Texts that differ in rare words only, beside far more frequent ones; also by joins alone."""
+    monkeypatch.setattr(C, "FREQUENT", frequent, raising=False)
+    monkeypatch.setattr(C, "BROADCAST_ROWS", broadcast)
+    common = " ".join(f"w{k}" for k in range(2100))
+    rows = [(1, common), (2, common), (3, common), (4, "w1 good rare w2"), (5, "w1 other scarce w2"), (6, "")]
+    docs = documents(rows)
+    got = {r.doc_id: r for r in C.cross_entropy_difference(docs, docs.filter("doc_id in (1, 4)")).collect()}
+    assert got[4].score < got[5].score
+    want = brute_force([t for _, t in rows], [rows[0][1], rows[3][1]], 2104)
+    for (doc_id, _), (n, of_target, of_background) in zip(rows, want):
+        assert got[doc_id].n_tokens == n
+        if n:
+            assert got[doc_id].target_loss == pytest.approx(of_target, rel=1e-6)
+            assert got[doc_id].background_loss == pytest.approx(of_background, rel=1e-6)
+
+
 def test_empty_tables(documents, odd):
     assert C.cross_entropy_difference(documents([]), documents([])).count() == 0
     got = C.cross_entropy_difference(documents(odd), documents([])).collect()
