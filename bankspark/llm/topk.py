@@ -19,9 +19,9 @@ from bankspark.llm.store import new_folder, stored
 
 SCALE, K = 64, 20
 BLOCK, QUERIES_AT_ONCE = 4096, 512
-DEPTHS = (0.125, 0.5)
-# A query stops reading when at most so many candidates of the block are left.
-WORTH_RESOLVING = 128
+DEPTHS = (0.125, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 0.96875)
+# A query stops reading when at most so many candidates of the block are left, and at most so large a part of it.
+WORTH_RESOLVING, RESOLVED_SHARE = 128, 0.0625
 # Larger components would not give scores within 64 bits; such vectors take no part.
 LARGEST = 1 << 27
 
@@ -69,14 +69,15 @@ def search(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int = K)
     kind = _kind(queries, lists.values)
     least = -np.inf if kind is not np.int64 else np.iinfo(np.int64).min
     todo = np.arange(len(query_ids))
-    for depth in [int(n * share) for share in DEPTHS if n > 4 * WORTH_RESOLVING]:
+    worth = max(k, min(WORTH_RESOLVING, int(n * RESOLVED_SHARE)))
+    for depth in sorted({int(n * share) for share in DEPTHS if n > worth}):
         q = queries[todo].astype(kind)
         low, high = lists.bounds(depth, np.maximum(q, 0), np.minimum(q, 0))
         own = query_ids[todo][:, None] == lists.ids[None, :]
         low[own], high[own] = least, least
         reach = np.partition(low, n - k, axis=1)[:, n - k]
         may = (high >= reach[:, None]) & ~own
-        stop = may.sum(1) <= WORTH_RESOLVING
+        stop = may.sum(1) <= worth
         for row in np.flatnonzero(stop):
             left = np.flatnonzero(may[row])
             scores = lists.values[left].astype(np.int64) @ queries[todo[row]].astype(np.int64)

@@ -45,6 +45,21 @@ def test_bounds_hold_at_every_depth():
         assert (low <= exact).all() and (exact <= high).all()
 
 
+def test_bounds_stop_most_queries(monkeypatch):
+    """On vectors of even directions, in a large and a small block: few candidates are scored in full."""
+    rng = np.random.default_rng(8)
+    scored, chosen = [], T._chosen
+    monkeypatch.setattr(T, "_chosen", lambda scores, ids, k: scored.append(len(scores)) or chosen(scores, ids, k))
+    for n in (2000, 500):
+        ids = np.arange(n)
+        values = np.floor(64 * rng.normal(size=(n, 64)) / 8).astype(np.int32)
+        scored.clear()
+        got = {q: (c.tolist(), s.tolist()) for q, c, s in T.search(T.Lists(ids, values), ids[:40], values[:40])}
+        assert sum(k <= n // 16 for k in scored) >= 20
+        want = brute_force(ids.tolist(), values, range(40), 20)
+        assert [(q, r + 1, v, s) for q in range(40) for r, (v, s) in enumerate(zip(*got[q]))] == want
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0], 0, 0, 0), (0, [1.0, 2.0], 0, 0, 0), (1, [1.0], 0, 0, 0), (2, None, 0, 0, 0), (3, [None, 1.0], 0, 0, 0),
             (4, [float("nan")], 0, 0, 0), (5, [float("inf"), 0.0], 0, 0, 0), (None, [1.0, 1.0], 0, 0, 0), (7, [], 0, 0, 0),
