@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bankspark.llm.cross_entropy import cross_entropy_difference, texts_of
 from bankspark.llm.decontamination import contaminated
+from bankspark.llm.line_dedup import without_repeated_lines
 from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
 from bankspark.llm.secrets import BASE, find_secrets, written
@@ -85,6 +86,11 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_lines(documents).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_pu_toxicity": op2_pu_toxicity,
@@ -96,9 +102,29 @@ QUERIES: dict[str, Query] = {
     "op8_separator_scan": op8_separator_scan,
     "op9_splitting_tree_mix": op9_splitting_tree_mix,
     "op10_lsh_forest": op10_lsh_forest,
+    "op11_line_perfect_hash": op11_line_perfect_hash,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_line_perfect_hash": """
+        WITH texts AS (
+            SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), placed AS (
+            SELECT row, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM texts
+        ), keyed AS (
+            SELECT row, doc_id, line, place,
+                   translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM placed
+        ), repeated AS (
+            SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10
+        ), marked AS (
+            SELECT k.*, r.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN repeated r ON k.key = r.key
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY row, doc_id
+    """,
     "op5_nra_topk": """
         WITH vectors AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
