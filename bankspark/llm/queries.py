@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bankspark.llm.cross_entropy import cross_entropy_difference, texts_of
 from bankspark.llm.decontamination import contaminated
 from bankspark.llm.line_dedup import without_repeated_lines
+from bankspark.llm.merkle import leaf, manifest
 from bankspark.llm.mixture import mixture
 from bankspark.llm.near_duplicates import near_duplicates
 from bankspark.llm.secrets import BASE, find_secrets, written
@@ -91,6 +92,12 @@ def op11_line_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(documents).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose number has an even checksum are folded without the line feeds of their text."""
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return manifest(_table(spark, sf_dir, "documents"), F.when(even, leaf(F.replace("text", F.lit("\n"), F.lit("")))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_pu_toxicity": op2_pu_toxicity,
@@ -103,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op9_splitting_tree_mix": op9_splitting_tree_mix,
     "op10_lsh_forest": op10_lsh_forest,
     "op11_line_perfect_hash": op11_line_perfect_hash,
+    "op12_midstate_manifest": op12_midstate_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -125,6 +133,64 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY row, doc_id
     """,
+    "op12_midstate_manifest": """
+        WITH RECURSIVE checks AS (
+            SELECT doc_id, ~list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                   lambda crc, c: list_reduce(list_prepend(xor(crc, c), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                          lambda x, turn: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) & 1 = 0 AS even
+            FROM documents
+        ), fields AS (
+            SELECT d.doc_id, source, even,
+                   coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || CAST(d.doc_id AS VARCHAR), '-')
+                   || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS start,
+                   coalesce(strlen(text) || ':' || text, '-') AS whole,
+                   coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS cut
+            FROM documents d JOIN checks c ON d.doc_id = c.doc_id
+        ), sources AS (
+            SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS part FROM (SELECT DISTINCT source FROM fields)
+        ), leaves AS (
+            SELECT doc_id, part, sha256(start || whole) AS leaf, CASE WHEN even THEN sha256(start || cut) ELSE sha256(start || whole) END AS now,
+                   row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS place
+            FROM fields f JOIN sources s ON f.source IS NOT DISTINCT FROM s.source
+        ), tree AS (
+            SELECT 0 AS level, part, place, leaf AS digest, count(*) OVER (PARTITION BY part) AS total FROM leaves
+            UNION ALL
+            SELECT level + 1, part, place // 3, sha256(string_agg(digest, '' ORDER BY place)), any_value((total + 2) // 3)
+            FROM tree WHERE total > 1 GROUP BY level, part, place // 3
+        ), subroots AS (
+            SELECT part, digest FROM tree WHERE total = 1
+        ), top AS (
+            SELECT 0 AS level, part AS place, digest, count(*) OVER () AS total FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), any_value((total + 2) // 3)
+            FROM top WHERE total > 1 GROUP BY level, place // 3
+        ), inner_fold AS (
+            SELECT doc_id, part, 0 AS level, place, now AS value, '' AS siblings FROM leaves
+            UNION ALL
+            SELECT f.doc_id, any_value(f.part), any_value(f.level) + 1, any_value(f.place) // 3,
+                   sha256(string_agg(CASE WHEN t.place = f.place THEN f.value ELSE t.digest END, '' ORDER BY t.place)),
+                   any_value(f.siblings) || coalesce(string_agg(t.digest, '' ORDER BY t.place) FILTER (WHERE t.place <> f.place), '')
+            FROM inner_fold f JOIN tree t ON t.level = f.level AND t.part = f.part AND t.place // 3 = f.place // 3 AND t.total > 1
+            GROUP BY f.doc_id
+        ), at_subroot AS (
+            SELECT * FROM inner_fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1
+        ), outer_fold AS (
+            SELECT doc_id, 0 AS level, part AS place, value, siblings FROM at_subroot
+            UNION ALL
+            SELECT f.doc_id, any_value(f.level) + 1, any_value(f.place) // 3,
+                   sha256(string_agg(CASE WHEN t.place = f.place THEN f.value ELSE t.digest END, '' ORDER BY t.place)),
+                   any_value(f.siblings) || coalesce(string_agg(t.digest, '' ORDER BY t.place) FILTER (WHERE t.place <> f.place), '')
+            FROM outer_fold f JOIN top t ON t.level = f.level AND t.place // 3 = f.place // 3 AND t.total > 1
+            GROUP BY f.doc_id
+        ), at_root AS (
+            SELECT * FROM outer_fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1
+        )
+        SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(f.siblings) AS proof_sha256,
+               f.value AS folded_root, f.value = r.digest AS verified
+        FROM leaves l JOIN subroots s ON l.part = s.part JOIN at_root f ON l.doc_id = f.doc_id
+        CROSS JOIN (SELECT digest FROM top WHERE total = 1) r
+    """,
     "op5_nra_topk": """
         WITH vectors AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
