@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bankspark.llm.cross_entropy import cross_entropy_difference, texts_of
 from bankspark.llm.decontamination import contaminated
+from bankspark.llm.divergence import source_divergence
 from bankspark.llm.line_dedup import without_repeated_lines
 from bankspark.llm.merkle import leaf, manifest
 from bankspark.llm.mixture import mixture
@@ -98,6 +99,10 @@ def op12_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"), F.when(even, leaf(F.replace("text", F.lit("\n"), F.lit("")))))
 
 
+def op13_quadtree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cross_entropy_difference": op1_cross_entropy_difference,
     "op2_pu_toxicity": op2_pu_toxicity,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op10_lsh_forest": op10_lsh_forest,
     "op11_line_perfect_hash": op11_line_perfect_hash,
     "op12_midstate_manifest": op12_midstate_manifest,
+    "op13_quadtree_divergence": op13_quadtree_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -191,6 +197,45 @@ ORACLES: dict[str, str] = {
         FROM leaves l JOIN subroots s ON l.part = s.part JOIN at_root f ON l.doc_id = f.doc_id
         CROSS JOIN (SELECT digest FROM top WHERE total = 1) r
     """,
+    "op13_quadtree_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+        ), groups AS (
+            SELECT DISTINCT lang, source FROM docs
+        ), words AS (
+            SELECT row, lang, source, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM docs)
+        ), kept AS (
+            SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+        ), langs AS (
+            SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS n FROM kept GROUP BY lang
+        ), counts AS (
+            SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS n FROM words w JOIN kept k ON w.lang = k.lang AND w.term = k.term
+            GROUP BY ALL
+        ), totals AS (
+            SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS n
+            FROM groups g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL
+        ), prices AS (
+            SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (t.n + l.v) AS p,
+                   1 + (1000000000 * (k.n + 1)) // (l.n + l.v) AS q
+            FROM totals t JOIN langs l ON t.lang = l.lang JOIN kept k ON t.lang = k.lang
+            LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                   CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value
+            FROM prices a JOIN prices b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+            UNION ALL
+            SELECT a.lang, a.source, 'pair', b.source, 0 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            WHERE a.lang NOT IN (SELECT lang FROM langs)
+        ), found AS (
+            SELECT * FROM pairs
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM prices WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
     "op5_nra_topk": """
         WITH vectors AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
