@@ -7,6 +7,7 @@ where both have no count has one price, its number of columns times the gap of t
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import numpy as np
@@ -30,8 +31,6 @@ BROADCAST_ROWS = 1_000_000
 # A-Z in lower case; what is no letter and no byte of a longer character separates terms.
 _LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_HEADER = "totals array<bigint>, names array<string>, other_totals array<bigint>, other_names array<string>, v bigint"
-_CELL = "side int, row int, column bigint, n bigint"
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -127,7 +126,7 @@ def _units(batches):
 def _compared(width: int):
     def compared(batches):
         for (lang, block, other, number), rows in _units(batches):
-            header = {c: rows.column(c)[0].as_py() for c in (x.split()[0] for x in _HEADER.split(", "))}
+            header = json.loads(rows.column("header")[0].as_py())
             same = block == other
             cells = rows.slice(1)
             side, row, column, n = (cells.column(c).to_numpy() for c in ("side", "row", "column", "n"))
@@ -218,9 +217,11 @@ def source_divergence(
     others = blocks.select("lang", F.col("block").alias("other"), F.col("totals").alias("other_totals"), F.col("names").alias("other_names"))
     last = blocks.groupBy("lang").agg(F.max("block").alias("last"))
     slices_of = F.greatest(F.expr(f"(v - 1) div {width}"), zero)
+    # Both blocks' sources in one text; arrays that are null in all other rows would be slow to hand over.
+    header = F.to_json(F.struct("v", "totals", "names", "other_totals", "other_names")).alias("header")
     headers = (
         blocks.join(last, "lang").withColumn("other", F.explode(F.sequence("block", "last"))).join(others, ["lang", "other"])
-        .withColumn("slice", F.explode(F.sequence(zero, slices_of))).withColumn("turn", F.lit(0)).drop("last"))
+        .select("lang", "block", "other", F.explode(F.sequence(zero, slices_of)).alias("slice"), F.lit(0).alias("turn"), header))
     known = _known(cells, groups.select("lang", "source", "block", "row", "total", "v", "lang_n"), n_groups)
     small = parts.count() <= BROADCAST_ROWS
     starts = parts.select("lang", "part", "start")
@@ -233,7 +234,7 @@ def source_divergence(
         (F.col("block") > F.col("met")).cast("int").alias("side"), "row", "column", "n")
     key = ["lang", "block", "other", "slice"]
     ordered = headers.unionByName(sent, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, "turn")
-    gaps = ordered.select(*key, *(c.split()[0] for c in f"{_HEADER}, {_CELL}".split(", "))).mapInArrow(
+    gaps = ordered.select(*key, "header", "side", "row", "column", "n").mapInArrow(
         _compared(width), "lang string, source string, item string, value bigint")
     pairs = gaps.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
     p, q = _priced("n", "total"), _priced("of_lang", F.col("lang_n") + F.col("v"))

@@ -69,7 +69,7 @@ def _shard(rows: pa.Table) -> pa.Table:
 
 
 _SHARDS = pa.schema([
-    ("frequent", pa.bool_()), ("shard", pa.int64()), ("n", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()),
+    ("frequent", pa.bool_()), ("shard", pa.int64()), ("n", pa.int64()), ("sizes", pa.binary()), ("bits", pa.binary()),
     ("fingerprints", pa.binary()), ("counts", pa.binary()),
 ])
 

@@ -81,14 +81,14 @@ class CountIndex:
 
     def row(self) -> dict:
         return {
-            "n": len(self.counts), "sizes": self.perfect.sizes, "bits": self.perfect.bits.tobytes(),
+            "n": len(self.counts), "sizes": np.array(self.perfect.sizes, np.int64).tobytes(), "bits": self.perfect.bits.tobytes(),
             "fingerprints": self.fingerprints.tobytes(), "counts": self.counts.tobytes(),
         }
 
     @classmethod
     def read(cls, row: dict) -> CountIndex:
-        perfect = PerfectHash(list(row["sizes"]), np.frombuffer(row["bits"], np.uint64))
+        perfect = PerfectHash(np.frombuffer(row["sizes"], np.int64).tolist(), np.frombuffer(row["bits"], np.uint64))
         return cls(perfect, np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["counts"], np.uint32))
 
 
-SHARD_ROW = "n bigint, sizes array<bigint>, bits binary, fingerprints binary, counts binary"
+SHARD_ROW = "n bigint, sizes binary, bits binary, fingerprints binary, counts binary"
