@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bankspark.functions import columns as C
 from bankspark.operators.ordering import append_with_ids
@@ -121,93 +121,97 @@ def parse_search(requests: DataFrame) -> DataFrame:
     )
 
 
-def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
-    """Accounts found for each search text of ``requests(request_id, search_str)``.
+def _entry(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
-    Seven digits alone are an account id. One name matches the first or the last name; several must hold both. E-mail, group and country
-    compare whole and without case, a phone part may stand anywhere. A text without any criterion
-    lists every account but the automation one. Names with other than ASCII letters and digits are
-    ignored, and a country is written ``country_code:``.
 
-    Each request looks accounts up by its most selective criterion with an equi-join, and the others
-    filter what was found. Several names are looked up as pairs of first and last name. A phone part
-    is looked up by its last characters, which are rarer than a country prefix, among all pieces of
-    that length of the phone numbers, so none is missed. Look-up values are salted, since one name,
-    group or country may hold a third of all accounts.
-    """
-    parsed = parse_search(requests)
-    names = F.array_distinct("names")
+def _pair(first: Column, last: Column) -> Column:
+    return F.concat(first, F.lit(" "), last)
 
-    def entry(kind, value):
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
-    def pair(first, last):
-        return F.concat(first, F.lit(" "), last)
+def lookups(parsed: DataFrame) -> DataFrame:
+    """Parsed searches with the ``kind`` and ``value`` to look accounts up by, a row for each.
 
-    pairs = F.flatten(F.transform(names, lambda a: F.transform(names, lambda b: entry("full", pair(a, b)))))
+    That is the most selective criterion of a search; kind ``all`` if it has none. Several names are looked up as
+    pairs of first and last name, a phone part by its last characters, which are rarer than a country prefix.
+    """
+    names = F.array_distinct("names")
+    pairs = F.flatten(F.transform(names, lambda a: F.transform(names, lambda b: _entry("full", _pair(a, b)))))
     long_piece, short_piece = _PHONE_PIECES
     phone_entry = F.when(
-        F.length("phone_part") >= long_piece, entry(f"phone{long_piece}", F.right("phone_part", F.lit(long_piece)))
-    ).otherwise(entry(f"phone{short_piece}", F.right("phone_part", F.lit(short_piece))))
+        F.length("phone_part") >= long_piece, _entry(f"phone{long_piece}", F.right("phone_part", F.lit(long_piece)))
+    ).otherwise(_entry(f"phone{short_piece}", F.right("phone_part", F.lit(short_piece))))
     lookup = (
-        F.when(F.col("id_key").isNotNull(), F.array(entry("id", F.col("id_key").cast("string"))))
-        .when(F.col("email_key").isNotNull(), F.array(entry("email", F.col("email_key"))))
+        F.when(F.col("id_key").isNotNull(), F.array(_entry("id", F.col("id_key").cast("string"))))
+        .when(F.col("email_key").isNotNull(), F.array(_entry("email", F.col("email_key"))))
         .when((F.size("names") > 1) & (F.size(names) <= _PAIR_WORDS), pairs)
-        .when(F.size("names") > 1, F.transform(names, lambda n: entry("last", n)))
+        .when(F.size("names") > 1, F.transform(names, lambda n: _entry("last", n)))
         .when(F.col("phone_part").isNotNull(), F.array(phone_entry))
         .when(
             F.size("names") == 1,
-            F.array(entry("first", F.col("names")[0]), entry("last", F.col("names")[0])),
+            F.array(_entry("first", F.col("names")[0]), _entry("last", F.col("names")[0])),
         )
-        .when(F.col("group_key").isNotNull(), F.array(entry("group", F.col("group_key"))))
-        .when(F.col("country_key").isNotNull(), F.array(entry("country", F.col("country_key"))))
-        .otherwise(F.array(entry("all", F.lit(""))))
+        .when(F.col("group_key").isNotNull(), F.array(_entry("group", F.col("group_key"))))
+        .when(F.col("country_key").isNotNull(), F.array(_entry("country", F.col("country_key"))))
+        .otherwise(F.array(_entry("all", F.lit(""))))
     )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    wanted = (
+    return (
         parsed.withColumn("_lookup", F.explode(lookup))
         .withColumn("kind", F.col("_lookup.kind")).withColumn("value", F.col("_lookup.value")).drop("_lookup")
-        .withColumn("salt", salts)
     )
 
+
+def entries(accounts: DataFrame) -> DataFrame:
+    """``(account_id, kind, value)`` of everything an account can be looked up by, and ``all``."""
     def phone_pieces(size):
         starts = F.sequence(F.lit(1), F.length("phone") - size + 1)
-        pieces = F.transform(starts, lambda i: entry(f"phone{size}", F.substr(F.col("phone"), i, F.lit(size))))
+        pieces = F.transform(starts, lambda i: _entry(f"phone{size}", F.substr(F.col("phone"), i, F.lit(size))))
         return F.when(F.length("phone") >= size, F.array_distinct(pieces)).otherwise(F.array())
 
-    entries = F.concat(
+    of_account = F.concat(
         F.array(
-            entry("id", F.col("account_id").cast("string")),
-            entry("email", F.lower("email")),
-            entry("first", F.lower("first_name")),
-            entry("last", F.lower("last_name")),
-            entry("full", pair(F.lower("first_name"), F.lower("last_name"))),
-            entry("group", F.upper("account_group")),
-            entry("country", F.upper("country_code")),
-            entry("all", F.lit("")),
+            _entry("id", F.col("account_id").cast("string")),
+            _entry("email", F.lower("email")),
+            _entry("first", F.lower("first_name")),
+            _entry("last", F.lower("last_name")),
+            _entry("full", _pair(F.lower("first_name"), F.lower("last_name"))),
+            _entry("group", F.upper("account_group")),
+            _entry("country", F.upper("country_code")),
+            _entry("all", F.lit("")),
         ),
         *[phone_pieces(size) for size in _PHONE_PIECES],
     )
-    # Keys only: an account has some twenty entries, so its data joins after the look-up.
-    index = db.accounts.select(
-        "account_id",
-        F.pmod(F.xxhash64("account_id"), F.lit(_SALTS)).cast("int").alias("salt"),
-        F.explode(entries).alias("_entry"),
-    ).select("account_id", "salt", "_entry.kind", "_entry.value")
-    people = db.accounts.select(
-        "account_id", "first_name", "last_name", "email", "phone", "country_code", "verification", "account_group"
-    )
+    return accounts.select("account_id", F.explode(of_account).alias("_entry")).select("account_id", "_entry.kind", "_entry.value")
+
+
+def _shown(db: Tables, rows: DataFrame, *first: str) -> DataFrame:
+    """Accounts as a search shows them, after the columns ``first``."""
     groups = db.account_groups.select(F.col("group_code").alias("account_group"), "group_name")
+    return rows.join(groups, "account_group").select(
+        *first, "account_id", "first_name", "last_name", "email", "phone",
+        F.col("verification").alias("verification_code"),
+        C.verification_badge(F.col("verification")).alias("verification_emoji"),
+        F.col("account_group").alias("account_group_code"), F.col("group_name").alias("account_group_name"),
+    )
+
 
+_PEOPLE = ["account_id", "first_name", "last_name", "email", "phone", "country_code", "verification", "account_group"]
+_CRITERIA = ("id_key", "email_key", "group_key", "country_key", "phone_part")
+
+
+def without_criterion() -> Column:
+    """Whether a parsed search has nothing to look for."""
+    return C.all_of(F.size("names") == 0, *[F.col(c).isNull() for c in _CRITERIA])
+
+
+def looked_up(db: Tables, candidates: DataFrame) -> DataFrame:
+    """What the other criteria leave of ``candidates``: parsed searches with an account_id each that a look-up gave."""
     first_in, last_in = F.array_contains("names", F.lower("first_name")), F.array_contains("names", F.lower("last_name"))
     names_ok = F.when(F.size("names") == 0, True).when(F.size("names") == 1, first_in | last_in).otherwise(first_in & last_in)
 
     def ok(criterion, test):
         return F.col(criterion).isNull() | test
 
-    nothing_parsed = C.all_of(
-        F.size("names") == 0, *[F.col(c).isNull() for c in ("id_key", "email_key", "group_key", "country_key", "phone_part")]
-    )
     matches = C.all_of(
         names_ok,
         ok("id_key", F.col("account_id") == F.col("id_key")),
@@ -215,21 +219,56 @@ def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
         ok("group_key", F.upper("account_group") == F.col("group_key")),
         ok("country_key", F.upper("country_code") == F.col("country_key")),
         ok("phone_part", F.contains("phone", "phone_part")),
-        ~nothing_parsed | (F.col("account_id") != dims.AUTOMATION_ACCOUNT),
+        ~without_criterion() | (F.col("account_id") != dims.AUTOMATION_ACCOUNT),
     )
     # An account found by its first and by its last name is kept once.
     found_twice = (F.col("kind") == "last") & (F.size("names") == 1) & F.coalesce(
         F.lower("first_name") == F.col("value"), F.lit(False)
     )
-    return (
-        wanted.join(index, ["kind", "value", "salt"]).join(people, "account_id")
-        .filter(matches & ~found_twice).join(groups, "account_group")
-        .select(
-            "request_id", "account_id", "first_name", "last_name", "email", "phone",
-            F.col("verification").alias("verification_code"),
-            C.verification_badge(F.col("verification")).alias("verification_emoji"),
-            F.col("account_group").alias("account_group_code"), F.col("group_name").alias("account_group_name"),
-        )
+    people = db.accounts.select(*_PEOPLE)
+    return _shown(db, candidates.join(people, "account_id").filter(matches & ~found_twice), "request_id")
+
+
+def search_accounts(db: Tables, requests: DataFrame) -> DataFrame:
+    """Accounts found for each search text of ``requests(request_id, search_str)``.
+
+    Seven digits alone are an account id. One name matches the first or the last name; several must hold both. E-mail, group and country
+    compare whole and without case, a phone part may stand anywhere. A text without any criterion
+    lists every account but the automation one. Names with other than ASCII letters and digits are
+    ignored, and a country is written ``country_code:``.
+
+    Each request looks accounts up by its most selective criterion with an equi-join, and the others
+    filter what was found. A phone part is looked up among all pieces of that length of the phone numbers, so
+    none is missed. Look-up values are salted, since one name, group or country may hold a third of all accounts.
+    ``search_index`` keeps the look-up side stored, for few searches over many accounts.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    wanted = lookups(parse_search(requests)).withColumn("salt", salts)
+    # Keys only: an account has some twenty entries, so its data joins after the look-up.
+    index = entries(db.accounts).withColumn("salt", F.pmod(F.xxhash64("account_id"), F.lit(_SALTS)).cast("int"))
+    return looked_up(db, wanted.join(index, ["kind", "value", "salt"]))
+
+
+@dataclass
+class Searched:
+    """Results of searches in parts, so that a search without a criterion costs one row."""
+
+    found: DataFrame  # request_id and account, for the searches with a criterion
+    unrestricted: DataFrame  # request_id of the searches without one
+    everyone: DataFrame  # what each of those lists
+
+
+def search_in_parts(db: Tables, requests: DataFrame, find=None) -> Searched:
+    """The rows of ``search_accounts``: ``found``, and each of ``unrestricted`` with each of ``everyone``.
+
+    ``find`` is the search for those with a criterion, ``search_accounts`` if not given.
+    """
+    open_ = without_criterion()
+    parsed = parse_search(requests)
+    some = parsed.filter(~open_).select("request_id", "search_str")
+    people = db.accounts.filter(F.col("account_id") != dims.AUTOMATION_ACCOUNT).select(*_PEOPLE)
+    return Searched(
+        (find or search_accounts)(db, some), parsed.filter(open_).select("request_id"), _shown(db, people)
     )
 
 

@@ -200,3 +200,13 @@ def edit_privilege(db: Tables, views: DataFrame) -> DataFrame:
         .join(viewers, "viewer_id")
         .select("request_id", "product_id", "viewer_id", privilege.alias("privilege"))
     )
+
+
+def categories_reversed(db: Tables) -> DataFrame:
+    """Categories from the last to the first, as the start page lists them, with their numbers of products."""
+    counts = db.products.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_products"))
+    # A code list: a handful of rows.
+    place = F.row_number().over(Window.orderBy(F.desc("category_id")))
+    return db.product_categories.join(counts, "category_id", "left").select(
+        "category_id", "category_name", "description", F.coalesce("n_products", F.lit(0).cast("bigint")).alias("n_products"),
+        place.cast("bigint").alias("position"))

@@ -12,7 +12,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bankspark.functions import columns as C
+from bankspark.operators.attributes import AttributeChanges, update_attributes
 from bankspark.operators.ordering import append_with_ids, positions_within
+from bankspark.operators.rights import admin, by_right, senior, staff, staff_or_own, with_refused
 from bankspark.sources import dims
 from bankspark.sources.tables import Tables
 
@@ -72,8 +74,10 @@ def create_sales(db: Tables, requests: DataFrame, as_of: dt.datetime) -> Sales:
     amount_requested, special_notes, collateral)``.
 
     The account must exist, and the product if there is one. Both tables are numbered in request order, in one pass. A new instance
-    is applied for, has an empty note and partial notifications.
+    is applied for, has an empty note and partial notifications. Requests with ``user_id`` and ``user_role`` are checked:
+    staff sell to anyone, clients buy for themselves.
     """
+    requests, refused = by_right(requests, staff_or_own("account_id"))
     accounts = db.accounts.select("account_id")
     known = requests.join(accounts, "account_id", "left_semi")
     product = ForeignKey("unknown_product", "product_id", db.products, "product_id")
@@ -106,7 +110,7 @@ def create_sales(db: Tables, requests: DataFrame, as_of: dt.datetime) -> Sales:
         none("bigint").alias("latest_update_user_id"), F.lit("").alias("latest_note"),
         none("string").alias("latest_note_public_yn"), F.lit("P").alias("notifications_yn"),
     )
-    return Sales(applications, instances, rejects)
+    return Sales(applications, instances, with_refused(rejects, refused))
 
 
 # --- drafts ------------------------------------------------------------------------------------
@@ -217,8 +221,10 @@ def replace_draft_columns(db: Tables, requests: DataFrame, columns: DataFrame) -
 def clone_products(db: Tables, requests: DataFrame) -> Drafts:
     """Copies of products as drafts of the requester, from ``requests(request_id, product_id, account_id)``.
 
-    Availability is cleared; final definitions become draft definitions numbered from 1 in their order.
+    Availability is cleared; final definitions become draft definitions numbered from 1 in their order. With a
+    ``user_role``, only staff may.
     """
+    requests, refused = by_right(requests, staff())
     source = db.products
     known = requests.join(source, "product_id")
     copied = [c for c in source.columns if c not in ("product_id", "available_from", "available_till", "draft_yn", "draft_owner")]
@@ -235,9 +241,9 @@ def clone_products(db: Tables, requests: DataFrame) -> Drafts:
 
     clones = Drafts(
         products=lambda: append_with_ids(source, rows, "product_id", ["request_id"]), columns=definitions,
-        rejects=lambda: requests.join(source.select("product_id"), "product_id", "left_anti").select(
+        rejects=lambda: with_refused(requests.join(source.select("product_id"), "product_id", "left_anti").select(
             "request_id", F.lit("unknown_product").alias("reason")
-        ),
+        ), refused),
     )
     return clones
 
@@ -283,7 +289,11 @@ def publish_drafts(db: Tables, requests: DataFrame) -> Published:
 
 
 def delete_drafts(db: Tables, requests: DataFrame) -> Drafts:
-    """Remaining products and draft definitions after deleting the drafts in ``requests(request_id, product_id)``."""
+    """Remaining products and draft definitions after deleting the drafts in ``requests(request_id, product_id)``.
+
+    With a ``user_role``, only staff may.
+    """
+    requests, refused = by_right(requests, staff(), "product_id")
     drafts = db.products.filter(F.col("draft_yn") == "Y").select("product_id")
     valid = requests.join(drafts, "product_id", "left_semi").select("product_id")
     rejects = requests.join(drafts, "product_id", "left_anti").select(
@@ -292,7 +302,7 @@ def delete_drafts(db: Tables, requests: DataFrame) -> Drafts:
     return Drafts(
         products=lambda: db.products.join(valid, "product_id", "left_anti"),
         columns=lambda: db.draft_product_custom_column_def.join(valid, "product_id", "left_anti"),
-        rejects=lambda: rejects,
+        rejects=lambda: with_refused(rejects, refused),
     )
 
 
@@ -394,25 +404,68 @@ def _with_missing(patches: DataFrame, columns: list[str]) -> DataFrame:
     return patches.withColumns(absent) if absent else patches
 
 
+def _refusing(done: Patched, refused: DataFrame | None) -> Patched:
+    return Patched(done.rows, done.changed, with_refused(done.rejects, refused))
+
+
 def patch_products(db: Tables, patches: DataFrame) -> Patched:
-    return apply_patch(db.products, _with_missing(patches, PRODUCT_PATCH), "product_id", PRODUCT_PATCH)
+    """Patches of products; with a ``user_role``, only administrators may."""
+    patches, refused = by_right(patches, admin(), "product_id")
+    return _refusing(apply_patch(db.products, _with_missing(patches, PRODUCT_PATCH), "product_id", PRODUCT_PATCH), refused)
 
 
 def patch_instances(db: Tables, patches: DataFrame) -> Patched:
-    return apply_patch(
+    """Patches of instances; with a ``user_role``, only staff may."""
+    patches, refused = by_right(patches, staff(), "product_uid")
+    done = apply_patch(
         db.product_instances, _with_missing(patches, INSTANCE_PATCH), "product_uid", INSTANCE_PATCH, null_token=None
     )
+    return _refusing(done, refused)
+
+
+@dataclass
+class InstancePatch:
+    instances: Patched
+    attributes: AttributeChanges
+
+
+def patch_instances_with_attributes(db: Tables, patches: DataFrame, values: DataFrame) -> InstancePatch:
+    """Patches of instances that may carry attribute values, or nothing else.
+
+    ``values(request_id, pcc_uid, <the six value columns>)`` belong to the patches by ``request_id``. A patch with values
+    has something to update even if it sets no column; of patches that are refused for another reason, nothing is
+    written. Values are written as staff writes them.
+    """
+    with_values = values.select("request_id").distinct().withColumn("_values", F.lit(True))
+    done = patch_instances(db, patches)
+    marked = done.rejects.join(with_values, "request_id", "left")
+    only_values = (F.col("reason") == "nothing_to_update") & F.col("_values").isNotNull()
+    rejects = marked.filter(~only_values).drop("_values")
+    passed = patches.join(rejects, "request_id", "left_anti").select("request_id", "product_uid")
+    # A value is written only through a patch of its own instance.
+    own = db.product_custom_column_values.select("pcc_uid", "product_uid")
+    meant = values.join(passed, "request_id").join(own, ["pcc_uid", "product_uid"], "left_semi").drop("product_uid")
+    columns = ["request_id", "product_uid", "reason"]
+    return InstancePatch(
+        Patched(done.rows, done.changed, rejects.select(*columns)), update_attributes(db, meant.select(values.columns), is_client=False))
 
 
 def patch_categories(db: Tables, patches: DataFrame) -> Patched:
+    """Patches of categories; with a ``user_role``, only senior users may."""
+    patches, refused = by_right(patches, senior(), "category_id")
     columns = ["category_name", "description", "catalog_yn"]
-    return apply_patch(
+    done = apply_patch(
         db.product_categories, _with_missing(patches, columns), "category_id", columns, None, flags=("catalog_yn",)
     )
+    return _refusing(done, refused)
 
 
 def patch_subcategories(db: Tables, patches: DataFrame) -> Patched:
-    """Subcategory patches; a new category must exist, or the patch is refused whole."""
+    """Subcategory patches; a new category must exist, or the patch is refused whole.
+
+    With a ``user_role``, only senior users may.
+    """
+    patches, refused = by_right(patches, senior(), "subcategory_id")
     columns = ["category_id", "subcategory_name", "subcategory_description", "catalog_yn"]
     patches = _with_missing(patches, columns)
     fk = ForeignKey("unknown_category", "category_id", db.product_categories, "category_id")
@@ -422,11 +475,12 @@ def patch_subcategories(db: Tables, patches: DataFrame) -> Patched:
     unknown = patches.filter(F.col("category_id").isNotNull()).join(
         db.product_categories.select("category_id"), "category_id", "left_anti"
     ).select("request_id", "subcategory_id", F.lit("unknown_category").alias("reason"))
-    return Patched(done.rows, done.changed, done.rejects.unionByName(unknown))
+    return Patched(done.rows, done.changed, with_refused(done.rejects.unionByName(unknown), refused))
 
 
 def patch_drafts(db: Tables, patches: DataFrame) -> Patched:
-    """Patches of drafts; other products are refused."""
+    """Patches of drafts; other products are refused. With a ``user_role``, only staff may."""
+    patches, not_allowed = by_right(patches, staff(), "product_id")
     drafts = db.products.filter(F.col("draft_yn") == "Y").select("product_id")
     is_draft = F.coalesce(F.col("draft_yn") == "Y", F.lit(False))
     done = apply_patch(
@@ -439,12 +493,17 @@ def patch_drafts(db: Tables, patches: DataFrame) -> Patched:
     )
     bad_values = done.rejects.filter(F.col("reason") != "unknown_product_id")
     return Patched(
-        done.rows.unionByName(db.products.filter(~is_draft)), done.changed, bad_values.unionByName(refused)
+        done.rows.unionByName(db.products.filter(~is_draft)), done.changed,
+        with_refused(bad_values.unionByName(refused), not_allowed)
     )
 
 
 def set_availability(db: Tables, requests: DataFrame) -> Patched:
-    """Overwrite both availability dates from ``requests(request_id, product_id, available_from, available_till)``."""
+    """Overwrite both availability dates from ``requests(request_id, product_id, available_from, available_till)``.
+
+    With a ``user_role``, only senior users may.
+    """
+    requests, refused = by_right(requests, senior(), "product_id")
     known = db.products.select("product_id")
     last = requests.groupBy("product_id").agg(
         F.max_by(F.struct("available_from", "available_till"), "request_id").alias("_dates")
@@ -459,7 +518,7 @@ def set_availability(db: Tables, requests: DataFrame) -> Patched:
     rejects = requests.join(known, "product_id", "left_anti").select(
         "request_id", "product_id", F.lit("unknown_product").alias("reason")
     )
-    return Patched(joined.select(*after), joined.filter(given).select(*after), rejects)
+    return Patched(joined.select(*after), joined.filter(given).select(*after), with_refused(rejects, refused))
 
 
 def set_notification_pref(db: Tables, requests: DataFrame) -> Patched:

@@ -127,17 +127,11 @@ oracle("verification_badge", """
 SELECT account_id, verification AS verification_code,
        CASE verification WHEN 'Y' THEN '✅' WHEN 'N' THEN '🟡' WHEN 'C' THEN '📩' WHEN 'R' THEN '🚫' END AS verification_emoji
 FROM accounts""")
-oracle("account_search", """
-SELECT q.request_id, a.account_id, a.first_name, a.last_name, a.email, a.phone, a.verification AS verification_code,
-       v.emoji AS verification_emoji, a.account_group AS account_group_code, ag.group_name AS account_group_name
-FROM parsed q JOIN accounts a ON
-     (q.id IS NULL OR a.account_id = q.id) AND
-     (len(q.names) = 0 OR (len(q.names) = 1 AND (list_contains(q.names, lower(a.first_name)) OR list_contains(q.names, lower(a.last_name))))
-       OR (len(q.names) > 1 AND list_contains(q.names, lower(a.first_name)) AND list_contains(q.names, lower(a.last_name))))
- AND (q.email IS NULL OR lower(a.email) = lower(q.email)) AND (q.grp IS NULL OR upper(a.account_group) = q.grp)
- AND (q.country IS NULL OR upper(a.country_code) = q.country) AND (q.phone IS NULL OR a.phone LIKE '%' || q.phone || '%')
- AND (len(q.names) > 0 OR coalesce(CAST(q.id AS VARCHAR), q.email, q.grp, q.country, q.phone) IS NOT NULL OR a.account_id <> 1)
-JOIN account_groups ag ON ag.group_code = a.account_group JOIN verifications v ON v.verification_status = a.verification""", r"""
+_SHOWN = """a.account_id, a.first_name, a.last_name, a.email, a.phone, a.verification AS verification_code,
+       v.emoji AS verification_emoji, a.account_group AS account_group_code, ag.group_name AS account_group_name"""
+_SHOWN_WITH = """JOIN account_groups ag ON ag.group_code = a.account_group JOIN verifications v ON v.verification_status = a.verification"""
+_CRITERION = "(len(q.names) > 0 OR coalesce(CAST(q.id AS VARCHAR), q.email, q.grp, q.country, q.phone) IS NOT NULL)"
+_PARSED = r"""
 words AS (SELECT request_id, string_split_regex(trim(search_str), '\s+') AS w FROM search_requests),
 parsed AS (SELECT request_id, CASE WHEN len(w) = 1 AND regexp_full_match(w[1], '[0-9]{7}') THEN CAST(w[1] AS BIGINT) END AS id,
     [lower(x) FOR x IN w IF regexp_full_match(x, '[a-zA-Z0-9]+') AND NOT (len(w) = 1 AND regexp_full_match(x, '[0-9]{7}'))] AS names,
@@ -145,7 +139,32 @@ parsed AS (SELECT request_id, CASE WHEN len(w) = 1 AND regexp_full_match(w[1], '
     split_part(([x FOR x IN w IF regexp_full_match(x, 'group:[A-Z]{1,3}')])[-1], ':', 2) AS grp,
     split_part(([x FOR x IN w IF regexp_full_match(x, 'country_code:[A-Z]{1,3}')])[-1], ':', 2) AS country,
     split_part(([x FOR x IN w IF regexp_full_match(x, 'phone:[+0-9]{4,15}')])[-1], ':', 2) AS phone
-  FROM words)""")
+  FROM words)"""
+
+
+def _search(accounts: str) -> str:
+    return f"""
+SELECT q.request_id, {_SHOWN}
+FROM parsed q JOIN {accounts} a ON
+     (q.id IS NULL OR a.account_id = q.id) AND
+     (len(q.names) = 0 OR (len(q.names) = 1 AND (list_contains(q.names, lower(a.first_name)) OR list_contains(q.names, lower(a.last_name))))
+       OR (len(q.names) > 1 AND list_contains(q.names, lower(a.first_name)) AND list_contains(q.names, lower(a.last_name))))
+ AND (q.email IS NULL OR lower(a.email) = lower(q.email)) AND (q.grp IS NULL OR upper(a.account_group) = q.grp)
+ AND (q.country IS NULL OR upper(a.country_code) = q.country) AND (q.phone IS NULL OR a.phone LIKE '%' || q.phone || '%')
+ AND ({_CRITERION} OR a.account_id <> 1)
+{_SHOWN_WITH}"""
+
+
+oracle("account_search", _search("accounts"), _PARSED)
+_LOOSE = _PARSED.replace("search_requests", "loose_search_requests")
+oracle("account_search_index", _search("accounts") + f" WHERE {_CRITERION}", _LOOSE)
+oracle("account_search_changed", _search("accounts_after") + f" WHERE {_CRITERION}", _PARSED + """,
+asked_groups AS (SELECT account_id, arg_max(new_group, request_id) AS new_group FROM group_requests
+  WHERE new_group IN (SELECT group_code FROM account_groups) GROUP BY account_id),
+accounts_after AS (SELECT o.* REPLACE (coalesce(g.new_group, o.account_group) AS account_group)
+  FROM accounts o LEFT JOIN asked_groups g ON g.account_id = o.account_id)""")
+oracle("account_search_unrestricted", f"SELECT request_id FROM parsed q WHERE NOT {_CRITERION}", _LOOSE)
+oracle("account_search_everyone", f"SELECT {_SHOWN} FROM accounts a {_SHOWN_WITH} WHERE a.account_id <> 1")
 
 _NEW_ACCOUNTS = f"""
 new_accounts AS (SELECT request_id, first_name, last_name, email, phone, country AS country_code, address, 'U' AS user_role,
@@ -583,9 +602,122 @@ SELECT request_id, category_id, subcategory_name,
        (SELECT max(subcategory_id) FROM product_subcategories) + row_number() OVER (ORDER BY request_id) AS subcategory_id
 FROM new_subcategory_requests WHERE category_id IN (SELECT category_id FROM product_categories)""")
 
+# --- requests that name who asks ---------------------------------------------------------------
+
+_SALES_CHECKED = """
+asked AS (SELECT r.*, u.user_role IN ('A', 'C', 'E') OR coalesce(u.user_id = r.account_id, FALSE) AS may
+  FROM sale_requests r JOIN sale_requesters u ON u.request_id = r.request_id),
+judged AS (SELECT *, CASE WHEN NOT may THEN 'not_allowed' WHEN account_id IS NULL OR account_id NOT IN (SELECT account_id FROM accounts) THEN 'unknown_account'
+    WHEN product_id NOT IN (SELECT product_id FROM products) THEN 'unknown_product' END AS reason FROM asked)"""
+oracle("sales_checked", """
+SELECT request_id, (SELECT max(application_id) FROM applications) + row_number() OVER (ORDER BY request_id) AS application_id, account_id, product_id
+FROM judged WHERE reason IS NULL""", _SALES_CHECKED)
+oracle("sale_checked_rejects", "SELECT request_id, reason FROM judged WHERE reason IS NOT NULL", _SALES_CHECKED)
+
+
+def _judged(requests: str, requesters: str, roles: str, unknown: str) -> str:
+    return f"""
+judged AS (SELECT r.*, u.user_id, u.user_role, CASE WHEN u.user_role NOT IN ({roles}) THEN 'not_allowed' {unknown} END AS reason
+  FROM {requests} r JOIN {requesters} u ON u.request_id = r.request_id)"""
+
+
+_CLONES_CHECKED = _judged("clone_requests", "part_requesters", "'A', 'C', 'E'",
+                          "WHEN r.product_id NOT IN (SELECT product_id FROM products) THEN 'unknown_product'")
+oracle("clone_products_checked", """
+SELECT request_id, (SELECT max(product_id) FROM products) + row_number() OVER (ORDER BY request_id) AS product_id, account_id AS draft_owner
+FROM judged WHERE reason IS NULL""", _CLONES_CHECKED)
+oracle("clone_checked_rejects", "SELECT request_id, reason FROM judged WHERE reason IS NOT NULL", _CLONES_CHECKED)
+_AVAILABILITY_CHECKED = _judged("availability_requests", "part_requesters", "'A', 'C'",
+                                "WHEN r.product_id NOT IN (SELECT product_id FROM products) THEN 'unknown_product'")
+oracle("set_availability_checked", """
+SELECT product_id, available_from, available_till FROM judged WHERE reason IS NULL
+QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY request_id DESC) = 1""", _AVAILABILITY_CHECKED)
+oracle("availability_checked_rejects", "SELECT request_id, product_id, reason FROM judged WHERE reason IS NOT NULL", _AVAILABILITY_CHECKED)
+oracle("delete_drafts_checked_rejects", """
+SELECT request_id, product_id, CASE WHEN user_role = 'U' THEN 'not_allowed' ELSE 'not_a_draft' END AS reason FROM publish_requests
+WHERE user_role = 'U' OR product_id NOT IN (SELECT product_id FROM products WHERE draft_yn = 'Y')""")
+oracle("patch_products_checked_rejects", """
+SELECT r.request_id, r.product_id, CASE WHEN u.user_role <> 'A' THEN 'not_allowed' WHEN r.product_id NOT IN (SELECT product_id FROM products) THEN 'unknown_product_id'
+         WHEN coalesce(name, percentage, term, available_till) IS NULL THEN 'nothing_to_update' ELSE 'unreadable_value' END AS reason
+FROM product_patches r JOIN part_requesters u ON u.request_id = r.request_id
+WHERE u.user_role <> 'A' OR r.request_id NOT IN (SELECT request_id FROM ok)""", _PRODUCT_PATCH_OK)
+oracle("patch_drafts_checked_rejects", """
+SELECT request_id, product_id, reason FROM (
+  SELECT r.request_id, r.product_id, CASE WHEN u.user_role = 'U' THEN 'not_allowed' WHEN p.product_id IS NULL THEN 'unknown_product'
+         WHEN p.draft_yn <> 'Y' THEN 'not_a_draft' WHEN r.name IS NULL THEN 'nothing_to_update' END AS reason
+  FROM product_patches r JOIN part_requesters u ON u.request_id = r.request_id LEFT JOIN products p ON p.product_id = r.product_id)
+WHERE reason IS NOT NULL""")
+_VALUES_CHECKED = """
+judged AS (SELECT r.*, CASE WHEN u.user_role = 'U' THEN 'not_allowed' WHEN r.product_uid NOT IN (SELECT product_uid FROM product_instances) THEN 'unknown_product_uid'
+    WHEN coalesce(CAST(amount AS VARCHAR), CAST(yield AS VARCHAR), CAST(product_end_date AS VARCHAR), special_notes) IS NULL
+         AND r.request_id NOT IN (SELECT request_id FROM patch_values) THEN 'nothing_to_update' END AS reason
+  FROM instance_patches r JOIN order_requesters u ON u.request_id = r.request_id)"""
+oracle("patch_instance_rejects", "SELECT request_id, product_uid, reason FROM judged WHERE reason IS NOT NULL", _VALUES_CHECKED)
+oracle("patch_instance_values", """
+SELECT v.pcc_uid, v.pcc_id, v.product_uid, CASE WHEN d.column_type = 'integer' THEN r.int_value ELSE v.int_value END AS int_value,
+       CASE WHEN d.column_type = 'float' THEN r.float_value ELSE v.float_value END AS float_value,
+       CASE WHEN d.column_type IN ('char', 'varchar') THEN r.varchar_value ELSE v.varchar_value END AS varchar_value,
+       CASE WHEN d.column_type = 'text' THEN r.text_value ELSE v.text_value END AS text_value,
+       CASE WHEN d.column_type = 'date' THEN r.date_value ELSE v.date_value END AS date_value,
+       CASE WHEN d.column_type = 'datetime' THEN r.datetime_value ELSE v.datetime_value END AS datetime_value
+FROM product_custom_column_values v JOIN product_custom_column_def d ON d.pcc_id = v.pcc_id
+JOIN (SELECT x.* FROM patch_values x JOIN judged j ON j.request_id = x.request_id WHERE j.reason IS NULL
+      QUALIFY row_number() OVER (PARTITION BY x.pcc_uid ORDER BY x.request_id DESC) = 1) r ON r.pcc_uid = v.pcc_uid""", _VALUES_CHECKED)
+oracle("patch_categories", """
+SELECT c.category_id, coalesce(x.category_name, c.category_name) AS category_name, coalesce(x.description, c.description) AS description,
+       CASE WHEN x.catalog_yn IS NULL THEN c.catalog_yn WHEN x.catalog_yn = 'Y' THEN 'Y' ELSE 'N' END AS catalog_yn
+FROM product_categories c JOIN (
+  SELECT category_id, arg_max(category_name, request_id) AS category_name, arg_max(description, request_id) AS description,
+         arg_max(catalog_yn, request_id) AS catalog_yn
+  FROM category_patches WHERE coalesce(category_name, description, catalog_yn) IS NOT NULL GROUP BY category_id) x ON x.category_id = c.category_id""")
+oracle("patch_category_rejects", """
+SELECT request_id, category_id, reason FROM (
+  SELECT r.request_id, r.category_id, CASE WHEN u.user_role NOT IN ('A', 'C') THEN 'not_allowed'
+         WHEN r.category_id NOT IN (SELECT category_id FROM product_categories) THEN 'unknown_category_id'
+         WHEN coalesce(category_name, description, catalog_yn) IS NULL THEN 'nothing_to_update' END AS reason
+  FROM category_patches r JOIN part_requesters u ON u.request_id = r.request_id) WHERE reason IS NOT NULL""")
+_SUBCATEGORY_PATCHES = """
+judged AS (SELECT r.*, u.user_role, CASE WHEN r.category_id NOT IN (SELECT category_id FROM product_categories) THEN 'unknown_category'
+    WHEN r.subcategory_id NOT IN (SELECT subcategory_id FROM product_subcategories) THEN 'unknown_subcategory_id'
+    WHEN coalesce(r.category_id, subcategory_name, catalog_yn) IS NULL THEN 'nothing_to_update' END AS problem
+  FROM subcategory_patches r JOIN part_requesters u ON u.request_id = r.request_id)"""
+oracle("patch_subcategories", """
+SELECT s.subcategory_id, coalesce(x.category_id, s.category_id) AS category_id, coalesce(x.subcategory_name, s.subcategory_name) AS subcategory_name,
+       CASE WHEN x.catalog_yn IS NULL THEN s.catalog_yn WHEN x.catalog_yn = 'Y' THEN 'Y' ELSE 'N' END AS catalog_yn
+FROM product_subcategories s JOIN (
+  SELECT subcategory_id, arg_max(category_id, request_id) AS category_id, arg_max(subcategory_name, request_id) AS subcategory_name,
+         arg_max(catalog_yn, request_id) AS catalog_yn
+  FROM judged WHERE problem IS NULL GROUP BY subcategory_id) x ON x.subcategory_id = s.subcategory_id""", _SUBCATEGORY_PATCHES)
+oracle("patch_subcategory_rejects", """
+SELECT request_id, subcategory_id, CASE WHEN user_role NOT IN ('A', 'C') THEN 'not_allowed' ELSE problem END AS reason
+FROM judged WHERE user_role NOT IN ('A', 'C') OR problem IS NOT NULL""", _SUBCATEGORY_PATCHES)
+oracle("categories_reversed", """
+SELECT c.category_id, c.category_name, c.description, count(p.product_id) AS n_products,
+       row_number() OVER (ORDER BY c.category_id DESC) AS position
+FROM product_categories c LEFT JOIN products p ON p.category_id = c.category_id GROUP BY c.category_id, c.category_name, c.description""")
+oracle("audit_log_appended", f"""
+SELECT prime_uid, product_uid, was_status, is_code, update_dt, update_user FROM product_status_updates
+UNION ALL
+SELECT (SELECT max(prime_uid) FROM product_status_updates) + row_number() OVER (ORDER BY o.product_uid), o.product_uid, o.status_code, n.status_code,
+       {TIME}, n.latest_update_user_id
+FROM product_instances o JOIN instances_after n ON n.product_uid = o.product_uid WHERE o.status_code <> n.status_code""")
+
 # --- streams: the same rows as their batch twins ------------------------------------------------
 
 ORACLES["stream_status"] = ORACLES["apply_status_fold"]
+ORACLES["stream_status_state"] = ORACLES["apply_status_fold"]
+ORACLES["stream_rejects"] = ORACLES["apply_status_rejects"]
+ORACLES["stream_instances"] = ORACLES["apply_status"]
+oracle("stream_to_contract", "SELECT DISTINCT product_uid FROM walk WHERE ok AND new_status = 'APR'", _STAFF_FOLD, recursive=True)
+oracle("stream_messages", """
+SELECT w.request_id AS change_id, pi.product_uid, ac.email, ac.first_name, ac.last_name, p.name AS product_name, ps.status_name,
+       CASE WHEN w.new_status = 'APL' THEN 'received' ELSE 'update' END AS template
+FROM walk w JOIN product_instances pi ON pi.product_uid = w.product_uid JOIN accounts ac ON ac.account_id = pi.account_id
+JOIN applications a ON a.application_id = pi.application_id JOIN products p ON p.product_id = a.product_id
+JOIN product_statuses ps ON ps.code = w.new_status
+WHERE w.ok AND (pi.notifications_yn = 'Y' OR (pi.notifications_yn = 'P'
+      AND w.new_status IN ('AMD','APR','DEN','CNL','SGN','NOR','TRG','DUE','ORD','CMP')))""", _STAFF_FOLD, recursive=True)
+oracle("stream_log", "SELECT * FROM product_status_updates")
 ORACLES["stream_assigned"] = ORACLES["assigned_instances"]
 ORACLES["stream_notices"] = ORACLES["status_notifications"]
 oracle("stream_approvals", """

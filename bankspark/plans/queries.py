@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bankspark.functions import columns as C
 from bankspark.operators import accounts, attributes, catalog, changes, contracts, instances, lifecycle, notices
 from bankspark.operators.ordering import append_with_ids
-from bankspark.session import shared_dir, tune
+from bankspark.operators.search_index import SearchIndex
+from bankspark.session import scratch_dir, tune
 from bankspark.sources import schemas
-from bankspark.sources.tables import MappedTables
-from bankspark.streaming import feeds
+from bankspark.sources.tables import MappedTables, append_rows
+from bankspark.streaming import feeds, stateful
 
 AS_OF = dt.date(2024, 1, 15)
 AS_OF_TIME = dt.datetime(2024, 1, 15, 10, 0, 0)
@@ -134,6 +134,35 @@ def account_search(db):
     return accounts.search_accounts(db, db.view("search_requests"))
 
 
+@query
+def account_search_index(db):
+    """Searches with a criterion, by the stored index."""
+    index = SearchIndex(db.spark, scratch_dir(db.spark, "search"))
+    index.build(db.accounts)
+    return accounts.search_in_parts(db, db.view("loose_search_requests"), index.search).found
+
+
+@query
+def account_search_changed(db):
+    """The same after changes of groups, which the index has taken in."""
+    index = SearchIndex(db.spark, scratch_dir(db.spark, "search"))
+    index.build(db.accounts)
+    done = accounts.change_groups(db, db.view("group_requests"))
+    changed = done.changed
+    index.update(0, db.accounts.join(changed.select("account_id"), "account_id", "left_semi"), changed)
+    return accounts.search_in_parts(db.replace(accounts=done.accounts), db.view("search_requests"), index.search).found
+
+
+@query
+def account_search_unrestricted(db):
+    return accounts.search_in_parts(db, db.view("loose_search_requests")).unrestricted
+
+
+@query
+def account_search_everyone(db):
+    return accounts.search_in_parts(db, db.view("loose_search_requests")).everyone
+
+
 @query
 def new_accounts(db):
     return accounts.create_accounts(db, db.view("signups"), AS_OF_TIME)
@@ -650,31 +679,168 @@ def sign_rejects(db):
     return contracts.sign_contracts(db, db.view("sign_requests"), AS_OF_TIME).rejects
 
 
+# --- requests that name who asks ---------------------------------------------------------------
+
+
+def _asked(db, requests, requesters):
+    return db.view(requests).join(db.view(requesters), "request_id")
+
+
+@query
+def sales_checked(db):
+    sales = changes.create_sales(db, _asked(db, "sale_requests", "sale_requesters"), AS_OF_TIME)
+    return sales.applications.select("request_id", "application_id", "account_id", "product_id")
+
+
+@query
+def sale_checked_rejects(db):
+    return changes.create_sales(db, _asked(db, "sale_requests", "sale_requesters"), AS_OF_TIME).rejects
+
+
+@query
+def clone_products_checked(db):
+    return changes.clone_products(db, _asked(db, "clone_requests", "part_requesters")).products.select(
+        "request_id", "product_id", "draft_owner")
+
+
+@query
+def clone_checked_rejects(db):
+    return changes.clone_products(db, _asked(db, "clone_requests", "part_requesters")).rejects
+
+
+@query
+def set_availability_checked(db):
+    done = changes.set_availability(db, _asked(db, "availability_requests", "part_requesters"))
+    return done.changed.select("product_id", "available_from", "available_till")
+
+
+@query
+def availability_checked_rejects(db):
+    return changes.set_availability(db, _asked(db, "availability_requests", "part_requesters")).rejects
+
+
+@query
+def delete_drafts_checked_rejects(db):
+    return changes.delete_drafts(db, db.view("publish_requests")).rejects
+
+
+@query
+def patch_products_checked_rejects(db):
+    return changes.patch_products(db, _asked(db, "product_patches", "part_requesters")).rejects
+
+
+@query
+def patch_drafts_checked_rejects(db):
+    patches = _asked(db, "product_patches", "part_requesters").select("request_id", "product_id", "name", "user_id", "user_role")
+    return changes.patch_drafts(db, patches).rejects
+
+
+def _patched_with_values(db):
+    return changes.patch_instances_with_attributes(
+        db, _asked(db, "instance_patches", "order_requesters"), db.view("patch_values"))
+
+
+@query
+def patch_instance_rejects(db):
+    return _patched_with_values(db).instances.rejects
+
+
+@query
+def patch_instance_values(db):
+    return _patched_with_values(db).attributes.changed
+
+
+@query
+def patch_categories(db):
+    return changes.patch_categories(db, db.view("category_patches")).changed
+
+
+@query
+def patch_category_rejects(db):
+    return changes.patch_categories(db, _asked(db, "category_patches", "part_requesters")).rejects
+
+
+@query
+def patch_subcategories(db):
+    return changes.patch_subcategories(db, db.view("subcategory_patches")).changed.select(
+        "subcategory_id", "category_id", "subcategory_name", "catalog_yn")
+
+
+@query
+def patch_subcategory_rejects(db):
+    return changes.patch_subcategories(db, _asked(db, "subcategory_patches", "part_requesters")).rejects
+
+
+@query
+def categories_reversed(db):
+    return catalog.categories_reversed(db)
+
+
+@query
+def audit_log_appended(db):
+    """The stored log after the rows of a comparison of two snapshots were appended to it."""
+    log = db.product_status_updates.select("prime_uid", "product_uid", "was_status", "is_code", "update_dt", "update_user")
+    new = lifecycle.audit_rows(db.product_instances, db.view("instances_after"), AS_OF_TIME)
+    new = append_with_ids(log, new, "prime_uid", ["product_uid"]).select(log.columns)
+    path = scratch_dir(db.spark, "log")
+    append_rows(log, path)
+    append_rows(new, path)
+    return db.spark.read.parquet(path)
+
+
 # --- streams, run until the input is used up ---------------------------------------------------
 
 
 def _streamed(db, view):
-    """A view over the event files read as a stream, and a new output folder."""
+    """A view over the event files read as a stream, and a new output folder, which goes with the driver."""
     # A pattern, because a stream reads folders or patterns and the table may be one file.
     events = feeds.read_events(db.spark, f"{db.directory}/event[s].parquet")
-    out = f"{shared_dir(db.spark)}/streams/{uuid.uuid4().hex}"
-    return db.over(events=events).view(view), out
+    return db.over(events=events).view(view), scratch_dir(db.spark, "streams")
 
 
-@query
-def stream_status(db):
+def _decided(db):
+    """Output folder of the status requests, decided as a stream."""
     requests, out = _streamed(db, "status_requests")
-    requests = feeds.deduplicated(requests, "request_id")
     feeds.start_status_stream(db, requests, out).awaitTermination()
-    return feeds.status_stream_audit(db.spark, out)
+    return out
+
+
+@query
+def stream_status(db):
+    return feeds.status_stream_audit(db.spark, _decided(db))
+
+
+@query
+def stream_rejects(db):
+    return feeds.status_stream_rejects(db.spark, _decided(db))
 
 
 @query
 def stream_approvals(db):
+    return feeds.status_stream_approvals(db, _decided(db))
+
+
+@query
+def stream_to_contract(db):
+    return feeds.status_stream_to_contract(db.spark, _decided(db))
+
+
+@query
+def stream_messages(db):
+    return feeds.status_stream_messages(db.spark, _decided(db))
+
+
+@query
+def stream_instances(db):
+    after = feeds.status_stream_instances(db, _decided(db))
+    return after.select("product_uid", "status_code", "latest_update_user_id", "latest_note", "latest_note_public_yn")
+
+
+@query
+def stream_status_state(db):
     requests, out = _streamed(db, "status_requests")
-    requests = feeds.deduplicated(requests, "request_id")
-    feeds.start_status_stream(db, requests, out).awaitTermination()
-    return feeds.status_stream_approvals(db, out)
+    stateful.start_status_state(db, requests, out).awaitTermination()
+    return stateful.state_audit(db.spark, out)
 
 
 @query
@@ -692,6 +858,13 @@ def stream_current_status(db):
     return feeds.current_status(db.spark, out)
 
 
+@query
+def stream_log(db):
+    updates, out = _streamed(db, "product_status_updates")
+    feeds.start_update_log(updates, out).awaitTermination()
+    return feeds.update_log(db.spark, out)
+
+
 @query
 def stream_notices(db):
     updates, out = _streamed(db, "product_status_updates")

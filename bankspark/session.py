@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so that later branches read one fixed result."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clear_scratch() -> None:
+    for spark, folder in _scratch:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended before; its folder is then left to the cluster's own clearing
+            return
+
+
+atexit.register(_clear_scratch)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/{name}/{uuid.uuid4().hex}"
+    _scratch.append((spark, folder))
+    return folder

@@ -193,6 +193,40 @@ VIEWS: dict[str, str] = {
                     ELSE 'phone:+359 customer.' || right(s_name, 9) || '@bank.test country_code:USA'
                END AS search_str
         FROM @supplier@""",
+    "loose_search_requests": """
+        SELECT request_id, CASE WHEN request_id % 7 = 0 THEN '  ' WHEN request_id % 11 = 0 THEN 'O-Neill' ELSE search_str END AS search_str
+        FROM @search_requests@""",
+    "sale_requesters": """
+        SELECT request_id, CASE WHEN request_id % 3 = 0 THEN account_id ELSE request_id % 50 END AS user_id,
+               CASE request_id % 5 WHEN 0 THEN 'E' WHEN 1 THEN 'A' ELSE 'U' END AS user_role
+        FROM @sale_requests@""",
+    "part_requesters": """
+        SELECT p_partkey AS request_id, CAST(p_size AS BIGINT) AS user_id,
+               CASE p_size % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'E' ELSE 'U' END AS user_role
+        FROM @part@""",
+    "order_requesters": """
+        SELECT o_orderkey AS request_id, o_custkey AS user_id,
+               CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'E' ELSE 'U' END AS user_role
+        FROM @orders@""",
+    "category_patches": """
+        SELECT p_partkey AS request_id,
+               CASE p_size % 6 WHEN 0 THEN 'LON' WHEN 1 THEN 'PEQ' WHEN 2 THEN 'DER' WHEN 3 THEN 'XXX' ELSE 'LON' END AS category_id,
+               CASE WHEN p_size % 5 = 0 THEN 'new ' || p_type END AS category_name,
+               CASE WHEN p_size % 7 = 0 THEN p_brand END AS description,
+               CASE p_size % 8 WHEN 0 THEN 'Y' WHEN 1 THEN 'x' END AS catalog_yn
+        FROM @part@""",
+    "subcategory_patches": """
+        SELECT p_partkey AS request_id, 1 + p_partkey % 9 AS subcategory_id,
+               CASE p_size % 9 WHEN 0 THEN 'LON' WHEN 1 THEN 'ZZZ' END AS category_id,
+               CASE WHEN p_size % 5 = 0 THEN 'new ' || p_type END AS subcategory_name,
+               CASE p_size % 8 WHEN 0 THEN 'Y' WHEN 3 THEN 'x' END AS catalog_yn
+        FROM @part@""",
+    "patch_values": """
+        SELECT x.request_id, v.pcc_uid, x.request_id AS int_value, CAST(x.request_id AS DOUBLE) / 8 AS float_value,
+               'patched' AS varchar_value, 'patched text' AS text_value, DATE '2024-07-01' AS date_value,
+               CAST('2024-07-01 10:00:00' AS {ts}) AS datetime_value
+        FROM @instance_patches@ x JOIN @product_custom_column_values@ v ON v.product_uid = x.product_uid
+        WHERE x.request_id % 3 <> 1""",
     "signups": """
         SELECT s_suppkey AS request_id, 'Customer' AS first_name, right(s_name, 9) AS last_name,
                'new.' || right(s_name, 9) || '@bank.test' AS email, '+1' || right(s_name, 7) AS phone,

@@ -6,12 +6,13 @@ run again, so a restart after a lost executor or driver leaves each batch in the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bankspark.operators import instances, lifecycle, notices
 from bankspark.sources import schemas
-from bankspark.sources.tables import Tables, latest_version, write_snapshot
+from bankspark.sources.tables import Tables, write_snapshot
+from bankspark.streaming.keyed import KeyedStore
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -22,18 +23,6 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
     return reader.parquet(path)
 
 
-def deduplicated(stream: DataFrame, key: str, delay: str = "7 days") -> DataFrame:
-    """The stream without repeated keys; a key is remembered for ``delay`` after it first arrived.
-
-    The watermark runs on arrival, not on event time: it only bounds the memory of keys, and a row
-    with an old event time is never dropped for being late. No result column depends on the clock.
-    """
-    return (
-        stream.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", delay)
-        .dropDuplicatesWithinWatermark([key]).drop("_arrival")
-    )
-
-
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
@@ -48,58 +37,52 @@ def _read_versions(spark: SparkSession, directory: str) -> DataFrame:
 # --- status requests ---------------------------------------------------------------------------
 
 
-def start_status_stream(
-    db: Tables, requests: DataFrame, out: str, available_now: bool = True, snapshot_every: int = 20
-) -> StreamingQuery:
+def start_status_stream(db: Tables, requests: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
     """Decide a stream of status requests against the current state of the instances.
 
     Each batch is decided by the batch operator, in time order inside the batch, on the state the
-    batches before left. A request that arrives late is decided when it arrives, as a clerk would.
-    Writes ``requests``, ``audit``, ``rejects``, the ``changed`` instances, the ``stamps`` of decided
-    applications, the instances ``to_contract`` and the ``messages`` of every batch under
-    ``out``, and the whole ``instances`` only every ``snapshot_every`` batches, so the usual batch
-    writes no more than it changes.
+    batches before left. A request that arrives late is decided when it arrives, as a clerk would; one
+    that arrives again, however much later, is not decided again. Writes ``requests``, ``audit``, ``rejects``, the
+    ``stamps`` of decided applications, the instances ``to_contract`` and the ``messages`` of every batch under
+    ``out``. The ``instances`` and the ``seen`` requests are keyed stores, so a batch reads the buckets of its own
+    keys and writes no more than it changes.
     """
     spark = db.spark
+    state, seen = _instance_store(db, out), _seen(spark, out, requests, "request_id")
 
     def decide(batch: DataFrame, batch_id: int) -> None:
+        state.start(db.product_instances)
         # Staged first: the operator then runs in the main session, with adaptive execution.
-        staged = spark.read.parquet(write_snapshot(batch, f"{out}/requests", batch_id))
+        staged = spark.read.parquet(write_snapshot(_unseen(seen, batch, batch_id), f"{out}/requests", batch_id))
         # Only the instances that the batch names go into the decisions.
-        named = staged.select("product_uid").distinct()
-        current = _instances_before(db, out, batch_id).join(named, "product_uid", "left_semi")
+        current = state.before(batch_id, staged)
         changes = lifecycle.apply_status_changes(db.replace(product_instances=current), staged, materialize=True)
         write_snapshot(changes.audit, f"{out}/audit", batch_id)
         write_snapshot(changes.rejects, f"{out}/rejects", batch_id)
-        write_snapshot(changes.changed, f"{out}/changed", batch_id)
         write_snapshot(changes.stamps, f"{out}/stamps", batch_id)
         write_snapshot(changes.to_contract, f"{out}/to_contract", batch_id)
         accepted = changes.audit.withColumnRenamed("request_id", "change_id")
         write_snapshot(notices.status_notifications(db, accepted), f"{out}/messages", batch_id)
-        if (batch_id + 1) % snapshot_every == 0:
-            write_snapshot(_instances_before(db, out, batch_id + 1), f"{out}/instances", batch_id)
+        seen.put(batch_id, staged)
+        state.put(batch_id, changes.changed)
 
     return _start(requests.writeStream.foreachBatch(decide), f"{out}/checkpoint", available_now)
 
 
-def _instances_before(db: Tables, out: str, batch_id: int) -> DataFrame:
-    """Instances as the batches before ``batch_id`` left them: last snapshot and what changed since."""
-    spark = db.spark
-    snapshot = latest_version(spark, f"{out}/instances", before=batch_id)
-    base = db.product_instances if snapshot is None else spark.read.parquet(f"{out}/instances/version={snapshot}")
-    if latest_version(spark, f"{out}/changed", before=batch_id) is None:
-        return base
-    # Folders are partitions by version, so only those since the snapshot are read.
-    since = spark.read.parquet(f"{out}/changed").filter(
-        (F.col("version") > (-1 if snapshot is None else snapshot)) & (F.col("version") < batch_id)
-    )
-    columns = [c for c in base.columns if c != "product_uid"]
-    newest = since.groupBy("product_uid").agg(F.max_by(F.struct(*columns), "version").alias("_new"))
-    taken = F.col("_new").isNotNull()
-    return base.join(newest, "product_uid", "left").select(*[
-        F.when(taken, F.col("_new." + c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
-        for c in base.columns
-    ])
+def _instance_store(db: Tables, out: str) -> KeyedStore:
+    return KeyedStore(db.spark, f"{out}/instances", db.product_instances.schema, ["product_uid"])
+
+
+def _seen(spark: SparkSession, out: str, rows: DataFrame, key: str) -> KeyedStore:
+    """The keys that have arrived; none is ever forgotten."""
+    return KeyedStore(spark, f"{out}/seen", rows.select(key).schema, [key])
+
+
+def _unseen(seen: KeyedStore, batch: DataFrame, batch_id: int) -> DataFrame:
+    spark = seen.spark
+    # Read twice, for the buckets and for the rows.
+    arrived = spark.read.parquet(write_snapshot(batch, f"{seen.directory}-arrived", 0))
+    return seen.unseen(batch_id, arrived)
 
 
 def status_stream_audit(spark: SparkSession, out: str) -> DataFrame:
@@ -119,8 +102,16 @@ def status_stream_approvals(db: Tables, out: str) -> DataFrame:
 
 def status_stream_instances(db: Tables, out: str) -> DataFrame:
     """All instances as the stream has left them."""
-    last = latest_version(db.spark, f"{out}/changed")
-    return db.product_instances if last is None else _instances_before(db, out, last + 1)
+    return _instance_store(db, out).latest()
+
+
+def status_stream_to_contract(spark: SparkSession, out: str) -> DataFrame:
+    """Instances that the stream has approved, whose contracts are to be made."""
+    return _read_versions(spark, f"{out}/to_contract").distinct()
+
+
+def status_stream_messages(spark: SparkSession, out: str) -> DataFrame:
+    return _read_versions(spark, f"{out}/messages")
 
 
 # --- owners ------------------------------------------------------------------------------------
@@ -130,21 +121,29 @@ def start_owner_stream(updates: DataFrame, out: str, available_now: bool = True)
     """Keep the last change of each updater to each instance.
 
     The state is one row per instance and updater, and an older stamp never replaces a newer one. A
-    hot instance is spread over its updaters and a hot updater over the instances.
+    hot instance is spread over its updaters and a hot updater over the instances. What a batch changes goes to a
+    keyed store, whose segments are merged as the stream runs on.
     """
+    changes = instances.last_changes(updates)
+    store = _last_changes(updates.sparkSession, out, changes)
+
     def keep(batch: DataFrame, batch_id: int) -> None:
-        write_snapshot(batch, f"{out}/last_change", batch_id)
+        store.put(batch_id, batch)
 
-    writer = instances.last_changes(updates).writeStream.outputMode("update").foreachBatch(keep)
+    writer = changes.writeStream.outputMode("update").foreachBatch(keep)
     return _start(writer, f"{out}/checkpoint", available_now)
 
 
 def owners_from_stream(db: Tables, out: str) -> DataFrame:
     """Staff members who changed each instance last; who is staff counts at the time of reading."""
-    kept = instances.last_changes(_read_versions(db.spark, f"{out}/last_change"))
+    kept = _last_changes(db.spark, out, instances.last_changes(db.product_status_updates)).latest()
     return instances.newest_changers(instances.by_staff(db, kept))
 
 
+def _last_changes(spark: SparkSession, out: str, changes: DataFrame) -> KeyedStore:
+    return KeyedStore(spark, f"{out}/last_change", changes.schema, ["product_uid", "update_user"])
+
+
 # --- current status ----------------------------------------------------------------------------
 
 
@@ -156,22 +155,42 @@ def start_current_status(updates: DataFrame, out: str, available_now: bool = Tru
     """
     newest = F.max(F.struct("update_dt", "prime_uid", "is_code", "update_user")).alias("newest")
     current = updates.groupBy("product_uid").agg(newest)
+    store = _current(updates.sparkSession, out)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        write_snapshot(batch, f"{out}/current", batch_id)
+        store.put(batch_id, batch)
 
     return _start(current.writeStream.outputMode("update").foreachBatch(keep), f"{out}/checkpoint", available_now)
 
 
 def current_status(spark: SparkSession, out: str) -> DataFrame:
-    newest = _read_versions(spark, f"{out}/current").groupBy("product_uid").agg(F.max("newest").alias("n"))
-    return newest.select("product_uid", F.col("n.is_code").alias("status_code"), F.col("n.update_dt").alias("update_dt"))
+    newest = _current(spark, out).latest()
+    return newest.select(
+        "product_uid", F.col("newest.is_code").alias("status_code"), F.col("newest.update_dt").alias("update_dt"))
+
+
+def _current(spark: SparkSession, out: str) -> KeyedStore:
+    newest = "newest STRUCT<update_dt: TIMESTAMP_NTZ, prime_uid: BIGINT, is_code: STRING, update_user: BIGINT>"
+    return KeyedStore(spark, f"{out}/current", T.StructType.fromDDL(f"product_uid BIGINT, {newest}"), ["product_uid"])
 
 
 def start_update_log(updates: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
-    """The log itself: every change once, late ones too."""
-    writer = deduplicated(updates, "prime_uid").writeStream.format("parquet").option("path", f"{out}/log")
-    return _start(writer, f"{out}/checkpoint", available_now)
+    """The log itself: every change once, late ones too, and a key that arrives again never.
+
+    A batch looks its keys up in the buckets of the keys that have arrived; of rows with one key in a batch, the
+    least is logged.
+    """
+    seen = _seen(updates.sparkSession, out, updates, "prime_uid")
+
+    def log(batch: DataFrame, batch_id: int) -> None:
+        new = seen.spark.read.parquet(write_snapshot(_unseen(seen, batch, batch_id), f"{out}/log", batch_id))
+        seen.put(batch_id, new)
+
+    return _start(updates.writeStream.foreachBatch(log), f"{out}/checkpoint", available_now)
+
+
+def update_log(spark: SparkSession, out: str) -> DataFrame:
+    return _read_versions(spark, f"{out}/log")
 
 
 # --- notices -----------------------------------------------------------------------------------

@@ -118,3 +118,69 @@ def test_seven_digits_are_an_account_id(spark, frame):
     asked = frame("request_id BIGINT, search_str STRING", [(1, " 2000005 "), (2, "0000007"), (3, "2000005 Lee"), (4, "200000")])
     got = {(r.request_id, r.account_id) for r in accounts.search_accounts(db, asked).collect()}
     assert got == {(1, 2000005), (2, 7), (3, 7)}
+
+
+def found(rows):
+    return sorted((r.request_id, r.account_id) for r in rows.collect())
+
+
+SEARCHES = ["lee", "LEE ann", "ann bob", "group:FTC", "country_code:USA", "phone:1112", "phone:9111222", "", "x@bank.test", "lee group:FTC", "  "]
+
+
+def test_stored_index_finds_the_same(spark, frame, tmp_path, monkeypatch):
+    from bankspark.operators import search_index as S
+
+    monkeypatch.setattr(S, "POSTINGS", 2)
+    db, requests = bank(spark, frame), frame("request_id BIGINT, search_str STRING", list(enumerate(SEARCHES)))
+    index = S.SearchIndex(spark, f"{tmp_path}/index", buckets=4)
+    index.build(db.accounts)
+    parts = accounts.search_in_parts(db, requests, index.search)
+    open_ = sorted(r.request_id for r in parts.unrestricted.collect())
+    assert open_ == [7, 10] and sorted(r.account_id for r in parts.everyone.collect()) == [2, 3, 4, 5, 6]
+    whole = [x for x in found(accounts.search_accounts(db, requests)) if x[0] not in open_]
+    assert found(parts.found) == whole
+    plain = accounts.search_in_parts(db, requests)
+    assert found(plain.found) == whole
+
+
+def test_index_follows_changes(spark, frame, tmp_path):
+    from bankspark.operators import search_index as S
+
+    db, requests = bank(spark, frame), frame("request_id BIGINT, search_str STRING", list(enumerate(SEARCHES)))
+    index = S.SearchIndex(spark, f"{tmp_path}/index", buckets=4)
+    index.build(db.accounts)
+    schema = db.accounts.schema
+    now = db.accounts
+    changes = [
+        [{"account_id": 2, "first_name": "Anna", "phone": "+359111299"}, {"account_id": 4, "account_group": "RTC"}],
+        [{"account_id": 2, "first_name": "Ann"}, {"account_id": 5, "last_name": "Lee", "email": None}],
+    ]
+    for version, changed in enumerate(changes):
+        old = {r.account_id: r.asDict() for r in now.collect()}
+        new = {**old, **{c["account_id"]: {**old[c["account_id"]], **c} for c in changed}}
+        frame_of = lambda rows: spark.createDataFrame([tuple(r[f] for f in schema.names) for r in rows], schema)
+        ids = [c["account_id"] for c in changed]
+        for _ in range(2):  # a version that is written again is the same
+            index.update(version, frame_of([old[i] for i in ids]), frame_of([new[i] for i in ids]))
+        now = frame_of(new.values())
+        some = requests.filter("trim(search_str) <> ''")
+        assert found(index.search(db.replace(accounts=now), some)) == found(accounts.search_accounts(db.replace(accounts=now), some))
+
+
+def test_index_reads_only_buckets_that_are_asked_for(spark, frame, tmp_path):
+    from bankspark.operators import search_index as S
+
+    db = bank(spark, frame)
+    index = S.SearchIndex(spark, f"{tmp_path}/index", buckets=64)
+    index.build(db.accounts)
+    asked = frame("request_id BIGINT, search_str STRING", [(1, "bob"), (2, "phone:1112")])
+    wanted = accounts.lookups(accounts.parse_search(asked)).select("kind", "value", index.store.bucket())
+    used = {r.bucket for r in wanted.collect()}
+    broken = 0
+    for path in (tmp_path / "index").glob("first=*/size=*/bucket=*/*.parquet"):
+        if int(path.parent.name.split("=")[1]) not in used:
+            path.write_bytes(b"broken")
+            path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+            broken += 1
+    assert broken > 20 and len(used) <= 3
+    assert found(index.search(db, asked)) == [(1, 5), (2, 2), (2, 6)]
