@@ -1,10 +1,10 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Each of ``TREES`` sorted orders arranges the signatures by ``DEPTH`` hash values of its own. Documents that
-share the first ``LEAST_DEPTH`` values form a region of that order. Small regions are compared whole; in
+share the first ``LEAST_DEPTH`` values form a region of that order. In small regions all meet; in
 larger ones each document first meets its neighbours in sorted order, which share the longest prefixes with
-it, so the depth follows the density of the region. What stays unconnected in a larger region is then compared
-whole too, in pairs of blocks over many tasks. Candidates are confirmed on their full shingle sets.
+it, so the depth follows the density of the region. What stays unconnected in a region is then compared whole, a
+large region in pairs of blocks over many tasks. Candidates are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from bankspark.llm.store import new_folder, stored, unused
 from bankspark.llm.words import ascii_words, distinct, shingle_hashes, slices, texts, word_hashes
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 2
+HEAD = 2 * LEAST_DEPTH
 # Documents of a region that are compared whole at once, and the width of the sliding view over larger regions.
 REGION = 64
-# Larger regions are compared whole afterwards, in blocks of about so many nodes, a task per pair of blocks; the
-# links of the first orders are counted in before the next are compared, so a text that links many is met early.
-BLOCK, TILE = 2048, 256
+# Regions are compared whole afterwards, as far as they are not connected: in blocks of about so many nodes (a node
+# counts once more for every ROOM shingles), a task per pair of blocks; the links of the first orders are counted in
+# before the next are compared, so a text that links many is met early.
+BLOCK, TILE, ROOM = 2048, 256, 4096
 CROSSED_TREES = (range(0, 1), range(1, 4), range(4, TREES))
 # Of so many sketch bytes, how many must agree: 5.2 standard deviations below what a pair of similarity 0.75
 # has on average, so this loses about one such pair in ten million; it only saves comparing full sets.
@@ -39,7 +41,7 @@ _numbers = np.random.default_rng(10)
 _FACTORS = (_numbers.integers(0, 1 << 32, TREES * DEPTH + WIDE, np.uint64) | np.uint64(1)).astype(np.uint32)
 _MASKS = _numbers.integers(0, 1 << 32, TREES * DEPTH + WIDE, np.uint64).astype(np.uint32)
 
-SETS = "doc_id bigint, n_shingles bigint, node bigint, node2 bigint, signature binary"
+SETS = "doc_id bigint, pick bigint, n_shingles bigint, node bigint, node2 bigint, signature binary"
 
 
 def signatures(sets: list[np.ndarray], functions: range = range(TREES * DEPTH)) -> np.ndarray:
@@ -85,11 +87,11 @@ def _summaries(batches):
         nodes = [_node(s) if len(s) else (None, None) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([n[0] for n in nodes], pa.int64()),
+                batch.column("doc_id"), batch.column("pick"), pa.array(map(len, sets), pa.int64()), pa.array([n[0] for n in nodes], pa.int64()),
                 pa.array([n[1] for n in nodes], pa.int64()),
                 pa.array([row.astype(">u2").tobytes() for row in signatures(sets)], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "node", "node2", "signature"],
+            ["doc_id", "pick", "n_shingles", "node", "node2", "signature"],
         )
 
 
@@ -157,15 +159,6 @@ def _second_round(tree, node, size, sketch, label):
     return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1)
 
 
-def _last_round(tree, node, size, sketch, label):
-    """All plausible pairs that no confirmed links connect so far."""
-    if (label == label[0]).all():
-        return None
-    may = np.triu(_plausible(sketch, size) & (label[:, None] != label[None, :]), 1)
-    x, y = np.nonzero(may)
-    return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1) if len(x) else None
-
-
 def _scan(pairs, width):
     def scan(batches):
         carry = None
@@ -215,17 +208,11 @@ def _candidates(nodes: DataFrame, pairs, width: int) -> DataFrame:
     return ordered.mapInArrow(_scan(pairs, width), "a bigint, b bigint").distinct()
 
 
-def _heads(nodes: DataFrame, trees: range = range(TREES)) -> DataFrame:
-    """The start of each node's prefix in each of the orders, with the node's label."""
-    width = 2 * DEPTH
-    each = nodes.select(F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))).alias("tree"), "node", "label", "signature")
-    return each.select("tree", F.expr(f"substring(signature, tree * {width} + 1, {2 * LEAST_DEPTH})").alias("head"), "node", "label")
-
-
-def _crowded(nodes: DataFrame, folder: str) -> DataFrame:
-    """``(tree, head, region)`` of the regions of more than REGION nodes."""
-    counted = _heads(nodes).groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REGION)
-    return stored(counted.select("tree", "head", F.monotonically_increasing_id().alias("region")), folder, "crowded")
+def _heads(nodes: DataFrame, trees: range) -> DataFrame:
+    """The start of each node's prefix in each of some orders, with the node's label and how much room it takes."""
+    each = nodes.select(F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))).alias("tree"), "node", "label", "heads", "size")
+    room = (F.lit(1) + F.expr(f"size div {ROOM}")).cast("bigint")
+    return each.select("tree", F.expr(f"substring(heads, tree * {HEAD} + 1, {HEAD})").alias("head"), "node", "label", room.alias("room"))
 
 
 def _alike(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -240,52 +227,97 @@ def _alike(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return total
 
 
+def _similar(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(x) + len(y) - len(distinct(np.concatenate((x, y))))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+class _Forest:
+    """Labels that links have joined so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, label: int) -> int:
+        while (above := self.up.get(label, label)) != label:
+            self.up[label] = self.up.get(above, above)
+            label = above
+        return label
+
+    def join(self, one: int, other: int) -> None:
+        self.up[max(one, other)] = min(one, other)
+
+
 def _crossed(batches):
-    """All plausible unconnected pairs of each two blocks (or one with itself), which lie next to each other."""
-    def compare(rows):
-        _, low, high, side, node, size, label, sketch = rows
-        same = low[0] == high[0]
+    """Links of each two blocks (or one with itself), which lie next to each other.
+
+    Every plausible pair of nodes that nothing connects yet is compared on the full sets, in the first of the orders
+    where the two share a region; of the links, those that join something go out, fewer than there are nodes.
+    """
+    def compare(rows, sets):
+        tree, _, low, high, side, node, size, label, sketch, heads = rows
+        tree, same, forest, links = int(tree[0]), low[0] == high[0], _Forest(), []
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         for i in range(0, len(left), TILE):
             for j in range(i if same else 0, len(right), TILE):
                 a, b = left[i : i + TILE], right[j : j + TILE]
                 small, large = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
                 may = (label[a][:, None] != label[b][None, :]) & (100 * small >= 75 * large)
+                if same and i == j:
+                    may = np.triu(may, 1)
                 if not may.any():
                     continue
-                x, y = np.nonzero(may & (_alike(sketch[a], sketch[b]) >= SKETCH_AGREE[WIDE]))
-                if len(x):
-                    x, y = node[a[x]], node[b[y]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    carry = None
+                alike = _alike(sketch[a], sketch[b])
+                x, y = np.nonzero(may & (alike >= SKETCH_AGREE[WIDE]))
+                first = (heads[a[x]] == heads[b[y]]).argmax(1) == tree
+                x, y = x[first], y[first]
+                order = np.argsort(-alike[x, y].astype(np.int64), kind="stable")
+                joined = len(links)
+                for k, m in zip(a[x[order]].tolist(), b[y[order]].tolist()):
+                    one, other = forest.find(int(label[k])), forest.find(int(label[m]))
+                    if one != other and _similar(sets[k], sets[m]):
+                        forest.join(one, other)
+                        links.append((int(node[k]), int(node[m])))
+                if len(links) > joined:
+                    names, at = np.unique(label, return_inverse=True)
+                    label = np.array([forest.find(n) for n in names.tolist()], np.int64)[at]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    carry, kept = None, []
     for batch in batches:
-        rows = [batch.column(n).to_numpy() for n in ("region", "low", "high", "side", "node", "size", "label")]
+        if batch.num_rows == 0:
+            continue
+        rows = [batch.column(n).to_numpy() for n in ("tree", "region", "low", "high", "side", "node", "size", "label")]
         rows.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDE))
+        rows.append(np.frombuffer(b"".join(batch.column("heads").to_pylist()), np.uint32).reshape(-1, TREES))
+        sets = kept + batch.column("shingles").to_pylist()
         rows = rows if carry is None else [np.concatenate(x) for x in zip(carry, rows)]
-        if not len(rows[0]):
-            continue
-        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)) + 1
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[1:4]], axis=0)) + 1
         for i, j in zip([0, *new[:-1]], new):
-            yield from compare([x[i:j] for x in rows])
-        carry = [x[new[-1] if len(new) else 0 :] for x in rows]
+            yield compare([x[i:j] for x in rows], sets[i:j])
+        last = int(new[-1]) if len(new) else 0
+        carry, kept = [x[last:] for x in rows], sets[last:]
     if carry is not None:
-        yield from compare(carry)
+        yield compare(carry, kept)
 
 
-def _unconnected(nodes: DataFrame, crowded: DataFrame, trees: range, folder: str) -> DataFrame | None:
-    """All plausible pairs of the crowded regions of some orders that no confirmed links connect so far.
+def _unconnected(nodes: DataFrame, sets: DataFrame, trees: range, folder: str) -> DataFrame | None:
+    """Links between what no confirmed links connect so far, in all regions of some orders.
 
     A label of at least BLOCK nodes in a region has blocks of its own, which need not be compared with each other;
-    the other nodes share blocks. Every two blocks of a region meet.
+    the other nodes share blocks, whose number follows the room they take. Every two blocks of a region meet.
     """
-    rows = stored(_heads(nodes, trees).join(crowded, ["tree", "head"]).select("region", "node", "label"), folder, "rows")
-    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("region").agg(
-        F.count(F.lit(1)).alias("labels"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("loose"))
-    several = stored(several.filter("labels > 1").select("region", F.ceil(F.col("loose") / BLOCK).alias("shared")), folder, "several")
-    if several.isEmpty():
+    heads = _heads(nodes, trees)
+    counted = heads.groupBy("tree", "head").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = counted.filter("least <> most").select("tree", "head", F.monotonically_increasing_id().alias("region"))
+    mixed = stored(mixed, folder, "mixed")
+    if mixed.isEmpty():
         return None
+    rows = stored(heads.join(mixed, ["tree", "head"]).drop("head"), folder, "rows")
+    sizes = rows.groupBy("region", "label").agg(F.sum("room").alias("n"))
+    several = sizes.groupBy("region").agg(F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("loose"))
+    several = stored(several.select("region", F.ceil(F.col("loose") / BLOCK).alias("shared")), folder, "several")
     before = Window.partitionBy("region").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     own = sizes.filter(F.col("n") >= BLOCK).withColumn("own", F.ceil(F.col("n") / BLOCK)).select(
         "region", "label", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
@@ -298,21 +330,18 @@ def _unconnected(nodes: DataFrame, crowded: DataFrame, trees: range, folder: str
     meets = F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))
     others = F.col("own").isNull() | (F.col("other") < F.col("start")) | (F.col("other") >= F.col("start") + F.col("own"))
     met = placed.withColumn("other", meets).filter(others).select(
-        "region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "tree", "region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
     key = ["region", "low", "high"]
-    full = met.join(nodes.select("node", "size", "label", "sketch"), "node").select(*key, "side", "node", "size", "label", "sketch")
+    whole = nodes.select("node", "size", "label", "sketch", "heads").join(sets.select("node", "shingles"), "node")
+    full = met.join(whole, "node").select("tree", *key, "side", "node", "size", "label", "sketch", "heads", "shingles")
     ordered = full.repartition(*key).sortWithinPartitions(*key)
-    return ordered.mapInArrow(_crossed, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(_crossed, "a bigint, b bigint")
 
 
 def _confirm(batches):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(distinct(np.concatenate((x, y))))
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+        keep = [_similar(x, y) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist())]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -343,52 +372,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id). A null, empty or blank text has no shingle and is linked with nothing. Rows without a
     doc_id link others, name no component and are never kept; repeated rows are copies and give a row each.
 
-    Equal sets are one node from the start. Rounds of few candidates per node link most copies; the next
-    compares, in all orders, every plausible pair of a view that is not connected yet. Regions larger than a view
-    are then compared whole, as far as their nodes are not connected. Two texts of similarity 0.75
-    share no region in any order with a probability of 2 in a million. Nodes are 64-bit hashes of the set.
+    Equal sets are one node from the start. Rounds of few candidates per node link most copies. Then every plausible
+    pair of a region that nothing connects yet is compared, once, by tasks that hold the full sets and hand out links
+    only. Two texts of similarity 0.75 share no region in any order with a probability of 2 in a million. Nodes are
+    64-bit hashes of the set. Very long texts are read whole; their sets take more room, so fewer of them meet in a task.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "near-duplicates")
-    rows = stored(
-        docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_summaries, SETS), folder, "rows")
+    # A node's text is found by the smallest id and the text's own hash, so rows that share an id, or have none,
+    # don't all meet.
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("pick"), "text")
+    rows = stored(named.mapInArrow(_summaries, SETS), folder, "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "pick")).alias("first")
+    cut = lambda start, n: F.expr(f"substring(signature, {start}, {n})")
     nodes = stored(
         rows.filter("node is not null").groupBy("node", "node2")
-        .agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
-        .drop("node2").withColumn("label", F.col("node"))
-        .withColumn("sketch", F.concat(*[F.substring("signature", 2 * k * (TREES * DEPTH // NARROW) + 2, 1) for k in range(NARROW)])),
+        .agg(first, F.first("signature").alias("signature"), F.first("n_shingles").alias("size")).drop("node2")
+        .withColumns({
+            "label": F.col("node"), "first_id": F.col("first.doc_id"), "pick": F.col("first.pick"),
+            "sketch": F.concat(*[cut(2 * k * (TREES * DEPTH // NARROW) + 2, 1) for k in range(NARROW)]),
+            "heads": F.concat(*[cut(2 * DEPTH * k + 1, HEAD) for k in range(TREES)]),
+        }).drop("first"),
         folder, "nodes",
     )
     pairs = stored(_candidates(nodes, _first_round, NARROW), folder, "first")
-    crowded = _crowded(nodes, folder)
     close = pairs.filter("a = b").select(F.col("a").alias("node"))
     # Who is unlike its neighbours in a crowded region may be like others of it.
-    close = close.union(_heads(nodes).join(crowded, ["tree", "head"]).select("node")).distinct()
+    every = _heads(nodes, range(TREES)).select("tree", "head", "node")
+    crowded = stored(every.groupBy("tree", "head").count().filter(F.col("count") > REGION), folder, "crowded")
+    close = close.union(every.join(crowded, ["tree", "head"]).select("node")).distinct()
     close = stored(nodes.join(close, "node"), folder, "close")
-    # A null id is as good as any here: what counts is that the text gives the node's set.
-    named = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), "text")
-    wanted = close.select("node", F.coalesce("first_id", F.lit(_NO_ID)).alias("id"))
+    named = named.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "pick", "text")
+    wanted = close.select("node", F.coalesce("first_id", F.lit(_NO_ID)).alias("id"), "pick")
     if close.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     sets = stored(
-        named.join(wanted, "id").select("node", "text").mapInArrow(_full_sets, "node bigint, shingles binary, wide binary")
+        named.join(wanted, ["id", "pick"]).select("node", "text").mapInArrow(_full_sets, "node bigint, shingles binary, wide binary")
         .groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("wide").alias("wide")),
         folder, "sets",
     )
     grouped = close.drop("sketch").join(sets.select("node", F.col("wide").alias("sketch")), "node")
     links = confirmed(pairs, sets)
-    for number, pairs_of in enumerate((_second_round, _last_round, None)):
-        grouped = _joined(grouped, links, f"{folder}/{number}")
-        if pairs_of is not None:
-            pairs = stored(_candidates(grouped, pairs_of, WIDE), folder, f"pairs-{number}")
-            links = stored(confirmed(pairs, sets), folder, f"links-{number}")
-    if not crowded.isEmpty():
-        for trees in CROSSED_TREES:
-            part = f"{folder}/crossed-{trees[0]}"
-            pairs = _unconnected(grouped, crowded, trees, part)
-            if pairs is not None:
-                pairs = stored(pairs, part, "pairs")
-                grouped = _joined(grouped, stored(confirmed(pairs, sets), part, "links"), part)
+    grouped = _joined(grouped, links, f"{folder}/first-links")
+    pairs = stored(_candidates(grouped, _second_round, WIDE), folder, "second")
+    grouped = _joined(grouped, stored(confirmed(pairs, sets), folder, "second-confirmed"), f"{folder}/second-links")
+    for trees in CROSSED_TREES:
+        part = f"{folder}/crossed-{trees[0]}"
+        links = _unconnected(grouped, sets, trees, part)
+        if links is not None:
+            grouped = _joined(grouped, stored(links, part, "links"), part)
     smallest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_node = grouped.select("node", "label").join(smallest, "label").select("node", "component_id")
     everything = nodes.select("node", "first_id").join(of_node, "node", "left").select(
