@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from bankspark.functions import columns as C
 from bankspark.operators.ordering import positions_within
@@ -400,12 +400,13 @@ class Nightly:
     audit: DataFrame  # one row per step taken
 
 
-def nightly(db: Tables, as_of: dt.date, catch_up: bool = False) -> Nightly:
+def nightly(db: Tables, as_of: dt.date, catch_up: bool = False, counts: Observation | None = None) -> Nightly:
     """Due, overdue, exercise and back-to-normal sweeps, each on what the one before left.
 
     One pass: the two exercise days are looked up once per instance, and the four steps are
     expressions on one row. An instance may move twice in a night, also straight back to running
     when it has exercise dates on both days. Sweeps write the automation account and no note.
+    ``counts`` takes the number of rows of each step along with the first result that is written.
     """
     today, yesterday = _day(as_of), F.date_sub(_day(as_of), 1)
     exercise = (
@@ -425,6 +426,10 @@ def nightly(db: Tables, as_of: dt.date, catch_up: bool = False) -> Nightly:
     for i, (_, source, target, hit) in enumerate(rules):
         before = F.col(f"_s{i}")
         rows = rows.withColumn(f"_s{i + 1}", F.when((before == source) & hit, target).otherwise(before))
+    if counts is not None:
+        rows = rows.observe(counts, *[
+            F.count_if(F.col(f"_s{i}") != F.col(f"_s{i + 1}")).alias(name) for i, (name, *_) in enumerate(rules)
+        ])
     steps = F.array(*[
         F.struct(F.lit(name).alias("step"), F.col(f"_s{i}").alias("was_status"), F.col(f"_s{i + 1}").alias("is_code"))
         for i, (name, *_) in enumerate(rules)
@@ -455,3 +460,9 @@ def sweep_summary(night: Nightly) -> DataFrame:
     moved = night.audit.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
     steps = night.audit.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{s}')" for s in STEPS) + " AS t(step)")
     return steps.join(moved, "step", "left").select("step", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"))
+
+
+def observed_summary(spark: SparkSession, counts: Observation) -> DataFrame:
+    """``sweep_summary`` from what was counted while the night's rows were written; no second pass."""
+    seen = counts.get
+    return spark.createDataFrame([(step, int(seen[step])) for step in STEPS], "step STRING, n_rows BIGINT")

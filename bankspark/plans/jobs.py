@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from bankspark.operators import contracts, lifecycle, notices
 from bankspark.session import checkpointed
@@ -17,11 +17,13 @@ from bankspark.sources.tables import Tables, write_snapshot
 
 def run_night(db: Tables, as_of: dt.date, out: str, version: int, catch_up: bool = False) -> dict[str, str]:
     """Status sweeps just after midnight: the instances afterwards, audit rows and row counts."""
-    night = lifecycle.nightly(db, as_of, catch_up)
-    return {
-        "product_instances": write_snapshot(night.instances, f"{out}/product_instances", version),
+    counts = Observation()
+    night = lifecycle.nightly(db, as_of, catch_up, counts)
+    written = {"product_instances": write_snapshot(night.instances, f"{out}/product_instances", version)}
+    summary = lifecycle.observed_summary(db.spark, counts)
+    return written | {
         "product_status_updates": write_snapshot(night.audit, f"{out}/product_status_updates", version),
-        "sweep_summary": write_snapshot(lifecycle.sweep_summary(night), f"{out}/sweep_summary", version),
+        "sweep_summary": write_snapshot(summary, f"{out}/sweep_summary", version),
     }
 
 

@@ -602,6 +602,15 @@ SELECT request_id, category_id, subcategory_name,
        (SELECT max(subcategory_id) FROM product_subcategories) + row_number() OVER (ORDER BY request_id) AS subcategory_id
 FROM new_subcategory_requests WHERE category_id IN (SELECT category_id FROM product_categories)""")
 
+ORACLES["sweep_summary_observed"] = ORACLES["sweep_summary"]
+ORACLES["nightly_audit_dated"] = ORACLES["nightly_audit"]
+ORACLES["audit_rows_hashed"] = ORACLES["audit_rows"]
+oracle("reserved_ids", """
+SELECT product_uid, is_code, prime_uid AS source_uid,
+       4999 + CASE WHEN is_code = 'APR' THEN 0 ELSE count(*) FILTER (WHERE is_code = 'APR') OVER () END
+       + row_number() OVER (PARTITION BY is_code = 'APR' ORDER BY prime_uid) AS prime_uid
+FROM product_status_updates""")
+
 # --- requests that name who asks ---------------------------------------------------------------
 
 _SALES_CHECKED = """

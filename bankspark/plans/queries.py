@@ -5,14 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from bankspark.functions import columns as C
-from bankspark.operators import accounts, attributes, catalog, changes, contracts, instances, lifecycle, notices
+from bankspark.operators import accounts, attributes, capture, catalog, changes, contracts, instances, lifecycle, notices
+from bankspark.operators.key_blocks import KeyBlocks, append_with_reserved_ids
 from bankspark.operators.ordering import append_with_ids
 from bankspark.operators.search_index import SearchIndex
 from bankspark.session import scratch_dir, tune
-from bankspark.sources import schemas
+from bankspark.sources import dated, schemas
 from bankspark.sources.tables import MappedTables, append_rows
 from bankspark.streaming import feeds, stateful
 
@@ -400,6 +401,42 @@ def sweep_summary(db):
     return lifecycle.sweep_summary(lifecycle.nightly(_two_exercise_dates(db), AS_OF))
 
 
+@query
+def sweep_summary_observed(db):
+    """Counted while the night's instances are written."""
+    counts = Observation()
+    night = lifecycle.nightly(_two_exercise_dates(db), AS_OF, counts=counts)
+    night.instances.write.parquet(scratch_dir(db.spark, "night"))
+    return lifecycle.observed_summary(db.spark, counts)
+
+
+@query
+def nightly_audit_dated(db):
+    """The night on instances stored by end date."""
+    db, path = _two_exercise_dates(db), scratch_dir(db.spark, "dated")
+    dated.store_dated(db, path)
+    return dated.nightly_dated(db, path, AS_OF).audit.select("product_uid", "step", "was_status", "is_code")
+
+
+@query
+def audit_rows_hashed(db):
+    """Audit rows of two stored snapshots, compared by the digests of their buckets."""
+    path = scratch_dir(db.spark, "hashed")
+    capture.write_hashed(db.product_instances.select(capture.AUDITED), path, 0, buckets=32)
+    capture.write_hashed(db.view("instances_after").select(capture.AUDITED), path, 1, buckets=32)
+    return capture.audit_rows_between(db.spark, path, 0, 1, AS_OF_TIME)
+
+
+@query
+def reserved_ids(db):
+    """Two appends to one table, each with keys of its own."""
+    blocks = KeyBlocks(db.spark, scratch_dir(db.spark, "keys"), base=5000)
+    rows = db.product_status_updates.select("product_uid", "is_code", F.col("prime_uid").alias("source_uid"))
+    parts = [rows.filter(F.col("is_code") == "APR"), rows.filter(F.col("is_code") != "APR")]
+    first, second = (append_with_reserved_ids(blocks, f"part-{k}", part, "prime_uid", ["source_uid"]) for k, part in enumerate(parts))
+    return first.unionByName(second)
+
+
 # --- notices -----------------------------------------------------------------------------------
 
 
