@@ -11,23 +11,27 @@ the source; inside a shard, blocks lie in the order of another hash.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from bankspark.llm.store import new_folder, stored, unused
-from bankspark.llm.words import mixed
+from bankspark.llm.store import new_folder, stored
+from bankspark.llm.words import mixed, slices
+from bankspark.operators.ordering import global_positions
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 SHARDS, SEED = 16, 9
-# Words in a block: a thousandth of the source, at most BLOCK, so that small sources come near their target too;
-# more where the tree would have to draw from over MOST_BLOCKS blocks.
+# Words in a block: a thousandth of the source, at most BLOCK, so that small sources come near their target too. Where
+# the tree would have to draw from over MOST_BLOCKS blocks (more than 64 billion words), blocks are larger,
+# so that a target is met within a 250 millionth of all words.
 BLOCK, PARTS, MOST_BLOCKS = 256, 1024, 500_000_000
-# The plan has a row per source and shard on the driver. More sources than this are refused.
-MOST_SOURCES = 100_000
-DOCS_IN_BUCKET, MOST_BUCKETS = 2048, 65_536
+# Sources that one task deals to the shards; the tree above is over groups of so many.
+SOURCES_IN_GROUP = 10_000
+# Up to so many sources (about 250 bytes each) are broadcast; beyond that, only those with more than one in so many
+# of all documents, which are fewer.
+BROADCAST_SOURCES = 100_000
+DOCS_IN_BUCKET, MOST_BUCKETS, DOCS_IN_PIECE = 2048, 65_536, 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 DRAWS = "array<struct<copy: int, start: bigint, n_words: bigint, shard: int, position: bigint>>"
@@ -49,15 +53,23 @@ def targets(sizes: list[int]) -> list[float]:
     return out
 
 
-def split(quotas: np.ndarray, shards: int, seed: int, node: int = 1) -> np.ndarray:
-    """Blocks of each source for each shard: a row per source, a column per shard, rows adding up to ``quotas``."""
-    if shards == 1:
+def split(quotas: np.ndarray, totals: np.ndarray, seed: list[int], node: int = 1) -> np.ndarray:
+    """Deals ``quotas`` of blocks to shards of the given ``totals`` (as many in all), by halves of the shards.
+
+    A row per source and a column per shard; rows add up to ``quotas``, columns to ``totals``.
+    """
+    if len(totals) == 1:
         return quotas[:, None]
-    left = shards // 2
-    share = int(quotas.sum()) * left // shards
-    rng = np.random.default_rng([seed, node])
+    half = len(totals) // 2
+    share = int(totals[:half].sum())
+    rng = np.random.default_rng([*seed, node])
     first = rng.multivariate_hypergeometric(quotas, share, method="marginals") if share else np.zeros_like(quotas)
-    return np.hstack([split(first, left, seed, 2 * node), split(quotas - first, shards - left, seed, 2 * node + 1)])
+    return np.hstack([split(first, totals[:half], seed, 2 * node), split(quotas - first, totals[half:], seed, 2 * node + 1)])
+
+
+def even(total: int, shards: int) -> np.ndarray:
+    """Blocks of each shard: as equal as whole numbers can be."""
+    return np.diff(np.arange(shards + 1, dtype=np.int64) * total // shards)
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -75,111 +87,169 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-@dataclass
-class Plan:
-    """What the sources' sizes decide; arrays have an entry per source."""
+def _sized(docs: DataFrame, seed: int) -> list:
+    """Columns that place a document: id, source, words, and its draws by hash."""
+    drawn = F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(seed))
+    return [
+        F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias("_key"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"), drawn.alias("_drawn"),
+        F.xxhash64("text").alias("_tie"),
+    ]
 
-    sources: list[str | None]
-    sizes: list[int]
-    targets: list[float]
-    block: np.ndarray
-    blocks: np.ndarray
-    quotas: np.ndarray
-    bounds: np.ndarray
-    seed: int
 
+def _targets(sizes: DataFrame) -> DataFrame:
+    """``sizes(key, words, n)`` with the place of each source and its target; the same rule as ``targets``.
 
-def plan(sizes: dict[str | None, int], shards: int = SHARDS, seed: int = SEED) -> Plan:
-    sources = sorted(sizes, key=lambda s: (s is None, s or ""))
-    words = [sizes[s] for s in sources]
-    goal = targets(words)
-    least = sum(words) * MOST // MOST_BLOCKS + 1
-    block = np.array([max(least, min(BLOCK, w // PARTS)) for w in words], np.int64)
-    blocks = -(-np.array(words, np.int64) // block)
-    # A source at its limit takes every block, also its last, which may be shorter.
-    quotas = np.array([
-        MOST * n if t >= MOST * w else min(MOST * n, round(t / b)) for n, t, w, b in zip(blocks, goal, words, block)
-    ], np.int64)
-    shares = split(quotas, shards, seed) if len(quotas) else np.zeros((0, shards), np.int64)
-    return Plan(sources, words, goal, block, blocks, quotas, np.cumsum(shares, axis=1), seed)
+    A round looks at all sources at once: those above the limit under the present unit get the limit, and the rest
+    is shared anew, until none is above.
+    """
+    ordered = global_positions(sizes.withColumn("_last", F.col("key") == "-"), ["_last", "key"], "place")
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), ((F.col("place") - 1) % len(WEIGHTS) + 1).cast("int"))
+    weighed = ordered.drop("_last").withColumn("weight", weight)
+    total = weighed.agg(F.sum("words")).first()[0] or 0
+    limit, unit, closed = MOST * F.col("words"), None, F.lit(False)
+    while True:
+        left = weighed.agg(
+            F.sum(F.when(~closed, F.col("weight"))).alias("weights"), F.sum(F.when(closed, limit)).alias("taken")).first()
+        if not left.weights:
+            break
+        before, unit = unit, max(0.0, SHARE * total - (left.taken or 0)) / left.weights
+        if before is not None and unit <= before:
+            break
+        closed = closed | (F.col("weight") * F.lit(unit) > limit)
+    shared = limit if unit is None else F.when(closed, limit).otherwise(F.col("weight") * F.lit(unit))
+    return weighed.withColumn("target", shared.cast("double"))
+
+
+_SOURCES = "place bigint, bounds binary"
+
+
+def _dealt(shards: int, seed: int):
+    """The upper bounds of each shard's blocks in the line of each source's drawn blocks, for one group of sources."""
+    def dealt(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        totals = np.frombuffer(rows.column("totals")[0].as_py(), np.int64)
+        mine = split(rows.column("quota").to_numpy(), totals, [seed, int(rows.column("group")[0].as_py()) + 1])
+        bounds = np.cumsum(mine, axis=1)
+        return pa.table({"place": rows.column("place"), "bounds": pa.array([b.tobytes() for b in bounds], pa.binary())})
 
+    return dealt
+
+
+def _planned(sizes: DataFrame, shards: int, seed: int, folder: str) -> DataFrame:
+    """A row per source: key, size, target, words in a block, blocks, drawn blocks and their bounds by shard.
+
+    The driver's part of the tree has a row per group of sources; each group's part is one task's.
+    """
+    spark = sizes.sparkSession
+    goal = stored(_targets(sizes), folder, "targets")
+    counted = goal.agg(F.sum("words"), F.count(F.lit(1))).first()
+    least = (counted[0] or 0) * MOST // MOST_BLOCKS + 1
+    groups = max(1, -(-counted[1] // SOURCES_IN_GROUP))
+    limit = MOST * F.col("words")
+    # A source at its limit takes every block, also its last, which may be shorter.
+    quota = F.when(F.col("target") >= limit, MOST * F.col("blocks")).otherwise(
+        F.least(MOST * F.col("blocks"), F.rint(F.col("target") / F.col("block")).cast("bigint")))
+    quotas = stored(
+        goal.withColumn("block", F.greatest(F.lit(least), F.least(F.lit(BLOCK), F.expr(f"words div {PARTS}"))).cast("bigint"))
+        .withColumn("blocks", F.expr("(words + block - 1) div block")).withColumn("quota", quota)
+        .withColumn("group", F.pmod(F.xxhash64("place"), F.lit(groups))),
+        folder, "quotas")
+    drawn = {r.group: r.quota for r in quotas.groupBy("group").agg(F.sum("quota").alias("quota")).collect()}
+    of_groups = np.array([drawn.get(g, 0) for g in range(groups)], np.int64)
+    shares = split(of_groups, even(int(of_groups.sum()), shards), [seed, 0])
+    totals = spark.createDataFrame([(g, bytearray(s.tobytes())) for g, s in enumerate(shares)], "group bigint, totals binary")
+    dealt = quotas.join(F.broadcast(totals), "group").select("group", "place", "quota", "totals").groupBy("group").applyInArrow(
+        _dealt(shards, seed), _SOURCES)
+    return stored(quotas.drop("group", "weight").join(dealt, "place"), folder, "plan")
+
+
+def _line(docs: DataFrame, carried: dict, shards: int, seed: int) -> DataFrame:
+    """Documents with their source's plan and their place on the source's line; ``carried`` are further columns."""
+    folder = new_folder(docs.sparkSession, "mixture")
+    fine = F.pmod("_drawn", F.lit(MOST_BUCKETS)).alias("fine")
+    sums = stored(
+        docs.select(*_sized(docs, seed)).groupBy("_key", fine).agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n")),
+        folder, "sums")
+    plan = _planned(sums.groupBy(F.col("_key").alias("key")).agg(F.sum("words").alias("words"), F.sum("n").alias("n")), shards, seed, folder)
+    counted = plan.agg(F.count(F.lit(1)), F.sum("n")).first()
+    buckets = 1
+    while buckets < MOST_BUCKETS and buckets * DOCS_IN_BUCKET < (counted[1] or 0):
+        buckets *= 2
+    bucket = lambda c: F.pmod(c, F.lit(buckets)).alias("_bucket")
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.groupBy("_key", bucket("fine")).agg(F.sum("words").alias("_words")).select(
+        "_key", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
+    keyed = docs.select(*_sized(docs, seed), *[F.col(c).alias(name) for c, name in carried.items()])
+    plan = plan.select(
+        F.col("key").alias("_key"), F.col("place").alias("_place"), F.col("words").alias("_source_size"), F.col("target").alias("_target"),
+        F.col("block").alias("_block"), F.col("blocks").alias("_blocks"), F.col("quota").alias("_quota"), F.col("bounds").alias("_bounds"), "n")
+    if counted[0] <= BROADCAST_SOURCES:
+        placed = keyed.join(F.broadcast(plan.drop("n")), "_key")
+    else:
+        often = F.col("n") > counted[1] / BROADCAST_SOURCES
+        many = F.broadcast(plan.filter(often).drop("n"))
+        rest = keyed.join(F.broadcast(plan.filter(often).select("_key")), "_key", "left_anti")
+        placed = keyed.join(many, "_key").unionByName(rest.join(plan.filter(~often).drop("n"), "_key"))
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_drawn", "_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_bucket", bucket("_drawn")).join(offsets, ["_key", "_bucket"])
+    return placed.withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+
+
+_PLACE = ["_place", "_size", "_start", "_block", "_blocks", "_quota", "_bounds"]
+
+
+def _draws(batch, seed: int) -> tuple[np.ndarray, ...]:
+    """Row, copy, first word, number of words, shard and position of each block that is drawn of the batch's documents."""
+    source, size, start, block, blocks, quota = (batch.column(c).to_numpy() for c in _PLACE[:-1])
+    bounds = np.frombuffer(b"".join(batch.column("_bounds").to_pylist()), np.int64).reshape(len(size), -1)
+    n = np.where(size > 0, (start + size - 1) // np.maximum(block, 1) - start // np.maximum(block, 1) + 1, 0) * MOST
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    copy, j = place % MOST, place // MOST + start[row] // np.maximum(block, 1)[row]
+    draw = copy * blocks[row] + j
+    taken = draw < quota[row]
+    row, copy, j, draw = row[taken], copy[taken], j[taken], draw[taken]
+    low = np.maximum(start[row], j * block[row])
+    high = np.minimum(start[row] + size[row], (j + 1) * block[row])
+    key = mixed((source[row].astype(np.uint64) << np.uint64(20)) + np.uint64(seed))
+    position = permuted(draw, quota[row], key)
+    shard = (bounds[row] <= position[:, None]).sum(1)
+    return row, copy, low - start[row], high - low, shard, position
+
+
+def _drawn(seed: int):
+    """Each document with the draws of the blocks it lies in."""
+    names = ["doc_id", "size", "source", "source_size", "target", "draws"]
 
-def _drawn(of: Plan):
-    """Adds to each document the draws of the blocks it lies in."""
     def drawn(batches):
         for batch in batches:
-            source, start, size = (batch.column(c).to_numpy() for c in ("_source", "_start", "size"))
-            n = np.where(size > 0, (start + size - 1) // of.block[source] - start // of.block[source] + 1, 0) * MOST
-            row = np.repeat(np.arange(len(n)), n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            s = source[row]
-            copy, j = place % MOST, place // MOST + start[row] // of.block[s]
-            draw = copy * of.blocks[s] + j
-            taken = draw < of.quotas[s]
-            row, s, copy, j, draw = row[taken], s[taken], copy[taken], j[taken], draw[taken]
-            low = np.maximum(start[row], j * of.block[s])
-            high = np.minimum(start[row] + size[row], (j + 1) * of.block[s])
-            key = mixed((s.astype(np.uint64) << np.uint64(20)) + np.uint64(of.seed))
-            position = permuted(draw, of.quotas[s], key)
-            shard = (of.bounds[s] <= position[:, None]).sum(1)
+            row, copy, start, n_words, shard, position = _draws(batch, seed)
             draws = pa.StructArray.from_arrays(
-                [pa.array(copy, pa.int32()), pa.array(low - start[row]), pa.array(high - low), pa.array(shard, pa.int32()),
-                 pa.array(position)],
+                [pa.array(copy, pa.int32()), pa.array(start), pa.array(n_words), pa.array(shard, pa.int32()), pa.array(position)],
                 ["copy", "start", "n_words", "shard", "position"],
             )
-            offsets = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32())
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            names_of = [None if k == "-" else k[1:] for k in batch.column("_key").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "_row", "size", "_source")] + [pa.ListArray.from_arrays(offsets, draws)],
-                ["doc_id", "_row", "size", "_source", "draws"],
-            )
+                [batch.column("_id"), batch.column("_size"), pa.array(names_of, pa.string()), batch.column("_source_size"),
+                 batch.column("_target"), pa.ListArray.from_arrays(offsets, draws)], names)
 
     return drawn
 
 
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """A row per document: ``doc_id``, ``size``, ``source``, ``source_size``, ``target``, ``draws`` and ``_row``.
+    """A row per document: ``doc_id``, ``size``, ``source``, ``source_size``, ``target`` and ``draws``.
 
     ``docs`` needs ``doc_id``, ``text`` and ``source``. ``draws`` lists the blocks the mix takes of the document:
     copy number, first word, number of words, shard and the block's place in the source's permutation, which
     orders the shard. A null or empty text has size 0 and no draws; null is a source of its own, after the others.
-    Repeated rows are documents of their own. ``_row`` is a hash of the row, the same for equal rows.
+    Repeated rows are documents of their own. Sources may be as many as documents. A very long text is
+    many blocks. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    folder = new_folder(spark, "mixture")
-    sized = stored(
-        docs.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text").alias("_row"),
-        ),
-        folder, "sized",
-    )
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    of = plan({r.source: r["size"] for r in rows}, shards, seed)
-    numbers = spark.createDataFrame(
-        [(s, k, of.sizes[k], of.targets[k]) for k, s in enumerate(of.sources)],
-        "_name string, _source int, source_size bigint, target double",
-    )
-    # At most MOST_SOURCES rows.
-    numbers = F.broadcast(numbers)
-    buckets = 1
-    while buckets < MOST_BUCKETS and buckets * DOCS_IN_BUCKET < sum(r.n for r in rows):
-        buckets *= 2
-    drawn = F.xxhash64("doc_id", F.lit(seed))
-    placed = sized.join(numbers, F.col("source").eqNullSafe(F.col("_name"))).withColumn("_drawn", drawn).withColumn(
-        "_bucket", F.pmod("_drawn", F.lit(buckets)))
-    keys = ["_source", "_bucket"]
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*keys).agg(F.sum("size").alias("_words")).select(
-        *keys, F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys).orderBy("_drawn", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    line = placed.join(offsets, keys).withColumn("_start", F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    draws = line.select("doc_id", "_row", "size", "_source", "_start").mapInArrow(
-        _drawn(of), f"doc_id bigint, _row bigint, size bigint, _source int, draws {DRAWS}")
-    return draws.join(numbers, "_source").select(
-        "doc_id", "size", F.col("_name").alias("source"), "source_size", "target", "draws", "_row")
+    line = _line(docs, {}, shards, seed)
+    return line.select("_id", "_key", "_source_size", "_target", *_PLACE).mapInArrow(
+        _drawn(seed), f"doc_id bigint, size bigint, source string, source_size bigint, target double, draws {DRAWS}")
 
 
 def shards(docs: DataFrame, number: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -190,37 +260,49 @@ def shards(docs: DataFrame, number: int = SHARDS, seed: int = SEED) -> DataFrame
     return blocks.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "start")
 
 
-def _cut(names: list[str], part: str):
-    """Keeps the words that the mix takes of a text, from and to as ``part`` says."""
-    word = re.compile(WORD)
+def _cut(carried: dict[str, str], seed: int):
+    """The parts that the mix takes of each document, a row per copy, with shard and place of its first block."""
+    word, text = re.compile(WORD), carried["text"]
 
     def cut(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for k, taken in enumerate(batch.column(part).to_pylist()):
-                if taken["to"] - taken["from"] < taken["size"]:
-                    spans = [m.span() for m in word.finditer(texts[k])][taken["from"] : taken["to"]]
-                    texts[k] = texts[k][spans[0][0] : spans[-1][1]]
-            columns = [pa.array(texts, batch.column("text").type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in slices(batches, text):
+            row, copy, start, n_words, shard, position = _draws(batch, seed)
+            # Blocks of a copy that a document lies in are next to each other, so their ends give the part taken.
+            order = np.lexsort((start, copy, row))
+            row, copy, start, n_words, shard, position = (x[order] for x in (row, copy, start, n_words, shard, position))
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (copy[1:] != copy[:-1]))))
+            last = np.append(first[1:], len(row)) - 1 if len(first) else first
+            low, high = start[first], start[last] + n_words[last] if len(first) else start[first]
+            part = batch.take(pa.array(row[first]))
+            taken, size = part.column(text).to_pylist(), part.column("_size").to_numpy()
+            for k in np.flatnonzero(high - low < size):
+                spans = [m.span() for m in word.finditer(taken[k])][low[k] : high[k]]
+                taken[k] = taken[k][spans[0][0] : spans[-1][1]]
+            columns = [pa.array(taken, pa.string()) if name == text else part.column(name) for name in carried.values()]
+            source = part.column("_place").to_numpy().astype(np.uint64)
+            place = mixed(mixed(position[first].astype(np.uint64) + np.uint64(seed)) ^ mixed(source << np.uint64(2)) + copy[first].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(shard[first].astype(np.int64)), pa.array(place.view(np.int64))], [*carried.values(), "_shard", "_order"])
 
     return cut
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row per document and copy, texts cut where only part is taken.
+def mixed_documents(docs: DataFrame, number: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """``docs`` as the mix takes them: a row per document and copy, shard by shard, in each shard's own order.
 
-    All columns stay as they are, but for ``text`` (and ``n_chars``, if there is one) of cut documents; at most
-    one document of a source is cut. Documents without words have nothing to take and go.
+    A document is in the shard of the first block that is taken of it. All columns stay as they are, but for ``text``
+    (and ``n_chars``, if there is one) of cut documents; at most one document of a source is cut. Documents without
+    words have nothing to take and go. Repeated rows are drawn each for itself.
     """
-    row, part = unused(docs, "_row"), unused(docs, "_part")
-    # Blocks of a copy that a document lies in are next to each other, so their ends give the part taken.
-    taken = F.struct(
-        F.min("start").alias("from"), F.max(F.col("start") + F.col("n_words")).alias("to"), F.max("size").alias("size"))
-    copies = mixture(docs).select("_row", "size", F.inline("draws")).groupBy("_row", "copy").agg(taken.alias(part))
-    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text"))
-    joined = keyed.join(copies.select(F.col("_row").alias(row), part), row).select(*docs.columns, part)
-    out = joined.mapInArrow(_cut(docs.columns, part), docs.schema)
+    carried = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    types = ", ".join(f"{name} {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c, name in carried.items())
+    line = _line(docs, carried, number, seed)
+    rows = line.select(*carried.values(), *_PLACE).mapInArrow(_cut(carried, seed), f"{types}, _shard bigint, _order bigint")
+    # A shard is written in pieces, which follow each other in its order.
+    pieces = max(1, -(-docs.count() // (number * DOCS_IN_PIECE)))
+    piece = F.floor((F.col("_order") / 2.0**63 + 1) * (pieces / 2)).cast("bigint")
+    out = rows.withColumn("_piece", piece).repartition("_shard", "_piece").sortWithinPartitions("_shard", "_piece", "_order")
+    out = out.select(*[F.col(name).alias(c) for c, name in carried.items()])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

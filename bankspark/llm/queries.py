@@ -80,8 +80,15 @@ def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda total, draw: total + draw["n_words"])
-    return mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    """Words taken of each document, and of these in each shard."""
+    def words(draws):
+        return F.aggregate(draws, F.lit(0).cast("bigint"), lambda total, draw: total + draw["n_words"])
+
+    used = F.array_sort(F.array_distinct(F.transform("draws", lambda draw: draw["shard"])))
+    of_shard = F.transform(used, lambda s: F.concat(
+        s.cast("string"), F.lit(":"), words(F.filter("draws", lambda draw: draw["shard"] == s)).cast("string")))
+    return mixture(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", words("draws").alias("taken"), F.array_join(of_shard, ",").alias("shard_words"))
 
 
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
