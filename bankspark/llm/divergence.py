@@ -24,7 +24,8 @@ from bankspark.operators.ordering import global_positions
 LEAST_DOCUMENTS, BEST_TERMS = 3, 200
 # Columns of the matrix that one task takes at a time.
 SLICE = 128 * SIDE
-COUNTED_AT_ONCE = 300_000
+# Counts that a task holds, and from how many occurrences on it holds them until its end.
+COUNTED_AT_ONCE, FREQUENT = 500_000, 8
 # Up to so many groups (a row of some 50 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -42,16 +43,21 @@ def _counted(batches):
     times: dict[tuple, Counter] = {}
     documents: dict[tuple, Counter] = {}
 
-    def rows():
+    def rows(most: int | None = None):
+        """Counts up to ``most`` go out; higher ones are added to, so that frequent terms are a row a task."""
         for (lang, source), of in times.items():
-            n = len(of)
+            out = [t for t, n in of.items() if most is None or n <= most]
+            docs = documents[lang, source]
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n),
-                 pa.array(of.keys(), pa.binary()).cast(pa.string()), pa.array(of.values(), pa.int64()),
-                 pa.array([documents[lang, source][t] for t in of], pa.int64())],
+                [pa.repeat(pa.scalar(lang, pa.string()), len(out)), pa.repeat(pa.scalar(source, pa.string()), len(out)),
+                 pa.array(out, pa.binary()).cast(pa.string()), pa.array([of.pop(t) for t in out], pa.int64()),
+                 pa.array([docs.pop(t) for t in out], pa.int64())],
                 ["lang", "source", "term", "n", "docs"])
-        times.clear()
-        documents.clear()
+        if most is None or sum(map(len, times.values())) > COUNTED_AT_ONCE // 2:
+            if most is not None:
+                yield from rows()
+            times.clear()
+            documents.clear()
 
     for batch in slices(batches):
         for text, *group in zip(texts(batch.column("text")), batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
@@ -59,7 +65,7 @@ def _counted(batches):
             times.setdefault(tuple(group), Counter()).update(each)
             documents.setdefault(tuple(group), Counter()).update(set(each))
         if sum(map(len, times.values())) > COUNTED_AT_ONCE:
-            yield from rows()
+            yield from rows(FREQUENT)
     yield from rows()
 
 
@@ -183,8 +189,10 @@ def source_divergence(
     folder = new_folder(docs.sparkSession, "divergence")
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = docs.select(filled("lang"), filled("source"), "text")
-    counts = docs.mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint").groupBy(
-        "lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up what they counted; a term's rows go to one task, for its sources and for the whole language.
+    counted = docs.mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    counts = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
     kept = counts.select("*", F.sum("n").over(of_term).alias("of_lang"), F.sum("docs").over(of_term).alias("in_docs")).filter(
         F.col("in_docs") >= least)

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bankspark.llm import divergence as D, quadtree as Q
@@ -93,6 +94,24 @@ def test_audit(spark, monkeypatch, width, best):
     assert sorted(map(tuple, got)) == plain(corpus(), best=best)
 
 
+def test_counts_in_parts(monkeypatch):
+    monkeypatch.setattr(D, "COUNTED_AT_ONCE", 20)
+    texts = [f"hot hot w{chr(97 + k % 26)} x{chr(97 + k // 26)} hot hot" for k in range(60)]
+    batches = [pa.record_batch({"text": texts[k : k + 5], "lang": ["en"] * 5, "source": ["a", "a", "b", "b", "b"]}) for k in range(0, 60, 5)]
+    n, docs, hot = Counter(), Counter(), 0
+    for batch in D._counted(batches):
+        for r in batch.to_pylist():
+            n[r["source"], r["term"]] += r["n"]
+            docs[r["source"], r["term"]] += r["docs"]
+            hot += r["term"] == "hot"
+    want, in_docs = Counter(), Counter()
+    for k, text in enumerate(texts):
+        source = "aabbb"[k % 5]
+        want.update((source, w) for w in text.split())
+        in_docs.update((source, w) for w in set(text.split()))
+    assert (n, docs) == (want, in_docs) and hot < 24
+
+
 def test_nothing(spark, documents):
     assert D.source_divergence(documents([])).count() == 0
     assert D.source_divergence(documents([(1, None), (2, "a")])).count() == 0
