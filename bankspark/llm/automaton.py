@@ -85,6 +85,17 @@ class _Pattern:
         return ("or", *[("seq", *o) for o in options])
 
 
+def _backward(node):
+    """What matches the texts of ``node`` read from the end."""
+    kind = node[0]
+    if kind == "set":
+        return node
+    if kind == "rep":
+        return "rep", _backward(node[1]), *node[2:]
+    parts = [_backward(n) for n in node[1:]]
+    return (kind, *(reversed(parts) if kind == "seq" else parts))
+
+
 class _Nfa:
     """States with empty moves and moves on a set of bytes."""
 
@@ -158,13 +169,14 @@ class Automaton:
         return (self.next == 0).all(0)[self.group_of]
 
 
-def compiled(patterns: list[str], anywhere: bool) -> Automaton:
-    """One minimal automaton of all patterns: matching from the first byte on, or beginning anywhere."""
+def compiled(patterns: list[str], anywhere: bool, backward: bool = False) -> Automaton:
+    """One minimal automaton of all patterns: matching from the first byte on, or beginning anywhere; or reading from the end."""
     nfa = _Nfa()
     start = nfa.state()
     rule_at: dict[int, int] = {}
     for rule, text in enumerate(patterns):
-        end = nfa.build(_Pattern(text).either(), nfa.fresh(start))
+        pattern = _Pattern(text).either()
+        end = nfa.build(_backward(pattern) if backward else pattern, nfa.fresh(start))
         rule_at[end] = rule_at.get(end, 0) | 1 << rule
     # Bytes that no pattern tells apart form a group.
     masks = {m[0] for m in nfa.moves if m}
@@ -203,18 +215,39 @@ def compiled(patterns: list[str], anywhere: bool) -> Automaton:
 
 
 class Matcher:
-    """Leftmost longest matches of one pattern, one after the other."""
+    """Leftmost longest matches of one pattern, one after the other.
+
+    A pass from the end, by the automaton of the pattern read backward, finds every place where a match starts; from
+    the first of these that the matches before leave free, the pattern's own automaton reads on as long as it can
+    match. So no byte is read again for starts that come to nothing.
+    """
 
     def __init__(self, pattern: str):
         automaton = compiled([pattern], anywhere=False)
         self.rows = [[int(row[g]) for g in automaton.group_of] for row in automaton.next]
         self.accepting = [bool(a) for a in automaton.accepts]
         self.dead = automaton.dead
+        back = compiled([pattern], anywhere=True, backward=True)
+        self.back = [[int(row[g]) for g in back.group_of] for row in back.next]
+        self.starting = [bool(a) for a in back.accepts]
+
+    def starts(self, data: bytes) -> list[int]:
+        """Where some match starts, in falling order."""
+        state, at, out = 0, len(data), []
+        back, starting = self.back, self.starting
+        for b in reversed(data):
+            at -= 1
+            state = back[state][b]
+            if starting[state]:
+                out.append(at)
+        return out
 
     def spans(self, data: bytes):
-        at = 0
-        while at < len(data):
-            state, end, k = 0, -1, at
+        free = 0
+        for at in reversed(self.starts(data)):
+            if at < free:
+                continue
+            state, end, k = 0, at, at
             while k < len(data):
                 state = self.rows[state][data[k]]
                 if state == self.dead:
@@ -224,6 +257,4 @@ class Matcher:
                     end = k
             if end > at:
                 yield at, end
-                at = end
-            else:
-                at += 1
+                free = end

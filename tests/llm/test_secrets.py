@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from bankspark.llm.automaton import Matcher, compiled
 from bankspark.llm.queries import QUERIES
@@ -52,3 +53,27 @@ def test_query_and_odd_rows(spark, documents, odd):
         want = brute_force(texts[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == b for k, *_ in want) for b in BASE)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
+def test_long_texts_that_look_like_keys():
+    """Two megabytes each of starts that come to nothing and of one match, in seconds; spans as the patterns give them."""
+    scanner = Scanner(RULES)
+    texts = [b"eyJ" * 700_000, b"0123456789abcdef" * 130_000, b"password=" + b"x" * 2_000_000, b"-----BEGIN " * 190_000, b"xox" * 690_000]
+    began = time.process_time()
+    got = scanner(texts)
+    assert time.process_time() - began < 25
+    assert got[0] == [] and got[1] == [("hex", 0, 2_080_000)] and got[2] == [("assign", 0, 2_000_009)] and got[3] == [] and got[4] == []
+    jwt = b"eyJ" * 1000 + b".eyJab.c " + b"eyJ.eyJa.b-c"
+    assert list(Matcher(RULES[7].pattern).spans(jwt)) == [m.span() for m in re.finditer(RULES[7].pattern.encode(), jwt)]
+
+
+def test_starts_are_those_of_all_matches():
+    rng = random.Random(6)
+    for rule in RULES:
+        plain = re.compile(rule.pattern.encode())
+        parts = [b"eyJ", b".", b"a", b"AKIA", b"Z9", b"-----BEGIN ", b"RSA ", b"PRIVATE KEY-----", b"xoxb-", b"ghp_", b"AIza", b"sk_live_", b"token", b" = ", b"'", b"ff"]
+        matcher = Matcher(rule.pattern)
+        for _ in range(200):
+            data = b"".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+            assert list(matcher.spans(data)) == [m.span() for m in plain.finditer(data)]
+            assert matcher.starts(data) == [k for k in range(len(data) - 1, -1, -1) if plain.match(data, k)]
