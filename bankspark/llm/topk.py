@@ -10,6 +10,9 @@ the bounds are matrix products.
 
 from __future__ import annotations
 
+import heapq
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,8 +25,6 @@ BLOCK, QUERIES_AT_ONCE = 4096, 512
 DEPTHS = (0.125, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 0.96875)
 # A query stops reading when at most so many candidates of the block are left, and at most so large a part of it.
 WORTH_RESOLVING, RESOLVED_SHARE = 128, 0.0625
-# Larger components would not give scores within 64 bits; such vectors take no part.
-LARGEST = 1 << 27
 
 
 class Lists:
@@ -48,9 +49,9 @@ class Lists:
 
 
 def _kind(a: np.ndarray, b: np.ndarray) -> type:
-    """A number type in which the products and their sums are exact."""
+    """A number type in which the products and their sums are exact; Python's whole numbers beyond 62 bits."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
 
 
 def _chosen(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -64,9 +65,15 @@ def _chosen(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int = K):
-    """``(query, candidate ids, scores)`` of each query's k best in the block, itself left out."""
+    """``(query, candidate ids, scores)`` of each query's k best in the block, itself left out.
+
+    Where products do not fit 64 bits, the lists are read to the end and scored in Python's whole numbers.
+    """
     n = len(lists.ids)
     kind = _kind(queries, lists.values)
+    if kind is object:
+        yield from _scored(lists, query_ids, queries, k)
+        return
     least = -np.inf if kind is not np.int64 else np.iinfo(np.int64).min
     todo = np.arange(len(query_ids))
     worth = max(k, min(WORTH_RESOLVING, int(n * RESOLVED_SHARE)))
@@ -80,7 +87,7 @@ def search(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int = K)
         stop = may.sum(1) <= worth
         for row in np.flatnonzero(stop):
             left = np.flatnonzero(may[row])
-            scores = lists.values[left].astype(np.int64) @ queries[todo[row]].astype(np.int64)
+            scores = lists.values[left].astype(np.int64) @ queries[todo[row]].astype(np.int64)  # fits, by its kind
             best = _chosen(scores, lists.ids[left], k)
             yield int(query_ids[todo[row]]), lists.ids[left[best]], scores[best]
         todo = todo[~stop]
@@ -94,15 +101,27 @@ def search(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int = K)
         yield int(query_ids[at]), lists.ids[best], row[best].astype(np.int64)
 
 
+def _scored(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    rows = [[int(x) for x in v] for v in lists.values.tolist()]
+    for query, weights in zip(query_ids.tolist(), queries.tolist()):
+        weights = [int(w) for w in weights]
+        scores = ((-sum(map(operator.mul, row, weights)), i) for row, i in zip(rows, lists.ids.tolist()) if i != query)
+        best = heapq.nsmallest(k, scores)
+        if any(abs(s) >= 1 << 63 for s, _ in best):
+            raise OverflowError(f"a score of query {query} does not fit 64 bits")
+        yield query, np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
+
 def _unpacked(ids: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and the components: whole numbers as doubles, as they were given."""
     ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(values, np.int32).reshape(len(ids), -1)
+    return ids, np.frombuffer(values, np.float64).reshape(len(ids), -1)
 
 
 def _pack(limit: int | None):
     """Rows of a partition as blocks: ids and values, shorter vectors filled up with zeros."""
     def block(part, k, ids, vectors):
-        values = np.zeros((len(ids), max(1, max(map(len, vectors)))), np.int32)
+        values = np.zeros((len(ids), max(1, max(map(len, vectors)))), np.float64)
         for row, v in zip(values, vectors):
             row[: len(v)] = v
         columns = [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
@@ -150,14 +169,21 @@ def _search(k: int):
 def whole_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id`` and ``vector`` of floor(SCALE * x); rows equal in both once.
 
-    A null vec_id, a null vector, and one with a null, non-finite or too large component take no part.
+    A null vec_id, a null vector, and one with a null or non-finite component take no part. Components are whole
+    numbers in doubles, of any size.
     """
-    x = F.transform("embedding", lambda v: F.floor(F.lit(float(SCALE)) * v.cast("double")))
-    good = F.forall("embedding", lambda v: F.coalesce(F.abs(v.cast("double")) < F.lit(LARGEST / SCALE), F.lit(False)))
+    def whole(v):
+        scaled = F.lit(float(SCALE)) * v.cast("double")
+        # From 2 ** 53 on a double is a whole number.
+        return F.when(F.abs(scaled) < F.lit(2.0**53), F.floor(scaled).cast("double")).otherwise(scaled)
+
+    x = F.transform("embedding", whole)
+    finite = lambda v: F.abs(v.cast("double")) < F.lit(float("inf"))
+    good = F.forall("embedding", lambda v: F.coalesce(finite(v), F.lit(False)))
     return (
         vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
         .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good)
-        .select("vec_id", x.cast("array<int>").alias("vector")).distinct()
+        .select("vec_id", x.alias("vector")).distinct()
     )
 
 
@@ -166,7 +192,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both tables have ``vec_id`` and ``vector`` (of whole numbers, see ``whole_vectors``). Candidates are all rows
     of another vec_id; ties go to the smaller one. Missing components of a shorter vector count as zero. A vec_id
-    with several vectors is several candidates or queries of that name; the best k by name remain.
+    with several vectors is several candidates or queries of that name; the best k by name remain. Scores are exact;
+    one among the best that does not fit a long stops the job.
     """
     spark = vectors.sparkSession
     folder = new_folder(spark, "topk")

@@ -1,6 +1,7 @@
 """Top-k against all inner products; early stops must not change it."""
 
 import numpy as np
+import pytest
 
 from bankspark.llm import topk as T
 
@@ -63,7 +64,28 @@ def test_bounds_stop_most_queries(monkeypatch):
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0], 0, 0, 0), (0, [1.0, 2.0], 0, 0, 0), (1, [1.0], 0, 0, 0), (2, None, 0, 0, 0), (3, [None, 1.0], 0, 0, 0),
             (4, [float("nan")], 0, 0, 0), (5, [float("inf"), 0.0], 0, 0, 0), (None, [1.0, 1.0], 0, 0, 0), (7, [], 0, 0, 0),
-            (20, [-0.01, 3e30], 0, 0, 0), (40, [-0.01, 0.5], 0, 0, 0)]
+            (40, [-0.01, 0.5], 0, 0, 0)]
     got = run(spark, rows)
     assert [(q, v, s) for q, _, v, s in got] == [(0, 1, 4096), (0, 40, 4032), (0, 7, 0), (40, 0, 4032), (40, 7, 0), (40, 1, -64)]
     assert run(spark, []) == []
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [1e9, -3.5], 0, 0, 0), (20, [2.0**40, 2.0**20], 0, 0, 0), (3, [-0.01, 1.5], 0, 0, 0), (4, [1.0, 0.0], 0, 0, 0),
+            (5, [-1e6, 2.0], 0, 0, 0), (60, [0.0, 0.25], 0, 0, 0)]
+    whole = np.array([[np.floor(64 * np.float64(np.float32(x))) for x in r[1]] for r in rows]).astype(np.int64)
+    ids = [r[0] for r in rows]
+    far = [r for r in rows if r[0] != 20]
+    keep = [i for i, r in enumerate(rows) if r[0] != 20]
+    assert run(spark, far) == brute_force([ids[i] for i in keep], whole[keep], (0, 60), 20)
+    # Products of 2 ** 46 and 2 ** 36 need more than 64 bits: the scores among the best don't fit.
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        run(spark, rows)
+
+
+def test_products_beyond_64_bits():
+    """Scores that fit, of products that don't."""
+    ids = np.arange(4)
+    values = np.array([[2.0**40, 2.0**40, 1], [2.0**40, -(2.0**40), 7], [2.0**30, -(2.0**30), 5], [0, 0, 3]])
+    got = {q: (c.tolist(), s.tolist()) for q, c, s in T.search(T.Lists(ids, values), ids[:1], values[:1])}
+    assert got == {0: ([1, 2, 3], [7, 5, 3])}
