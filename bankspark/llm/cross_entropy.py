@@ -2,33 +2,43 @@
 
 Both models are bigram models over one vocabulary, all words of the corpus. The target model counts the target
 texts, the background model all texts. A document's score is its loss per token under the target model minus
-that under the background model: the lower, the more it is like the target. Words are known by 64-bit hashes.
+that under the background model: the lower, the more it is like the target. Words and pairs are known by 64-bit hashes.
+
+Texts are counted in slices. A slice's counts go, as sorted hashes in one row for each part of the hash range, to the
+task of that part, which adds up all slices and answers each with the totals of its own words and pairs; a pair that
+the corpus has once and the target never needs no answer. The slice's texts, kept as word numbers, are then scored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_64_intdigest
 
-from bankspark.llm.store import new_folder, stored
+from bankspark.llm.store import new_folder, open_file, opened, stored
 from bankspark.llm.words import ascii_words, mixed, slices, texts, word_hashes
 
 # Weight of the word's own frequency in the estimate after a given word, and of an even spread in that.
 FROM_WORD, EVEN = 50.0, 1.0
 COUNTED_AT_ONCE = 300_000
-
-# Pairs that are more than one in so many of all are scored where the text is read (32 bytes each); the rest by a join.
-FREQUENT = 500_000
-# Up to so many ids or words (8 to 24 bytes each) are broadcast; more are joined by a shuffle.
+# Bytes of text in a slice, and for each part of the hash range.
+SLICE, PART = 16 << 20, 8 << 20
+# Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 # Losses are added up as whole numbers of this part, exact in doubles, so that the order of adding changes nothing.
 UNIT = 1 << 32
 
 SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
-_PARTS = "key bigint, doc_id bigint, n_tokens bigint, a bigint, b bigint, times bigint, target double, background double"
+# Rows that slices send to the parts: pairs, words; and one of their own, which only names the slice.
+PAIRS, WORDS, NAME = 0, 1, 2
+_COUNTS = "kind int, part bigint, slice string, keys binary, first binary, second binary"
+_ANSWERS = "slice string, kind int, part bigint, at binary, totals binary, n_words bigint, n_all bigint, m_all bigint"
 
 
 def _word_counts(batches):
@@ -47,95 +57,221 @@ def _word_counts(batches):
     yield rows()
 
 
-def _pairs(words: list[list[bytes]], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's text, and the word before it and itself: 0 stands for the start of a text and for unknown words."""
-    hashes = word_hashes(words)
-    if known is not None:
-        hashes = np.where(np.isin(hashes, known), hashes, np.uint64(0))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    before = np.concatenate((np.zeros(1, np.uint64), hashes))[: len(hashes)]
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-    return np.repeat(np.arange(len(words)), sizes), before.view(np.int64), hashes.view(np.int64)
-
-
-def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows, and how often each occurs."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), np.any([c[1:] != c[:-1] for c in columns], axis=0))))
-    return [c[first] for c in columns], np.diff(first, append=len(order))
-
-
-def _pair_counts(known: np.ndarray | None):
-    def count(batches):
-        for batch in slices(batches):
-            (a, b), n = _counted(*_pairs([ascii_words(t) for t in texts(batch.column("text"))], known)[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
-
-    return count
-
-
-def _mark(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
-
-
-def _partial(known: np.ndarray | None, frequent):
-    """Per text a row of what its frequent pairs add up to, and a row for each other pair of it."""
-    def score(batches):
-        marks, of_a, of_b, of_target, of_background = frequent.value
-        for batch in slices(batches):
-            words = [ascii_words(t) for t in texts(batch.column("text"))]
-            (row, a, b), n = _counted(*_pairs(words, known))
-            mark = _mark(a, b)
-            at = np.minimum(np.searchsorted(marks, mark), max(0, len(marks) - 1))
-            here = (of_a[at] == a) & (of_b[at] == b) if len(marks) else np.zeros(len(a), bool)
-            sums = [np.zeros(len(words)) for _ in range(2)]
-            for total, of in zip(sums, (of_target, of_background)):
-                np.add.at(total, row[here], of[at[here]] * n[here])
-            key, rest = batch.column("key").to_numpy(), ~here
-            spread = mixed(key.view(np.uint64)).view(np.int64)
-            none, no_sum = (pa.nulls(int(rest.sum()), kind) for kind in (pa.int64(), pa.float64()))
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            names = [x.split()[0] for x in _PARTS.split(", ")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), batch.column("doc_id"), pa.array(size), pa.array(spread), pa.array(key),
-                 pa.nulls(len(key), pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[row[rest]]), none, none, pa.array(a[rest]), pa.array(b[rest]), pa.array(n[rest]), no_sum, no_sum], names)
-
-    return score
-
-
-def _with_word(pairs: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """``pairs`` with the counts of one of their words; words of very many pairs are never in one task."""
-    if words.count() <= BROADCAST_ROWS:
-        return pairs.join(F.broadcast(words), key)
-    # Fewer than BROADCAST_ROWS words can be more than one in so many of all.
-    total = words.agg(F.sum("of_pairs")).first()[0]
-    often = F.col("of_pairs") > total / BROADCAST_ROWS
-    many = F.broadcast(words.filter(often))
-    rest = pairs.join(F.broadcast(words.filter(often).select(key)), key, "left_anti").join(words.filter(~often), key)
-    return pairs.join(many, key).unionByName(rest)
-
-
-def _losses(pairs: DataFrame, width: int | None, folder: str) -> DataFrame:
-    """Loss of each word after each word under both models, in UNITs; smoothed by the words' own frequencies."""
-    per = lambda key, names: pairs.groupBy(key).agg(
-        F.sum("n").alias(names[0]), F.sum("m").alias(names[1]), F.count(F.lit(1)).alias("of_pairs"))
-    after = stored(per("a", ["n_after", "m_after"]), folder, "after")
-    into = stored(per("b", ["n_into", "m_into"]), folder, "into")
-    if width is None:
-        width = into.filter("b <> 0").count() + 1
-    total = into.agg(F.sum("n_into"), F.sum("m_into")).first()
-    rows = _with_word(_with_word(pairs, after, "a").drop("of_pairs"), into, "b")
-
-    def loss(n, n_after, n_into, all_words):
-        share = (F.col(n_into) + EVEN) / ((all_words or 0) + EVEN * width)
-        return F.rint(-F.log((F.col(n) + FROM_WORD * share) / (F.col(n_after) + FROM_WORD)) * UNIT)
-
-    return stored(rows.select(
-        "a", "b", "n", loss("m", "m_after", "m_into", total[1]).alias("target_of"),
-        loss("n", "n_after", "n_into", total[0]).alias("background_of")), folder, "losses")
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all first bytes first: alike bytes lie together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
+def _sorted_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _read_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part of the hash range starts in sorted keys."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+class _Slice:
+    """Texts as numbers of their words, with the sorted hashes of words and pairs.
+
+    ``words`` are the hashes of the texts' words (0 stands for the start of a text and for unknown words), ``of_token`` has
+    each token's word, ``sizes`` the tokens of each text.
+    """
+
+    def __init__(self, words: np.ndarray, of_token: np.ndarray, sizes: np.ndarray):
+        self.words, self.of_token, self.sizes = words, of_token, sizes
+
+    @classmethod
+    def of(cls, documents: list[bytes], known: np.ndarray | None) -> _Slice:
+        split = [ascii_words(t) for t in documents]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        hashes = np.fromiter(map(xxh3_64_intdigest, number), np.uint64, len(number))
+        if known is not None:
+            hashes = np.where(np.isin(hashes, known), hashes, np.uint64(0))
+        words, of_word = np.unique(np.concatenate((np.zeros(1, np.uint64), hashes)), return_inverse=True)
+        of_token = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        return cls(words, of_word[1:][of_token].astype(np.uint32), sizes)
+
+    def write(self, file, doc_ids: pa.Array) -> None:
+        ids = doc_ids.cast(pa.int64())
+        parts = [
+            ids.fill_null(0).to_numpy().tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), self.sizes.tobytes(),
+            _sorted_keys(self.words), _packed(self.of_token),
+        ]
+        data = np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
+        file.write(zstandard.ZstdCompressor(level=1).compress(data))
+
+    @classmethod
+    def read(cls, data: bytes) -> tuple[_Slice, pa.Array]:
+        data = zstandard.ZstdDecompressor().decompress(data)
+        ends = np.cumsum(np.frombuffer(data[:40], np.int64)) + 40
+        ids, valid, sizes, words, of_token = (data[a:b] for a, b in zip([40, *ends[:-1]], ends))
+        doc_ids = pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(valid, np.bool_))
+        return cls(_read_keys(words), _unpacked(of_token, np.uint32), np.frombuffer(sizes, np.int64)), doc_ids
+
+    def before(self) -> np.ndarray:
+        """The word before each token; the first of a text follows the start, which is word 0 by its hash."""
+        out = np.concatenate((np.zeros(1, np.uint32), self.of_token))[: len(self.of_token)]
+        out[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of the distinct pairs, and each token's pair among them."""
+        each = mixed(mixed(self.words[self.before()]) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.of_token])
+        return np.unique(each, return_inverse=True)
+
+
+def _counts(name: str | None, of: _Slice, parts: int):
+    """Rows of a slice for the parts; without a name they ask for no answer."""
+    keys, of_token = of.pairs()
+    n = np.bincount(of_token, minlength=len(keys))
+    after, into = (np.bincount(x, minlength=len(of.words)) for x in (of.before(), of.of_token))
+    used = np.flatnonzero((after > 0) | (into > 0))
+    rows = []
+    for kind, these, first, second in ((PAIRS, keys, n, None), (WORDS, of.words[used], after[used], into[used])):
+        edges = _edges(these, parts)
+        for part in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[part], edges[part + 1]
+            rows.append((kind, part, name, _sorted_keys(these[a:b]), _packed(first[a:b]), None if second is None else _packed(second[a:b])))
+    return rows
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in _COUNTS.split(", ")])
+
+
+def _encoded(folder: str | None, known: np.ndarray | None, size: int, parts: int):
+    """Counts of the texts, slice by slice; with a folder, slices are written there, to be scored later.
+
+    A slice is named by its place, and its file takes its name when it is whole: a task that runs again puts the same
+    slice in its place.
+    """
+    def encoded(batches):
+        system, path = opened(folder) if folder else (None, None)
+        for k, batch in enumerate(slices(batches, limit=size)):
+            of, name = _Slice.of(texts(batch.column("text")), known), None
+            if folder:
+                name = f"slice-{TaskContext.get().partitionId()}-{k}"
+                system.create_dir(path, recursive=True)
+                part = f"{path}/.{name}-{TaskContext.get().taskAttemptId()}"
+                with system.open_output_stream(part, compression=None) as file:
+                    of.write(file, batch.column("doc_id"))
+                system.move(part, f"{path}/{name}")
+                yield _rows([(NAME, 0, name, None, None, None)])
+            rows = _counts(name, of, parts)
+            for start in range(0, len(rows), 256):
+                yield _rows(rows[start : start + 256])
+
+    return encoded
+
+
+def _added(batches):
+    """Totals of each part, as answers to the slices that asked; and how many words and pairs there are in all."""
+    def answers(kind: int, part: int, rows: list[dict]):
+        if kind == NAME:
+            return [(r["slice"], NAME, 0, None, None, None, None, None) for r in rows]
+        keys = [_read_keys(r["keys"]) for r in rows]
+        names = ("first",) if kind == PAIRS else ("first", "second")
+        counts = [[_unpacked(r[c], np.int64) for c in names] for r in rows]
+        asked = [r["slice"] is not None for r in rows]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([len(k) for k in keys])
+        totals = np.zeros((2 * len(names), len(distinct)), np.int64)
+        for (a, b), mine, background in zip(zip([0, *ends[:-1]], ends), counts, asked):
+            for c, values in enumerate(mine):
+                totals[c if background else len(names) + c, at[a:b]] += values
+        out = []
+        for a, b, row in zip([0, *ends[:-1]], ends, rows):
+            if row["slice"] is None:
+                continue
+            mine = totals[:, at[a:b]]
+            told = np.flatnonzero((mine[0] > 1) | (mine[1] > 0)) if kind == PAIRS else np.arange(b - a)
+            if len(told):
+                out.append((row["slice"], kind, part, _packed(np.diff(told, prepend=0)), _packed(mine[:, told].ravel()), None, None, None))
+        if kind == WORDS:
+            # Once for the part: its words (the start is none) and the pairs that lead to them.
+            out.append((None, WORDS, part, None, None, int((distinct != 0).sum()), int(totals[1].sum()), int(totals[3].sum())))
+        return out
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in _ANSWERS.split(", ")])
+
+    at, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (row["kind"], row["part"]) != at:
+                yield batch_of(answers(*at, held))
+                held = []
+            at = row["kind"], row["part"]
+            held.append(row)
+    if held:
+        yield batch_of(answers(*at, held))
+
+
+def _scored(folder: str, parts: int, width: int, n_all: int, m_all: int):
+    """Scores of each slice's texts from the answers that lie next to each other."""
+    def loss(count, after, into, in_all):
+        share = (into + EVEN) / (in_all + EVEN * width)
+        return np.rint(-np.log((count + FROM_WORD * share) / (after + FROM_WORD)) * UNIT)
+
+    def scored(name: str, answers: list[dict]):
+        with open_file(folder, name) as file:
+            of, doc_ids = _Slice.read(file.read())
+        keys, of_token = of.pairs()
+        pairs, words = np.zeros((2, len(keys))), np.zeros((4, len(of.words)))
+        pairs[0] = 1
+        after, into = of.before(), of.of_token
+        used = np.zeros(len(of.words), bool)
+        used[after], used[into] = True, True
+        place = np.flatnonzero(used)
+        edges = {PAIRS: _edges(keys, parts), WORDS: _edges(of.words[place], parts)}
+        for r in answers:
+            if r["kind"] != NAME:
+                at = edges[r["kind"]][r["part"]] + np.cumsum(_unpacked(r["at"], np.int64))
+                totals = _unpacked(r["totals"], np.int64).reshape(-1, len(at))
+                if r["kind"] == PAIRS:
+                    pairs[:, at] = totals
+                else:
+                    words[:, place[at]] = totals
+        # One token of each pair gives the words of it.
+        some = np.zeros(len(keys), np.int64)
+        some[of_token] = np.arange(len(of_token))
+        a, b = after[some], into[some]
+        background = loss(pairs[0], words[0, a], words[1, b], n_all)[of_token]
+        target = loss(pairs[1], words[2, a], words[3, b], m_all)[of_token]
+        document = np.repeat(np.arange(len(of.sizes)), of.sizes)
+        mean = lambda x: np.bincount(document, x, len(of.sizes)) / UNIT / np.maximum(of.sizes, 1)
+        empty = of.sizes == 0
+        target, background = mean(target), mean(background)
+        columns = [pa.array(x, pa.float64(), mask=empty) for x in (target, background, target - background)]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(of.sizes), *columns], [c.split()[0] for c in SCORES.split(", ")])
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["slice"] != at:
+                    yield scored(at, held)
+                    held = []
+                at = row["slice"]
+                held.append(row)
+        if held:
+            yield scored(at, held)
+
+    return run
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -153,35 +289,30 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int
     model come from all of ``docs``, the target model from all of ``target``. Words are runs without white space,
     A-Z in lower case. A null or empty text has no tokens and null losses and score. With ``vocabulary`` only so
     many most frequent words are told apart, those of equal counts in order of their bytes. Repeated rows count
-    as often as they occur; without target texts that model is even.
+    as often as they occur, rows without a doc_id too; without target texts that model is even. A very long text is a
+    slice of its own.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "cross-entropy")
-    rows = stored(
-        docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), folder, "rows")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # Written once, so that a task that runs again finds the same rows in the same order.
+    rows.write.option("compression", "zstd").parquet(f"{folder}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     known = None
     if vocabulary is not None:
         words = rows.select("text").mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         common = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
         known = word_hashes([[bytes(r.word) for r in common]])
-    counts = "a bigint, b bigint, n bigint"
-    everything = rows.select("text").mapInArrow(_pair_counts(known), counts).withColumn("m", F.lit(0).cast("bigint"))
-    in_target = target.select("text").mapInArrow(_pair_counts(known), counts).select(
-        "a", "b", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("m"))
-    pairs = everything.unionByName(in_target).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    losses = _losses(stored(pairs, folder, "pairs"), None if vocabulary is None else vocabulary + 1, folder)
-    total = losses.agg(F.sum("n")).first()[0] or 0
-    often = losses.filter(F.col("n") > total / FREQUENT).select("a", "b", "target_of", "background_of").toArrow()
-    often = [often.column(c).to_numpy() for c in often.column_names]
-    marks = _mark(*often[:2])
-    order = np.argsort(marks, kind="stable")
-    frequent = spark.sparkContext.broadcast([x[order] for x in (marks, *often)])
-    parts = rows.mapInArrow(_partial(known, frequent), _PARTS)
-    # A text's own row (without ``times``) carries its sums along.
-    joined = parts.join(losses.drop("n"), ["a", "b"], "left")
-    adds = lambda own, of: F.sum(F.coalesce(F.col("times") * F.col(of), F.col(own))).alias(own)
-    sums = joined.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), adds("target", "target_of"), adds("background", "background_of"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / UNIT / F.col("n_tokens"))
-    out = sums.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART))
+    counts = rows.mapInArrow(_encoded(f"{folder}/slices", known, SLICE, parts), _COUNTS).unionByName(
+        target.select("text").mapInArrow(_encoded(None, known, SLICE, parts), _COUNTS))
+    # Names of slices are dealt by themselves.
+    dealt = F.when(F.col("kind") == NAME, F.xxhash64("slice")).otherwise(F.col("part"))
+    ordered = counts.withColumn("part", dealt).repartition("kind", "part").sortWithinPartitions("kind", "part")
+    answers = stored(ordered.mapInArrow(_added, _ANSWERS), folder, "answers")
+    sums = answers.filter("slice is null").agg(F.sum("n_words"), F.sum("n_all"), F.sum("m_all")).first()
+    width = 1 + (sums[0] or 0 if vocabulary is None else vocabulary)
+    told = answers.filter("slice is not null").select("slice", "kind", "part", "at", "totals")
+    return told.repartition("slice").sortWithinPartitions("slice").mapInArrow(
+        _scored(f"{folder}/slices", parts, width, sums[1] or 0, sums[2] or 0), SCORES)

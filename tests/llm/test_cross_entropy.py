@@ -1,8 +1,11 @@
 """Losses against counting by hand."""
 
+import io
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from bankspark.llm import cross_entropy as C
@@ -38,7 +41,7 @@ def test_against_counting(documents, odd):
     target = docs.filter("doc_id in (50, 51)")
     got = C.cross_entropy_difference(docs, target, vocabulary=12).collect()
     want = brute_force([t for _, t in rows], [t for i, t in rows if i in (50, 51)], 12)
-    key = lambda r: (str(r[0]), r[1], str(r[2]))[:2]
+    key = lambda r: (str(r[0]), r[1], round(r[2] or 0, 4))
     for g, w in zip(sorted(got, key=key), sorted(((i, *x) for (i, _), x in zip(rows, want)), key=key)):
         assert (g.doc_id, g.n_tokens) == w[:2]
         if w[1] == 0:
@@ -48,11 +51,11 @@ def test_against_counting(documents, odd):
             assert g.score == pytest.approx(w[2] - w[3], abs=1e-4)
 
 
-@pytest.mark.parametrize("frequent, broadcast", [(C.__dict__.get("FREQUENT", 0), C.BROADCAST_ROWS), (3, 2)])
-def test_rare_words_count(documents, monkeypatch, frequent, broadcast):
-    """Texts that differ in rare words only, beside far more frequent ones; also by joins alone."""
-    monkeypatch.setattr(C, "FREQUENT", frequent, raising=False)
-    monkeypatch.setattr(C, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("size, part", [(C.SLICE, C.PART), (4000, 900)])
+def test_rare_words_count(documents, monkeypatch, size, part):
+    """Texts that differ in rare words only, beside far more frequent ones; also in many slices and parts."""
+    monkeypatch.setattr(C, "SLICE", size)
+    monkeypatch.setattr(C, "PART", part)
     common = " ".join(f"w{k}" for k in range(2100))
     rows = [(1, common), (2, common), (3, common), (4, "w1 good rare w2"), (5, "w1 other scarce w2"), (6, "")]
     docs = documents(rows)
@@ -70,3 +73,17 @@ def test_empty_tables(documents, odd):
     assert C.cross_entropy_difference(documents([]), documents([])).count() == 0
     got = C.cross_entropy_difference(documents(odd), documents([])).collect()
     assert len(got) == len(odd)
+
+
+def test_slices_come_back_as_they_were():
+    documents = [b"a b a", b"", b"c \xc3\xa4 A", b"x"]
+    of = C._Slice.of(documents, None)
+    file = io.BytesIO()
+    of.write(file, pa.array([5, None, -7, 2**60]))
+    again, ids = C._Slice.read(file.getvalue())
+    assert ids.to_pylist() == [5, None, -7, 2**60]
+    assert all((getattr(of, c) == getattr(again, c)).all() for c in ("words", "of_token", "sizes"))
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (C._read_keys(C._sorted_keys(keys)) == keys).all()
+    edges = C._edges(keys, 7)
+    assert edges[0] == 0 and edges[-1] == 1000 and (np.diff(edges) > 50).all()
