@@ -114,3 +114,42 @@ def test_components_of_a_path_and_a_star(spark, tmp_path):
     got = {r.node: r.root for r in components(spark.createDataFrame(path + star + [(5, 5)], "a bigint, b bigint"), str(tmp_path)).collect()}
     assert len({got[k] for k in range(100, 161)}) == 1 and len({got[k] for k in range(1, 60)}) == 1
     assert got[1] != got[100]
+
+
+def test_many_rows_without_id_and_a_dense_group(documents):
+    """Near copies of which half have no id, and texts that share one id: each text is found once."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k if k % 2 else None, " ".join([*words, f"x{k}"])) for k in range(1500)]
+    rows += [(5000, " ".join([f"v{j}" for j in range(40)] + [f"y{k}"])) for k in range(300)] + [(None, "alone among the texts here")]
+    got = near_duplicates(documents(rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.component_id, r.kept) for r in got if r.n_shingles == 57} == {(1, True), (1, False)}
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles == 37} == {(5000, 5000, True)}
+    assert [(r.component_id, r.kept) for r in got if r.n_shingles == 1] == [(None, False)]
+
+
+def test_tasks_hand_out_fewer_links_than_nodes():
+    import numpy as np
+    import pyarrow as pa
+
+    from bankspark.llm.words import distinct
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [distinct(np.concatenate((base[: 400 - 8], rng.integers(0, 1 << 63, 8).astype(np.uint64)))) for _ in range(300)]
+    signatures = N.signatures(sets, range(N.TREES * N.DEPTH, N.TREES * N.DEPTH + N.WIDE)).astype(np.uint8)
+    nodes = np.arange(300)
+    batch = pa.record_batch({
+        "tree": np.zeros(300, np.int32), "region": np.ones(300, np.int64), "low": np.zeros(300, np.int64), "high": np.zeros(300, np.int64),
+        "side": np.zeros(300, np.int32), "node": nodes, "size": np.full(300, 400), "label": nodes,
+        "sketch": pa.array([r.tobytes() for r in signatures], pa.binary()),
+        "heads": pa.array([np.zeros(N.TREES, np.uint32).tobytes()] * 300, pa.binary()),
+        "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+    })
+    for cuts in ([300], [100, 7, 193]):
+        parts = [batch.slice(a, n) for a, n in zip(np.cumsum([0, *cuts[:-1]]).tolist(), cuts)]
+        links = sum((out.to_pylist() for out in N._crossed(iter(parts))), [])
+        assert len(links) == 299
+        # In a later order the pairs have met before.
+        later = [p.set_column(0, "tree", pa.array(np.ones(p.num_rows, np.int32))) for p in parts]
+        assert sum(out.num_rows for out in N._crossed(iter(later))) == 0
