@@ -43,12 +43,28 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def window_sizes(lengths: list[int]) -> dict[int, int]:
-    """For each item length, the size of the windows it is looked for by."""
+def _side_by_side(length: int, size: int) -> list[int]:
+    return sorted({*range(0, length - size + 1, size), length - size})
+
+
+def windows(length: int) -> dict[int, list[int]]:
+    """The windows that an item of so many words is looked for by: sizes and places.
+
+    Both ends, and where the item is longer than a window, windows side by side. In a short item one changed word
+    moves the fingerprint far, but a similar passage can differ in a few words at its ends only: a word further in
+    takes SHINGLE shingles away. So it is looked for by what lies between the ends as well, which is then unchanged.
+    """
     ladder = [SHINGLE]
     while ladder[-1] < LARGEST_WINDOW:
         ladder.append(min(LARGEST_WINDOW, max(ladder[-1] + 1, int(ladder[-1] * GROWTH))))
-    return {n: max(s for s in ladder if s <= n) for n in lengths}
+    size = max(s for s in ladder if s <= length)
+    out = {size: _side_by_side(length, size)}
+    # Of n shingles, at most so many can be other ones at a similarity of SIMILARITY.
+    margin = int((length - SHINGLE + 1) * (1 - SIMILARITY) / (1 + SIMILARITY))
+    if 0 < margin < SHINGLE:
+        inner = max(s for s in ladder if s <= max(SHINGLE, length - 2 * margin))
+        out[inner] = sorted({*out.get(inner, []), margin, length - margin - inner})
+    return out
 
 
 def prefix_sums(hashes: np.ndarray) -> np.ndarray:
@@ -105,10 +121,8 @@ class Index:
         self.size = size
         prints, self.items, self.offsets = [], [], []
         for item in items:
-            own = fingerprints(prefix_sums(item.hashes), size)
-            # Both ends, and where the item is longer than that, windows side by side.
-            places = sorted({*range(0, len(own), size), len(own) - 1})
-            prints.append(own[places])
+            places = windows(len(item.hashes)).get(size) or _side_by_side(len(item.hashes), size)
+            prints.append(fingerprints(prefix_sums(item.hashes), size)[places])
             self.items += [item] * len(places)
             self.offsets += places
         self.prints = np.concatenate(prints)
@@ -181,10 +195,11 @@ class Search:
         for item_id, text in items:
             own = word_hashes([words_of(text)])
             known.append(Item(item_id, own, _shingles(own), np.unique(shingle_hashes(own))))
-        size_of = window_sizes([len(i.hashes) for i in known])
-        self.indexes = [
-            Index(size, [i for i in known if size_of[len(i.hashes)] == size]) for size in sorted(set(size_of.values()))
-        ]
+        by_size: dict[int, list[Item]] = {}
+        for item in known:
+            for size in windows(len(item.hashes)):
+                by_size.setdefault(size, []).append(item)
+        self.indexes = [Index(size, by_size[size]) for size in sorted(by_size)]
 
     def __call__(self, column) -> Iterator[tuple[int, int, float, int, int]]:
         """Row number, item, similarity, start and size of each match."""
@@ -259,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` needs ``item_id`` and ``text``; other columns are left
     out. Words are compared without case and punctuation. ``start_word`` and ``n_words`` give the most similar
     window, the first if several are. Texts that are null or have fewer than five words hold no shingle: they
-    match nothing and are matched by nothing. Repeated documents or items give a row each; a repeated item row
+    match nothing and are matched by nothing. Texts of any length are searched whole. Repeated documents or items give a row each; a repeated item row
     counts once. An empty table on either side gives no rows.
     """
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

@@ -89,3 +89,33 @@ def test_fingerprints_against_counting():
         above = bits[k : k + 7].sum(0) > 3
         want = sum(1 << (8 * (j % 8) + j // 8) for j in np.flatnonzero(above).tolist())
         assert int(got[k]) == want
+
+
+def test_recall_of_edited_passages():
+    """Of passages with one changed word that are still similar, for each length of the item."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    shingles = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    for length in (11, 12, 14, 16, 18, 20, 25, 32, 40, 60, 120, 200):
+        items = [(k, " ".join(words(length))) for k in range(40)]
+        look, rows, want = D.Search(items), [], set()
+        for k, text in items:
+            for place in (0, 1, 2, length // 2, length - 3, length - 2, length - 1):
+                own = text.split()
+                own[place] = "changed"
+                if D.weighted_similarity(shingles(own), shingles(text.split())) >= D.SIMILARITY:
+                    want.add((len(rows), k))
+                rows.append(" ".join(words(60) + own + words(60)))
+        got = {(d, item) for d, item, *_ in look(pa.array(rows))}
+        assert want and len(got & want) >= 0.97 * len(want), (length, len(got & want), len(want))
+
+
+def test_windows():
+    assert D.windows(5) == {5: [0]} and D.windows(10) == {10: [0]}
+    assert D.windows(12) == {12: [0], 10: [1]}
+    for length in range(5, 400):
+        for size, places in D.windows(length).items():
+            assert places[0] >= 0 and places[-1] + size <= length and 5 <= size <= D.LARGEST_WINDOW
+        assert min(min(p) for p in D.windows(length).values()) == 0
