@@ -43,6 +43,6 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is P.run and set(ORACLES) <= set(QUERIES)
     assert all(n in entry.oracle_sql() for n in ORACLES)
