@@ -906,4 +906,4 @@ def stream_log(db):
 def stream_notices(db):
     updates, out = _streamed(db, "product_status_updates")
     feeds.start_notice_stream(db, updates.withColumnRenamed("prime_uid", "change_id"), out).awaitTermination()
-    return db.spark.read.parquet(f"{out}/messages")
+    return feeds.notice_stream_messages(db.spark, out)

@@ -55,14 +55,14 @@ def start_status_stream(db: Tables, requests: DataFrame, out: str, available_now
         # Staged first: the operator then runs in the main session, with adaptive execution.
         staged = spark.read.parquet(write_snapshot(_unseen(seen, batch, batch_id), f"{out}/requests", batch_id))
         # Only the instances that the batch names go into the decisions.
-        current = state.before(batch_id, staged)
-        changes = lifecycle.apply_status_changes(db.replace(product_instances=current), staged, materialize=True)
+        named = db.replace(product_instances=state.before(batch_id, staged))
+        changes = lifecycle.apply_status_changes(named, staged, materialize=True)
         write_snapshot(changes.audit, f"{out}/audit", batch_id)
         write_snapshot(changes.rejects, f"{out}/rejects", batch_id)
         write_snapshot(changes.stamps, f"{out}/stamps", batch_id)
         write_snapshot(changes.to_contract, f"{out}/to_contract", batch_id)
         accepted = changes.audit.withColumnRenamed("request_id", "change_id")
-        write_snapshot(notices.status_notifications(db, accepted), f"{out}/messages", batch_id)
+        write_snapshot(notices.status_notifications(named, accepted), f"{out}/messages", batch_id)
         seen.put(batch_id, staged)
         state.put(batch_id, changes.changed)
 
@@ -199,7 +199,22 @@ def update_log(spark: SparkSession, out: str) -> DataFrame:
 def start_notice_stream(
     db: Tables, changes: DataFrame, out: str, by_client: bool = False, available_now: bool = True
 ) -> StreamingQuery:
-    """Messages about a stream of changes; joins with tables only, so no state is kept."""
-    messages = notices.status_notifications(db, changes, by_client)
-    writer = messages.writeStream.format("parquet").option("path", f"{out}/messages")
-    return _start(writer, f"{out}/checkpoint", available_now)
+    """Messages about a stream of changes; joins with tables only, so no state is kept.
+
+    A batch is staged first, so its size is known: the tables are read past it and reduced to its instances, and
+    nothing of them is shuffled for a small batch.
+    """
+    spark = db.spark
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        named = batch.select("product_uid", "change_id", "is_code")
+        staged = spark.read.parquet(write_snapshot(named, f"{out}/changes", batch_id))
+        held = db.product_instances.join(staged.select("product_uid").distinct(), "product_uid", "left_semi")
+        messages = notices.status_notifications(db.replace(product_instances=held), staged, by_client)
+        write_snapshot(messages, f"{out}/messages", batch_id)
+
+    return _start(changes.writeStream.foreachBatch(send), f"{out}/checkpoint", available_now)
+
+
+def notice_stream_messages(spark: SparkSession, out: str) -> DataFrame:
+    return _read_versions(spark, f"{out}/messages")
