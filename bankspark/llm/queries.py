@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bankspark.llm.cross_entropy import cross_entropy_difference, texts_of
+from bankspark.llm.cross_entropy import cross_entropy_difference, marked
 from bankspark.llm.decontamination import contaminated
 from bankspark.llm.divergence import source_divergence
 from bankspark.llm.line_dedup import without_repeated_lines
@@ -31,9 +31,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of good quality, by the labels, are the target."""
-    documents = _table(spark, sf_dir, "documents")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").filter("quality = 1")
-    return cross_entropy_difference(documents, texts_of(documents, good))
+    return cross_entropy_difference(marked(documents, good, "good"), F.col("good"))
 
 
 def op2_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bankspark.llm import cross_entropy as C
 
@@ -38,8 +39,7 @@ def brute_force(texts, target, size):
 def test_against_counting(documents, odd):
     rows = odd + [(50, "the cat sat on the mat"), (51, "THE dog sat"), (52, "the cat ran " * 40)]
     docs = documents(rows)
-    target = docs.filter("doc_id in (50, 51)")
-    got = C.cross_entropy_difference(docs, target, vocabulary=12).collect()
+    got = C.cross_entropy_difference(docs, F.col("doc_id").isin(50, 51), vocabulary=12).collect()
     want = brute_force([t for _, t in rows], [t for i, t in rows if i in (50, 51)], 12)
     key = lambda r: (str(r[0]), r[1], round(r[2] or 0, 4))
     for g, w in zip(sorted(got, key=key), sorted(((i, *x) for (i, _), x in zip(rows, want)), key=key)):
@@ -59,7 +59,7 @@ def test_rare_words_count(documents, monkeypatch, size, part):
     common = " ".join(f"w{k}" for k in range(2100))
     rows = [(1, common), (2, common), (3, common), (4, "w1 good rare w2"), (5, "w1 other scarce w2"), (6, "")]
     docs = documents(rows)
-    got = {r.doc_id: r for r in C.cross_entropy_difference(docs, docs.filter("doc_id in (1, 4)")).collect()}
+    got = {r.doc_id: r for r in C.cross_entropy_difference(docs, F.col("doc_id").isin(1, 4)).collect()}
     assert got[4].score < got[5].score
     want = brute_force([t for _, t in rows], [rows[0][1], rows[3][1]], 2104)
     for (doc_id, _), (n, of_target, of_background) in zip(rows, want):
@@ -70,19 +70,26 @@ def test_rare_words_count(documents, monkeypatch, size, part):
 
 
 def test_empty_tables(documents, odd):
-    assert C.cross_entropy_difference(documents([]), documents([])).count() == 0
-    got = C.cross_entropy_difference(documents(odd), documents([])).collect()
+    assert C.cross_entropy_difference(documents([]), F.lit(True)).count() == 0
+    got = C.cross_entropy_difference(documents(odd), F.lit(None)).collect()
     assert len(got) == len(odd)
 
 
+def test_marked(documents):
+    docs = documents([(1, "a"), (2, "b"), (2, "c"), (None, "d")])
+    ids = docs.sparkSession.createDataFrame([(2,), (2,), (None,), (9,)], "doc_id bigint")
+    got = C.marked(docs, ids, "good").select("text", "good").collect()
+    assert sorted(map(tuple, got)) == [("a", False), ("b", True), ("c", True), ("d", False)]
+
+
 def test_slices_come_back_as_they_were():
     documents = [b"a b a", b"", b"c \xc3\xa4 A", b"x"]
-    of = C._Slice.of(documents, None)
+    of = C._Slice.of(documents, None, np.array([True, False, True, False]))
     file = io.BytesIO()
     of.write(file, pa.array([5, None, -7, 2**60]))
     again, ids = C._Slice.read(file.getvalue())
     assert ids.to_pylist() == [5, None, -7, 2**60]
-    assert all((getattr(of, c) == getattr(again, c)).all() for c in ("words", "of_token", "sizes"))
+    assert all((getattr(of, c) == getattr(again, c)).all() for c in ("words", "of_token", "sizes", "chosen"))
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (C._read_keys(C._sorted_keys(keys)) == keys).all()
     edges = C._edges(keys, 7)
