@@ -838,7 +838,7 @@ def _streamed(db, view):
 def _decided(db):
     """Output folder of the status requests, decided as a stream."""
     requests, out = _streamed(db, "status_requests")
-    feeds.start_status_stream(db, requests, out).awaitTermination()
+    feeds.start_status_stream(db, requests, out, buckets=8).awaitTermination()
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from bankspark.operators import instances, lifecycle, notices
 from bankspark.sources import schemas
 from bankspark.sources.tables import Tables, write_snapshot
-from bankspark.streaming.keyed import KeyedStore
+from bankspark.streaming.keyed import BUCKETS, KeyedStore
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -37,7 +37,9 @@ def _read_versions(spark: SparkSession, directory: str) -> DataFrame:
 # --- status requests ---------------------------------------------------------------------------
 
 
-def start_status_stream(db: Tables, requests: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
+def start_status_stream(
+    db: Tables, requests: DataFrame, out: str, available_now: bool = True, buckets: int = BUCKETS
+) -> StreamingQuery:
     """Decide a stream of status requests against the current state of the instances.
 
     Each batch is decided by the batch operator, in time order inside the batch, on the state the
@@ -45,10 +47,10 @@ def start_status_stream(db: Tables, requests: DataFrame, out: str, available_now
     that arrives again, however much later, is not decided again. Writes ``requests``, ``audit``, ``rejects``, the
     ``stamps`` of decided applications, the instances ``to_contract`` and the ``messages`` of every batch under
     ``out``. The ``instances`` and the ``seen`` requests are keyed stores, so a batch reads the buckets of its own
-    keys and writes no more than it changes.
+    keys and writes no more than it changes. A stream goes on with the number of ``buckets`` it was started with.
     """
     spark = db.spark
-    state, seen = _instance_store(db, out), _seen(spark, out, requests, "request_id")
+    state, seen = _instance_store(db, out, buckets), _seen(spark, out, requests, "request_id", buckets)
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         state.start(db.product_instances)
@@ -69,13 +71,13 @@ def start_status_stream(db: Tables, requests: DataFrame, out: str, available_now
     return _start(requests.writeStream.foreachBatch(decide), f"{out}/checkpoint", available_now)
 
 
-def _instance_store(db: Tables, out: str) -> KeyedStore:
-    return KeyedStore(db.spark, f"{out}/instances", db.product_instances.schema, ["product_uid"])
+def _instance_store(db: Tables, out: str, buckets: int = BUCKETS) -> KeyedStore:
+    return KeyedStore(db.spark, f"{out}/instances", db.product_instances.schema, ["product_uid"], buckets=buckets)
 
 
-def _seen(spark: SparkSession, out: str, rows: DataFrame, key: str) -> KeyedStore:
+def _seen(spark: SparkSession, out: str, rows: DataFrame, key: str, buckets: int = BUCKETS) -> KeyedStore:
     """The keys that have arrived; none is ever forgotten."""
-    return KeyedStore(spark, f"{out}/seen", rows.select(key).schema, [key])
+    return KeyedStore(spark, f"{out}/seen", rows.select(key).schema, [key], buckets=buckets)
 
 
 def _unseen(seen: KeyedStore, batch: DataFrame, batch_id: int) -> DataFrame:

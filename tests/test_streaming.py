@@ -33,7 +33,7 @@ def rows(df, *columns):
 @pytest.mark.parametrize("fan", [2, 10])
 def test_status_stream_equals_batch(spark, mapped, tmp_path, monkeypatch, fan):
     """Batches with requests of earlier ones again; those change nothing."""
-    monkeypatch.setattr(feeds, "KeyedStore", functools.partial(KeyedStore, fan=fan, buckets=4))
+    monkeypatch.setattr(feeds, "KeyedStore", functools.partial(KeyedStore, fan=fan))
     pieces = in_time_order(mapped, 4)
     again = pieces[0].limit(50)
     frames = [pieces[0], pieces[1].unionByName(again), pieces[2].unionByName(pieces[2].limit(9)), pieces[3], pieces[1].limit(20)]
@@ -41,7 +41,7 @@ def test_status_stream_equals_batch(spark, mapped, tmp_path, monkeypatch, fan):
     db = MappedTables(spark, DATA)
     requests = db.over(events=feeds.read_events(spark, path, files_per_batch=1)).view("status_requests")
     out = f"{tmp_path}/out"
-    feeds.start_status_stream(db, requests, out).awaitTermination()
+    feeds.start_status_stream(db, requests, out, buckets=4).awaitTermination()
     batch = lifecycle.apply_status_changes(db, db.view("status_requests"))
     columns = ["product_uid", "request_id", "was_status", "is_code", "update_note"]
     assert rows(feeds.status_stream_audit(spark, out), *columns) == rows(batch.audit, *columns)
