@@ -31,7 +31,7 @@ SOURCES_IN_GROUP = 10_000
 # Up to so many sources (about 250 bytes each) are broadcast; beyond that, only those with more than one in so many
 # of all documents, which are fewer.
 BROADCAST_SOURCES = 100_000
-DOCS_IN_BUCKET, MOST_BUCKETS, DOCS_IN_PIECE = 2048, 65_536, 100_000
+DOCS_IN_BUCKET, MOST_BUCKETS, DOCS_IN_PIECE = 2048, 65_536, 10_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 DRAWS = "array<struct<copy: int, start: bigint, n_words: bigint, shard: int, position: bigint>>"

@@ -16,7 +16,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from bankspark.llm.components import components
 from bankspark.llm.store import new_folder, stored, unused
-from bankspark.llm.words import ascii_words, distinct, shingle_hashes, slices, texts, word_hashes
+from bankspark.llm.words import ascii_words, distinct, release, shingle_hashes, slices, texts, word_hashes
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 2
 HEAD = 2 * LEAST_DEPTH
@@ -171,6 +171,8 @@ def _scan(pairs, width):
             yield from out
         if carry is not None:
             yield from step(carry, True)[1]
+        del carry
+        release()
 
     def step(rows, last):
         tree, prefix, node, size, sketch, label = rows
@@ -300,6 +302,8 @@ def _crossed(batches):
         carry, kept = [x[last:] for x in rows], sets[last:]
     if carry is not None:
         yield compare(carry, kept)
+    del carry, kept
+    release()
 
 
 def _unconnected(nodes: DataFrame, sets: DataFrame, trees: range, folder: str) -> DataFrame | None:
@@ -343,6 +347,7 @@ def _confirm(batches):
     for batch in batches:
         keep = [_similar(x, y) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist())]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    release()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from xxhash import xxh64_intdigest
 
 from bankspark.llm.store import NewFile, open_file
 from bankspark.llm.tokens import END_ID, WordEncoder, default_path
-from bankspark.llm.words import slices, texts
+from bankspark.llm.words import release, slices, texts
 
 FRAME_IDS, LARGEST = 1 << 16, 1 << 22
 # Fixed values of the public format.
@@ -128,6 +128,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 held += len(ids) // 4
                 if held >= FRAME_IDS:
                     flush(len(out.table))
+        del encoder
+        release()
         if out:
             if pieces:
                 flush(len(out.table))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from xxhash import xxh3_64_intdigest
 
 SHINGLE = 5
@@ -60,14 +62,26 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], values[1:] != values[:-1]))]
 
 
+def release() -> None:
+    """Gives memory that is free back to the machine, where the C library can: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches, column: str = "text", limit: int = 8 << 20):
     """Parts of Arrow batches of about ``limit`` bytes of text, so that long texts don't add up in memory."""
+    release()
     for batch in batches:
-        sizes = np.asarray(batch.column(column).cast(pa.binary()).fill_null(b"").to_numpy(zero_copy_only=False), object)
-        ends = np.cumsum([len(x) for x in sizes]) if len(sizes) else np.empty(0, np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < len(ends):
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit)))
             yield batch.slice(start, stop - start)
             start = stop
+        # Not held while the next batch is made.
+        del batch
+    release()
