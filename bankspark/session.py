@@ -8,9 +8,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Room for code tables. Tables guessed larger than this are broadcast only once a shuffle has measured them: guesses come
+# from file sizes and column widths, several hundred times below the rows of a compressed table with generated rows and
+# few columns in use, and the driver holds every row of a broadcast table.
+GUESSED_BROADCAST = 32 << 10
+
 # What the operators rely on. AQE picks join strategies from run-time sizes and splits skewed
 # join partitions, so no operator hints a broadcast of a table that grows.
 RECOMMENDED_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": str(GUESSED_BROADCAST),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -36,11 +43,17 @@ def build_session(app_name: str = "bankspark", master: str | None = None, **conf
 
 
 def tune(spark: SparkSession) -> None:
-    """Switch on what skewed joins need in a session made elsewhere.
+    """Switch on what joins of large tables need in a session made elsewhere.
 
     By default Spark splits a hot join partition only if no further shuffle follows from it; with
-    the second setting it splits it in any case.
+    the second setting it splits it in any case. What the session broadcasts by a guess above
+    GUESSED_BROADCAST, it broadcasts by the measured size from then on.
     """
+    guessed = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if guessed > GUESSED_BROADCAST:
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(guessed))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(GUESSED_BROADCAST))
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 

@@ -1,5 +1,6 @@
 """Physical plans: no Python, no product joins of growing tables, filters and columns in the scan."""
 
+import itertools
 import re
 
 import pytest
@@ -63,3 +64,31 @@ def test_bucketed_facts_join_without_shuffle(spark, mapped, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP DATABASE IF EXISTS bucketed CASCADE")
+
+
+@pytest.mark.parametrize("name", ["clone_product_columns"])
+def test_definitions_are_not_broadcast_by_a_guess(spark, tmp_path, name):
+    """Definitions of 1.2 million products: what one of their columns is guessed at is far below their rows."""
+    import os
+
+    for table in os.listdir(DATA):
+        if table != "part.parquet":
+            os.symlink(f"{DATA}/{table}", f"{tmp_path}/{table}")
+    spark.sql("""
+        SELECT id AS p_partkey, 'large ring' AS p_name, 'Brand#7' AS p_brand, 'PROMO' AS p_type,
+               CAST(id % 50 AS INT) AS p_size, 900.0D AS p_retailprice FROM range(1200000)""").write.parquet(f"{tmp_path}/part.parquet")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for key in before:  # as in a session made elsewhere
+            spark.conf.unset(key)
+        lines = plan_of(QUERIES[name](spark, str(tmp_path))).splitlines()
+        depth = lambda line: len(re.match(r"[ :+*-]*", line).group())
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = itertools.takewhile(lambda x, d=depth(line): depth(x) > d, lines[at + 1 :])
+                assert not any("Generate inline" in x for x in below)
+        assert any("Generate inline" in x for x in lines)
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == str(10 << 20)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
