@@ -1,8 +1,9 @@
 """Status requests decided inside Spark's keyed state.
 
-The state of an instance, its status and its last note, is a value of the state store, and so is each request that
-was decided. It is the only part of the bank's operators that runs Python workers; ``feeds.start_status_stream`` decides
-the same requests by the batch operator.
+The state of an instance that requests have named, its status, its last note and the requests decided last, is a value
+of the state store; older requests are in a map beside it. Where an instance starts from is joined to the requests, so
+instances that no request names never go through Python. It is the only part of the bank's operators that runs Python
+workers; ``feeds.start_status_stream`` decides the same requests by the batch operator.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ DECISIONS = (
 )
 _REQUEST = ["request_id", "new_status", "update_user", "note", "public_yn", "request_dt"]
 
+# Ids of decided requests beside the status, read and written with it in one call; any more move to the map.
+IDS_BESIDE = 256
+
 
 class StatusProcessor(StatefulProcessor):
     """Decides the requests of one instance, in time order inside a batch, on the status the ones before have left."""
@@ -33,45 +37,55 @@ class StatusProcessor(StatefulProcessor):
         self.next_status = next_status
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.instance = handle.getValueState("instance", "status_code string, latest_note string")
+        self.instance = handle.getValueState(
+            "instance", "known boolean, status_code string, latest_note string, in_map boolean, ids array<bigint>")
         self.seen = handle.getMapState("seen", "request_id bigint", "new_status string")
 
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.instance.update((initialState.status_code, initialState.latest_note))
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.instance.get() if self.instance.exists() else None
-        status, last_note = held or (None, None)
-        before = (status, last_note)
+        rows = list(rows)
+        # No requests before: it starts as its table says.
+        held = self.instance.get() or (rows[0].start_known, rows[0].start_status, rows[0].start_note, False, [])
+        known, status, last_note, in_map, ids = held
+        known, new, decided = bool(known), {}, set(ids)
         order = lambda r: tuple((v is not None, v) for v in (r.request_dt, r.request_id))
         for r in sorted(rows, key=order):
-            if self.seen.containsKey((r.request_id,)):
+            if r.request_id in new or r.request_id in decided or in_map and self.seen.containsKey((r.request_id,)):
                 continue
-            self.seen.updateValue((r.request_id,), (r.new_status,))
+            new[r.request_id] = r.new_status
             ok = r.new_status in self.next_status.get(status, ())
             # As in SQL, a missing old or new note counts as no change.
             copied = ok and last_note is not None and r.note is not None and last_note != r.note
             yield Row(
                 product_uid=key[0], request_id=r.request_id, was=status, new_status=r.new_status, update_user=r.update_user,
-                note=r.note, public_yn=r.public_yn, request_dt=r.request_dt, known=held is not None, ok=ok,
+                note=r.note, public_yn=r.public_yn, request_dt=r.request_dt, known=known, ok=ok,
                 audit_note=r.note if copied else None)
             if ok:
                 status, last_note = r.new_status, last_note if r.note is None else r.note
-        if held is not None and (status, last_note) != before:
-            self.instance.update((status, last_note))
+        if not new:
+            return
+        ids = [*ids, *new]
+        if len(ids) > IDS_BESIDE:
+            for request_id in ids:
+                self.seen.updateValue((request_id,), (new.get(request_id),))
+            in_map, ids = True, []
+        self.instance.update((known, status, last_note, in_map, ids))
 
     def close(self) -> None:
         pass
 
 
 def decisions(db: Tables, requests: DataFrame) -> DataFrame:
-    """A stream of decisions on a stream of status requests; the instances' table is the state it starts from.
+    """A stream of decisions on a stream of status requests; the instances' table says where they start from.
 
-    Late requests are decided when they arrive; a request that arrives again is known by its id and left out.
+    The table is read in every batch, for instances without requests before, so it must stay as it was when the stream
+    began. Late requests are decided when they arrive; a request that arrives again is known by its id and left out.
     """
-    start = db.product_instances.select("product_uid", "status_code", "latest_note").groupBy("product_uid")
-    return requests.select("product_uid", *_REQUEST).groupBy("product_uid").transformWithState(
-        StatusProcessor(dims.NEXT_STATUS), DECISIONS, "append", "none", start)
+    start = db.product_instances.select(
+        "product_uid", F.lit(True).alias("start_known"), F.col("status_code").alias("start_status"),
+        F.col("latest_note").alias("start_note"))
+    placed = requests.select("product_uid", *_REQUEST).join(start, "product_uid", "left")
+    return placed.groupBy("product_uid").transformWithState(
+        StatusProcessor(dims.NEXT_STATUS), DECISIONS, "append", "none")
 
 
 def start_status_state(db: Tables, requests: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:

@@ -67,6 +67,26 @@ def test_keyed_state_equals_batch_and_goes_on_after_a_restart(spark, mapped, tmp
     assert rows(stateful.state_rejects(spark, out), "request_id", "reason") == rows(batch.rejects, "request_id", "reason")
 
 
+def test_keyed_state_holds_named_instances_only(spark, mapped, tmp_path, monkeypatch):
+    """Instances without requests stay out of the state; repeats are known from beside the status and from the map."""
+    from bankspark.streaming import stateful
+
+    monkeypatch.setattr(stateful, "IDS_BESIDE", 3)
+    pieces = in_time_order(mapped, 3)
+    path = write_files(spark, [pieces[0], pieces[1].unionByName(pieces[0]), pieces[2].unionByName(pieces[1])], f"{tmp_path}/in")
+    db, out = MappedTables(spark, DATA), f"{tmp_path}/out"
+    stateful.start_status_state(db, db.over(events=feeds.read_events(spark, path, 1)).view("status_requests"), out).awaitTermination()
+    asked = db.view("status_requests")
+    batch = lifecycle.apply_status_changes(db, asked)
+    columns = ["product_uid", "request_id", "was_status", "is_code", "update_note", "update_note_public_yn"]
+    assert rows(stateful.state_audit(spark, out), *columns) == rows(batch.audit, *columns)
+    assert rows(stateful.state_rejects(spark, out), "request_id", "reason") == rows(batch.rejects, "request_id", "reason")
+    state = spark.read.format("statestore").option("path", f"{out}/checkpoint").option("stateVarName", "instance").load()
+    named = asked.select("product_uid").distinct().count()
+    assert state.count() == named < db.product_instances.count()
+
+
+
 def test_owner_stream_in_any_order(spark, mapped, tmp_path):
     pieces = in_time_order(mapped, 3)
     path = write_files(spark, [pieces[2], pieces[0], pieces[1].unionByName(pieces[2])], f"{tmp_path}/in")
