@@ -255,8 +255,10 @@ def store_contracts(db: Tables, rendered: DataFrame) -> tuple[DataFrame, DataFra
     parts = F.transform(F.sort_array(F.collect_list(F.struct("part_no", text.alias("text")))), lambda p: p["text"])
     whole = rendered.groupBy("product_uid").agg(
         F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")).alias("unsigned_contract"))
-    contracts = append_with_ids(db.contracts, whole, "contract_id", ["product_uid"])
-    first = contracts.select("product_uid", F.col("contract_id").alias("_new_contract"))
+    # Keys are given to the instances alone: whole texts are neither sorted nor kept for it.
+    keys = append_with_ids(db.contracts, whole.select("product_uid"), "contract_id", ["product_uid"])
+    contracts = whole.join(keys, "product_uid")
+    first = keys.select("product_uid", F.col("contract_id").alias("_new_contract"))
     instances = db.product_instances.join(first, "product_uid", "left").select(*[
         F.coalesce("_new_contract", "contract_id").alias(c) if c == "contract_id" else F.col(c)
         for c in db.product_instances.columns

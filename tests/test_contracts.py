@@ -119,3 +119,22 @@ def test_parts_make_one_contract(spark, frame):
         assert len(text[ids[uid]]) == elements[uid]
         if uid != 1:
             assert text[ids[uid]][-1] == "Date: _______________"
+
+
+def test_keys_of_contracts_are_given_without_their_texts(spark, mapped, monkeypatch):
+    from bankspark.operators import ordering
+    from bankspark.sources import schemas
+
+    kept = []
+    checkpointed = ordering.checkpointed
+    monkeypatch.setattr(ordering, "checkpointed", lambda df: kept.append(df.columns) or checkpointed(df))
+    none, open_ones = spark.createDataFrame([], schemas.TABLES["contracts"]), mapped.product_instances.withColumn(
+        "contract_id", F.lit(None).cast("bigint"))
+    db = mapped.replace(contracts=none, product_instances=open_ones)
+    rendered = contracts.render_contracts(mapped, DAY)
+    new, held = contracts.store_contracts(db, rendered)
+    assert kept == [["product_uid", "_part", "_place"]]
+    got = held.join(new, "contract_id").select("product_uid", "unsigned_contract").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rendered.select("product_uid", "unsigned_contract").collect()))
+    ids = [r.contract_id for r in new.orderBy("contract_id").collect()]
+    assert ids == list(range(1, rendered.count() + 1))
