@@ -66,7 +66,7 @@ def test_bucketed_facts_join_without_shuffle(spark, mapped, tmp_path):
         spark.sql("DROP DATABASE IF EXISTS bucketed CASCADE")
 
 
-@pytest.mark.parametrize("name", ["clone_product_columns", "contract_json_roundtrip", "patch_instance_values"])
+@pytest.mark.parametrize("name", ["clone_product_columns", "contract_json_roundtrip", "contract_text", "patch_instance_values"])
 def test_definitions_are_not_broadcast_by_a_guess(spark, tmp_path, name):
     """Definitions of 1.2 million products: what one of their columns is guessed at is far below their rows."""
     import os
