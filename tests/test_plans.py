@@ -92,3 +92,32 @@ def test_definitions_are_not_broadcast_by_a_guess(spark, tmp_path, name):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("name", ["patch_instance_values"])
+def test_well_compressed_definitions_are_not_broadcast_by_a_guess(spark, tmp_path, name):
+    """Products whose file is so small that definitions are guessed below any threshold."""
+    import os
+
+    for table in os.listdir(DATA):
+        if table != "part.parquet":
+            os.symlink(f"{DATA}/{table}", f"{tmp_path}/{table}")
+    spark.sql("""
+        SELECT id AS p_partkey, 'large ring' AS p_name, 'Brand#7' AS p_brand, 'PROMO' AS p_type,
+               CAST(id % 50 AS INT) AS p_size, 900.0D AS p_retailprice FROM range(1200000)""").coalesce(1).write.option(
+        "compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(f"{tmp_path}/part.parquet")
+    keys = ["autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold", "sources.fileCompressionFactor"]
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql." + k for k in keys)}
+    try:
+        for key in before:  # as in a session made elsewhere
+            spark.conf.unset(key)
+        lines = plan_of(QUERIES[name](spark, str(tmp_path))).splitlines()
+        depth = lambda line: len(re.match(r"[ :+*-]*", line).group())
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = itertools.takewhile(lambda x, d=depth(line): depth(x) > d, lines[at + 1 :])
+                assert not any("Generate inline" in x for x in below)
+        assert any("Generate inline" in x for x in lines)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
