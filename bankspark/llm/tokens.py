@@ -9,16 +9,19 @@ from __future__ import annotations
 import json
 import struct
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
 
 DEFAULT_FILE, END_ID = "word_bpe_49k.json", 2
 # Words and pieces that a task remembers, some 200 bytes each.
 WORDS_KEPT, PIECES_KEPT = 500_000, 300_000
 _MARKS = frozenset(".,;:!?")
+# The byte-level alphabet: printable bytes stand for themselves, the others in turn for the characters from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512)))
 
 
 def default_path() -> str:
@@ -27,31 +30,36 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
-class WordEncoder:
-    """``encode(text)`` gives the ids as little-endian 32-bit numbers, without special tokens added."""
+@lru_cache(maxsize=1)
+def _loaded(path: str):
+    """Tokenizer of a file, the pattern of its pieces and its special tokens: read once by a worker, for all its tasks."""
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+    pieces = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+    return tokenizer, pieces, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+class WordEncoder(dict):
+    """``encode(text)`` gives the ids as little-endian 32-bit numbers, without special tokens added.
+
+    It is the memory of words seen: ids by word, worked out when first asked for.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.pieces = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
-        self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
+        super().__init__()
+        self.tokenizer, self.pieces, self.special = _loaded(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.word(w.decode("utf-8", "replace"))
-        return b"".join([known[w] for w in words])
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.word(word.decode("utf-8", "replace"))
+        return found
 
     def word(self, word: str) -> bytes:
         if not word.isascii() and ("İ" in word or "Σ" in word or not unicodedata.is_normalized("NFC", word)):
@@ -71,8 +79,8 @@ class WordEncoder:
             self.parts.clear()
         # Letters of ASCII stand for their own bytes.
         plain = piece.isascii() and piece.isalpha()
-        mapped = [piece] if plain else [m for m, _ in self.bytes_of.pre_tokenize_str(piece)]
-        ids = [t.id for m in mapped for t in self.tokenizer.model.tokenize(m)]
+        mapped = piece if plain else piece.encode().decode("latin-1").translate(_ALPHABET)
+        ids = [t.id for t in self.tokenize(mapped)]
         found = self.parts[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 

@@ -29,6 +29,18 @@ def test_encoder(library):
     assert all(np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() == library(t) for t in texts)
 
 
+def test_encoder_works_out_a_word_once_and_reads_its_file_once(monkeypatch):
+    encoder = WordEncoder(default_path())
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: pytest.fail("read again"))
+    again, asked = WordEncoder(default_path()), []
+    monkeypatch.setattr(again, "word", lambda word: asked.append(word) or b"")
+    again.encode(b"one two one three two one")
+    again.encode(b"three four")
+    assert asked == ["one", "two", "three", "four"]
+    # What one task remembers goes with it.
+    assert not encoder and not encoder.parts
+
+
 def expected(rows, library):
     out, at = [], 0
     for doc_id, text in rows:
