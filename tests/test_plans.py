@@ -94,7 +94,7 @@ def test_definitions_are_not_broadcast_by_a_guess(spark, tmp_path, name):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", ["contract_text", "patch_instance_values"])
+@pytest.mark.parametrize("name", ["contract_json_roundtrip", "contract_text", "patch_instance_values"])
 def test_well_compressed_definitions_are_not_broadcast_by_a_guess(spark, tmp_path, name):
     """Products whose file is so small that definitions are guessed below any threshold."""
     import os
