@@ -85,17 +85,8 @@ def _has_terms() -> Column:
     return F.col("rate_pct").isNotNull() & (~needs_amount | F.col("amount").isNotNull())
 
 
-@dataclass
-class _Parts:
-    terms: DataFrame  # product_uid and what the clauses are filled with
-    table_rows: DataFrame  # product_uid, clause_no, row_no, label, value
-    rejects: DataFrame
-
-
-def _parts(db: Tables, as_of: dt.date, instances: DataFrame | None, bank_name: str) -> _Parts:
-    visible = attribute_values(db, visible_only=True).select("product_uid", "pcc_uid", "column_name", "value")
-    with_rows = visible.select("product_uid").distinct().withColumn("_has_rows", F.lit(True))
-    facts = contract_facts(db, instances).join(with_rows, "product_uid", "left")
+def _terms(facts: DataFrame, has_rows: Column, as_of: dt.date, bank_name: str, *more: str) -> DataFrame:
+    """What the clauses are filled with, for contracts that have the terms they state."""
     values = {
         "now": _now_text(as_of), "bank": F.lit(bank_name), "first_name": F.col("first_name"),
         "last_name": F.col("last_name"), "address": F.col("address"), "currency": F.col("currency"),
@@ -103,27 +94,39 @@ def _parts(db: Tables, as_of: dt.date, instances: DataFrame | None, bank_name: s
         "begin": F.col("begin_date"), "end": F.col("end_date"), "product_uid": F.col("product_uid"),
         "product_name": F.col("product_name"), "product_description": F.col("product_description"),
     }
-    usable = facts.filter(_has_terms())
-    terms = usable.select(
-        "product_uid", "category_id", F.col("_has_rows").isNotNull().alias("has_rows"),
+    return facts.filter(_has_terms()).select(
+        "product_uid", "category_id", "end_date", has_rows.alias("has_rows"), *more,
         *[F.coalesce(value.cast("string"), F.lit("None")).alias("v_" + name) for name, value in values.items()],
     )
+
+
+def _visible(db: Tables) -> DataFrame:
+    return attribute_values(db, visible_only=True).select("product_uid", "pcc_uid", "column_name", "value")
+
+
+@dataclass
+class _Parts:
+    terms: DataFrame  # product_uid and what the clauses are filled with
+    attribute_rows: DataFrame  # product_uid, clause_no, row_no, label, value, without strike dates
+    rejects: DataFrame
+
+
+def _parts(db: Tables, as_of: dt.date, instances: DataFrame | None, bank_name: str) -> _Parts:
+    visible = _visible(db)
+    with_rows = visible.select("product_uid").distinct().withColumn("_has_rows", F.lit(True))
+    facts = contract_facts(db, instances).join(with_rows, "product_uid", "left")
     table_at = F.create_map(*[
         F.lit(x) for category, items in clauses.BY_CATEGORY.items() if clauses.TABLE in items
         for x in (category, items.index(clauses.TABLE))
     ])
-    tables = usable.select(
-        "product_uid", F.try_element_at(table_at, F.col("category_id")).cast("bigint").alias("clause_no"), "category_id", "end_date"
+    tables = facts.filter(_has_terms()).select(
+        "product_uid", F.try_element_at(table_at, F.col("category_id")).cast("bigint").alias("clause_no")
     ).filter(F.col("clause_no").isNotNull())
     rows = tables.join(visible, "product_uid").select(
         "product_uid", "clause_no", F.col("pcc_uid").alias("row_no"), F.col("column_name").alias("label"), "value"
     )
-    strike = tables.filter(F.col("category_id") == "DER").select(
-        "product_uid", "clause_no", F.lit(_LAST_ROW).alias("row_no"), F.lit(clauses.STRIKE_DATE_LABEL).alias("label"),
-        F.col("end_date").alias("value"),
-    )
     rejects = facts.filter(~_has_terms()).select("product_uid", F.lit("missing_terms").alias("reason"))
-    return _Parts(terms, rows.unionByName(strike), rejects)
+    return _Parts(_terms(facts, F.col("_has_rows").isNotNull(), as_of, bank_name), rows, rejects)
 
 
 @dataclass
@@ -149,12 +152,18 @@ def contract_lines(
 def _lines(parts: _Parts) -> DataFrame:
     none = F.lit(None).cast("string")
     # Exploded where it is built: as a column of its own the optimizer would copy it into filters.
-    exploded = parts.terms.select("product_uid", F.posexplode(F.expr(_clauses_sql())).alias("clause_no", "c"))
-    text_lines = exploded.filter(F.col("c.kind") != "table").select(
-        "product_uid", F.col("clause_no").cast("bigint").alias("clause_no"), F.lit(0).cast("bigint").alias("row_no"),
-        F.col("c.kind").alias("kind"), F.col("c.text").alias("text"), none.alias("label"), none.alias("value"),
+    exploded = parts.terms.select(
+        "product_uid", "category_id", "end_date", F.posexplode(F.expr(_clauses_sql())).alias("clause_no", "c")
     )
-    table_lines = parts.table_rows.select(
+    # A DER table always ends with the strike date, so that row comes from the clause itself.
+    is_table = F.col("c.kind") == "table"
+    text_lines = exploded.filter(~is_table | (F.col("category_id") == "DER")).select(
+        "product_uid", F.col("clause_no").cast("bigint").alias("clause_no"),
+        F.when(is_table, F.lit(_LAST_ROW)).otherwise(F.lit(0)).cast("bigint").alias("row_no"),
+        F.col("c.kind").alias("kind"), F.col("c.text").alias("text"),
+        F.when(is_table, F.lit(clauses.STRIKE_DATE_LABEL)).alias("label"), F.when(is_table, F.col("end_date")).alias("value"),
+    )
+    table_lines = parts.attribute_rows.select(
         "product_uid", "clause_no", "row_no", F.lit("table").alias("kind"), none.alias("text"), "label", "value"
     )
     return text_lines.unionByName(table_lines)
@@ -168,23 +177,32 @@ def contract_documents(
 ) -> DataFrame:
     """Contracts as documents: (product_uid, part_no, contents array of elements).
 
-    Paragraphs never leave the row of their contract; only table rows are gathered. A contract is one
+    Paragraphs never leave the row of their contract; only table rows are gathered, before they meet
+    it, so that the facts of a contract are put together once. A contract is one
     document. With ``page_size``, a contract whose table has more rows than that is put together from
     lines instead, and long tables go on in further table elements and further parts.
     """
-    parts = _parts(db, as_of, instances, bank_name)
-    if page_size is not None and has_large_group(parts.table_rows, ["product_uid"], page_size):
-        return documents_from_lines(_lines(parts), page_size)
-    row = F.struct("row_no", F.array("label", "value").alias("row"))
-    tables = parts.table_rows.groupBy("product_uid").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    data = F.transform("rows", lambda r: r["row"])
+    if page_size is not None:
+        lines = contract_lines(db, as_of, instances, bank_name).lines
+        if has_large_group(lines.filter(F.col("kind") == "table"), ["product_uid"], page_size):
+            return documents_from_lines(lines, page_size)
+    visible = _visible(db)
+    if instances is not None:
+        visible = visible.join(instances, "product_uid", "left_semi")
+    row = F.struct("pcc_uid", F.array("column_name", "value").alias("row"))
+    tables = visible.groupBy("product_uid").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    facts = contract_facts(db, instances).join(tables, "product_uid", "left")
+    terms = _terms(facts, F.col("rows").isNotNull(), as_of, bank_name, "rows")
+    none = F.array().cast("array<array<string>>")
+    strike = F.array(F.array(F.lit(clauses.STRIKE_DATE_LABEL), F.col("end_date")))
+    data = F.concat(
+        F.coalesce(F.transform("rows", lambda r: r["row"]), none), F.when(F.col("category_id") == "DER", strike).otherwise(none)
+    )
     contents = F.transform(
         F.expr(_clauses_sql()),
         lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text"), F.when(e["kind"] == "table", data).alias("data")),
     )
-    return parts.terms.join(tables, "product_uid", "left").select(
-        "product_uid", F.lit(0).cast("bigint").alias("part_no"), contents.alias("contents")
-    )
+    return terms.select("product_uid", F.lit(0).cast("bigint").alias("part_no"), contents.alias("contents"))
 
 
 def documents_from_lines(lines: DataFrame, page_size: int) -> DataFrame:

@@ -676,11 +676,12 @@ def contract_rejects(db):
 def contract_json_roundtrip(db):
     """Documents written to JSON and read back, as number of elements and of table rows."""
     rendered = contracts.render_contracts(db, AS_OF)
-    back = contracts.contract_from_json(F.col("unsigned_contract"))
+    # Read back in a column of its own, so that each document is parsed once for all figures.
+    back = F.col("back")
     rows = F.aggregate(
         back, F.lit(0), lambda acc, e: acc + F.when(e["kind"] == "table", F.size(e["data"])).otherwise(0)
     )
-    return rendered.select(
+    return rendered.withColumn("back", contracts.contract_from_json(F.col("unsigned_contract"))).select(
         "product_uid", "part_no", F.size(back).cast("bigint").alias("n_elements"), rows.cast("bigint").alias("n_table_rows"),
         F.element_at(back, -2)["text"].alias("signature_line"),
     )

@@ -75,6 +75,22 @@ def test_json_roundtrip(spark, frame):
     assert [e.kind for e in got] == ["text", "table", "none"] and got[1].data == [["x", None]]
 
 
+def test_attributes_outside_tables_and_open_ends(spark, frame):
+    """Attributes of a loan make no table; an option without end still has its strike date row, also for some instances only."""
+    db = bank(spark, frame)
+    more = db.product_custom_column_values.withColumn("product_uid", F.lit(1).cast("bigint"))
+    open_end = db.product_instances.withColumn("product_end_date", F.lit(None).cast("date"))
+    db = db.replace(product_custom_column_values=db.product_custom_column_values.unionByName(more), product_instances=open_end)
+    lines = contracts.contract_lines(db, DAY).lines
+    table = sorted((r.product_uid, r.clause_no, r.row_no, r.text, r.label, r.value) for r in lines.filter("kind = 'table'").collect())
+    assert table == [(2, 5, 100, None, "attr 0", "v0"), (2, 5, 101, None, "attr 1", "v1"), (2, 5, (1 << 63) - 1, None, "Strike Date", None)]
+    docs = contracts.contract_documents(db, DAY)
+    from_lines = contracts.documents_from_lines(lines, 100)
+    assert docs.exceptAll(from_lines).isEmpty() and from_lines.exceptAll(docs).isEmpty()
+    some = contracts.contract_documents(db, DAY, frame("product_uid BIGINT", [(2,), (2,), (5,)]))
+    assert some.exceptAll(docs.filter("product_uid = 2")).isEmpty() and some.count() == 1
+
+
 def test_signing(spark, frame):
     db = bank(spark, frame)
     rendered = contracts.render_contracts(db, DAY)

@@ -121,3 +121,10 @@ def test_well_compressed_definitions_are_not_broadcast_by_a_guess(spark, tmp_pat
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("name, times", [("contract_json_roundtrip", 1), ("contract_text", 2)])
+def test_facts_of_contracts_are_put_together_once(spark, name, times):
+    """Documents join owners once; lines once more, for what belongs to attribute rows."""
+    scans = re.findall(r"FileScan parquet [^\n]*customer\.parquet", plan_of(QUERIES[name](spark, DATA)))
+    assert len(scans) == times
