@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 # from file sizes and column widths, several hundred times below the rows of a compressed table with generated rows and
 # few columns in use, and the driver holds every row of a broadcast table.
 GUESSED_BROADCAST = 32 << 10
+# The largest measured table that is broadcast. The driver gathers its rows, builds their hash table and keeps both with their
+# serialized form: many times the measured size for short rows.
+MEASURED_BROADCAST = 10 << 20
 # What a byte of a file counts as in these guesses. Sorted keys and repeated values may take a hundredth of their rows' size,
 # generated rows and columns left out another hundredth of it, so tables read from files always wait for the measure.
 ROWS_PER_FILE_SIZE = 10_000
@@ -20,7 +23,7 @@ ROWS_PER_FILE_SIZE = 10_000
 # join partitions, so no operator hints a broadcast of a table that grows.
 RECOMMENDED_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(GUESSED_BROADCAST),
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(MEASURED_BROADCAST),
     "spark.sql.sources.fileCompressionFactor": str(ROWS_PER_FILE_SIZE),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -51,13 +54,16 @@ def tune(spark: SparkSession) -> None:
 
     By default Spark splits a hot join partition only if no further shuffle follows from it; with
     the second setting it splits it in any case. What the session broadcasts by a guess above
-    GUESSED_BROADCAST, it broadcasts by the measured size from then on; tables in files are guessed
-    by ROWS_PER_FILE_SIZE, so that well compressed ones are not guessed below it.
+    GUESSED_BROADCAST, it broadcasts by the measured size from then on, up to MEASURED_BROADCAST;
+    tables in files are guessed by ROWS_PER_FILE_SIZE, so that well compressed ones are not guessed
+    below it.
     """
     guessed = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    measured = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    size = guessed if measured is None else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(measured)
+    if size > MEASURED_BROADCAST or (measured is None and guessed > GUESSED_BROADCAST):
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(min(size, MEASURED_BROADCAST)))
     if guessed > GUESSED_BROADCAST:
-        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
-            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(guessed))
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(GUESSED_BROADCAST))
     if float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) < ROWS_PER_FILE_SIZE:
         spark.conf.set("spark.sql.sources.fileCompressionFactor", str(ROWS_PER_FILE_SIZE))

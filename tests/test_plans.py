@@ -128,3 +128,23 @@ def test_facts_of_contracts_are_put_together_once(spark, name, times):
     """Documents join owners once; lines once more, for what belongs to attribute rows."""
     scans = re.findall(r"FileScan parquet [^\n]*customer\.parquet", plan_of(QUERIES[name](spark, DATA)))
     assert len(scans) == times
+
+
+@pytest.mark.parametrize("name", ["contract_json_roundtrip", "contract_text"])
+@pytest.mark.parametrize("key", ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"])
+def test_measured_broadcasts_are_bounded(spark, name, key):
+    """A session may allow more than the driver can hold several times over."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:  # as in a session made elsewhere
+            spark.conf.unset(k)
+        spark.conf.set(key, "64m")
+        QUERIES[name](spark, DATA)
+        assert spark.conf.get(keys[1]) == str(10 << 20)
+        spark.conf.set(keys[1], "256k")  # a lower bound stays
+        QUERIES[name](spark, DATA)
+        assert spark.conf.get(keys[1]) == "256k"
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
