@@ -89,3 +89,73 @@ def test_products_beyond_64_bits():
     values = np.array([[2.0**40, 2.0**40, 1], [2.0**40, -(2.0**40), 7], [2.0**30, -(2.0**30), 5], [0, 0, 3]])
     got = {q: (c.tolist(), s.tolist()) for q, c, s in T.search(T.Lists(ids, values), ids[:1], values[:1])}
     assert got == {0: ([1, 2, 3], [7, 5, 3])}
+
+
+def test_packs_of_queries_are_not_broadcast(spark):
+    """Whatever the session broadcasts: guessed before packs are copied to every block, they seem small."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": str(64 << 20), "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+            "spark.sql.sources.fileCompressionFactor": "1"}
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        vectors = T.whole_vectors(frame(spark, [(i, [float(i % 7), 1.0], 0, 0, 0) for i in range(200)]))
+        found = T.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+        assert len(found.collect()) == 200
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "Broadcast" not in plan and "Join" not in plan
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_tiles_cover_every_pack_and_block():
+    for blocks, packs, cores in [(1, 1, 6), (13, 6, 6), (151, 61, 6), (3662, 1504, 6), (3662, 1504, 4000), (1, 500, 8)]:
+        across, down = T._tiles(blocks, packs, cores)
+        assert 1 <= across <= blocks and 1 <= down <= packs
+        assert blocks <= across * T.MOST_BLOCKS and packs <= down * T.MOST_PACKS
+
+
+def test_rows_of_many_tiles_are_exact(spark, monkeypatch):
+    """Many equal vectors and scores, vectors of one id in several tiles, queries in several packs."""
+    for name, value in (("BLOCK", 60), ("QUERIES_AT_ONCE", 7), ("MOST_BLOCKS", 3), ("MOST_PACKS", 2)):
+        monkeypatch.setattr(T, name, value)
+    rng = np.random.default_rng(9)
+    values = rng.integers(-3, 4, (900, 5)) / 64
+    values[200:500] = values[200]
+    ids = rng.permutation(900)
+    rows = [(int(i), [float(x) for x in v], 0, 0, 0) for i, v in zip(ids, values)]
+    assert run(spark, rows) == brute_force(ids.tolist(), np.rint(64 * values).astype(np.int64), range(0, 900, 20), 20)
+
+
+@pytest.mark.parametrize("scale, kind", [(1, np.float32), (1 << 9, np.float64), (1 << 35, np.int64), (1 << 45, object)])
+def test_best_of_blocks_one_after_another(scale, kind):
+    """In each type that products need: single, double, long, and Python's whole numbers for some of the blocks."""
+    rng = np.random.default_rng(10)
+    values = np.rint(rng.normal(size=(700, 16)) * 40)
+    values[100:300] = values[100]
+    values[400:] *= scale
+    assert T._kind(values[:30], values[400:650]) is kind
+    ids = rng.permutation(700)
+    best, step = T.Best(ids[:30], values[:30], 20), 1
+    for at in (0, 5, 12, 130, 400, 650):
+        to = {0: 5, 5: 12, 12: 130, 130: 400, 400: 650, 650: 700}[at]
+        step = best.read(T.Lists(ids[at:to], values[at:to]), step)
+    got = sorted(zip(*(c.to_pylist() for c in best.rows().columns)))
+    want = brute_force(ids.tolist(), values.astype(np.int64), ids[:30].tolist(), 20)
+    assert got == sorted((q, i, s) for q, _, i, s in want)
+
+
+def test_later_blocks_stop_by_the_best_so_far(monkeypatch):
+    """Random directions: of later blocks few candidates get full scores, and no lists are read to their end."""
+    rng = np.random.default_rng(11)
+    values = np.floor(8 * rng.normal(size=(24_000, 64))).astype(np.float32)
+    ids, better, scored = np.arange(24_000), T.Best._better, []
+    monkeypatch.setattr(T.Best, "_better", lambda self, *a: scored.append(len(a[1])) or better(self, *a))
+    best, step = T.Best(ids[:200], values[:200], 20), 1
+    for at in range(0, 24_000, 2_000):
+        scored.clear()
+        step = best.read(T.Lists(ids[at : at + 2_000], values[at : at + 2_000]), step)
+    assert 0 < sum(scored) < 0.05 * 200 * 2_000 and step <= 5
+    got = sorted(zip(*(c.to_pylist() for c in best.rows().columns)))
+    assert got == sorted((q, i, s) for q, _, i, s in brute_force(ids.tolist(), values.astype(np.int64), range(200), 20))
