@@ -27,7 +27,7 @@ from bankspark.llm.store import new_folder, stored
 SCALE, K = 64, 20
 BLOCK, QUERIES_AT_ONCE = 4096, 512
 # Of a tile. More tiles copy blocks and packs more often; a tile of fewer blocks has lower k-th best scores to stop by.
-MOST_BLOCKS, MOST_PACKS, LEAST_BLOCKS, TILES_PER_CORE = 128, 64, 24, 3
+MOST_BLOCKS, MOST_PACKS, LEAST_BLOCKS, TILES_PER_CORE = 256, 256, 24, 3
 DEPTHS = (0.125, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 0.96875)
 # A query stops reading when at most so many candidates of the block are left, and at most so large a part of it.
 WORTH_RESOLVING, RESOLVED_SHARE = 128, 0.0625
@@ -265,8 +265,8 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
     return values
 
 
-def _pack(limit: int | None):
-    """Rows of a partition as blocks of ``limit`` rows (none: all): ids and values."""
+def _pack(limit: int):
+    """Rows of a partition as blocks of ``limit`` rows, the last of fewer: ids and values. ``part`` numbers them, from the partition's own number on."""
     def block(part, rows):
         width = max(values.shape[1] for _, values in rows)
         kind, values = _packed(np.concatenate([_as_wide(values, width) for _, values in rows]))
@@ -279,12 +279,12 @@ def _pack(limit: int | None):
         for batch in batches:
             ids, at = batch.column("vec_id").to_numpy(), 0
             while at < len(ids):
-                to = len(ids) if limit is None else min(len(ids), at + limit - n)
+                to = min(len(ids), at + limit - n)
                 rows.append((ids[at:to], _matrix(batch.column("vector").slice(at, to - at))))
                 n, at = n + to - at, to
                 if n == limit:
                     yield block(part, rows)
-                    rows, n = [], 0
+                    part, rows, n = part + 1, [], 0
         if rows:
             yield block(part, rows)
 
@@ -360,7 +360,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     folder = new_folder(spark, "topk")
     vectors = stored(vectors, folder, "vectors")
     queries = stored(queries, folder, "queries")
-    # A partition is a block; round-robin makes them equal, whatever the ids are.
     blocks, packs = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERIES_AT_ONCE))
     across, down = _tiles(blocks, packs, spark.sparkContext.defaultParallelism)
     kind = "part int, ids binary, kind string, values binary"
@@ -370,7 +369,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Blocks and packs are sent to their tiles: a join would guess the packs' size from before they are copied, and broadcast them.
-    read = vectors.repartition(blocks).mapInArrow(_pack(None), kind).withColumn("at", every(down))
+    read = vectors.mapInArrow(_pack(BLOCK), kind).withColumn("at", every(down))
     asked = queries.repartition(packs).mapInArrow(_pack(QUERIES_AT_ONCE), kind).withColumn("at", every(across))
     rows = dealt(read, False, F.col("at") * across + F.col("part") % across).unionAll(
         dealt(asked, True, F.col("part") % down * across + F.col("at")))
