@@ -28,6 +28,8 @@ SCALE, K = 64, 20
 BLOCK, QUERIES_AT_ONCE = 4096, 512
 # Of a tile. More tiles copy blocks and packs more often; a tile of fewer blocks has lower k-th best scores to stop by.
 MOST_BLOCKS, MOST_PACKS, LEAST_BLOCKS, TILES_PER_CORE = 256, 256, 24, 3
+# So many components of queries are kept by a task.
+MOST_COMPONENTS = 1 << 24
 DEPTHS = (0.125, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 0.96875)
 # A query stops reading when at most so many candidates of the block are left, and at most so large a part of it.
 WORTH_RESOLVING, RESOLVED_SHARE = 128, 0.0625
@@ -341,9 +343,10 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _tiles(blocks: int, packs: int, cores: int) -> tuple[int, int]:
+def _tiles(blocks: int, packs: int, cores: int, width: int) -> tuple[int, int]:
     """In how many parts blocks and packs are dealt out, so that tiles keep the cores busy and each fits a task."""
-    wanted, across, down = TILES_PER_CORE * cores, -(-blocks // MOST_BLOCKS), -(-packs // MOST_PACKS)
+    most = max(1, min(MOST_PACKS, MOST_COMPONENTS // (QUERIES_AT_ONCE * width)))
+    wanted, across, down = TILES_PER_CORE * cores, -(-blocks // MOST_BLOCKS), -(-packs // most)
     across = max(across, min(-(-wanted // down), blocks // LEAST_BLOCKS))
     return across, max(down, min(-(-wanted // across), packs))
 
@@ -360,8 +363,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     folder = new_folder(spark, "topk")
     vectors = stored(vectors, folder, "vectors")
     queries = stored(queries, folder, "queries")
-    blocks, packs = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    across, down = _tiles(blocks, packs, spark.sparkContext.defaultParallelism)
+    asked, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks, packs = max(1, -(-vectors.count() // BLOCK)), max(1, -(-asked // QUERIES_AT_ONCE))
+    across, down = _tiles(blocks, packs, spark.sparkContext.defaultParallelism, max(1, width or 1))
     kind = "part int, ids binary, kind string, values binary"
 
     def dealt(packed: DataFrame, asked: bool, tile: Column) -> DataFrame:

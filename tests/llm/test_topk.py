@@ -111,9 +111,11 @@ def test_packs_of_queries_are_not_broadcast(spark):
 
 def test_tiles_cover_every_pack_and_block():
     for blocks, packs, cores in [(1, 1, 6), (13, 6, 6), (151, 61, 6), (3662, 1504, 6), (3662, 1504, 4000), (1, 500, 8)]:
-        across, down = T._tiles(blocks, packs, cores)
-        assert 1 <= across <= blocks and 1 <= down <= packs
-        assert blocks <= across * T.MOST_BLOCKS and packs <= down * T.MOST_PACKS
+        for width in (1, 64, 768, 10**6):
+            across, down = T._tiles(blocks, packs, cores, width)
+            assert 1 <= across <= blocks and 1 <= down <= packs
+            assert blocks <= across * T.MOST_BLOCKS and packs <= down * T.MOST_PACKS
+            assert down == packs or -(-packs // down) * T.QUERIES_AT_ONCE * width <= T.MOST_COMPONENTS
 
 
 def test_rows_of_many_tiles_are_exact(spark, monkeypatch):
