@@ -56,7 +56,10 @@ def touched(db: Tables, directory: str, as_of: dt.date, catch_up: bool = False)
     day = F.col("end_day")
     due = instances.filter(day <= F.lit(as_of) if catch_up else day.isin(as_of, week_before))
     dates = exercise.filter(F.col("day").isin(as_of, yesterday))
-    exercised = instances.join(dates.select("end_day", "product_uid"), ["end_day", "product_uid"], "left_semi").select(instances.columns)
+    # One row for each end date, whose folders alone are read: Spark prunes them only by a side that it broadcasts from the start.
+    days = F.broadcast(dates.select("end_day").distinct())
+    exercised = instances.join(days, "end_day", "left_semi").join(
+        dates.select("end_day", "product_uid"), ["end_day", "product_uid"], "left_semi").select(instances.columns)
     rows = due.unionByName(exercised).drop("end_day").dropDuplicates(["product_uid"])
     return db.replace(
         product_instances=rows.select(*[c for c in db.product_instances.columns]),
